@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from .decontaminate import op8_winnowing_decontamination
 from .licenses import op10_license_templates
+from .neardup import OP2_SQL, op2_minhash_near_dedup
 from .packing import op3_best_fit_packing
 from .repeats import op7_suffix_array_dedup
 from .tokens import op4_token_id_output
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_token_id_output, op7_suffix_array_dedup, op8_winnowing_decontamination, op10_license_templates)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_best_fit_packing, op4_token_id_output, op7_suffix_array_dedup, op8_winnowing_decontamination, op10_license_templates)}
+SQL: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL}
