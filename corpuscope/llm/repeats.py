@@ -1,6 +1,6 @@
 """Removal of repeated 200-byte strings: suffix-array deduplication over the whole collection.
 
-Two places that hold the same 200 bytes also hold the same smallest 50-gram in them (its leftmost place is the string's
+Two places that hold the same 200 bytes also hold the same smallest 32-gram in them (its leftmost place is the string's
 anchor), at the same distance. So strings are dealt out by anchor; an anchor that stands once in the collection needs
 no more work. For the others the bytes around each place are cut out, and the suffixes that start 200-byte strings are
 sorted by column-wise construction over many segments at once: from right to left, each round inserts one symbol of
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import list_array, map_texts, mix, prefix_sums, ranges, saved, slices, span_hashes, table, text_bytes
 
 
-WIDTH, GRAM = 200, 50
+WIDTH, GRAM = 200, 32
 #: Segments sorted together; an anchor at more places than HOT has its strings counted one by one instead, by Spark.
 BATCH, HOT = 40_000, 50_000
 KEY = ["k1", "k2"]
@@ -116,8 +116,9 @@ def _fields(**types) -> list[T.StructField]:
 
 
 def _find_anchors(texts: DataFrame) -> DataFrame:
-    """(k1, k2, h, at, first, n): each anchor of each text."""
-    schema = T.StructType([*(texts.schema[k] for k in KEY), *_fields(h=T.LongType(), at=T.IntegerType(), first=T.IntegerType(), n=T.IntegerType())])
+    """(k1, k2, h, place): each anchor of each text. place: the anchor's byte, how far ahead of it the first string that
+    it stands for starts, and how many such strings there are (48, 8 and 8 bits)."""
+    schema = T.StructType([*(texts.schema[k] for k in KEY), *_fields(h=T.LongType(), place=T.LongType())])
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -125,14 +126,15 @@ def _find_anchors(texts: DataFrame) -> DataFrame:
             at, h, first, n = anchors(raw, offsets)
             doc = np.searchsorted(offsets, at, side="right") - 1
             base = offsets[doc]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(doc)) for k in KEY), _long(h), *(pa.array(x.astype(np.int32)) for x in (at - base, first - base, n))], schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(doc)) for k in KEY), _long(h), pa.array((at - base) << 16 | (at - first) << 8 | n)], schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
 def _cut(texts: DataFrame, hot: int) -> DataFrame:
-    """(k1, k2, s1, s2, h, before, first, n, segment): the bytes of all strings of an anchor, or of each string of a hot one."""
-    schema = T.StructType([*(texts.schema[k] for k in KEY), *_fields(s1=T.LongType(), s2=T.LongType(), h=T.LongType(), before=T.IntegerType(), first=T.IntegerType(), n=T.IntegerType(), segment=T.BinaryType())])
+    """(k1, k2, s, h, before, first, n, segment): the bytes of all strings of an anchor, or of each string of a hot one; s
+    is their hash. copies is read so that this use of texts has the plan, and hence the shuffle, of the other."""
+    schema = T.StructType([*(texts.schema[k] for k in KEY), *_fields(s=T.LongType(), h=T.LongType(), before=T.IntegerType(), first=T.IntegerType(), n=T.IntegerType(), segment=T.BinaryType())])
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -141,7 +143,9 @@ def _cut(texts: DataFrame, hot: int) -> DataFrame:
             counts = listed.value_lengths().to_numpy(zero_copy_only=False)
             p = listed.flatten()
             get = lambda name: p.field(name).to_numpy(zero_copy_only=False).astype(np.int64)
-            h, at, first, n, copies = (get(x) for x in ("h", "at", "first", "n", "copies"))
+            h, place, copies = (get(x) for x in ("h", "place", "copies"))
+            at, n = place >> 16, place & 255
+            first = at - (place >> 8 & 255)
             doc = np.repeat(np.arange(len(counts)), counts)
             each = np.where(copies > hot, n, 1)  # rows of each anchor
             step, row = ranges(np.zeros(len(n), np.int64), each)
@@ -150,24 +154,24 @@ def _cut(texts: DataFrame, hot: int) -> DataFrame:
             size = n + WIDTH - 1
             sums = prefix_sums(raw)
             before = np.where(copies[row] > hot, -1, at - first)
-            s1 = span_hashes(sums, start, start + size)
-            s2 = mix(span_hashes(prefix_sums(raw ^ np.uint8(0x5A)), start, start + size) + before.astype(np.uint64))
+            mark = mix(span_hashes(sums, start, start + size) + before.astype(np.uint64))
+            h = np.where(before < 0, mix(h.astype(np.uint64) ^ span_hashes(prefix_sums(raw ^ np.uint8(0x5A)), start, start + size)).astype(np.int64), h) if (before < 0).any() else h
             place, _ = ranges(start, size)
             ends = np.concatenate([[0], np.cumsum(size)])
             segment = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[place].tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(doc)) for k in KEY), _long(s1), _long(s2), _long(h), *(pa.array(x.astype(np.int32)) for x in (before, first, n)), segment], schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(doc)) for k in KEY), _long(mark), _long(h), *(pa.array(x.astype(np.int32)) for x in (before, first, n)), segment], schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
 def _compare(distinct: DataFrame) -> DataFrame:
-    """(s1, s2, runs): distinct segments in, sorted by anchor; out come those with repeated strings."""
-    schema = T.StructType(_fields(s1=T.LongType(), s2=T.LongType(), runs=T.ArrayType(T.StructType(_fields(a=T.IntegerType(), b=T.IntegerType())))))
+    """(s, h, runs): distinct segments in, sorted by anchor; out come those with repeated strings."""
+    schema = T.StructType(_fields(s=T.LongType(), h=T.LongType(), runs=T.ArrayType(T.StructType(_fields(a=T.IntegerType(), b=T.IntegerType())))))
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        h = np.array([r[2] for r in rows])
+        h = np.array([r[1] for r in rows])
         group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-        found = repeated_columns(group, [r[4] for r in rows], np.array([r[3] for r in rows]))
+        found = repeated_columns(group, [r[3] for r in rows], np.array([r[2] for r in rows]))
         out = [(r[0], r[1], [{"a": a, "b": b} for a, b in x]) for r, x in zip(rows, found) if x]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], schema.names)
 
@@ -175,8 +179,8 @@ def _compare(distinct: DataFrame) -> DataFrame:
         ready: list[tuple] = []  # whole anchors
         group: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "h", "before", "segment"))):
-                if group and row[2] != group[0][2]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("s", "h", "before", "segment"))):
+                if group and row[1] != group[0][1]:
                     if len(group) > 1:
                         ready += group
                     group = []
@@ -188,7 +192,7 @@ def _compare(distinct: DataFrame) -> DataFrame:
         if ready:
             yield solve(ready)
 
-    return distinct.select("s1", "s2", "h", "before", "segment").repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
+    return distinct.select("s", "h", "before", "segment").repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -198,15 +202,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT) -> tuple
     keyed = docs.select(F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("text"))
     places = saved(_find_anchors(keyed), "anchors")
     again = places.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
-    shared = places.join(again, "h").groupBy(*KEY).agg(F.collect_set(F.struct("h", "at", "first", "n", "copies")).alias("places"))
+    shared = places.join(again, "h").groupBy(*KEY).agg(F.collect_set(F.struct("h", "place", "copies")).alias("places"))
     texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    segments = _cut(texts.select(*KEY, "text").join(shared, KEY), hot)
-    distinct = segments.groupBy("s1", "s2").agg(F.first("h").alias("h"), F.first("before").alias("before"), F.first("segment").alias("segment"), F.count("*").alias("times"))
+    segments = _cut(texts.join(shared, KEY), hot)
+    distinct = segments.groupBy("s", "h").agg(F.first("before").alias("before"), F.first("segment").alias("segment"), F.count("*").alias("times"))
     found = _compare(distinct.where("before >= 0"))
-    known = distinct.where("times > 1").select("s1", "s2", F.lit(True).alias("whole"))
-    verdict = known.join(found, ["s1", "s2"], "full_outer")
+    known = distinct.where("times > 1").select("s", "h", F.lit(True).alias("whole"))
+    verdict = known.join(found, ["s", "h"], "full_outer")
     runs = F.when(F.col("whole"), F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b")))).otherwise(F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))))
-    starts = segments.select(*KEY, "s1", "s2", "first", "n").join(verdict, ["s1", "s2"]).select(*KEY, runs.alias("runs")).groupBy(*KEY).agg(F.flatten(F.collect_list("runs")).alias("starts"))
+    starts = segments.select(*KEY, "s", "h", "first", "n").join(verdict, ["s", "h"]).select(*KEY, runs.alias("runs")).groupBy(*KEY).agg(F.flatten(F.collect_list("runs")).alias("starts"))
     return texts, starts
 
 

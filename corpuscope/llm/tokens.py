@@ -31,14 +31,13 @@ class Encoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, remembering the ids of each piece.
 
     The tokenizer first cuts a text by a fixed pattern and merges within the cuts. One blank between two other
-    characters always starts a new cut, one line break between two is always a cut of its own, and so does punctuation
-    behind a letter or digit start one. A text may be split there, and equal pieces are encoded once. Texts with other
+    characters always starts a new cut, and one line break between two is always a cut of its own. A text may be split
+    there, and equal pieces are encoded once; new ones are encoded together. Texts with other
     or repeated white space are cut at the same places by a slower path, or encoded as one piece.
     """
 
     ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e\u200b-\u200d\u2028\u2029\u3000\ufeff]")
     ODD_ASCII = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f]")
-    TAIL = re.compile(r"(.*[A-Za-z0-9])([.,;:!?|*%&$#)\]]+)", re.DOTALL)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,15 +45,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.bare = Pieces(self, " "), Pieces(self, "")
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.starts = np.zeros(max(tokens.values()) + 2, bool)
+        self.starts[[i for t, i in tokens.items() if t[0] == "Ġ"]] = True  # how byte-level vocabularies write a blank
+        self.line_end = tokens.get("Ċ", -1)
 
     def odd(self, text: str) -> bool:
         return (self.ODD_ASCII if text.isascii() else self.ODD).search(text) is not None
 
+    @staticmethod
+    def uneven(text: str) -> bool:
+        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
+
+    def learn(self, texts: list[str]) -> None:
+        """Encode all pieces that are new in these texts, many in one call: joined so that each starts a cut."""
+        spaced, bare = set(), set()
+        for text in texts:
+            if not self.odd(text) and not self.uneven(text):
+                for line in text.split("\n"):
+                    first, *rest = line.split(" ")
+                    bare.add(first)
+                    spaced.update(rest)
+        self.spaced.add(spaced, "", lambda ids: np.flatnonzero(self.starts[ids]), 0)
+        self.bare.add(bare, "\n", lambda ids: np.concatenate([[0], np.flatnonzero(ids == self.line_end) + 1]), 1)
+
     def encode(self, text: str) -> bytes:
         """The ids, 4 bytes each."""
         if self.odd(text):
             return self.bare.fresh(text)
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+        if self.uneven(text):
             return self.runs(text)
         out, line_end, spaced = [], self.bare["\n"], self.spaced.__getitem__
         for line in text.split("\n"):
@@ -82,14 +101,24 @@ class Pieces(dict):
         super().__init__()
         self.encoder, self.start = encoder, start
 
+    def add(self, pieces: set[str], between: str, cuts, gap: int) -> None:
+        """cuts(ids): where pieces start among the ids of many, of which the last gap before each next is no part."""
+        if len(self) > MEMORY:
+            self.clear()
+        new = [p for p in pieces if p not in self and 0 < len(p) < 64]
+        for i in range(0, len(new), 5000):
+            part = new[i : i + 5000]
+            ids = np.array(self.encoder.tokenizer.encode_batch_fast([between.join(self.start + p for p in part)], add_special_tokens=False)[0].ids, "<u4")
+            at = cuts(ids)
+            if len(at) == len(part):  # else some piece holds such a token itself; __missing__ takes each alone
+                raw, ends = ids.tobytes(), [*(at[1:] - gap).tolist(), len(ids)]
+                self.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, at.tolist(), ends))
+
     def fresh(self, piece: str) -> bytes:
         return np.array(self.encoder.tokenizer.encode(self.start + piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        tail = self.encoder.TAIL.fullmatch(piece)
-        ids = self[tail[1]] + self.encoder.bare[tail[2]] if tail else self.fresh(piece) if piece or self.start else b""
-        if len(self) > MEMORY:
-            self.clear()
+        ids = self.fresh(piece) if piece or self.start else b""
         if len(piece) < 64:
             self[piece] = ids
         return ids
@@ -108,7 +137,9 @@ def encoder(path: str) -> Encoder:
 def encoded(column: pa.Array, path: str) -> list[bytes]:
     """The ids of each text (null: none) with the end id."""
     e, end = encoder(path), np.array([END], "<u4").tobytes()
-    return [e.encode(t or "") + end for t in column.to_pylist()]
+    texts = [t or "" for t in column.to_pylist()]
+    e.learn(texts)
+    return [e.encode(t) + end for t in texts]
 
 
 # ---------------------------------------------------------------- output

@@ -18,10 +18,10 @@ from .common import ALNUM, Words, map_texts, ranges, table
 from .labelled import fold, sample, with_text
 
 #: Labelled documents that the network is fitted on at most.
-SAMPLE = 8000
+SAMPLE = 6000
 WINDOW, STRIDE, HIDDEN, INPUT = 24, 12, 8, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 12
-ROUNDS, BATCH = 8, 256
+ROUNDS, BATCH, PART = 7, 256, 500
 
 
 def word_inputs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,53 +146,60 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
     if len(y) == 0 or y.min() == y.max():
         net.slope, net.shift = 0.0, 0.0 if len(y) == 0 else (3.0 if y[0] else -3.0)
         return net
-    w = Words(column, ALNUM)
-    bucket, trigram, owner, inverse = word_inputs(w)
-    start, length, doc = windows(w.offsets)
+    parts, base = [], y.mean()  # some texts at a time, so that memory follows the part and not the sample
+    toxic, total = np.zeros(WORD_BUCKETS), np.zeros(WORD_BUCKETS)
+    for i in range(0, len(y), PART):
+        w = Words(column.slice(i, PART), ALNUM)
+        bucket, trigram, owner, inverse = word_inputs(w)
+        start, length, doc = windows(w.offsets)
+        pair = np.unique(w.doc * WORD_BUCKETS + bucket[inverse])
+        toxic += np.bincount(pair % WORD_BUCKETS, y[i + pair // WORD_BUCKETS].astype(float), WORD_BUCKETS)
+        total += np.bincount(pair % WORD_BUCKETS, minlength=WORD_BUCKETS)
+        parts.append([bucket, trigram.astype(np.int16), owner.astype(np.int32), inverse.astype(np.int32), start, length, doc + i, None])
     # how the labels share out the words, by document
-    pair = np.unique(w.doc * WORD_BUCKETS + bucket[inverse])
-    seen = np.stack([pair // WORD_BUCKETS, pair % WORD_BUCKETS])
-    toxic, total = (np.bincount(seen[1], weights, WORD_BUCKETS) for weights in (y[seen[0]].astype(float), None))
-    base = y.mean()
     odds = np.log((toxic + 4 * base) / (total - toxic + 4 * (1 - base))) - np.log(base / (1 - base))
     net.p["words"][:, 0] += np.clip(odds, -3, 3).astype(np.float32) * 0.5
-    sums = np.concatenate([[0], np.cumsum(np.maximum(odds, 0)[bucket[inverse]] ** 2)])
-    level = sums[start + length] - sums[start]
-    place = np.minimum(start[:, None] + np.arange(WINDOW), len(inverse) - 1)
+    for part in parts:
+        sums = np.concatenate([[0], np.cumsum(np.maximum(odds, 0)[part[0][part[3]]] ** 2)])
+        part[7] = sums[part[4] + part[5]] - sums[part[4]]
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     tick, weight = 0, np.where(y == 1, min(10.0, (1 - base) / base), 1.0)
     for k in range(ROUNDS):
-        order = np.lexsort((r.random(len(doc)), level, doc))
-        last = np.flatnonzero(np.append(doc[order][1:] != doc[order][:-1], True))
-        worst = order[last]
-        other = r.integers(0, len(doc), len(worst))
-        chosen = r.permutation(np.concatenate([worst, other[y[doc[other]] == 0]]))
-        for i in range(0, len(chosen), BATCH):
-            own = chosen[i : i + BATCH]
-            words, at = np.unique(inverse[place[own]], return_inverse=True)
-            pick = np.isin(owner, words)
-            renamed = np.searchsorted(words, owner[pick])
-            x = net.embed(bucket[words], trigram[pick], renamed)
-            logit, kept = net.forward(x, at.reshape(len(own), WINDOW), length[own], keep=True)
-            d = ((_sigmoid(logit) - y[doc[own]]) * weight[doc[own]] / len(own)).astype(np.float32)
-            g, dx = net.backward(d, kept)
-            g["words"] = np.zeros_like(net.p["words"])
-            np.add.at(g["words"], bucket[words], dx)
-            g["chars"] = np.zeros_like(net.p["chars"])
-            np.add.at(g["chars"], trigram[pick], (dx / np.maximum(np.bincount(renamed, minlength=len(words)), 1)[:, None])[renamed])
-            tick += 1
-            rate = 0.01 * (1 - 0.8 * k / ROUNDS)
-            for name, grad in g.items():
-                m, v = state[name]
-                m += 0.1 * (grad - m)
-                v += 0.001 * (grad * grad - v)
-                net.p[name] -= rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.999**tick)) + 1e-6)
+        for bucket, trigram, owner, inverse, start, length, doc, level in (parts[j] for j in r.permutation(len(parts)) if len(parts[j][6])):
+            order = np.lexsort((r.random(len(doc)), level, doc))
+            worst = order[np.flatnonzero(np.append(doc[order][1:] != doc[order][:-1], True))]
+            other = r.integers(0, len(doc), len(worst))
+            chosen = r.permutation(np.concatenate([worst, other[y[doc[other]] == 0]]))
+            for i in range(0, len(chosen), BATCH):
+                own = chosen[i : i + BATCH]
+                words, at = np.unique(inverse[np.minimum(start[own, None] + np.arange(WINDOW), len(inverse) - 1)], return_inverse=True)
+                pick = np.isin(owner, words)
+                renamed, grams = np.searchsorted(words, owner[pick]), trigram[pick]
+                x = net.embed(bucket[words], grams, renamed)
+                logit, kept = net.forward(x, at.reshape(len(own), WINDOW), length[own], keep=True)
+                d = ((_sigmoid(logit) - y[doc[own]]) * weight[doc[own]] / len(own)).astype(np.float32)
+                g, dx = net.backward(d, kept)
+                g["words"] = np.zeros_like(net.p["words"])
+                np.add.at(g["words"], bucket[words], dx)
+                g["chars"] = np.zeros_like(net.p["chars"])
+                np.add.at(g["chars"], grams, (dx / np.maximum(np.bincount(renamed, minlength=len(words)), 1)[:, None])[renamed])
+                tick += 1
+                rate = 0.01 * (1 - 0.8 * k / ROUNDS)
+                for name, grad in g.items():
+                    m, v = state[name]
+                    m += 0.1 * (grad - m)
+                    v += 0.001 * (grad * grad - v)
+                    net.p[name] -= rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.999**tick)) + 1e-6)
         if k >= 1:
-            x = net.embed(bucket, trigram, owner)
-            level = np.concatenate([net.forward(x, inverse[place[i : i + 16384]], length[i : i + 16384]) for i in range(0, len(place), 16384)])
+            for part in parts:
+                bucket, trigram, owner, inverse, start, length = part[:6]
+                x = net.embed(bucket, trigram, owner)
+                at = lambda i: inverse[np.minimum(start[i : i + 8192, None] + np.arange(WINDOW), len(inverse) - 1)]
+                part[7] = np.concatenate([np.zeros(0, np.float32), *(net.forward(x, at(i), length[i : i + 8192]) for i in range(0, len(start), 8192))])
     # one slope and shift from the documents' worst windows to probabilities
     z = np.full(len(y), float(net.p["bias"][0]) - 20)
-    np.maximum.at(z, doc, level.astype(float))
+    for part in parts:
+        np.maximum.at(z, part[6], part[7].astype(float))
     a, b = 1.0, 0.0
     zs = np.clip(z, -15, 15)
     for _ in range(500):
