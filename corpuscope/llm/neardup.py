@@ -4,7 +4,8 @@ A document's set of word shingles is hashed into buckets; each bucket keeps its
 zeros and a few mantissa bits. Bands of these compressed registers give candidate buckets. In a bucket all members are
 held against one hub, never all pairs. A candidate's similarity is estimated from the registers, with the collisions
 that compression causes taken out, and what passes is confirmed on the full sets. Members of one bucket that are then
-still in different components are held against each other, so that no link is lost to the choice of hubs.
+still in different components are held against each other in blocks inside tasks, so that no link between components is
+lost to the choice of hubs and no pair becomes a row unless it links.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Words, grams, list_array, map_texts, mix, saved, table
+from .common import NOT_SPACE, Words, grams, list_array, map_texts, mix, ranges, saved, table
 
 BUCKET_BITS, MANTISSA_BITS, ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 #: Standard errors under the threshold at which an estimate still goes to the full comparison.
 SLACK = 6.0
+#: Members of a bucket, and shingles of them, that are compared at a time; larger buckets are cut into blocks, and every two blocks meet.
+BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
 SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("registers", T.BinaryType())]
 SETS = [T.StructField("shingles", T.ArrayType(T.LongType(), False))]
 
@@ -174,11 +177,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = saved(confirm(first), "links")
     components = connected_components(links)
     placed = members.join(components, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    open_ = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = saved(placed.join(open_, "key"), "rest")
-    x, y = (rest.select("key", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}")) for s in "ab")
-    close = x.join(y, "key").where(f"a < b AND ca != cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-    more = saved(confirm(close.join(first, ["a", "b"], "left_anti")), "links")
+    # buckets that still hold several components, those of equal members once, cut into blocks of bounded size
+    mark = (F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2"), F.count("*").alias("m"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("n").alias("w"), *mark).where("lo < hi").groupBy("x1", "x2", "m").agg(F.min("key").alias("key"), F.first("w").alias("w"))
+    open_ = open_.select("key", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rest = placed.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c").join(regs.select("node", "registers"), "node").join(full, "node")
+    more = saved(_within(rest, percent).distinct(), "links")
     if not more.isEmpty():
         components = connected_components(links.union(more))
     labelled = sets.join(components, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
@@ -187,6 +192,60 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _within(rest: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components inside each (key, i, j) of rest; a link whose ends are joined already,
+    directly or through others of the group, is left out. Pairs never become rows: they are compared in the task."""
+
+    def solve(rows: pa.Table) -> list[tuple[int, int]]:
+        node, own, c = (rows.column(x).to_numpy() for x in ("node", "own", "c"))
+        c, cross = c.copy(), rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        lists = rows.column("shingles").combine_chunks()
+        n, flat = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        starts, out = np.cumsum(n) - n, []
+        for a in range(len(node) - 1):
+            b = np.arange(a + 1, len(node))
+            b = b[(c[b] != c[a]) & (100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a])) & ((own[b] != own[a]) | (not cross))]
+            if len(b):
+                estimate, error = estimates(regs[a][None], regs[b], np.full(len(b), n[a]), n[b])
+                b = b[estimate >= percent / 100 - SLACK * error]
+            if len(b):
+                mine, (place, _) = flat[starts[a] : starts[a] + n[a]], ranges(starts[b], n[b])
+                theirs = flat[place]
+                same = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                i = np.add.reduceat(same.astype(np.int64), np.cumsum(n[b]) - n[b])
+                for x in b[100 * i >= percent * (n[a] + n[b] - i)].tolist():
+                    if c[x] != c[a]:
+                        out.append((int(node[a]), int(node[x])))
+                        c[c == c[x]] = c[a]
+        return out
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            found = solve(pa.Table.from_batches(held))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j = (batch.column(x).to_numpy() for x in ("key", "i", "j"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                now = (int(key[s]), int(i[s]), int(j[s]))
+                if held and now != last:
+                    yield done()
+                    held.clear()
+                last = now
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield done()
+
+    return rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     def start():
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
