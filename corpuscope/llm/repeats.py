@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, map_texts, mix, prefix_sums, ranges, saved, slices, span_hashes, table, text_bytes
+from .common import list_array, map_texts, mix, prefix_sums, ranges, slices, span_hashes, table, text_bytes
 
 
 WIDTH, GRAM = 200, 32
@@ -200,7 +200,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT) -> tuple
     runs of byte places where a repeated string starts."""
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("text"))
-    places = saved(_find_anchors(keyed), "anchors")
+    places = _find_anchors(keyed)  # found twice, which costs less than keeping them on disk
     again = places.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
     shared = places.join(again, "h").groupBy(*KEY).agg(F.collect_set(F.struct("h", "place", "copies")).alias("places"))
     texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
