@@ -1,6 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as the sum of a word vector and the mean of its character trigrams' vectors (both by hash). Every text is
+A word enters as the sum of a word vector, if it is in enough training texts, and the mean of the vectors of its
+character sequences of three and of five (all by hash). Every text is
 read in overlapping windows; two gated recurrent passes give each word a state, attention pools them, and the worst
 window is the text's score. Labels are of whole documents, so training takes each document's worst window by the
 network so far (at first, by how the labels share out its words), and of harmless documents another one as well.
@@ -20,19 +21,25 @@ from .labelled import fold, sample, with_text
 #: Labelled documents that the network is fitted on at most.
 SAMPLE = 6000
 WINDOW, STRIDE, HIDDEN, INPUT = 24, 12, 8, 8
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 12
+WORD_BUCKETS, CHAR_BUCKETS, LONG_BUCKETS = 1 << 15, 1 << 12, 1 << 15
+#: Training texts that a word needs for a vector of its own, and how often training leaves that out, so that characters tell.
+KNOWN_FROM, DROPPED = 10, 0.4
 ROUNDS, BATCH, PART = 7, 256, 500
 
 
 def word_inputs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of a batch: word bucket, character trigram buckets with the word that each is of; and each word's place among them."""
+    """Distinct words of a batch: word bucket, buckets of character sequences with the word that each is of; and each word's
+    place among them. A word's ends count as characters."""
     _, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
     starts, ends = w.starts[first], w.ends[first]
-    padded = np.concatenate([w.raw, np.zeros(2, np.uint8)]).astype(np.int64)
     place, owner = ranges(starts, ends - starts)
-    inside = np.minimum(place + 1, ends[owner] - 1), np.minimum(place + 2, ends[owner] - 1)
-    trigram = (padded[place] * 961 + padded[inside[0]] * 31 + padded[inside[1]]) * 40503 % 1048573 % CHAR_BUCKETS
-    return (w.hashes[first] >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS, trigram, owner, inverse
+    near = np.stack([np.where((place + j >= starts[owner]) & (place + j < ends[owner]), w.raw[np.clip(place + j, 0, max(0, len(w.raw) - 1))], 32) for j in range(-1, 4)]).astype(np.int64)
+    three = (near[0] * 961 + near[1] * 31 + near[2]) * 40503 % 1048573 % CHAR_BUCKETS
+    five = near[0]
+    for x in near[1:]:
+        five = (five * 257 + x) % 2147483647
+    chars = np.stack([three, CHAR_BUCKETS + five * 40503 % 1048573 % LONG_BUCKETS], axis=1).ravel()
+    return (w.hashes[first] >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS, chars, np.repeat(owner, 2), inverse
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,15 +61,17 @@ class Network:
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
         f = lambda *s: r.normal(0, 0.3, s).astype(np.float32)
-        self.p = {"words": f(WORD_BUCKETS, INPUT) * 0.1, "chars": f(CHAR_BUCKETS, INPUT) * 0.1, "attend": f(2 * HIDDEN), "out": f(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
+        self.p = {"words": f(WORD_BUCKETS, INPUT) * 0.1, "chars": f(CHAR_BUCKETS + LONG_BUCKETS, INPUT) * 0.1, "attend": f(2 * HIDDEN), "out": f(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
         for way in "fb":
             self.p |= {f"w{way}": f(INPUT, 3 * HIDDEN), f"u{way}": f(HIDDEN, 3 * HIDDEN), f"c{way}": np.zeros(3 * HIDDEN, np.float32)}
-        self.slope, self.shift = 1.0, 0.0
+        self.slope, self.shift, self.known = 1.0, 0.0, np.ones(WORD_BUCKETS, bool)
 
-    def embed(self, bucket: np.ndarray, trigram: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    def embed(self, bucket: np.ndarray, trigram: np.ndarray, owner: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """own: which words' vectors count, by default those of known words."""
         counts = np.bincount(owner, minlength=len(bucket)).astype(np.float32)
         sums = np.add.reduceat(self.p["chars"][trigram], np.concatenate([[0], np.cumsum(counts[:-1]).astype(np.int64)])) if len(bucket) else np.zeros((0, INPUT), np.float32)
-        return self.p["words"][bucket] + sums / np.maximum(counts, 1)[:, None]
+        own = self.known[bucket] if own is None else own
+        return self.p["words"][bucket] * own[:, None] + sums / np.maximum(counts, 1)[:, None]
 
     def _run(self, way: str, inputs: np.ndarray, at: np.ndarray, length: np.ndarray, keep: bool):
         """States (steps, windows, HIDDEN). inputs: projected words; at: their places (windows, steps)."""
@@ -155,9 +164,11 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
         pair = np.unique(w.doc * WORD_BUCKETS + bucket[inverse])
         toxic += np.bincount(pair % WORD_BUCKETS, y[i + pair // WORD_BUCKETS].astype(float), WORD_BUCKETS)
         total += np.bincount(pair % WORD_BUCKETS, minlength=WORD_BUCKETS)
-        parts.append([bucket, trigram.astype(np.int16), owner.astype(np.int32), inverse.astype(np.int32), start, length, doc + i, None])
+        parts.append([bucket, trigram.astype(np.int32), owner.astype(np.int32), inverse.astype(np.int32), start, length, doc + i, None])
     # how the labels share out the words, by document
     odds = np.log((toxic + 4 * base) / (total - toxic + 4 * (1 - base))) - np.log(base / (1 - base))
+    net.known = total >= min(KNOWN_FROM, max(1.0, len(y) / 50))
+    odds *= net.known
     net.p["words"][:, 0] += np.clip(odds, -3, 3).astype(np.float32) * 0.5
     for part in parts:
         sums = np.concatenate([[0], np.cumsum(np.maximum(odds, 0)[part[0][part[3]]] ** 2)])
@@ -175,12 +186,13 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
                 words, at = np.unique(inverse[np.minimum(start[own, None] + np.arange(WINDOW), len(inverse) - 1)], return_inverse=True)
                 pick = np.isin(owner, words)
                 renamed, grams = np.searchsorted(words, owner[pick]), trigram[pick]
-                x = net.embed(bucket[words], grams, renamed)
+                use = net.known[bucket[words]] & (r.random(len(words)) >= DROPPED)
+                x = net.embed(bucket[words], grams, renamed, use)
                 logit, kept = net.forward(x, at.reshape(len(own), WINDOW), length[own], keep=True)
                 d = ((_sigmoid(logit) - y[doc[own]]) * weight[doc[own]] / len(own)).astype(np.float32)
                 g, dx = net.backward(d, kept)
                 g["words"] = np.zeros_like(net.p["words"])
-                np.add.at(g["words"], bucket[words], dx)
+                np.add.at(g["words"], bucket[words], dx * use[:, None])
                 g["chars"] = np.zeros_like(net.p["chars"])
                 np.add.at(g["chars"], grams, (dx / np.maximum(np.bincount(renamed, minlength=len(words)), 1)[:, None])[renamed])
                 tick += 1
