@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from .common import list_array, scratch_dir, slices, table
 
 END = 2
-#: Words whose ids a worker keeps; beyond, it starts anew.
-MEMORY = 700_000
+#: Pieces whose ids a worker keeps (beyond, it starts anew), and new pieces that are encoded as one text.
+MEMORY, TOGETHER = 1_200_000, 200
 
 
 def default_tokenizer() -> str:
@@ -31,94 +31,76 @@ class Encoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, remembering the ids of each piece.
 
     The tokenizer first cuts a text by a fixed pattern and merges within the cuts. One blank between two other
-    characters always starts a new cut, and one line break between two is always a cut of its own. A text may be split
-    there, and equal pieces are encoded once; new ones are encoded together. Texts with other
-    or repeated white space are cut at the same places by a slower path, or encoded as one piece.
+    characters always starts a new cut, and one line break between two is always a cut of its own. A text is split
+    there into pieces with their blank or line break, and equal pieces are encoded once; new ones are encoded together.
+    Texts with other or repeated white space are cut at the same places by a slower path, or encoded whole.
     """
 
     ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e\u200b-\u200d\u2028\u2029\u3000\ufeff]")
-    ODD_ASCII = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.bare = Pieces(self, " "), Pieces(self, "")
         tokens = self.tokenizer.get_vocab(with_added_tokens=False)
         self.starts = np.zeros(max(tokens.values()) + 2, bool)
-        self.starts[[i for t, i in tokens.items() if t[0] == "Ġ"]] = True  # how byte-level vocabularies write a blank
-        self.line_end = tokens.get("Ċ", -1)
-
-    def odd(self, text: str) -> bool:
-        return (self.ODD_ASCII if text.isascii() else self.ODD).search(text) is not None
-
-    @staticmethod
-    def uneven(text: str) -> bool:
-        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode all pieces that are new in these texts, many in one call: joined so that each starts a cut."""
-        spaced, bare = set(), set()
-        for text in texts:
-            if not self.odd(text) and not self.uneven(text):
-                for line in text.split("\n"):
-                    first, *rest = line.split(" ")
-                    bare.add(first)
-                    spaced.update(rest)
-        self.spaced.add(spaced, "", lambda ids: np.flatnonzero(self.starts[ids]), 0)
-        self.bare.add(bare, "\n", lambda ids: np.concatenate([[0], np.flatnonzero(ids == self.line_end) + 1]), 1)
-
-    def encode(self, text: str) -> bytes:
-        """The ids, 4 bytes each."""
-        if self.odd(text):
-            return self.bare.fresh(text)
-        if self.uneven(text):
-            return self.runs(text)
-        out, line_end, spaced = [], self.bare["\n"], self.spaced.__getitem__
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out += [line_end, self.bare[first], *map(spaced, rest)]
-        return b"".join(out[1:])
+        self.starts[[i for t, i in tokens.items() if t[0] in "ĠĊ"]] = True  # how byte-level vocabularies write a blank and a line break
+        self.line_end = len(self.fresh("\n"))
+        self.known = Pieces(self)
+
+    def fresh(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, 4 bytes each."""
+        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        self.known.learn(set().union(*split))
+        get, out = self.known.__getitem__, []
+        for text, pieces in zip(texts, split):
+            try:
+                out.append(b"".join(map(get, pieces))[self.line_end :])
+            except TypeError:  # a piece without ids
+                out.append(self.fresh(text) if self.ODD.search(text) else self.runs(text))
+        return out
 
     def runs(self, text: str) -> bytes:
         """With runs of blanks and line breaks: all of a run but its last character is a cut, at the end all of it."""
         out, found = [], re.findall(r"[ \n]+|[^ \n]+", text)
         for i, run in enumerate(found):
             if run[0] not in " \n":
-                out.append((self.spaced if i and found[i - 1][-1] == " " else self.bare)[run])
+                out.append(self.known[run] if i and found[i - 1][-1] == " " else self.known["\n" + run][self.line_end :])
             elif i == len(found) - 1:
-                out.append(self.bare[run])
+                out.append(self.fresh(run))
             else:
-                out += [self.bare[run[:-1]], b"" if run[-1] == " " else self.bare["\n"]]
+                out += [self.fresh(run[:-1]), b"" if run[-1] == " " else self.fresh("\n")]
         return b"".join(out)
 
 
 class Pieces(dict):
-    """The ids of pieces, each with the same start."""
+    """The ids of pieces: of a word after a blank, which is not written, or after a line break, which is. A piece with odd
+    white space, or without a word, has None."""
 
-    def __init__(self, encoder: Encoder, start: str):
+    def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder, self.start = encoder, start
+        self.encoder = encoder
 
-    def add(self, pieces: set[str], between: str, cuts, gap: int) -> None:
-        """cuts(ids): where pieces start among the ids of many, of which the last gap before each next is no part."""
+    def learn(self, pieces: set[str]) -> None:
+        """Encode all that are new, many at a time: joined so that each starts a cut."""
         if len(self) > MEMORY:
             self.clear()
-        new = [p for p in pieces if p not in self and 0 < len(p) < 64]
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            ids = np.array(self.encoder.tokenizer.encode_batch_fast([between.join(self.start + p for p in part)], add_special_tokens=False)[0].ids, "<u4")
-            at = cuts(ids)
-            if len(at) == len(part):  # else some piece holds such a token itself; __missing__ takes each alone
-                raw, ends = ids.tobytes(), [*(at[1:] - gap).tolist(), len(ids)]
-                self.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, at.tolist(), ends))
-
-    def fresh(self, piece: str) -> bytes:
-        return np.array(self.encoder.tokenizer.encode(self.start + piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.fresh(piece) if piece or self.start else b""
+        new = [p for p in pieces.difference(self) if p not in ("", "\n") and len(p) < 64 and not self.encoder.ODD.search(p)]
+        parts = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        joined = ["".join(p if p[0] == "\n" else " " + p for p in part) for part in parts]
+        for part, done in zip(parts, self.encoder.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(done.ids, "<u4")
+            at = np.flatnonzero(self.encoder.starts[ids])
+            if len(at) == len(part):  # else __missing__ takes each alone
+                raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+                self.update(zip(part, [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]))
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = None if piece in ("", "\n") or self.encoder.ODD.search(piece.removeprefix("\n")) else self.encoder.fresh(piece if piece[0] == "\n" else " " + piece)
         if len(piece) < 64:
             self[piece] = ids
         return ids
@@ -136,10 +118,8 @@ def encoder(path: str) -> Encoder:
 
 def encoded(column: pa.Array, path: str) -> list[bytes]:
     """The ids of each text (null: none) with the end id."""
-    e, end = encoder(path), np.array([END], "<u4").tobytes()
-    texts = [t or "" for t in column.to_pylist()]
-    e.learn(texts)
-    return [e.encode(t) + end for t in texts]
+    end = np.array([END], "<u4").tobytes()
+    return [ids + end for ids in encoder(path).encode([t or "" for t in column.to_pylist()])]
 
 
 # ---------------------------------------------------------------- output
