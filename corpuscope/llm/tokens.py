@@ -18,7 +18,7 @@ from .common import list_array, scratch_dir, slices, table
 
 END = 2
 #: Pieces whose ids a worker keeps (beyond, it starts anew), and new pieces that are encoded as one text.
-MEMORY, TOGETHER = 1_200_000, 200
+MEMORY, TOGETHER = 900_000, 200
 
 
 def default_tokenizer() -> str:
@@ -191,5 +191,5 @@ def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path)
-    back = with_crc32(read_tokens(spark, path), ["doc_id", "part", "local_start", "n_tokens"])
-    return with_starts(back).select("doc_id", "start", "n_tokens", "ids_crc32")
+    placed = with_starts(read_tokens(spark, path))  # the sums read two columns, the checks below all ids once
+    return with_crc32(placed, ["doc_id", "start", "n_tokens"])
