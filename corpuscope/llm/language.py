@@ -1,12 +1,12 @@
 """Language-model scores by a hierarchical Pitman-Yor model over words.
 
-Frequent words (by share of all tokens) have a restaurant of their own for what follows them; all these share one
-parent, the unigram restaurant, whose base is uniform over the known words and one for all unknown. What follows other
-words is seated in the parent itself. Customers are seated by Gibbs sampling: words are dealt out by hash, so that one
-task has a word's dish in every restaurant, and each sweep draws the dish's number of tables in each context given the
-parent's prediction, then the parent's given these. A restaurant's table total, which other tasks change as well, is
-extrapolated from the task's own share of the words. Probabilities are the mean of several samples' predictions; their
-totals are summed over all tasks, so each context's probabilities sum to 1.
+Every word of the training texts has a restaurant for what follows it; all these share one parent, the unigram
+restaurant, whose base is uniform over the known words and one for all unknown. Customers are seated by Gibbs sampling:
+each sweep draws the number of tables of each word in the parent given its customers, then that of each pair (context,
+word) given the parent's prediction. Pairs, contexts and words are Spark tables keyed by hashes; the totals that a sweep
+needs are summed over all of them before it, and frequent words are salted in joins. A pair of one customer always has
+one table, so only pairs of two and more are drawn. Draws depend on the pair and the sweep, not on partitions.
+Probabilities are the mean of several samples' predictions, so each context's probabilities sum to 1.
 """
 
 from __future__ import annotations
@@ -15,16 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Words, list_array, map_texts, ranges, saved, slices, table
+from .common import NOT_SPACE, Words, mix, saved, slices, table
 from .labelled import fold
 
-#: A context of its own needs this share of all tokens, so there are at most 1 / CONTEXT_SHARE.
-CONTEXT_SHARE = 2e-3
-#: Words of at least this share are looked up in a table of words by contexts that every task holds; the rest by a join.
-#: Shares add up to 1 at most, so that table has at most 1 / (4 * CONTEXT_SHARE * COMMON_SHARE) cells, 170 MB.
-COMMON_SHARE = 3e-6
+#: Words of this share of all tokens are salted in joins, so there are at most 1 / HOT_SHARE. Results don't depend on it.
+HOT_SHARE = 1e-3
 DISCOUNT, STRENGTH = (0.6, 0.75), (5.0, 1.0)  # of the parent, and of contexts
 BURN_IN, SAMPLES = 4, 3
 EXACT = 40  # pairs of up to so many customers draw their tables in one step; larger ones are seated in growing parties
@@ -43,40 +39,46 @@ def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, offsets, before
 
 
-def _sums(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
+def _key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for a pair; both are spread hashes already."""
+    return u ^ (w << np.uint64(17) | w >> np.uint64(47))
 
 
-def _lookup(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The place of each x in sorted_, or -1."""
-    if not len(sorted_):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-    return np.where(sorted_[at] == x, at, -1)
+def _key_column():
+    return F.col("u").bitwiseXOR(F.shiftleft("w", 17).bitwiseOR(F.shiftrightunsigned("w", 47))).alias("key")
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
+def _pair_counts(docs: DataFrame) -> DataFrame:
+    """(u, w, n): how often w follows u in training texts, 0 where it does in other texts only."""
+
     def run(batches):
         for batch in slices(batches, "text", 16 << 20):
-            w, n = _sums(np.concatenate([token_stream(part.column("text"))[0] for part in slices([batch], "text")]))
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
+            parts = list(slices([batch], "text"))
+            streams = [token_stream(part.column("text")) for part in parts]
+            w, u = (np.concatenate([x[k] for x in streams]) for k in (0, 2))
+            n = np.concatenate([np.repeat(part.column("train").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(x[1])) for part, x in zip(parts, streams)])
+            order = np.lexsort((u, w))
+            w, u = w[order], u[order]
+            new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(u[new].view(np.int64)), pa.array(w[new].view(np.int64)), pa.array(np.add.reduceat(n[order], new))], ["u", "w", "n"])
 
-    return texts.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
 
 
-def _context_counts(texts: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """(w, u, n): how often w follows context u; u is -1 for all that have no restaurant."""
+def _requests(texts: DataFrame) -> DataFrame:
+    """(k1, k2, key, m): the pairs of each text and how often it has them."""
 
     def run(batches):
-        for batch in slices(batches, "text", 16 << 20):
-            streams = [token_stream(part.column("text")) for part in slices([batch], "text")]
-            tokens, u = np.concatenate([x[0] for x in streams]), _lookup(contexts, np.concatenate([x[2] for x in streams]))
-            order = np.lexsort((u, tokens))
-            w, u = tokens[order], u[order]
-            new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1]))[: len(w)])
-            yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), pa.array(u[new].astype(np.int16)), pa.array(np.diff(np.append(new, len(w))))], ["w", "u", "n"])
+        for batch in slices(batches, "text"):
+            tokens, offsets, before = token_stream(batch.column("text"))
+            key, doc = _key(before, tokens), np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            order = np.lexsort((key, doc))
+            key, doc = key[order], doc[order]
+            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+            own = pa.array(doc[new])
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(own), batch.column("k2").take(own), pa.array(key[new].view(np.int64)), pa.array(np.diff(np.append(new, len(key))))], ["k1", "k2", "key", "m"])
 
-    return texts.select("text").mapInArrow(run, "w long, u short, n long").groupBy("w", "u").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "k1 long, k2 long, key long, m long")
 
 
 def _log_stirling(d: float) -> np.ndarray:
@@ -91,7 +93,31 @@ def _log_stirling(d: float) -> np.ndarray:
     return s
 
 
-def draw_tables(c: np.ndarray, p: np.ndarray, total: np.ndarray, d: float, theta: float, stirling: np.ndarray, r: np.random.Generator) -> np.ndarray:
+def _uniforms(seed: np.ndarray, first: int, n: int) -> np.ndarray:
+    """The numbers first, first + 1, ... of each seed's own sequence, in (0, 1)."""
+    at = np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mix(seed[:, None] + at[None]) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def _binomial(m: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Binomial draws by two uniforms each: by inversion, or by the normal distribution where the variance is 50 or more."""
+    spread = m * q * (1 - q)
+    out = np.clip(np.rint(m * q + np.sqrt(spread) * np.sqrt(-2 * np.log(x[:, 0])) * np.cos(2 * np.pi * x[:, 1])), 0, m).astype(np.int64)
+    own = np.flatnonzero(spread < 50)
+    low, size = np.minimum(q[own], 1 - q[own]), m[own]
+    p = (1 - low) ** size
+    below, got = p.copy(), np.zeros(len(own), np.int64)
+    live = np.flatnonzero((x[own, 0] > below) & (size > 0))
+    while len(live):
+        p[live] *= (size[live] - got[live]) / (got[live] + 1) * (low[live] / (1 - low[live]))
+        got[live] += 1
+        below[live] += p[live]
+        live = live[(x[own[live], 0] > below[live]) & (got[live] < size[live])]
+    out[own] = np.where(q[own] <= 0.5, got, size - got)
+    return out
+
+
+def draw_tables(c: np.ndarray, p: np.ndarray, total: np.ndarray, d: float, theta: float, stirling: np.ndarray, seed: np.ndarray) -> np.ndarray:
     """Tables of c customers of one dish whose parent predicts it with p, in restaurants with total other tables."""
     t = np.minimum(c, 1)
     for k in range(2, EXACT + 1):
@@ -99,79 +125,92 @@ def draw_tables(c: np.ndarray, p: np.ndarray, total: np.ndarray, d: float, theta
         if len(own):
             more = np.cumsum(np.log(theta + d * (np.maximum(total[own], 0)[:, None] + np.arange(k))), axis=1)
             weight = stirling[k, 1 : k + 1][None] + more + np.arange(1, k + 1)[None] * np.log(p[own])[:, None]
-            t[own] = 1 + np.argmax(weight + r.gumbel(size=weight.shape), axis=1)
-    seated = np.full(len(c), EXACT)
+            t[own] = 1 + np.argmax(weight - np.log(-np.log(_uniforms(seed[own], 0, k))), axis=1)
+    seated, step = np.full(len(c), EXACT), EXACT
     own = np.flatnonzero(c > EXACT)
     while len(own):
         party = np.minimum(np.maximum(1, seated[own] // 10), c[own] - seated[own])
         new = (theta + d * (np.maximum(total[own], 0) + t[own])) * p[own]
-        t[own] += r.binomial(party, new / (seated[own] - d * t[own] + new))
+        t[own] += _binomial(party, new / (seated[own] - d * t[own] + new), _uniforms(seed[own], step, 2))
         seated[own] += party
+        step += 2
         own = own[seated[own] < c[own]]
     return t
 
 
-def _sample(counts: DataFrame, known: int, n_contexts: int, sizes: np.ndarray, tables: np.ndarray, parts: int) -> DataFrame:
-    """(w, n, parent, us, seats, ts): each word's total count, its parent customers less discounts in each sample, and for
-    its contexts the mean of customers less discounts, and the tables in each sample (sample after sample)."""
-    schema = T.StructType([T.StructField("w", T.LongType()), T.StructField("n", T.LongType()), T.StructField("parent", T.ArrayType(T.DoubleType())), T.StructField("parent_customers", T.ArrayType(T.LongType())), T.StructField("parent_tables", T.ArrayType(T.LongType())), T.StructField("us", T.ArrayType(T.ShortType())), T.StructField("seats", T.ArrayType(T.DoubleType())), T.StructField("ts", T.ArrayType(T.LongType()))])
+def _drawn(rows: DataFrame, level: int, sweep: int) -> DataFrame:
+    """rows (u, w, c customers, t tables, total tables of the restaurant, p, ...) with t drawn anew, less total and p."""
+    keep = [c for c in rows.columns if c not in ("total", "p")]
+    schema = rows.select(*keep).schema
 
     def run(batches):
-        from pyspark import TaskContext
-
-        rows = pa.Table.from_batches(list(batches), pa.schema([("w", pa.int64()), ("u", pa.int16()), ("n", pa.int64())]))  # one hash share of the words
-        if not rows.num_rows:
-            return
-        r = np.random.default_rng(TaskContext.get().partitionId())
-        w, u, c = (rows.column(k).to_numpy() for k in ("w", "u", "n"))
-        order = np.lexsort((u, w))
-        w, u, c = w[order], u[order].astype(np.int64), c[order]
-        new = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-        dish = np.cumsum(np.append(True, w[1:] != w[:-1])) - 1
-        n_words, in_context = len(new), u >= 0
-        d, theta, stirling = DISCOUNT, STRENGTH, [_log_stirling(x) for x in DISCOUNT]
-        direct = np.bincount(dish, np.where(in_context, 0, c), n_words).astype(np.int64)
-        t = np.where(in_context, 1, 0)
-        t0 = np.ones(n_words, np.int64)
-        cx, ux, dx = c[in_context], u[in_context], dish[in_context]
-        t_start = np.bincount(ux, minlength=max(n_contexts, 1))
-        share = known / n_words
-        samples = []
-        for sweep in range(BURN_IN + SAMPLES):
-            tx = t[in_context]
-            customers = direct + np.bincount(dx, tx, n_words).astype(np.int64)
-            total0, all0 = t0.sum() * share, customers.sum() * share
-            t0 = draw_tables(customers, np.full(n_words, 1 / (known + 1)), np.full(n_words, total0) - t0, d[0], theta[0], stirling[0], r)
-            p0 = (customers - d[0] * t0 + (theta[0] + d[0] * t0.sum() * share) / (known + 1)) / (theta[0] + all0)
-            if len(cx):
-                now = tables[ux] + (np.bincount(ux, tx, max(n_contexts, 1)) - t_start)[ux] * share
-                tx = draw_tables(cx, p0[dx], now - tx, d[1], theta[1], stirling[1], r)
-                t[in_context] = tx
-            if sweep >= BURN_IN:
-                customers = direct + np.bincount(dx, tx, n_words).astype(np.int64)
-                t0 = np.minimum(t0, customers)
-                samples.append((customers - d[0] * t0, customers, t0, tx))
-        S = SAMPLES
-        per = np.bincount(dx, minlength=n_words)
-        starts = np.cumsum(per) - per
-        flat, _ = ranges(np.tile(starts[:, None], S).ravel(), np.repeat(per, S))
-        which = np.repeat(np.tile(np.arange(S), n_words), np.repeat(per, S))
-        each = lambda k: list_array(np.stack([s[k] for s in samples], 1).ravel(), np.full(n_words, S))
-        ts = np.stack([s[3] for s in samples])[which, flat] if len(cx) else np.zeros(0, np.int64)
-        yield from pa.Table.from_arrays([pa.array(w[new]), pa.array(np.bincount(dish, c, n_words).astype(np.int64)), each(0), each(1), each(2), list_array(ux.astype(np.int16), per), list_array(cx - d[1] * np.mean([s[3] for s in samples], axis=0), per), list_array(ts, per * S)], names=schema.names).to_batches(20_000)
-
-    return counts.repartition(parts, "w").mapInArrow(run, schema)
-
-
-class Model:
-    """What is known of contexts, and of common words: bounded by the two shares."""
-
-    def __init__(self, known, contexts, sizes, tables, customers0, tables0):
-        self.known, self.contexts, self.sizes = known, contexts, sizes
-        d, theta = DISCOUNT, STRENGTH
-        self.back = (theta[1] + d[1] * tables) / (theta[1] + sizes)[:, None] / SAMPLES  # (contexts, samples)
-        self.base = (theta[0] + d[0] * tables0) / (known + 1)
-        self.norm = theta[0] + customers0
+        stirling = _log_stirling(DISCOUNT[level])
+        for batch in batches:
+            if batch.num_rows:
+                u, w, c, t, total, p = (batch.column(k).to_numpy() for k in ("u", "w", "c", "t", "total", "p"))
+                seed = mix(_key(u.view(np.uint64), w.view(np.uint64)) + np.uint64(2 * sweep + level + 1) * np.uint64(0xD6E8FEB86659FD93))
+                new = pa.array(draw_tables(c, p, total - t, DISCOUNT[level], STRENGTH[level], stirling, seed))
+                yield pa.RecordBatch.from_arrays([new if k == "t" else batch.column(k) for k in keep], keep)
+
+    return rows.mapInArrow(run, schema)
+
+
+class _Salted:
+    """Joins by a word column in which the rows of frequent words are spread, by the other word of their pair."""
+
+    def __init__(self, hot: list[int], salts: int):
+        self.hot, self.salts = hot, salts
+
+    def join(self, pairs: DataFrame, one: DataFrame, by: str, how: str = "inner") -> DataFrame:
+        if not self.hot:
+            return pairs.join(one, by, how)
+        other, often = "w" if by == "u" else "u", F.col(by).isin(self.hot)
+        left = pairs.withColumn("_salt", F.when(often, F.pmod(F.xxhash64(other), F.lit(self.salts)).cast("int")).otherwise(0))
+        right = one.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(F.array(F.lit(0)))))
+        return left.join(right, [by, "_salt"], how).drop("_salt")
+
+
+def _p0(customers: str, tables: str, all_customers: float, all_tables: float, known: int):
+    """The parent's prediction; a word without customers is the unknown one."""
+    base = (STRENGTH[0] + DISCOUNT[0] * all_tables) / (known + 1)
+    return (F.coalesce(F.col(customers) - DISCOUNT[0] * F.col(tables), F.lit(0.0)) + F.lit(base)) / F.lit(STRENGTH[0] + all_customers)
+
+
+def _sampled(pairs: DataFrame, contexts: DataFrame, words: DataFrame, known: int, salted: _Salted) -> tuple[DataFrame, DataFrame]:
+    """Pairs of two customers and more (u, w, c, t, s0, s1, ...) with their tables in each sample, and words (u, w, ones,
+    c, t, s0, ...) with those of the parent."""
+    S, zero = [f"s{i}" for i in range(SAMPLES)], F.lit(0).cast("long")
+    start = pairs.where("n >= 2").select("u", "w", F.col("n").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
+    state = saved(salted.join(start, contexts.select("u", "ones"), "u"), "seats")
+    parents = words.select(zero.alias("u"), "w", "ones", F.col("types").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
+    all_tables, old = known, []
+    for sweep in range(BURN_IN + SAMPLES):
+        sample = sweep - BURN_IN
+        keep = lambda df: df.withColumn(S[sample], F.col("t")) if sample >= 0 else df
+        seated = state.groupBy("w").agg(F.sum("t").alias("more"))
+        if sweep:
+            old.append(parents)
+        parents = parents.join(seated, "w", "left").withColumn("c", F.col("ones") + F.coalesce("more", F.lit(0))).drop("more")
+        parents = saved(keep(_drawn(parents.withColumns({"total": F.lit(all_tables).cast("long"), "p": F.lit(1 / (known + 1))}), 0, sweep)), "parents")
+        customers, all_tables = (int(x or 0) for x in parents.agg(F.sum("c"), F.sum("t")).first())
+        totals = state.groupBy("u").agg((F.sum("t") + F.first("ones")).alias("total"))
+        p0 = parents.select("w", _p0("c", "t", customers, all_tables, known).alias("p"))
+        old.append(state)
+        state = saved(keep(_drawn(salted.join(salted.join(state, totals, "u"), p0, "w"), 1, sweep)), "seats")
+        old = _dropped(old)
+    return state, parents
+
+
+def _dropped(tables: list[DataFrame]) -> list[DataFrame]:
+    """Delete saved tables that no later plan reads, and let Spark clean up the shuffles of plans that are done with."""
+    for df in tables:
+        jvm, files = df.sparkSession._jvm, df.inputFiles()
+        if files:
+            folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+    return []
 
 
 def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,85 +224,42 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.where(train).select(body.alias("text"))
-    words = saved(_word_counts(texts), "words")
+    pairs = saved(_pair_counts(docs.select(body.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))), "pairs")
+    sums = (F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("ones"), F.count("*").alias("types"))
+    words, contexts = (saved(pairs.where("n > 0").groupBy(x).agg(*sums), "words") for x in ("w", "u"))
     known, N = (int(x or 0) for x in words.agg(F.count("*"), F.sum("n")).first())
-    often = np.array([r.w for r in words.where(F.col("n") >= max(1, CONTEXT_SHARE * N)).collect()], np.int64).view(np.uint64)
-    contexts = np.sort(often)
-    counts = saved(_context_counts(texts, contexts), "contexts")
-    K = max(len(contexts), 1)
-    sizes, tables = np.zeros(K), np.zeros(K)
-    for r in counts.where("u >= 0").groupBy("u").agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect():  # one row for each context
-        sizes[r.u], tables[r.u] = r.n, r.t
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), known // 400_000 + 1)
-    dishes = saved(_sample(counts, max(known, 1), len(contexts), sizes, tables, parts), "dishes")
-    totals = dishes.select(*(F.sum(F.col(c)[s]) for c in ("parent_customers", "parent_tables") for s in range(SAMPLES))).first()
-    customers0, tables0 = (np.array([float(x or 0) for x in totals[i * SAMPLES : (i + 1) * SAMPLES]]) for i in range(2))
-    by_sample = np.zeros((K, SAMPLES))
-    per = F.transform(F.sequence(F.lit(0), F.size("us") - 1), lambda i: F.struct(F.get("us", i).alias("u"), *(F.get("ts", F.lit(s) * F.size("us") + i).alias(f"t{s}") for s in range(SAMPLES))))
-    for r in dishes.where(F.size("us") > 0).select(F.explode(per).alias("x")).groupBy("x.u").agg(*(F.sum(f"x.t{s}") for s in range(SAMPLES))).collect():
-        by_sample[r[0]] = r[1:]
-    model = Model(known, contexts, sizes, by_sample, customers0, tables0)
-    common = dishes.where(F.col("n") >= max(1, COMMON_SHARE * N)).select("w", "n", "parent", "us", "seats").toPandas().sort_values("w", key=lambda x: x.to_numpy().view(np.uint64), ignore_index=True)
-    dense = np.zeros((len(common), K + 1), np.float32)  # log10 probability after each context; the last: after any other word
-    shares = np.array(common["parent"].tolist(), np.float64).reshape(-1, SAMPLES)
-    p0 = (shares + model.base) / model.norm if known else shares
-    dense[:, K] = np.log10(np.maximum(p0.mean(1), 1e-300))
-    own = np.zeros((len(common), K))
-    for i, (us, seats) in enumerate(zip(common["us"], common["seats"])):
-        if len(us):
-            us = np.asarray(us)
-            own[i, us] = np.asarray(seats) / (STRENGTH[1] + sizes[us])
-    dense[:, :K] = np.log10(np.maximum(own + p0 @ model.back.T, 1e-300))
-    del own
-    shared = spark.sparkContext.broadcast((model.contexts, common["w"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(np.int64), dense))
+    hot = [r.w for r in words.where(F.col("n") >= max(1, HOT_SHARE * N)).select("w").collect()]
+    salted = _Salted(hot, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    state, parents = _sampled(pairs, contexts, words, known, salted)
+
+    S = range(SAMPLES)
+    by = lambda x: state.groupBy(x).agg(*(F.sum(f"s{i}").alias(f"m{i}") for i in S))
+    customers = lambda i: F.col("ones") + F.coalesce(f"m{i}", F.lit(0))
+    dish = parents.join(by("w"), "w", "left").select("w", *(customers(i).alias(f"c{i}") for i in S), *(F.least(F.col(f"s{i}"), customers(i)).alias(f"t{i}") for i in S))
+    dish = saved(dish.join(words.select("w", F.col("n").alias("nw")), "w"), "dishes")
+    totals = [float(x or 0) for x in dish.agg(*(F.sum(f"{k}{i}") for k in "ct" for i in S)).first()]
+    p0 = dish.select("w", "nw", *(_p0(f"c{i}", f"t{i}", totals[i], totals[SAMPLES + i], known).alias(f"p{i}") for i in S))
+    size = STRENGTH[1] + F.col("n")
+    back = contexts.join(by("u"), "u", "left").select("u", size.alias("size"), *(((STRENGTH[1] + DISCOUNT[1] * customers(i)) / size).alias(f"b{i}") for i in S))
+    seats = pairs.where("n < 2").select("u", "w", (F.col("n") * (1 - DISCOUNT[1])).alias("seat"))
+    seats = seats.union(state.select("u", "w", F.col("c") - DISCOUNT[1] / SAMPLES * sum((F.col(f"s{i}") for i in S), F.lit(0))))
+    both = salted.join(salted.join(seats, back, "u", "left"), p0, "w", "left")
+    unknown = [float((STRENGTH[0] + DISCOUNT[0] * totals[SAMPLES + i]) / (known + 1) / (STRENGTH[0] + totals[i])) for i in S]
+    p = F.coalesce(F.col("seat") / F.col("size"), F.lit(0.0)) + sum((F.coalesce(f"b{i}", F.lit(1.0)) * F.coalesce(f"p{i}", F.lit(unknown[i])) for i in S), F.lit(0.0)) / SAMPLES
     smooth = N + 0.5 * (known + 1)
+    seen = F.coalesce("nw", F.lit(0))
+    scored = both.select(_key_column(), F.log10(F.least(p, F.lit(1.0))).alias("s"), F.log10((seen + 0.5) / F.lit(smooth)).alias("b"), (seen > 0).cast("int").alias("known"))
 
-    ided = docs.select(*keep, F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit(1), body).bitwiseAND(F.lit(~0xFFFF)).alias("_k2"), body.alias("_text"))
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_score", T.DoubleType())]
-
-    def start():
-        ctx, hashes, ns, probs = shared.value
-
-        def step(batch: pa.RecordBatch) -> list[pa.Array]:
-            tokens, offsets, before = token_stream(batch.column("_text"))
-            w, u = _lookup(hashes, tokens), _lookup(ctx, before)
-            hit = w >= 0
-            counts = np.where(hit, ns[np.maximum(w, 0)] if len(ns) else 0, 0)
-            base = np.where(hit, np.log10((counts + 0.5) / smooth), 0.0)
-            score = np.where(hit, probs[np.maximum(w, 0), np.where(u < 0, K, u)] if len(ns) else 0.0, 0.0)
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
-            return [pa.array(np.diff(offsets)), pa.array(total(hit).astype(np.int64)), pa.array(total(base)), pa.array(total(score.astype(np.float64)))]
-
-        return step
-
-    easy = map_texts(ided, fields, start, [*keep, "_k1", "_k2"], "_text")
-
-    def rare(batches):
-        ctx, hashes, _, _ = shared.value
-        for batch in slices(batches, "_text"):
-            tokens, offsets, before = token_stream(batch.column("_text"))
-            hard = np.flatnonzero(_lookup(hashes, tokens) < 0)
-            doc = np.searchsorted(offsets, hard, side="right") - 1
-            # 112 bits of the text's hash and 16 of the context in two numbers
-            k2 = batch.column("_k2").to_numpy()[doc] & ~0xFFFF | (_lookup(ctx, before[hard]) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column("_k1").take(pa.array(doc)), pa.array(k2), pa.array(tokens[hard].view(np.int64))], ["_k1", "k", "w"])
-
-    looked = ided.select("_k1", "_k2", "_text").mapInArrow(rare, "_k1 long, k long, w long")
-    kept = dishes.where(F.col("n") < max(1, COMMON_SHARE * N)).select("w", "n", "parent", "us", "seats")
-    context = (F.col("k").bitwiseAND(F.lit(0xFFFF)) - 1).cast("short")
-    back = F.broadcast(spark.createDataFrame([(i, [float(x) for x in model.back[i]], float(STRENGTH[1] + sizes[i])) for i in range(len(contexts))], "u short, back array<double>, size double"))
-    joined = looked.join(kept, "w", "left").select("_k1", F.col("k").bitwiseAND(F.lit(~0xFFFF)).alias("_k2"), context.alias("u"), "n", "parent", "us", "seats").join(back, "u", "left")
-    p0_of = lambda s: (F.coalesce(F.col("parent")[s], F.lit(0.0)) + F.lit(float(model.base[s]))) / F.lit(float(model.norm[s]))
-    place = F.array_position("us", F.col("u"))
-    seat = F.when(place > 0, F.get("seats", (place - 1).cast("int")) / F.col("size")).otherwise(0.0)
-    p = F.when(F.col("u") < 0, sum((p0_of(s) for s in range(SAMPLES)), F.lit(0.0)) / SAMPLES).otherwise(F.coalesce(seat, F.lit(0.0)) + sum((F.col("back")[s] * p0_of(s) for s in range(SAMPLES)), F.lit(0.0)))
-    hard = joined.groupBy("_k1", "_k2").agg(F.count("n").alias("_hk"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(smooth))).alias("_hb"), F.sum(F.log10(p)).alias("_hs"))
+    ided = docs.select(*keep, F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit(1), body).alias("_k2"))
+    texts = docs.select(F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("text"))
+    of = lambda x: F.sum(F.col("m") * F.col(x))
+    found = _requests(texts).join(scored, "key").groupBy("k1", "k2").agg(F.sum("m").alias("_m"), of("known").alias("_known"), of("b").alias("_base"), of("s").alias("_score"))
     copies = ided.groupBy("_k1", "_k2").agg(F.count("*").alias("_copies"))  # equal texts add up in the sums above
-    hard = hard.join(copies, ["_k1", "_k2"]).select("_k1", "_k2", *((F.col(c) / F.col("_copies")).alias(c) for c in ("_hk", "_hb", "_hs")))
-    out = easy.join(hard, ["_k1", "_k2"], "left")
-    score = F.col("_score") + F.coalesce("_hs", F.lit(0.0))
-    return out.select(*keep, "n_tokens", (F.col("_known") + F.coalesce(F.round("_hk"), F.lit(0))).cast("long").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), (F.col("_base") + F.coalesce("_hb", F.lit(0.0))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+    found = found.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}).join(copies, ["_k1", "_k2"])
+    out = ided.join(found, ["_k1", "_k2"])
+    whole = lambda x: F.round(F.col(x) / F.col("_copies")).cast("long")
+    score = F.col("_score") / F.col("_copies")
+    return out.select(*keep, whole("_m").alias("n_tokens"), whole("_known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), (F.col("_base") / F.col("_copies")).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / whole("_m")).alias("perplexity"))
 
 
 def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

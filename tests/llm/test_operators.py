@@ -232,6 +232,14 @@ def test_language_scores_odd(spark):
     assert all(np.isfinite(r.score) for r in score_texts(odd_docs(spark), F.lit(False)).collect())
 
 
+def test_language_scores_rare_contexts(spark):
+    """Each of 700 words, all far under a share of 0.2%, is always followed by its own word."""
+    train = [(i, " ".join(f"x{j} y{j}" for j in range(i % 7, 700, 7))) for i in range(70)]
+    test = [(1000, " ".join(f"x{j} y{j}" for j in range(0, 700, 9))), (1001, " ".join(f"x{j} y{(j + 350) % 700}" for j in range(0, 700, 9)))]
+    got = {r.doc_id: r for r in score_texts(spark.createDataFrame(train + test, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert got[1000].score > got[1001].score + 78 and abs(got[1000].base_score - got[1001].base_score) < 1e-6
+
+
 # ---------------------------------------------------------------- 6 and 9
 def auc(score, y):
     order = np.argsort(np.argsort(score)) + 1
