@@ -28,10 +28,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are linked by a similarity of 0.8 or more, that of the
-    smallest doc_id; rows without doc_id stay."""
-    lost = near_duplicates(docs, words=5).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of texts whose sets of five-word shingles are linked by a similarity of 0.8 or more, that of
+    the smallest doc_id, one without doc_id only if no other has one. Groups are of rows, not of ids: of rows equal in
+    doc_id and text one stays, and a doc_id's other texts are judged on their own. A row's key is a hash of both."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    ids = keyed.groupBy("_row").agg(F.first("doc_id").alias("id"), F.count("*").alias("copies"))
+    groups = near_duplicates(keyed.select("_row", "text"), doc_id="_row", words=5).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    rows = saved(groups.join(ids, "_row"), "rows")
+    best = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("best")).select("best._row")
+    lost = rows.join(best, "_row", "left_anti").select("_row").union(rows.where("copies > 1").select("_row")).distinct()
+    twice = rows.where("copies > 1").join(best, "_row", "left_semi").select("_row")
+    once = keyed.join(lost, "_row", "left_anti").select(*docs.columns)
+    return once.union(keyed.join(twice, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

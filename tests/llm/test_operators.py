@@ -422,3 +422,14 @@ def test_pipeline_odd(spark):
         docs = p.saved(docs, name)
     assert docs.where("doc_id = 0").first().text is None
     assert p.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"{k}{j}" for j in range(60))
+    texts = [(1, "a"), (1, "a"), (None, "b"), (None, "b"), (5, "c"), (None, "c"), (7, "d"), (7, "e"), (2, "e"), (None, "f")]
+    docs = spark.createDataFrame([(i, text(k), 0) for i, k in texts], "doc_id long, text string, n_chars long").repartition(4)
+    for stage in (p.drop_near_duplicates, p.drop_repeats):
+        docs = p.saved(stage(spark, docs, SF), "stage")
+        assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter((i, text(k)) for i, k in [(1, "a"), (None, "b"), (5, "c"), (7, "d"), (2, "e"), (None, "f")])
