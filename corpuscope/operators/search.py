@@ -81,11 +81,23 @@ def latest_value(messages: DataFrame, value, order: str = "id", key: str = "conv
     return messages.withColumn("value", value).where("value IS NOT NULL").groupBy(key).agg(F.max_by("value", order).alias("value"))
 
 
-def details(papers: DataFrame, **children: tuple[DataFrame, str]) -> DataFrame:
-    """Papers with an ordered array of structs for each kind of children: name=(rows by conversation_id, order column)."""
+def child_counts(papers: DataFrame, **children: DataFrame) -> DataFrame:
+    """Papers with the number of rows of each kind of children: name=rows by conversation_id."""
+    out = papers
+    for name, rows in children.items():
+        own = rows.groupBy(F.col("conversation_id").alias("id")).agg(F.count("*").alias(name))
+        out = out.join(own, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+def details(papers: DataFrame, most: int = 10_000, **children: tuple[DataFrame, str]) -> DataFrame:
+    """Papers with an ordered array of structs for each kind of children: name=(rows by conversation_id, order column).
+    More than so many children of one paper are an error, raised before any array is made."""
     out = papers
     for name, (rows, order) in children.items():
         rest = [c for c in rows.columns if c not in ("conversation_id", order)]
-        own = rows.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
+        large = rows.groupBy("conversation_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+        bounded = rows.join(F.broadcast(large), "conversation_id", "left").where(F.when(F.col("_n").isNotNull(), F.raise_error(F.lit(f"more than {most} {name} in one conversation")).cast("boolean")).otherwise(True))
+        own = bounded.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
         out = out.join(own.withColumnRenamed("conversation_id", "id"), "id", "left").withColumn(name, F.coalesce(name, F.array()))
     return out

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import safe_int
@@ -54,11 +57,37 @@ def new_files(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return fresh.groupBy("fingerprint").agg(F.min("file_id").alias("file_id"))
 
 
+def _indexed(rows: DataFrame, part: str) -> DataFrame:
+    index = {"figures": "figure_index", "tables": "table_index"}.get(part)
+    return rows.withColumn(index, F.when(F.col(index).isNull(), F.col("position") + 1).otherwise(safe_int(F.col(index), 1, 1))) if index else rows
+
+
 def bundle_children(bundles: DataFrame, part: str, key: str = "conversation_id") -> DataFrame:
     """One row for each element of an array of structs, with its place; index columns get the place where they are missing."""
     rows = bundles.select(key, F.posexplode(part).alias("position", "_e")).where("_e IS NOT NULL").select(key, "position", "_e.*")
-    index = {"figures": "figure_index", "tables": "table_index"}.get(part)
-    return rows.withColumn(index, F.when(F.col(index).isNull(), F.col("position") + 1).otherwise(safe_int(F.col(index), 1, 1))) if index else rows
+    return _indexed(rows, part)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df as Parquet in spark.checkpoint.dir, or where it is unset in a temporary folder: ranges are drawn once only."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="corpuscope-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    path = f"{base}/ranges-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered_children(rows: DataFrame, part: str, order: list[str], key: str = "conversation_id") -> DataFrame:
+    """Like bundle_children, of children that are rows: their places within a key by order. A key of very many rows is cut
+    into ranges, whose rows are numbered after the counts of the ranges before."""
+    ranged = _written(rows.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    before = counts.select(key, "_range", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)))
+    placed = own.join(before, [key, "_range"]).withColumn("position", (F.col("_before") + F.col("_own") - 1).cast("int"))
+    return _indexed(placed.select(key, "position", *(c for c in rows.columns if c != key)), part)
 
 
 def bundle_error(bundles: DataFrame) -> DataFrame:

@@ -133,8 +133,8 @@ def list_enriched(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p.id, (SELECT count(*) FROM msg WHERE conversation_id = p.id) AS n_messages, (SELECT count(DISTINCT tag_code) FROM tags WHERE conversation_id = p.id) AS n_tags FROM papers p")
 def detail_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.details(c.papers(spark, sf), messages=(c.messages(spark, sf), "id"), tags=(c.tags(spark, sf).distinct(), "tag_code"))
-    return found.select("id", F.size("messages").cast("long").alias("n_messages"), F.size("tags").cast("long").alias("n_tags"))
+    found = search.child_counts(c.papers(spark, sf), n_messages=c.messages(spark, sf), n_tags=c.tags(spark, sf).distinct())
+    return found.select("id", "n_messages", "n_tags")
 
 
 @query("SELECT m.conversation_id, m.ccf_category, coalesce(p.title, '') AS title FROM meta m LEFT JOIN papers p ON p.id = m.conversation_id")
@@ -180,10 +180,10 @@ def replace_by_key(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT o_orderkey AS conversation_id, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INTEGER) AS position, CAST(l_linenumber AS INTEGER) AS figure_index, l_partkey AS asset
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey""", False)
 def bundle_figures(spark: SparkSession, sf: str) -> DataFrame:
-    line = c.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("conversation_id"), F.struct(F.col("l_linenumber").alias("figure_index"), F.col("l_partkey").alias("asset"), "l_suppkey", "l_extendedprice").alias("f"))
-    bundles = line.groupBy("conversation_id").agg(F.array_sort(F.collect_list("f")).alias("figures"))
+    line = c.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("conversation_id"), F.col("l_linenumber").alias("figure_index"), F.col("l_partkey").alias("asset"), "l_suppkey", "l_extendedprice")
     orders = c.table(spark, sf, "orders").select(F.col("o_orderkey").alias("conversation_id"))
-    return writes.bundle_children(bundles.join(orders, "conversation_id", "left_semi"), "figures").select("conversation_id", "position", "figure_index", "asset")
+    rows = line.join(orders, "conversation_id", "left_semi")
+    return writes.numbered_children(rows, "figures", ["figure_index", "asset", "l_suppkey", "l_extendedprice"]).select("conversation_id", "position", "figure_index", "asset")
 
 
 @query("SELECT conversation_id, ccf_category FROM meta WHERE ccf_category = 'None'")

@@ -117,3 +117,29 @@ def test_stream_is_batch(spark, tmp_path):
     q = jobs.stream_job_states(read).writeStream.outputMode("update").foreachBatch(lambda df, _: got.update({r.job_id: tuple(r) for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert got == {r.job_id: tuple(r) for r in jobs.job_states(events).collect()}
+
+
+@pytest.mark.parametrize("name", ["detail_assembly", "bundle_figures"])
+def test_no_array_of_a_whole_group(spark, name):
+    from conftest import SF
+
+    from corpuscope.plans.catalogue import QUERIES
+
+    assert "collect_list" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_numbered_children_of_a_large_key(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("conversation_id"), F.nullif(19_999 - F.col("id"), F.lit(3)).cast("int").alias("figure_index"), F.col("id").alias("asset"))
+    got = writes.numbered_children(rows, "figures", ["figure_index", "asset"]).where("conversation_id = -1").orderBy("position").collect()
+    assert [r.position for r in got] == list(range(18_000))
+    assert [r.asset for r in got] == [19_996, *(i for i in range(19_999, -1, -1) if i % 10 and i != 19_996)]
+
+
+def test_details_of_a_checked_size(spark):
+    papers = spark.createDataFrame([(1,), (2,)], "id long")
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "conversation_id long, turn long, text string")
+    got = {r.id: [m.text for m in r.messages] for r in search.details(papers, messages=(rows, "turn")).collect()}
+    assert got == {1: ["a", "b"], 2: []}
+    with pytest.raises(Exception, match="more than 1 messages"):
+        search.details(papers, most=1, messages=(rows, "turn")).collect()
+    assert {r.id: r.n for r in search.child_counts(papers, n=rows).collect()} == {1: 2, 2: 0}
