@@ -237,7 +237,7 @@ def venue_containment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, array_to_string(list_filter(regexp_extract_all(upper(substring(text, 1, 80) || ' t' || (doc_id % 12) || ', L3'), '\\b([LMTSAP]\\d{1,2})\\b', 1), lambda x: true), ',') AS codes FROM documents".replace("\\\\", "\\"), False)
 def tag_codes(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.concat(F.substring("text", 1, 80), F.lit(" t"), (F.col("doc_id") % 12).cast("string"), F.lit(", L3"))
+    said = F.concat("text", F.lit(" t"), (F.col("doc_id") % 12).cast("string"), F.lit(", L3"))
     return c.table(spark, sf, "documents").select("doc_id", F.array_join(text.tag_codes(said), ",").alias("codes"))
 
 

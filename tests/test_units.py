@@ -143,3 +143,10 @@ def test_details_of_a_checked_size(spark):
     with pytest.raises(Exception, match="more than 1 messages"):
         search.details(papers, most=1, messages=(rows, "turn")).collect()
     assert {r.id: r.n for r in search.child_counts(papers, n=rows).collect()} == {1: 2, 2: 0}
+
+
+def test_tag_codes_of_the_whole_text(spark, tmp_path):
+    from corpuscope.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(5, "word " * 30 + "M4 end")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert "M4" in QUERIES["tag_codes"](spark, str(tmp_path)).first().codes.split(",")
