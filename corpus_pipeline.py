@@ -42,9 +42,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.union(keyed.join(twice, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns))
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...], step) -> DataFrame:
+    """step(docs) with the input's columns of these names, those of results, renamed before and named as they were after."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in names}
+    return step(docs.withColumnsRenamed(own)).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+
+
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 200-byte strings that stand more than once; n_chars follows. A document of which nothing is left
     goes; one that was empty stays. Characters cut in two are left out."""
+    return _aside(docs, ("k1", "k2", "n_removed"), _without_repeats)
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
     each = remove_repeats(docs).select(*KEY, F.col("kept").alias("_kept"), "n_removed")
     joined = docs.select(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("_null"), *text_keys()).join(each, KEY)
     text = F.when(F.col("_null"), F.lit(None)).otherwise(F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("_kept").cast("string")))
@@ -53,7 +63,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _aside(docs, ("n_words", "n_hit", "item_ids", "hit_spans"), lambda own: decontaminate(own, benchmark).where("n_hit = 0"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -433,3 +433,14 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     for stage in (p.drop_near_duplicates, p.drop_repeats):
         docs = p.saved(stage(spark, docs, SF), "stage")
         assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter((i, text(k)) for i, k in [(1, "a"), (None, "b"), (5, "c"), (7, "d"), (2, "e"), (None, "f")])
+
+
+def test_pipeline_keeps_values_of_clashing_columns(spark):
+    import corpus_pipeline as p
+
+    names = ["k1", "k2", "n_removed", "n_words", "n_hit", "item_ids", "hit_spans"]
+    docs = spark.createDataFrame([(1, "some words here", *names)], ", ".join(["doc_id long", "text string", *(f"{c} string" for c in names)]))
+    docs = docs.withColumn("n_chars", F.lit(0).cast("long"))
+    for stage in (p.drop_repeats, p.drop_contaminated):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and tuple(got.select(*names).first()) == tuple(names)
