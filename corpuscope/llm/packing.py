@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, saved, slices, table
+from .common import list_array, ranges, saved, slices, table
 from .tokens import default_tokenizer, encoded
 
 CAPACITY = 1024
@@ -80,18 +80,17 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     def run(batches):
         for batch in slices(batches, text):
-            owner, piece, start, length, crc, kept = [], [], [], [], [], []
-            for d, ids in enumerate(encoded(batch.column(text), tokenizer)):
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    own = ids[4 * a : 4 * b]
-                    owner.append(d), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(own))
-                    if with_ids:
-                        kept.append(own)
-            arrays = [batch.column(doc_id).take(pa.array(owner, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
+            ids, n = encoded(batch.column(text), tokenizer)
+            each = -(-n // capacity)
+            piece, owner = ranges(np.zeros(len(n), np.int64), each)
+            head = n - (each - 1) * capacity  # of the first piece
+            start = np.where(piece > 0, head[owner] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, head[owner])
+            view, at = memoryview(ids).cast("B"), 4 * (np.cumsum(length) - length)
+            crc = [zlib.crc32(view[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            arrays = [batch.column(doc_id).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(crc, pa.int64())]
             if with_ids:
-                arrays.append(list_array(pa.array(np.frombuffer(b"".join(kept), "<i4")), np.array(length, np.int64)))
+                arrays.append(list_array(pa.array(ids.view(np.int32)), length))
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return docs.select(doc_id, text).mapInArrow(run, schema)

@@ -7,13 +7,15 @@ sorted by column-wise construction over many segments at once: from right to lef
 every segment. The symbols in suffix order are the collection's Burrows-Wheeler column; splitting it stably by symbol
 gives the next order, and the common prefix with the neighbour grows by one or falls to the smallest between. A string
 is repeated where that prefix reaches 200. Segments of one anchor are aligned, so only suffixes of the same column are
-compared, and the order, the column and the prefixes of one round are all that is held; symbols come from a spool file
-that is read column by column, and the marks of each round are appended to another.
+compared. The symbols come from spool files of sixteen columns each, the Burrows-Wheeler column and the prefixes go
+from round to round through two sequential files, and the marks of each round are appended to another; only the order
+of the segments stays in memory. Files belong to the task that writes them, and no other task reads them.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from .common import list_array, map_texts, mix, prefix_sums, ranges, slices, spa
 
 
 WIDTH, GRAM = 200, 32
-#: Segments sorted together; an anchor at more places than HOT has its strings counted one by one instead, by Spark.
-BATCH, HOT = 40_000, 50_000
+#: Segments sorted together, if they are of several anchors. The segments of an anchor at more than HOT places are cut into
+#: parts of RANGE string starts each, dealt out by the bytes that all strings of a part share; all are sorted alike.
+BATCH, HOT, RANGE = 40_000, 50_000, 16
+COLUMNS = 16  # of one spool file
 KEY = ["k1", "k2"]
 _POSITION_BITS = np.uint64(28)
 
@@ -35,6 +39,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int
     """Anchor places, hashes, and the first string start and number of string starts that each stands for."""
     span = width - gram + 1
     n = len(raw) - width + 1
+    if n > 0 and n >> int(_POSITION_BITS):
+        raise ValueError(f"a text of {len(raw)} bytes is too long: its places take more than {_POSITION_BITS} bits")
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     at = np.arange(len(raw) - gram + 1)
@@ -43,7 +49,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int
     rank = np.concatenate([(h >> _POSITION_BITS) << _POSITION_BITS | at.astype(np.uint64), np.full(pad, 2**64 - 1, np.uint64)]).reshape(-1, span)
     ahead = np.minimum.accumulate(rank, axis=1).ravel()
     behind = np.minimum.accumulate(rank[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = (np.minimum(behind[:n], ahead[span - 1 : span - 1 + n]) & np.uint64((1 << 28) - 1)).astype(np.int64)
+    low = (np.minimum(behind[:n], ahead[span - 1 : span - 1 + n]) & np.uint64((1 << int(_POSITION_BITS)) - 1)).astype(np.int64)
     lengths = np.diff(offsets)
     inside, _ = ranges(offsets[:-1], np.maximum(0, lengths - width + 1))
     own = low[inside]
@@ -53,31 +59,54 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int
     return own[cut], h[own[cut]], inside[cut], np.diff(np.append(cut, len(own)))
 
 
-def repeated_columns(groups: np.ndarray, segments: list[bytes], before: np.ndarray, width: int = WIDTH) -> list[list[tuple[int, int]]]:
-    """Of each segment, the runs (first, end) of string starts whose string also starts in another segment of its group.
+class Spool:
+    """Aligned segments column by column: files of COLUMNS columns each, which are read once, the last first.
 
-    groups: ascending; before: bytes of a segment ahead of its anchor, to which the segments of a group are aligned.
+    A segment's bytes lie around its anchor, at most width - gram before it and width from it on. Symbols are 0 where a
+    segment has no byte, else the byte plus one.
     """
-    n = len(segments)
-    lengths = np.array([len(s) for s in segments])
-    left, right = int(before.max()), int((lengths - before).max())
-    columns = left + right
-    found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    with tempfile.TemporaryFile() as spool, tempfile.TemporaryFile() as marks:
-        block = np.zeros((n, columns), np.uint8)  # written column by column, the last first
-        present = np.zeros((n, columns), bool)
-        data = np.frombuffer(b"".join(segments), np.uint8)
-        place, owner = ranges(np.cumsum(lengths) - lengths, lengths)
-        column = place - np.repeat(np.cumsum(lengths) - lengths, lengths) + (left - before)[owner]
-        block[owner, column] = data
-        present[owner, column] = True
-        for c in range(columns - 1, -1, -1):
-            spool.write((block[:, c].astype(np.int16) + 1) * present[:, c])
-        del block, present
-        spool.seek(0)
-        order, common = np.arange(n), np.zeros(n + 1, np.int32)
-        for c in range(columns - 1, -1, -1):
-            symbol = np.frombuffer(spool.read(2 * n), np.int16)[order]  # the Burrows-Wheeler column of the round before
+
+    def __init__(self, left: int = WIDTH - GRAM, right: int = WIDTH):
+        self.left, self.columns, self.n = left, left + right, 0
+        self.files = [tempfile.TemporaryFile() for _ in range(-(-self.columns // COLUMNS))]
+        self.blocks: list[int] = []
+
+    def add(self, data: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> None:
+        starts = np.cumsum(sizes) - sizes
+        for i in range(0, len(sizes), 4096):  # a block of rows is turned in memory
+            own = slice(i, i + 4096)
+            place, row = ranges(starts[own], sizes[own])
+            column = place - starts[own][row] + (self.left - before[own])[row]
+            block = np.zeros((len(self.files) * COLUMNS, len(sizes[own])), np.int16)
+            block[column, row] = data[place].astype(np.int16) + 1
+            for k, f in enumerate(self.files):
+                f.write(block[k * COLUMNS : (k + 1) * COLUMNS].tobytes())
+            self.blocks.append(block.shape[1])
+            self.n += block.shape[1]
+
+    def backwards(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(column, its symbols), from the last column to the first."""
+        for k in range(len(self.files) - 1, -1, -1):
+            with self.files[k] as f:
+                f.seek(0)
+                held = np.concatenate([np.frombuffer(f.read(2 * COLUMNS * m), np.int16).reshape(COLUMNS, m) for m in self.blocks], axis=1)
+            for c in range(min(COLUMNS, self.columns - k * COLUMNS) - 1, -1, -1):
+                yield k * COLUMNS + c, held[c]
+
+
+def repeated_columns(groups: np.ndarray, spool: Spool, width: int = WIDTH) -> np.ndarray:
+    """Rows (segment, first, end): runs of columns at which strings start that also start in another segment of the group.
+
+    groups: ascending, one number for each segment of the spool."""
+    n = spool.n
+    order, last = np.arange(n), spool.columns
+    with tempfile.TemporaryFile() as bwt, tempfile.TemporaryFile() as prefixes, tempfile.TemporaryFile() as marks:
+        np.zeros(n + 1, np.int16).tofile(prefixes)
+        for c, symbols in spool.backwards():
+            bwt.seek(0)
+            symbols[order].tofile(bwt)  # the symbols before the suffixes, in their order
+            bwt.seek(0), prefixes.seek(0)
+            symbol, common = np.fromfile(bwt, np.int16, n), np.fromfile(prefixes, np.int16, n + 1)
             key = groups[order] * 257 + symbol
             to = np.argsort(key, kind="stable")
             key, symbol = key[to], symbol[to]
@@ -87,24 +116,20 @@ def repeated_columns(groups: np.ndarray, segments: list[bytes], before: np.ndarr
             far = np.flatnonzero(b > a + 1)
             if len(far):
                 least[far] = np.minimum.reduceat(common, np.stack([a[far] + 1, b[far] + 1], 1).ravel())[::2]
-            common = np.zeros(n + 1, np.int32)
+            common = np.zeros(n + 1, np.int16)
             common[same + 1] = least + 1
+            prefixes.seek(0)
+            common.tofile(prefixes)
             order = order[to]
             full = common >= width
             hit = order[full[:-1] | full[1:]]
-            np.stack([np.full(len(hit), c, np.int32), hit.astype(np.int32)], 1).tofile(marks)
+            np.stack([np.full(len(hit), c), hit], 1).astype(np.int32).tofile(marks)
         marks.seek(0)
-        got = np.fromfile(marks, np.int32).reshape(-1, 2)
-    got = got[np.lexsort((got[:, 0], got[:, 1]))]
-    if len(got):
-        new = np.ones(len(got), bool)
-        new[1:] = (got[1:, 1] != got[:-1, 1]) | (got[1:, 0] != got[:-1, 0] + 1)
-        cut = np.flatnonzero(new)
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(got)]):
-            s = int(got[a, 1])
-            shift = left - int(before[s])
-            found[s].append((int(got[a, 0]) - shift, int(got[b - 1, 0]) + 1 - shift))
-    return found
+        got = np.fromfile(marks, np.int32).reshape(-1, 2).astype(np.int64)
+    at = np.sort(got[:, 1] * (last + 1) + got[:, 0])  # by segment, then column
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1)) if len(at) else np.zeros(0, np.int64)
+    end = at[np.append(new[1:], len(at)) - 1] + 1 if len(at) else at
+    return np.stack([at[new] // (last + 1), at[new] % (last + 1), end % (last + 1)], 1)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -131,10 +156,12 @@ def _find_anchors(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _cut(texts: DataFrame, hot: int) -> DataFrame:
-    """(k1, k2, s, h, before, first, n, segment): the bytes of all strings of an anchor, or of each string of a hot one; s
-    is their hash. copies is read so that this use of texts has the plan, and hence the shuffle, of the other."""
-    schema = T.StructType([*(texts.schema[k] for k in KEY), *_fields(s=T.LongType(), h=T.LongType(), before=T.IntegerType(), first=T.IntegerType(), n=T.IntegerType(), segment=T.BinaryType())])
+def _cut(texts: DataFrame, hot: int, members: bool) -> DataFrame:
+    """The bytes of all strings of an anchor, or of a part of a hot one's: (s, h, before, segment, times) once for some
+    texts together, s being a hash of the bytes and h of the group; or (s, h, members), where they stand. copies is read
+    so that both uses of texts have one plan, and hence one shuffle."""
+    fields = {"members": T.ArrayType(T.StructType(_fields(k1=T.LongType(), k2=T.LongType(), first=T.IntegerType(), n=T.IntegerType())))} if members else {"before": T.IntegerType(), "segment": T.BinaryType(), "times": T.LongType()}
+    schema = T.StructType(_fields(s=T.LongType(), h=T.LongType(), **fields))
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -145,56 +172,76 @@ def _cut(texts: DataFrame, hot: int) -> DataFrame:
             get = lambda name: p.field(name).to_numpy(zero_copy_only=False).astype(np.int64)
             h, place, copies = (get(x) for x in ("h", "place", "copies"))
             at, n = place >> 16, place & 255
-            first = at - (place >> 8 & 255)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            each = np.where(copies > hot, n, 1)  # rows of each anchor
-            step, row = ranges(np.zeros(len(n), np.int64), each)
-            doc, h, at, first, n = doc[row], h[row], at[row], first[row] + step, np.where(copies[row] > hot, 1, n[row])
-            start = offsets[doc] + first
-            size = n + WIDTH - 1
-            sums = prefix_sums(raw)
-            before = np.where(copies[row] > hot, -1, at - first)
-            mark = mix(span_hashes(sums, start, start + size) + before.astype(np.uint64))
-            h = np.where(before < 0, mix(h.astype(np.uint64) ^ span_hashes(prefix_sums(raw ^ np.uint8(0x5A)), start, start + size)).astype(np.int64), h) if (before < 0).any() else h
-            place, _ = ranges(start, size)
-            ends = np.concatenate([[0], np.cumsum(size)])
-            segment = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[place].tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(doc)) for k in KEY), _long(mark), _long(h), *(pa.array(x.astype(np.int32)) for x in (before, first, n)), segment], schema.names)
+            far, doc = place >> 8 & 255, np.repeat(np.arange(len(counts)), counts)
+            near, often = far - n + 1, copies > hot  # the last string starts so far ahead of the anchor
+            step, row = ranges(np.where(often, near // RANGE, 0), np.where(often, far // RANGE - near // RANGE + 1, 1))
+            often, doc, at, h = often[row], doc[row], at[row], h[row].astype(np.uint64)
+            far, near = np.where(often, np.minimum(far[row], step * RANGE + RANGE - 1), far[row]), np.where(often, np.maximum(near[row], step * RANGE), near[row])
+            first, n = at - far, far - near + 1
+            sums, start, size = prefix_sums(raw), offsets[doc] + first, n + WIDTH - 1
+            if often.any():
+                core = offsets[doc[often]] + at[often] - step[often] * RANGE
+                h[often] = mix(h[often] ^ span_hashes(sums, core, core + WIDTH - RANGE + 1) + step[often].astype(np.uint64))
+            mark = mix(span_hashes(sums, start, start + size) + far.astype(np.uint64))
+            order = np.lexsort((h, mark))
+            new = np.flatnonzero(np.append(True, (mark[order][1:] != mark[order][:-1]) | (h[order][1:] != h[order][:-1]))) if len(order) else order
+            times, one = np.diff(np.append(new, len(order))), order[new]
+            if members:
+                arrays = [*(batch.column(k).take(pa.array(doc[order])) for k in KEY), pa.array(first[order].astype(np.int32)), pa.array(n[order].astype(np.int32))]
+                rest = [list_array(pa.StructArray.from_arrays(arrays, [*KEY, "first", "n"]), times)]
+            else:
+                place, ends = ranges(start[one], size[one])[0], np.concatenate([[0], np.cumsum(size[one])])
+                segment = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(one), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[place].tobytes())]).cast(pa.binary())
+                rest = [pa.array(far[one].astype(np.int32)), segment, pa.array(times)]
+            yield pa.RecordBatch.from_arrays([_long(mark[one]), _long(h[one]), *rest], schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
 def _compare(distinct: DataFrame) -> DataFrame:
-    """(s, h, runs): distinct segments in, sorted by anchor; out come those with repeated strings."""
+    """(s, h, runs): distinct segments in, sorted by group; out come those with repeated strings, as places in them."""
     schema = T.StructType(_fields(s=T.LongType(), h=T.LongType(), runs=T.ArrayType(T.StructType(_fields(a=T.IntegerType(), b=T.IntegerType())))))
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        h = np.array([r[1] for r in rows])
-        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-        found = repeated_columns(group, [r[3] for r in rows], np.array([r[2] for r in rows]))
-        out = [(r[0], r[1], [{"a": a, "b": b} for a, b in x]) for r, x in zip(rows, found) if x]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], schema.names)
+    def solve(s: list[np.ndarray], h: list[np.ndarray], before: list[np.ndarray], spool: Spool) -> pa.RecordBatch:
+        s, h, before = map(np.concatenate, (s, h, before))
+        group = np.cumsum(np.append(0, h[1:] != h[:-1]))
+        found = repeated_columns(group, spool)
+        own, new = np.unique(found[:, 0], return_index=True)
+        shift = (spool.left - before)[found[:, 0]]
+        pair = pa.StructArray.from_arrays([pa.array((found[:, k] - shift).astype(np.int32)) for k in (1, 2)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(s[own]), pa.array(h[own]), list_array(pair, np.diff(np.append(new, len(found))))], schema.names)
 
     def run(batches):
-        ready: list[tuple] = []  # whole anchors
-        group: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("s", "h", "before", "segment"))):
-                if group and row[1] != group[0][1]:
-                    if len(group) > 1:
-                        ready += group
-                    group = []
-                    if len(ready) >= BATCH:
-                        yield solve(ready)
-                        ready = []
-                group.append(row)
-        ready += group if len(group) > 1 else []
-        if ready:
-            yield solve(ready)
+        held, spool, n = ([], [], []), Spool(), 0
+        for part in _groups(batches):
+            s, h, before = (part.column(c).to_numpy() for c in ("s", "h", "before"))
+            if n >= BATCH and h[0] != held[1][-1][-1]:
+                yield solve(*held, spool)
+                held, spool, n = ([], [], []), Spool(), 0
+            raw, offsets = text_bytes(part.column("segment"))
+            spool.add(raw, np.diff(offsets), before.astype(np.int64))
+            for x, y in zip(held, (s, h, before)):
+                x.append(y)
+            n += len(s)
+        if n:
+            yield solve(*held, spool)
 
     return distinct.select("s", "h", "before", "segment").repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
 
 
+def _groups(batches) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where about BATCH rows are followed by another group."""
+    for batch in batches:
+        while batch.num_rows > BATCH:
+            h = batch.column("h").to_numpy()
+            cut = np.flatnonzero(h[BATCH:] != h[BATCH - 1 : -1])
+            cut = BATCH + int(cut[0]) if len(cut) else batch.num_rows
+            yield batch.slice(0, cut)
+            batch = batch.slice(cut)
+        if batch.num_rows:
+            yield batch
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Distinct texts (k1, k2, text, copies) and, for those that share strings with others or themselves, (k1, k2, starts):
     runs of byte places where a repeated string starts."""
@@ -204,31 +251,34 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT) -> tuple
     again = places.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
     shared = places.join(again, "h").groupBy(*KEY).agg(F.collect_set(F.struct("h", "place", "copies")).alias("places"))
     texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    segments = _cut(texts.join(shared, KEY), hot)
-    distinct = segments.groupBy("s", "h").agg(F.first("before").alias("before"), F.first("segment").alias("segment"), F.count("*").alias("times"))
-    found = _compare(distinct.where("before >= 0"))
+    placed = texts.join(shared, KEY)
+    distinct = _cut(placed, hot, False).groupBy("s", "h").agg(F.first("before").alias("before"), F.first("segment").alias("segment"), F.sum("times").alias("times"))
+    found = _compare(distinct)
     known = distinct.where("times > 1").select("s", "h", F.lit(True).alias("whole"))
     verdict = known.join(found, ["s", "h"], "full_outer")
-    runs = F.when(F.col("whole"), F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b")))).otherwise(F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))))
-    starts = segments.select(*KEY, "s", "h", "first", "n").join(verdict, ["s", "h"]).select(*KEY, runs.alias("runs")).groupBy(*KEY).agg(F.flatten(F.collect_list("runs")).alias("starts"))
-    return texts, starts
+    one = _cut(placed, hot, True).join(verdict, ["s", "h"]).select("whole", "runs", F.explode("members").alias("m"))
+    runs = F.when(F.col("whole"), F.array(F.struct(F.col("m.first").alias("a"), (F.col("m.first") + F.col("m.n")).alias("b")))).otherwise(F.transform("runs", lambda r: F.struct((r["a"] + F.col("m.first")).alias("a"), (r["b"] + F.col("m.first")).alias("b"))))
+    return texts, one.select("m.k1", "m.k2", runs.alias("runs")).groupBy(*KEY).agg(F.flatten(F.collect_list("runs")).alias("starts"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT, as_text: bool = False) -> DataFrame:
     """For each distinct text: k1, k2 (see text_keys), n_bytes, n_removed, spans (removed byte runs), kept (the bytes left).
 
     A byte goes if any 200-byte string over it also starts anywhere else in the collection, be it in the same text or
-    in a copy of it. Null texts count as empty. Texts under 200 bytes stay. Repeated rows are copies of each other.
+    in a copy of it. Null texts count as empty. Texts under 200 bytes stay. Repeated rows are copies of each other. An
+    empty table gives no rows. Other columns of docs are not read, whatever their names. Texts are told apart by 128
+    bits of hash. A text of 256 MiB or more is an error, since places in it are held in 28 bits.
+    as_text: kept is a string, without the bytes of characters that were cut in two.
     """
     texts, starts = repeated_spans(docs, text, hot)
     joined = texts.join(starts, KEY, "left")
-    fields = _fields(n_bytes=T.LongType(), n_removed=T.LongType(), spans=T.ArrayType(T.StructType(_fields(start=T.IntegerType(), end=T.IntegerType()))), kept=T.BinaryType())
+    fields = _fields(n_bytes=T.LongType(), n_removed=T.LongType(), spans=T.ArrayType(T.StructType(_fields(start=T.IntegerType(), end=T.IntegerType()))), kept=T.StringType() if as_text else T.BinaryType())
 
     def start():
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
             raw, offsets = text_bytes(batch.column("text"))
             sizes, copies = np.diff(offsets), batch.column("copies").to_numpy(zero_copy_only=False)
-            found, spans, counts, kept = batch.column("starts"), [], [], []
+            found, spans, counts, kept, left = batch.column("starts"), [], [], [], []
             for d in range(batch.num_rows):
                 own = [(0, int(sizes[d]))] if copies[d] > 1 and sizes[d] >= WIDTH else []
                 if not own and found[d].is_valid:
@@ -241,11 +291,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataF
                 for a, b in own:
                     out.append(data[last:a])
                     last = b
-                kept.append(b"".join([*out, data[last:]]))
+                out.append(data[last:])
+                kept.append("".join(x.decode(errors="ignore") for x in out) if as_text else b"".join(out))
+                left.append(sum(map(len, out)))
                 spans += own
                 counts.append(len(own))
             pair = pa.StructArray.from_arrays([pa.array([a for a, _ in spans], pa.int32()), pa.array([b for _, b in spans], pa.int32())], ["start", "end"])
-            return [pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], np.int64)), list_array(pair, np.array(counts, np.int64)), pa.array(kept, pa.binary())]
+            return [pa.array(sizes), pa.array(sizes - np.array(left, np.int64)), list_array(pair, np.array(counts, np.int64)), pa.array(kept, pa.string() if as_text else pa.binary())]
 
         return step
 

@@ -4,7 +4,7 @@ selective reads. Also the encoder that packing uses.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 
 import numpy as np
@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, scratch_dir, slices, table
+from .common import list_array, prefix_sums, ranges, scratch_dir, slices, span_hashes, table, text_bytes
 
 END = 2
-#: Pieces whose ids a worker keeps (beyond, it starts anew), and new pieces that are encoded as one text.
-MEMORY, TOGETHER = 900_000, 200
+#: Pieces whose ids a worker keeps (some 30 bytes each; beyond, it goes on with the latest), the longest of them in bytes,
+#: and new pieces that are encoded as one text.
+MEMORY, LONGEST, TOGETHER = 1_200_000, 64, 200
 
 
 def default_tokenizer() -> str:
@@ -27,84 +28,149 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library, remembering the ids of each piece.
+# Bytes that are white space, or may be taken for it; white space of two and three bytes is found by its lead byte.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARKS = ",.;:!?)\""
+
+
+def space_bytes(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space of any kind; a few that don't may be among them."""
+    space = _SPACE[raw]
+    lead = np.flatnonzero(_LEADS[raw])
+    if len(lead):
+        padded = np.append(raw, np.zeros(2, np.uint8))
+        a, b, c = raw[lead], padded[lead + 1], padded[lead + 2]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = ((a == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E)))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+        three |= (a == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))) | ((b == 0x81) & (c == 0x9F)))
+        for j in range(3):
+            space[lead[three] + j] = True
+            if j < 2:
+                space[lead[two] + j] = True
+    return space
 
-    The tokenizer first cuts a text by a fixed pattern and merges within the cuts. One blank between two other
-    characters always starts a new cut, and one line break between two is always a cut of its own. A text is split
-    there into pieces with their blank or line break, and equal pieces are encoded once; new ones are encoded together.
-    Texts with other or repeated white space are cut at the same places by a slower path, or encoded whole.
-    """
 
-    ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e\u200b-\u200d\u2028\u2029\u3000\ufeff]")
+class Encoder:
+    """Encodes whole texts with a byte-level BPE of the tokenizers library, encoding equal pieces once.
+
+    The tokenizer first cuts a text by a fixed pattern and merges within the cuts. A blank or line break between two
+    characters that are not white space always starts a cut, and so does one of MARKS after an ASCII letter or digit
+    (unless a special token holds one). So the ids of a text are those of its pieces from one such place to the next,
+    whatever else they hold: other white space, runs of it, special tokens. Pieces are found with numpy on the bytes of
+    many texts, told apart by 64-bit hashes, and new ones are encoded together. A very long text is worked on in arrays
+    of some 40 bytes for each of its own.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         tokens = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.starts = np.zeros(max(tokens.values()) + 2, bool)
+        self.starts = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.starts[[i for t, i in tokens.items() if t[0] in "ĠĊ"]] = True  # how byte-level vocabularies write a blank and a line break
-        self.line_end = len(self.fresh("\n"))
-        self.known = Pieces(self)
-
-    def fresh(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, 4 bytes each."""
-        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        self.known.learn(set().union(*split))
-        get, out = self.known.__getitem__, []
-        for text, pieces in zip(texts, split):
-            try:
-                out.append(b"".join(map(get, pieces))[self.line_end :])
-            except TypeError:  # a piece without ids
-                out.append(self.fresh(text) if self.ODD.search(text) else self.runs(text))
+        self.marks = np.zeros(256, bool)
+        if not any(m in t.content for t in self.tokenizer.get_added_tokens_decoder().values() for m in MARKS):
+            self.marks[[ord(m) for m in MARKS]] = True
+        self.known, self.recent = Pieces(), Pieces()
+
+    def fresh(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        raw, offsets = text_bytes(column)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        space = space_bytes(raw)
+        first = np.zeros(len(raw) + 1, bool)
+        first[offsets] = True
+        cut = ((raw == 0x20) | (raw == 0x0A)) & ~first[:-1] & ~first[1:]
+        cut[1:] &= ~space[:-1]
+        cut[:-1] &= ~space[1:]
+        mark = self.marks[raw] & ~first[:-1]
+        mark[1:] &= _ALNUM[raw[:-1]]
+        starts = np.flatnonzero(cut | mark | first[:-1])
+        ends = np.append(starts[1:], len(raw))
+        found = pa.array(span_hashes(prefix_sums(raw), starts, ends)).dictionary_encode()
+        which, keys = found.indices.to_numpy(), found.dictionary.to_numpy()
+        order = np.argsort(keys)  # looked up in order, which is kinder to caches
+        which, keys = np.argsort(order)[which], keys[order]
+        at = np.empty(len(keys), np.int64)
+        at[which[::-1]] = np.arange(len(which))[::-1]  # where each piece stands first
+        start, count = self.known.find(keys)
+        s, c = self.recent.find(keys)
+        start, count = np.where(c > 0, s + len(self.known.ids), start), np.where(c > 0, c, count)
+        new = np.flatnonzero(count == 0)
+        ids = [self.known.ids, self.recent.ids]
+        if len(new):
+            s, c, flat = self._learn(raw, space, starts[at[new]], ends[at[new]])
+            start[new], count[new] = s + len(ids[0]) + len(ids[1]), c
+            ids.append(flat)
+            keep = ends[at[new]] - starts[at[new]] <= LONGEST
+            self._keep(keys[new][keep], c[keep], flat[ranges(s[keep], c[keep])[0]])
+        place, _ = ranges(start[which], count[which])
+        sums = np.concatenate([[0], np.cumsum(count[which])])
+        return np.concatenate(ids)[place], np.diff(sums[np.searchsorted(starts, offsets)])
+
+    def _learn(self, raw: np.ndarray, space: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each piece's ids are among those returned last, and how many. Pieces with white space at their start
+        alone are joined to texts in which each starts a cut."""
+        size = ends - starts
+        within = np.concatenate([[0], np.cumsum(space)])
+        plain = (within[ends] - within[starts] == 1) & ((raw[starts] == 0x20) | (raw[starts] == 0x0A)) & (size <= LONGEST)
+        own = np.flatnonzero(plain)
+        joined, cuts = raw[ranges(starts[own], size[own])[0]].tobytes(), np.concatenate([[0], np.cumsum(size[own])])[[*range(0, len(own), TOGETHER), len(own)]]
+        found = self.fresh([joined[a:b].decode() for a, b in zip(cuts.tolist(), cuts[1:].tolist())])
+        sizes = np.minimum(TOGETHER, len(own) - np.arange(len(found)) * TOGETHER)
+        right = [self.starts[x].sum() == n and self.starts[x[0]] for x, n in zip(found, sizes)]
+        plain[own[~np.repeat(np.array(right, bool), sizes)]] = False
+        found, alone = [x for x, ok in zip(found, right) if ok], np.flatnonzero(~plain)
+        single = self.fresh([raw[starts[i] : ends[i]].tobytes().decode() for i in alone])
+        flat = np.concatenate([np.zeros(0, np.uint32), *found, *single])
+        cut = np.concatenate([np.flatnonzero(self.starts[flat[: sum(map(len, found))]]), np.cumsum([0, *map(len, single)])[:-1] + sum(map(len, found))]).astype(np.int64)
+        start, order = np.empty(len(starts), np.int64), np.concatenate([np.flatnonzero(plain), alone])
+        start[order] = cut
+        count = np.empty_like(start)
+        count[order] = np.diff(np.append(cut, len(flat)))
+        return start, count, flat
+
+    def _keep(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.recent = self.recent.with_(keys, lengths, ids)
+        if len(self.recent.keys) > max(20_000, len(self.known.keys) // 4):
+            whole = len(self.known.keys) + len(self.recent.keys) > MEMORY
+            self.known = self.recent if whole else self.known.with_(self.recent.keys, self.recent.count, self.recent.ids)
+            self.recent = Pieces()
+
+
+class Pieces:
+    """The ids of pieces by hash: sorted keys, and where in ids each one's are and how many."""
+
+    def __init__(self):
+        self.keys, self.start, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and count; a count of 0 for unknown keys."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.start[at], np.where(self.keys[at] == keys, self.count[at], 0)
+
+    def with_(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> Pieces:
+        """These and others; ids come in the order of keys, which are unknown so far."""
+        order = np.argsort(keys)
+        at, size = np.searchsorted(self.keys, keys[order]), count[order]
+        out = Pieces()
+        out.keys, out.count = np.insert(self.keys, at, keys[order]), np.insert(self.count, at, size)
+        where = np.insert(self.start, at, len(self.ids) + (np.cumsum(count) - count)[order])
+        out.ids, out.start = np.concatenate([self.ids, ids])[ranges(where, out.count)[0]], np.cumsum(out.count) - out.count
         return out
 
-    def runs(self, text: str) -> bytes:
-        """With runs of blanks and line breaks: all of a run but its last character is a cut, at the end all of it."""
-        out, found = [], re.findall(r"[ \n]+|[^ \n]+", text)
-        for i, run in enumerate(found):
-            if run[0] not in " \n":
-                out.append(self.known[run] if i and found[i - 1][-1] == " " else self.known["\n" + run][self.line_end :])
-            elif i == len(found) - 1:
-                out.append(self.fresh(run))
-            else:
-                out += [self.fresh(run[:-1]), b"" if run[-1] == " " else self.fresh("\n")]
-        return b"".join(out)
-
-
-class Pieces(dict):
-    """The ids of pieces: of a word after a blank, which is not written, or after a line break, which is. A piece with odd
-    white space, or without a word, has None."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode all that are new, many at a time: joined so that each starts a cut."""
-        if len(self) > MEMORY:
-            self.clear()
-        new = [p for p in pieces.difference(self) if p not in ("", "\n") and len(p) < 64 and not self.encoder.ODD.search(p)]
-        parts = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
-        joined = ["".join(p if p[0] == "\n" else " " + p for p in part) for part in parts]
-        for part, done in zip(parts, self.encoder.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(done.ids, "<u4")
-            at = np.flatnonzero(self.encoder.starts[ids])
-            if len(at) == len(part):  # else __missing__ takes each alone
-                raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-                self.update(zip(part, [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]))
-
-    def __missing__(self, piece: str) -> bytes | None:
-        ids = None if piece in ("", "\n") or self.encoder.ODD.search(piece.removeprefix("\n")) else self.encoder.fresh(piece if piece[0] == "\n" else " " + piece)
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -116,10 +182,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(column: pa.Array, path: str) -> list[bytes]:
-    """The ids of each text (null: none) with the end id."""
-    end = np.array([END], "<u4").tobytes()
-    return [ids + end for ids in encoder(path).encode([t or "" for t in column.to_pylist()])]
+def encoded(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts with the end id after each (null: that alone), and how many each has."""
+    ids, counts = encoder(path).encode(column)
+    return np.insert(ids, np.cumsum(counts), END), counts + 1
 
 
 # ---------------------------------------------------------------- output
@@ -144,10 +210,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, doc_i
 
         part, start = TaskContext.get().partitionId(), 0
         for batch in slices(batches, text):
-            ids = encoded(batch.column(text), tokenizer)
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            ends = start + np.cumsum(n)
+            ids, n = encoded(batch.column(text), tokenizer)
+            flat, ends = pa.array(ids.view(np.int32)), start + np.cumsum(n)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (doc_id, *metadata)), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n), list_array(flat, n)], schema.names)
             start = int(ends[-1])
 

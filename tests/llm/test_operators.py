@@ -201,12 +201,29 @@ def test_encoder_is_the_tokenizer(text):
     import pyarrow as pa
 
     from corpuscope.llm.tokens import encoded
-
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
-    assert np.frombuffer(encoded(pa.array([text]), default_tokenizer())[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [2]
+    ids, counts = encoded(pa.array([text, None, text + text]), default_tokenizer())
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in (text, "", text + text)]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
+
+
+def test_encoder_forgets(monkeypatch):
+    """With few pieces kept, odd white space, marks and special tokens, ids are those of the library."""
+    import pyarrow as pa
+
+    from corpuscope.llm import tokens
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MEMORY", 300)
+    t, e, r = Tokenizer.from_file(default_tokenizer()), tokens.Encoder(default_tokenizer()), np.random.default_rng(3)
+    parts = ["a", "b", " ", "  ", "\n", "\n\n", "\t", "é", "漢", "\u00a0", "\u3000", "\u2009", "\u200b", "—", "’s", "'s", "1", "<|endoftext|>", "\x85", "\x1c", "\r\n", "😀", "_", ".", ",", " the", "Ġ", " x" * 300]
+    for _ in range(20):
+        texts = ["".join(r.choice(parts, int(r.integers(0, 14)))) + f" w{r.integers(900)}, {r.integers(9)}" for _ in range(200)]
+        ids, counts = e.encode(pa.array(texts))
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
 
 
 # ---------------------------------------------------------------- 5
@@ -315,6 +332,31 @@ def test_repeats_on_documents(spark):
     assert got == want
 
 
+def test_repeats_too_long(monkeypatch):
+    monkeypatch.setattr(repeats, "_POSITION_BITS", np.uint64(10))
+    raw = np.arange(3000).astype(np.uint8)
+    with pytest.raises(ValueError, match="too long"):
+        repeats.anchors(raw, np.array([0, 3000]))
+
+
+def test_repeats_of_many_segments(spark, monkeypatch):
+    """Anchors of more segments than are sorted together, and kept text without halves of characters."""
+    monkeypatch.setattr(repeats, "BATCH", 7)
+    r = np.random.default_rng(8)
+    piece = lambda n: "".join(r.choice(list("abcdé \ufffd"), n))
+    core = piece(230)
+    texts = [piece(int(r.integers(40, 90))) + core + piece(50) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (repeats.HOT, 5):
+        got = docs.select("doc_id", *text_keys()).join(remove_repeats(docs, hot=hot), ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("sha")).orderBy("doc_id").collect()
+        assert [tuple(x)[1:] for x in got] == removed([t.encode() for t in texts])
+    got = docs.join(docs.select("doc_id", *text_keys()).join(remove_repeats(docs, as_text=True), ["k1", "k2"]), "doc_id").collect()
+    for x in got:
+        data, spans = x.text.encode(), sorted((s.start, s.end) for s in x.spans)
+        cuts = [0, *(p for s in spans for p in s), len(data)]
+        assert x.kept == "".join(data[a:b].decode(errors="ignore") for a, b in zip(cuts[::2], cuts[1::2]))
+
+
 def test_repeats_odd(spark):
     assert remove_repeats(odd_docs(spark)).count() == len({r.text or "" for r in odd_docs(spark).collect()})
     assert remove_repeats(odd_docs(spark).limit(0)).count() == 0
