@@ -55,10 +55,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _without_repeats(docs: DataFrame) -> DataFrame:
-    each = remove_repeats(docs).select(*KEY, F.col("kept").alias("_kept"), "n_removed")
+    each = remove_repeats(docs, as_text=True).select(*KEY, F.col("kept").alias("_kept"), "n_removed")
     joined = docs.select(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("_null"), *text_keys()).join(each, KEY)
-    text = F.when(F.col("_null"), F.lit(None)).otherwise(F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("_kept").cast("string")))
-    return joined.where("n_removed = 0 OR octet_length(_kept) > 0").select(*(c for c in docs.columns if c not in ("text", "n_chars")), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    text = F.when(~F.col("_null"), F.col("_kept"))
+    return joined.where("n_removed = 0 OR length(_kept) > 0").select(*(c for c in docs.columns if c not in ("text", "n_chars")), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
