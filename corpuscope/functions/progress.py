@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuscope.functions.text import let
 
 
 def _left(units: Column, done: Column) -> Column:
@@ -18,7 +19,7 @@ def next_unit(units: Column, appendix: Column, completed: Column, scope: Column)
     return F.when(scope != "appendix", F.get(body, F.lit(0))).when(F.size(body) == 0, F.get(rest, F.lit(0)))
 
 
-def status(planner: Column, units: Column, appendix: Column, completed: Column, current: Column, scope: Column, raw_state: Column, raw_reason: Column, plan_reason: Column | None = None) -> Column:
+def status(planner: Column, units: Column, appendix: Column, completed: Column, current: Column, scope: Column, raw_state: Column, raw_reason: Column, plan_reason: Column | None = None, raw_unit: Column | None = None, source: Column | None = None) -> Column:
     """The progress of one paper: state, active scope and unit, what is done and left, and what comes next.
 
     planner: ok or unsupported. raw_state: what the last reply reported, if anything. Done units are put into the plan's
@@ -26,21 +27,33 @@ def status(planner: Column, units: Column, appendix: Column, completed: Column,
     """
     none = F.array().cast("array<string>")
     done = F.filter(F.concat(units, appendix), lambda u: F.array_contains(F.coalesce(completed, none), u))
-    body, rest = _left(units, done), _left(appendix, done)
-    refused, stuck = planner == "unsupported", F.coalesce(raw_state == "UNSUPPORTED", F.lit(False))
-    tried = F.when(F.lower(scope).isin("body", "appendix"), F.lower(scope)).when(F.lower(scope) == "done", F.when(F.size(body) > 0, "body").otherwise("appendix")).otherwise("body")
-    state = F.when(refused | stuck, "UNSUPPORTED").when(F.size(body) > 0, "IN_PROGRESS").when(F.size(rest) > 0, "BODY_DONE").otherwise("ALL_DONE")
-    active = F.when(refused, "body").when(stuck, tried).when(F.size(body) > 0, "body").when(F.size(rest) > 0, "appendix").otherwise("done")
-    by_scope = lambda b, a: F.when(refused, none).when(active == "body", b).when(active == "appendix", a).otherwise(none)
-    own, left = by_scope(units, appendix), by_scope(body, rest)
-    unit = F.when(refused, "").otherwise(F.trim(F.coalesce(current, F.lit(""))))
-    following = F.when(state == "UNSUPPORTED", "").otherwise(F.coalesce(F.get(left, F.lit(0)), F.lit("")))
-    reason = F.when(refused, F.coalesce(plan_reason if plan_reason is not None else F.lit(""), F.lit(""))).when(stuck, F.coalesce(raw_reason, F.lit(""))).otherwise("")
-    return F.struct(
-        state.alias("state"), active.alias("active_scope"), own.alias("active_units"), unit.alias("current_unit_id"), (F.coalesce(F.array_position(own, unit), F.lit(0)) - 1).cast("int").alias("current_unit_index"),
-        done.alias("completed_unit_ids"), left.alias("remaining_unit_ids"), following.alias("next_unit_id"), reason.alias("reason"),
-        (F.size(units) + F.size(appendix)).alias("total_unit_count"), F.size(done).alias("completed_unit_count"), state.isin("BODY_DONE", "ALL_DONE").alias("is_completed"), (state == "ALL_DONE").alias("is_all_done"),
-    )
+    given, source_name = F.lower(F.trim(F.coalesce(scope, F.lit("")))), F.coalesce(F.nullif(F.trim(F.coalesce(source if source is not None else F.lit(""), F.lit(""))), F.lit("")), F.lit("canonical_payload"))
+
+    def placed(d: Column) -> Column:
+        return F.struct(d.alias("done"), _left(units, d).alias("body"), _left(appendix, d).alias("rest"))
+
+    def judged(l: Column) -> Column:  # noqa: E741
+        body, rest = F.size(l["body"]) > 0, F.size(l["rest"]) > 0
+        refused, stuck = planner == "unsupported", F.coalesce(raw_state == "UNSUPPORTED", F.lit(False))
+        tried = F.when(given.isin("body", "appendix"), given).when(given == "done", F.when(body, "body").otherwise("appendix")).otherwise("body")
+        state = F.when(refused | stuck, "UNSUPPORTED").when(body, "IN_PROGRESS").when(rest, "BODY_DONE").otherwise("ALL_DONE")
+        active = F.when(refused, "body").when(stuck, tried).when(body, "body").when(rest, "appendix").otherwise("done")
+        own = F.coalesce(F.nullif(F.trim(F.coalesce(raw_unit if raw_unit is not None else F.lit(""), F.lit(""))), F.lit("")), F.trim(F.coalesce(current, F.lit(""))))
+        unit = F.when(refused, "").when(stuck, own).otherwise(F.trim(F.coalesce(current, F.lit(""))))
+        reason = F.when(refused, F.coalesce(plan_reason if plan_reason is not None else F.lit(""), F.lit(""))).when(stuck, F.coalesce(raw_reason, F.lit(""))).otherwise("")
+        return F.struct(l["done"].alias("done"), l["body"].alias("body"), l["rest"].alias("rest"), state.alias("state"), active.alias("active"), unit.alias("unit"), reason.alias("reason"), refused.alias("refused"))
+
+    def written(j: Column) -> Column:
+        by_scope = lambda b, a: F.when(j["refused"], none).when(j["active"] == "body", b).when(j["active"] == "appendix", a).otherwise(none)
+        both = F.struct(by_scope(units, appendix).alias("own"), by_scope(j["body"], j["rest"]).alias("left"))
+        return let(both, lambda b: F.struct(
+            F.lit("unit_v1").alias("protocol"), F.when(planner == "unsupported", "unsupported").otherwise("ok").alias("planner_status"),
+            j["state"].alias("state"), j["active"].alias("active_scope"), b["own"].alias("active_units"), j["unit"].alias("current_unit_id"), (F.coalesce(F.array_position(b["own"], j["unit"]), F.lit(0)) - 1).cast("int").alias("current_unit_index"),
+            j["done"].alias("completed_unit_ids"), b["left"].alias("remaining_unit_ids"), F.when(j["state"] == "UNSUPPORTED", "").otherwise(F.coalesce(F.get(b["left"], F.lit(0)), F.lit(""))).alias("next_unit_id"), j["reason"].alias("reason"),
+            (F.size(units) + F.size(appendix)).alias("total_unit_count"), F.size(j["done"]).alias("completed_unit_count"), source_name.alias("source"), j["state"].isin("BODY_DONE", "ALL_DONE").alias("is_completed"), (j["state"] == "ALL_DONE").alias("is_all_done"),
+        ))
+
+    return let(let(let(done, placed), judged), written)
 
 
 def glossary_entries(entries: Column, most: int = 30, candidates: int = 3) -> Column:
@@ -52,6 +65,5 @@ def glossary_entries(entries: Column, most: int = 30, candidates: int = 3) -> Co
         return F.struct(F.trim(e["term"]).alias("term"), own.alias("candidates"), F.when(F.array_contains(own, chosen), chosen).otherwise(F.get(own, F.lit(0))).alias("selected"))
 
     good = F.filter(F.transform(entries, clean), lambda e: (e["term"] != "") & (F.size(e["candidates"]) > 0))
-    terms = F.transform(good, lambda e: e["term"])
-    first = F.filter(good, lambda e, i: F.array_position(terms, e["term"]) == i + 1)
-    return F.slice(first, 1, most)
+    first = lambda g: let(F.transform(g, lambda e: e["term"]), lambda terms: F.filter(g, lambda e, i: F.array_position(terms, e["term"]) == i + 1))
+    return F.slice(let(good, first), 1, most)

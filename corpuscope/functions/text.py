@@ -25,6 +25,11 @@ SEPARATOR = r"^\s*[-*_—]{3,}\s*$"
 STATUS_TYPE = "current_unit_id string, state string, reason string"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, also where body reads it within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -102,16 +107,27 @@ def section(c: Column) -> Column:
     def category(line: Column) -> Column:
         out = None
         for name, words in HEADINGS.items():
-            tail = r"\b" if name == "appendix" else r"\s*$"
-            plain = tail if name == "appendix" else r"\s*[:：]?\s*$"
-            is_ = line.rlike(rf"(?iU)^#{{1,6}}\s*{words}{tail}") | line.rlike(rf"(?iU)^{words}{plain}")
+            tail, plain = (r"\b", r"\b") if name == "appendix" else (r"\s*$", r"\s*[:：]?\s*$")
+            is_ = line.rlike(rf"(?iU)^(?:#{{1,6}}\s*{words}{tail}|{words}{plain})")
             out = F.when(is_, name) if out is None else out.when(is_, name)
         return out
 
+    any_ = "|".join(rf"(?:#{{1,6}}\s*)?{words}" for words in HEADINGS.values())
     text = F.regexp_replace(F.coalesce(c, F.lit("")), STATUS_OLD, "")
-    kept = F.filter(F.transform(lines(text), strip), lambda x: (x != "") & ~x.rlike(SEPARATOR))
-    found = F.filter(F.transform(kept, category), lambda x: x.isNotNull())
-    return F.when(F.size(kept) > 0, F.coalesce(F.get(found, F.lit(0)), F.lit("body")))
+    rows = lambda x: F.filter(F.transform(lines(x), strip), lambda r: (r != "") & ~r.rlike(SEPARATOR))
+    found = lambda kept: F.get(F.filter(F.transform(F.filter(kept, lambda r: r.rlike(f"(?iU)^(?:{any_})")), category), lambda r: r.isNotNull()), F.lit(0))
+    return let(rows(text), lambda kept: F.when(F.size(kept) > 0, F.coalesce(found(kept), F.lit("body"))))
+
+
+def message_section(shown: Column, scope: Column, content: Column) -> Column:
+    """(section, source): by the text as shown, else by the scope of its status, else by the stored text."""
+    stored = F.regexp_replace(F.coalesce(content, F.lit("")), STATUS_OLD, "")
+    low = F.lower(strip(F.coalesce(scope, F.lit(""))))
+    # Sections by scope.
+    by_scope = F.when(low.isin("body", "appendix", "acknowledgements", "references"), low)
+    made = lambda s, source: F.struct(s.alias("section"), F.lit(source).alias("source"))
+    tries = lambda t: F.when(t["a"].isNotNull(), made(t["a"], "display_content")).when(t["b"].isNotNull(), made(t["b"], "translation_status.active_scope")).when(t["c"].isNotNull(), made(t["c"], "original_content")).otherwise(made(F.lit(None).cast("string"), "empty"))
+    return let(F.struct(section(F.coalesce(shown, stored)).alias("a"), by_scope.alias("b"), section(stored).alias("c")), tries)
 
 
 # ---------------------------------------------------------------- units
@@ -128,18 +144,21 @@ def is_wrapper(c: Column) -> Column:
 
 
 def top_units(units: Column) -> Column:
-    """Units without those split further, without wrapper titles (unless all are), and without numbered descendants."""
-    whole = F.filter(units, lambda u: ~F.exists(units, lambda o: (o != u) & F.startswith(o, F.concat(u, F.lit(" :: ")))))
-    plain = F.filter(whole, lambda u: ~is_wrapper(u))
-    kept = F.when((F.size(whole) > 1) & (F.size(plain) > 0), plain).otherwise(whole)
-    top = F.filter(kept, lambda u: ~F.exists(kept, lambda p: (p != u) & (hierarchy_prefix(p) != "") & F.startswith(hierarchy_prefix(u), F.concat(hierarchy_prefix(p), F.lit(".")))))
-    return F.when(F.size(units) <= 1, units).otherwise(top)
+    """Units without those split further, without wrapper titles (unless all are), and without numbered descendants. Each
+    unit's numbering is found once."""
+    tagged = F.transform(units, lambda u: F.struct(u.alias("u"), hierarchy_prefix(u).alias("p"), is_wrapper(u).alias("w")))
+    whole = lambda rows: F.filter(rows, lambda r: ~F.exists(rows, lambda o: (o["u"] != r["u"]) & F.startswith(o["u"], F.concat(r["u"], F.lit(" :: ")))))
+    named = lambda rows: F.when((F.size(rows) > 1) & F.exists(rows, lambda r: ~r["w"]), F.filter(rows, lambda r: ~r["w"])).otherwise(rows)
+    top = lambda rows: F.filter(rows, lambda r: ~F.exists(rows, lambda o: (o["u"] != r["u"]) & (o["p"] != "") & F.startswith(r["p"], F.concat(o["p"], F.lit(".")))))
+    kept = let(tagged, lambda t: let(whole(t), lambda w: let(named(w), top)))
+    return F.when(F.size(units) <= 1, units).otherwise(F.transform(kept, lambda r: r["u"]))
 
 
 # ---------------------------------------------------------------- names and codes
 def venue_name(c: Column) -> Column:
     """A venue's name without case, marks and common words."""
     text = F.regexp_replace(F.replace(F.lower(strip(F.coalesce(c, F.lit("")))), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")
+    # fixed values: common words of venues
     text = F.regexp_replace(text, r"\b(the|of|on|for|annual|international|ieee|acm|cvf)\b", " ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -167,14 +186,23 @@ def cut_at_word(c: Column, limit: int) -> Column:
 def abstract(c: Column, limit: int = 1200) -> Column:
     """The abstract at the start of a reply: without code, headings and list marks, up to the next heading."""
     rows = F.filter(F.transform(lines(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)```.*?```", " ")), strip), lambda x: x != "")
-    own = F.filter(rows, lambda x: ~x.rlike(r"(?i)^#{1,6}\s*(摘要|abstract)\s*$") & ~x.rlike(r"(?i)^(摘要|abstract)\s*[:：]?\s*$"))
-    stop = F.array_position(F.transform(own, lambda x, i: (i > 0) & x.rlike(r"^#{1,6}\s+")), True)
-    kept = F.transform(F.when(stop > 0, F.slice(own, F.lit(1), (stop - 1).cast("int"))).otherwise(own), lambda x: F.regexp_replace(x, r"^[*-]\s*", ""))
-    return cut_at_word(compact(F.array_join(F.when(F.size(kept) > 0, kept).otherwise(rows), " ")), limit)
+    head = r"(?i)^(?:#{1,6}\s*(?:摘要|abstract)\s*|(?:摘要|abstract)\s*[:：]?\s*)$"
+    own = lambda r: F.filter(r, lambda x: ~x.rlike(head))
+    stop = lambda o: F.array_position(F.transform(o, lambda x, i: (i > 0) & x.rlike(r"^#{1,6}\s+")), True)
+    upto = lambda o: let(stop(o), lambda s: F.when(s > 0, F.slice(o, F.lit(1), (s - 1).cast("int"))).otherwise(o))
+    joined = lambda r: let(let(own(r), upto), lambda k: F.array_join(F.when(F.size(k) > 0, F.transform(k, lambda x: F.regexp_replace(x, r"^[*-]\s*", ""))).otherwise(r), " "))
+    return let(compact(let(rows, joined)), lambda t: cut_at_word(t, limit))
+
+
+def whole_number(c: Column) -> Column:
+    """A number as a whole one: fractions of numbers are cut off, texts must be whole numbers, with or without a sign; else
+    null, also for what a long cannot hold."""
+    return F.coalesce(F.nullif(F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)\s*$", 1), F.lit("")).try_cast("long"), F.when(F.typeof(c).isin("double", "float") | F.startswith(F.typeof(c), F.lit("decimal")), c.try_cast("long")))
 
 
 def safe_int(c: Column, default: int, least: int) -> Column:
-    return F.greatest(F.coalesce(F.try_to_number(F.regexp_extract(c.cast("string"), r"^\s*(-?\d+)\s*$", 1), F.lit("S9999999999")).cast("int"), F.lit(default)), F.lit(least))
+    """whole_number() in the range of an int and at least least; else the default."""
+    return F.greatest(F.coalesce(whole_number(c).try_cast("int"), F.lit(default)), F.lit(least))
 
 
 # ---------------------------------------------------------------- numbers
@@ -187,12 +215,82 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
+def _share(c: Column, others: str) -> Column:
+    return F.length(F.regexp_replace(c, others, ""))
+
+
 def digit_ratio(c: Column) -> Column:
-    """Digits among the characters that are not white space."""
-    text = squeezed(F.coalesce(c, F.lit("")))
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(text, "[^0-9]", "")) / F.length(text))
+    """Digits among all characters; 0 for an empty text."""
+    text = F.coalesce(c, F.lit(""))
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(_share(text, r"\P{Nd}") / F.length(text))
+
+
+def is_paragraph(c: Column, n_lines: Column) -> Column:
+    """Running text: long, of letters, with marks, on several lines."""
+    text = F.coalesce(c, F.lit(""))
+    return (F.length(text) >= 120) & (_share(text, r"\P{L}") > 40) & (_share(text, r"[^,.;:()\[\]]") >= 2) & (n_lines >= 3)
+
+
+def has_line_numbers(rows: Column) -> Column:
+    """Lines of a text that mixes in line numbers: many end in two numbers, or many are a number alone."""
+    n, letters = F.size(rows), _share(F.array_join(rows, ""), r"\P{L}")
+    ends = F.size(F.filter(rows, lambda x: x.rlike(r"\b\d{2,4}\s+\d{2,4}\s*$")))
+    alone = F.size(F.filter(rows, lambda x: x.rlike(r"^\d{2,4}$")))
+    return (n >= 4) & (letters > 40) & ((ends >= F.greatest(F.lit(3), F.floor(n / 2))) | (alone >= F.greatest(F.lit(3), F.floor(n / 3))))
+
+
+# ---------------------------------------------------------------- captions
+# How figures and tables are named.
+FIGURE, TABLE = r"(?:fig(?:ure)?\.?\s*(?:\d+|[ivxlcdm]+)[a-z]?)|(?:图\s*\d+[a-z]?)", r"(?:table\.?\s*(?:\d+|[ivxlcdm]+)[a-z]?)"
+
+
+def caption_label(c: Column, name: str = FIGURE) -> Column:
+    """The label of a caption: at the start, or after a short prefix without marks; null if it is none."""
+    start = F.nullif(F.regexp_extract(c, rf"(?i)^\s*({name})\b", 1), F.lit(""))
+    prefix = F.regexp_extract(c, rf"(?is)^(.*?)({name})\s*[:.]?", 1)
+    inner = F.nullif(F.regexp_extract(c, rf"(?is)^(.*?)({name})\s*[:.]?", 2), F.lit(""))
+    near = (F.length(prefix) <= 48) & (F.length(strip(prefix)) <= 24) & ~prefix.rlike("[.:;!?]")
+    return F.coalesce(strip(start), F.when(near, strip(inner)))
+
+
+def has_caption_suffix(c: Column, name: str = TABLE) -> Column:
+    """After the label comes nothing, a mark, a capital or a digit; false without a label at the start."""
+    rest = F.regexp_extract(c, rf"(?is)^\s*(?:{name})\b\s*(.*)$", 1)
+    return c.rlike(rf"(?i)^\s*(?:{name})\b") & ((rest == "") | rest.rlike(r"(?s)^[.:;,\-(\p{Lu}\p{Nd}].*"))
+
+
+# ---------------------------------------------------------------- boxes
+def near_same(a: dict[str, Column], b: dict[str, Column], tolerance: float = 6.0) -> Column:
+    """Boxes (x0, y0, x1, y1) that differ by no more than the tolerance at each edge."""
+    out = F.lit(True)
+    for edge in ("x0", "y0", "x1", "y1"):
+        out = out & (F.abs(a[edge] - b[edge]) <= tolerance)
+    return out
+
+
+def adjacent(a: dict[str, Column], b: dict[str, Column], across: float = 40.0, down: float = 40.0) -> Column:
+    """Boxes that overlap in one direction and are near in the other."""
+    gaps = {d: gap(a[f"{d}0"], a[f"{d}1"], b[f"{d}0"], b[f"{d}1"]) for d in "xy"}
+    meets = {d: overlap(a[f"{d}0"], a[f"{d}1"], b[f"{d}0"], b[f"{d}1"]) > 0 for d in "xy"}
+    return (meets["x"] & (gaps["y"] <= down)) | (meets["y"] & (gaps["x"] <= across))
+
+
+# ---------------------------------------------------------------- retries
 
 
 def retry_delay(attempt: Column, header: Column | None = None) -> Column:
+    """Seconds before the next try: what the server asks for, else twice as long each time, 30 at most."""
     wait = F.least(F.lit(30.0), F.pow(F.lit(2.0), attempt))
     return F.coalesce(header.try_cast("double"), wait) if header is not None else wait
+
+
+def download_delay(attempt: Column) -> Column:
+    return F.least(F.lit(5.0), 2.0 * attempt)
+
+
+def local_time(c: Column, zone: str) -> Column:
+    """A UTC time as ISO text with the zone's offset."""
+    shifted = F.from_utc_timestamp(c, zone)
+    minutes = ((F.unix_timestamp(shifted) - F.unix_timestamp(c)) / 60).cast("int")
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    return F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss"), sign, F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"))

@@ -140,18 +140,26 @@ def _fields(**types) -> list[T.StructField]:
     return [T.StructField(k, t) for k, t in types.items()]
 
 
-def _find_anchors(texts: DataFrame) -> DataFrame:
-    """(k1, k2, h, place): each anchor of each text. place: the anchor's byte, how far ahead of it the first string that
-    it stands for starts, and how many such strings there are (48, 8 and 8 bits)."""
-    schema = T.StructType([*(texts.schema[k] for k in KEY), *_fields(h=T.LongType(), place=T.LongType())])
+def _find_anchors(texts: DataFrame, members: bool) -> DataFrame:
+    """(h, n): how often an anchor stands in some texts read together; or (h, members): where, one list for these texts.
+    A place is the anchor's byte, how far ahead of it the first string that it stands for starts, and how many such
+    strings there are (48, 8 and 8 bits)."""
+    rest = {"members": T.ArrayType(T.StructType(_fields(k1=T.LongType(), k2=T.LongType(), place=T.LongType())))} if members else {"n": T.LongType()}
+    schema = T.StructType(_fields(h=T.LongType(), **rest))
 
     def run(batches):
         for batch in slices(batches, "text"):
             raw, offsets = text_bytes(batch.column("text"))
             at, h, first, n = anchors(raw, offsets)
-            doc = np.searchsorted(offsets, at, side="right") - 1
-            base = offsets[doc]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(doc)) for k in KEY), _long(h), pa.array((at - base) << 16 | (at - first) << 8 | n)], schema.names)
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else order
+            times = np.diff(np.append(new, len(h)))
+            if members:
+                doc = np.searchsorted(offsets, at, side="right") - 1
+                place = ((at - offsets[doc]) << 16 | (at - first) << 8 | n)[order]
+                pair = pa.StructArray.from_arrays([*(batch.column(k).take(pa.array(doc[order])) for k in KEY), pa.array(place)], [*KEY, "place"])
+            yield pa.RecordBatch.from_arrays([_long(h[new]), list_array(pair, times) if members else pa.array(times)], schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -198,35 +206,43 @@ def _cut(texts: DataFrame, hot: int, members: bool) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _compare(distinct: DataFrame) -> DataFrame:
-    """(s, h, runs): distinct segments in, sorted by group; out come those with repeated strings, as places in them."""
+def _compare(segments: DataFrame) -> DataFrame:
+    """(s, h, runs): segments in, sorted by group and by hash within it; out come those with repeated strings, as places
+    in them: all strings of a segment that stands more than once, else those that other segments of the group hold."""
     schema = T.StructType(_fields(s=T.LongType(), h=T.LongType(), runs=T.ArrayType(T.StructType(_fields(a=T.IntegerType(), b=T.IntegerType())))))
 
-    def solve(s: list[np.ndarray], h: list[np.ndarray], before: list[np.ndarray], spool: Spool) -> pa.RecordBatch:
-        s, h, before = map(np.concatenate, (s, h, before))
-        group = np.cumsum(np.append(0, h[1:] != h[:-1]))
-        found = repeated_columns(group, spool)
-        own, new = np.unique(found[:, 0], return_index=True)
+    def solve(held: list[list[np.ndarray]], spool: Spool) -> pa.RecordBatch:
+        s, h, before, size, times = (np.concatenate([x[k] for x in held]) for k in range(5))
+        found = repeated_columns(np.cumsum(np.append(0, h[1:] != h[:-1])), spool)
         shift = (spool.left - before)[found[:, 0]]
-        pair = pa.StructArray.from_arrays([pa.array((found[:, k] - shift).astype(np.int32)) for k in (1, 2)], ["a", "b"])
+        found[:, 1:] -= shift[:, None]
+        whole = np.flatnonzero(times > 1)
+        found = np.concatenate([found[times[found[:, 0]] == 1], np.stack([whole, np.zeros_like(whole), size[whole] - WIDTH + 1], 1)])
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        own, new = np.unique(found[:, 0], return_index=True)
+        pair = pa.StructArray.from_arrays([pa.array(found[:, k].astype(np.int32)) for k in (1, 2)], ["a", "b"])
         return pa.RecordBatch.from_arrays([pa.array(s[own]), pa.array(h[own]), list_array(pair, np.diff(np.append(new, len(found))))], schema.names)
 
     def run(batches):
-        held, spool, n = ([], [], []), Spool(), 0
+        held, spool = [], Spool()
         for part in _groups(batches):
-            s, h, before = (part.column(c).to_numpy() for c in ("s", "h", "before"))
-            if n >= BATCH and h[0] != held[1][-1][-1]:
-                yield solve(*held, spool)
-                held, spool, n = ([], [], []), Spool(), 0
-            raw, offsets = text_bytes(part.column("segment"))
-            spool.add(raw, np.diff(offsets), before.astype(np.int64))
-            for x, y in zip(held, (s, h, before)):
-                x.append(y)
-            n += len(s)
-        if n:
-            yield solve(*held, spool)
-
-    return distinct.select("s", "h", "before", "segment").repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
+            s, h, before, times = (part.column(c).to_numpy() for c in ("s", "h", "before", "times"))
+            last = held[-1] if held else None
+            if spool.n >= BATCH and h[0] != last[1][-1]:
+                yield solve(held, spool)
+                held, spool, last = [], Spool(), None
+            new = np.append(last is None or last[0][-1] != s[0] or last[1][-1] != h[0], (s[1:] != s[:-1]) | (h[1:] != h[:-1]))
+            if not new[0]:  # goes on with the last segment of the batch before
+                last[4][-1] += times[: np.argmax(new) if new.any() else len(new)].sum()
+            own = np.flatnonzero(new)
+            if len(own):
+                raw, offsets = text_bytes(part.column("segment").take(pa.array(own)))
+                spool.add(raw, np.diff(offsets), before[own].astype(np.int64))
+                held.append([s[own], h[own], before[own].astype(np.int64), np.diff(offsets), np.add.reduceat(times, own)])
+        if spool.n:
+            yield solve(held, spool)
+
+    return segments.repartition("h").sortWithinPartitions("h", "s").mapInArrow(run, schema)
 
 
 def _groups(batches) -> Iterator[pa.RecordBatch]:
@@ -247,17 +263,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT) -> tuple
     runs of byte places where a repeated string starts."""
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("text"))
-    places = _find_anchors(keyed)  # found twice, which costs less than keeping them on disk
-    again = places.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
-    shared = places.join(again, "h").groupBy(*KEY).agg(F.collect_set(F.struct("h", "place", "copies")).alias("places"))
+    again = _find_anchors(keyed, False).groupBy("h").agg(F.sum("n").alias("copies")).where("copies > 1")
+    places = _find_anchors(keyed, True)  # found twice, which costs less than keeping them on disk
+    shared = places.join(again, "h").select("h", "copies", F.explode("members").alias("m")).groupBy("m.k1", "m.k2").agg(F.collect_set(F.struct("h", "m.place", "copies")).alias("places"))
     texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     placed = texts.join(shared, KEY)
-    distinct = _cut(placed, hot, False).groupBy("s", "h").agg(F.first("before").alias("before"), F.first("segment").alias("segment"), F.sum("times").alias("times"))
-    found = _compare(distinct)
-    known = distinct.where("times > 1").select("s", "h", F.lit(True).alias("whole"))
-    verdict = known.join(found, ["s", "h"], "full_outer")
-    one = _cut(placed, hot, True).join(verdict, ["s", "h"]).select("whole", "runs", F.explode("members").alias("m"))
-    runs = F.when(F.col("whole"), F.array(F.struct(F.col("m.first").alias("a"), (F.col("m.first") + F.col("m.n")).alias("b")))).otherwise(F.transform("runs", lambda r: F.struct((r["a"] + F.col("m.first")).alias("a"), (r["b"] + F.col("m.first")).alias("b"))))
+    verdict = _compare(_cut(placed, hot, False))
+    one = _cut(placed, hot, True).join(verdict, ["s", "h"]).select("runs", F.explode("members").alias("m"))
+    runs = F.transform("runs", lambda r: F.struct((r["a"] + F.col("m.first")).alias("a"), (r["b"] + F.col("m.first")).alias("b")))
     return texts, one.select("m.k1", "m.k2", runs.alias("runs")).groupBy(*KEY).agg(F.flatten(F.collect_list("runs")).alias("starts"))
 
 

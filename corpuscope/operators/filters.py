@@ -62,3 +62,31 @@ def filtered(papers: DataFrame, tags: DataFrame, metadata: DataFrame, venues: Da
 
 def unprocessed(rows: DataFrame, done: DataFrame, key: str, done_key: str) -> DataFrame:
     return rows.join(done.select(F.col(done_key).alias(key)), key, "left_anti")
+
+
+# ---------------------------------------------------------------- rows by key
+def by_key(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, by a filter that reaches the scan."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def first_rows(rows: DataFrame, key: str, order: str = "id", last: bool = False) -> DataFrame:
+    """One row of each key, whole: the first by order, or the last. Counted before the shuffle, so frequent keys are cheap."""
+    rest = [c for c in rows.columns if c != key]
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(key).agg(pick(F.struct(*rest), order).alias("_r")).select(*((F.col(key) if c == key else F.col(f"_r.{c}").alias(c)) for c in rows.columns))
+
+
+def select_slice(rows: DataFrame, order: str, descending: bool = False, limit: int | None = None, offset: int = 0, **equals) -> DataFrame:
+    """Rows with the given values (None: any), by one column up or down, from an offset on and at most limit; negative
+    numbers count as 0. Empty texts count as not given, numbers do."""
+    for name, value in equals.items():
+        if value is not None and value != "":
+            rows = rows.where(F.col(name) == F.lit(value))
+    rows = rows.orderBy(F.desc(order) if descending else F.asc(order)).offset(max(0, offset))
+    return rows if limit is None else rows.limit(max(0, limit))
+
+
+def columns_of(rows: DataFrame) -> DataFrame:
+    """(position, name, type, nullable) of a table's columns."""
+    return rows.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(rows.schema)], "position int, name string, type string, nullable boolean")

@@ -1,14 +1,44 @@
-"""Venue resolution: exact by normalised name, else by unambiguous containment."""
+"""Venue resolution: exact by normalised name, else by unambiguous containment; and the mapping of metadata replies."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.payloads import parsed
 from corpuscope.functions.text import venue_name
 
-#: Names of a publication list that one expression may hold; the list is a reference file, not data.
-MOST = 20_000
+#: Bytes of names up to which a publication list is broadcast for containment; a longer one is joined by its words.
+BROADCAST_BYTES = 8 << 20
+
+
+def _names(publications: DataFrame, key: str) -> DataFrame:
+    """(n, item, position) of each name of each publication."""
+    pubs = publications.select("position", F.col(key).alias("item"), F.explode(F.array("abbr", "full_name")).alias("n")).withColumn("n", venue_name(F.col("n"))).where("n != ''")
+    return pubs.groupBy("n", "item").agg(F.min("position").alias("position"))
+
+
+def _contained(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(c, item): the item of the best ratio of lengths among names that hold c or are held by it, unless two reach it.
+
+    A list of checked size is broadcast. Of a longer one, only names are compared that share their first word's letters
+    with some place of the other: each side is dealt out by the runs of three characters that it holds, and the shorter
+    of a pair by its first alone.
+    """
+    size = names.agg(F.sum(F.octet_length("n"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        pairs = asked.join(F.broadcast(names), F.contains("n", "c") | F.contains("c", "n"))
+    else:
+        runs = lambda x, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - k + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(k)))
+        grams = lambda x: F.concat(runs(x, 1), runs(x, 2), runs(x, 3))  # noqa: E731  (names of one or two characters have a short key)
+        all_ = lambda df, x: df.withColumn("g", F.explode(F.array_distinct(grams(F.col(x)))))
+        first = lambda df, x: df.withColumn("g", F.substring(x, 1, 3))
+        inner = first(asked, "c").join(all_(names, "n"), "g").where(F.contains("n", "c"))
+        outer = all_(asked, "c").join(first(names, "n"), "g").where(F.contains("c", "n"))
+        pairs = inner.drop("g").unionByName(outer.drop("g")).distinct()
+    ratio = F.least(F.length("n"), F.length("c")) / F.greatest(F.length("n"), F.length("c"))
+    best = pairs.withColumn("s", ratio).groupBy("c", "item").agg(F.max("s").alias("s")).groupBy("c").agg(F.max_by("item", "s").alias("item"), F.max("s").alias("top"), F.collect_list("s").alias("all"))
+    return best.where(F.size(F.filter("all", lambda x: x == F.col("top"))) == 1).select("c", "item")
 
 
 def resolve(names: DataFrame, publications: DataFrame, name: str = "name", key: str = "item") -> DataFrame:
@@ -16,19 +46,51 @@ def resolve(names: DataFrame, publications: DataFrame, name: str = "name", key:
 
     publications: (item, position, abbr, full_name). An equal normalised name wins, the first in the file among several;
     else the publication of the best ratio of lengths among names that hold the candidate or are held by it, unless two
-    different ones reach it. Distinct names are resolved once, against a list of checked size held as a literal.
+    different ones reach it. Distinct names are resolved once.
     """
-    pubs = publications.select("position", key, F.explode(F.array("abbr", "full_name")).alias("n")).withColumn("n", venue_name(F.col("n"))).where("n != ''")
-    rows = pubs.groupBy("n", key).agg(F.min("position").alias("position")).limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"a publication list has at most {MOST} names")
-    asked = names.select(F.col(name).alias("_name")).distinct().withColumn("c", venue_name(F.col("_name")))
-    if not rows:
-        return names.withColumn(key, F.lit(None).cast("string"))
-    items = F.array(*(F.struct(F.lit(r["n"]).alias("n"), F.lit(r[key]).alias("item"), F.lit(r["position"]).alias("position")) for r in sorted(rows, key=lambda r: (r["position"], r["n"]))))
-    same = F.get(F.filter(items, lambda r: r["n"] == F.col("c")), F.lit(0))["item"]
-    near = F.transform(F.filter(items, lambda r: F.contains(r["n"], F.col("c")) | F.contains(F.col("c"), r["n"])), lambda r: F.struct((F.least(F.length(r["n"]), F.length("c")) / F.greatest(F.length(r["n"]), F.length("c"))).alias("s"), r["item"].alias("item")))
-    scored = asked.withColumn("near", near).withColumn("top", F.array_max(F.transform("near", lambda r: r["s"])))
-    best = F.array_distinct(F.transform(F.filter("near", lambda r: r["s"] == F.col("top")), lambda r: r["item"]))
-    found = scored.select("_name", F.when(F.col("c") != "", F.coalesce(same, F.when(F.size(best) == 1, F.get(best, F.lit(0))))).alias(key))
-    return names.join(found, F.col(name).eqNullSafe(F.col("_name")), "left").drop("_name")
+    one = resolve_candidates(names.select(F.col(name).alias("_id"), F.array(name).alias("_all")).distinct(), publications, "_id", "_all", key).select("_id", key)
+    return names.join(one, F.col(name).eqNullSafe(F.col("_id")), "left").drop("_id")
+
+
+def resolve_candidates(rows: DataFrame, publications: DataFrame, id_: str, candidates: str, key: str = "item") -> DataFrame:
+    """rows (id_, candidates: an array of names in order, ...) with item: the first candidate with an equal name decides;
+    if none has one, the first with an unambiguous containment; else null. Rows of one id_ are one."""
+    names = _names(publications, key)
+    each = rows.select(id_, F.posexplode(candidates).alias("_place", "_n")).withColumn("c", venue_name(F.col("_n"))).where("c != ''").groupBy(id_, "c").agg(F.min("_place").alias("_place"))
+    exact = names.groupBy("n").agg(F.min_by("item", "position").alias("_exact")).withColumnRenamed("n", "c")
+    asked = each.select("c").distinct().join(exact, "c", "left_anti")
+    found = each.join(exact, "c", "left").join(_contained(asked, names).withColumnRenamed("item", "_near"), "c", "left")
+    order = F.struct(F.col("_exact").isNull().alias("none"), "_place")
+    item = found.where("_exact IS NOT NULL OR _near IS NOT NULL").groupBy(F.col(id_).alias("_key")).agg(F.min_by(F.coalesce("_exact", "_near"), order).alias(key))
+    return rows.join(item, F.col(id_).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
+# ---------------------------------------------------------------- metadata replies
+PAPER = (
+    "struct<data:array<struct<paperId:string,corpusId:bigint,title:string,url:string,abstract:string,year:int,venue:string,publicationDate:string,isOpenAccess:boolean,matchScore:double,citationCount:int,referenceCount:int,"
+    "publicationVenue:struct<name:string,alternate_names:array<string>>,journal:struct<name:string>>>>"
+)
+#: Result columns and the reply's fields.
+FIELDS = {"paper_id": "paperId", "corpus_id": "corpusId", "matched_title": "title", "url": "url", "abstract": "abstract", "year": "year", "venue": "venue", "publication_date": "publicationDate", "is_open_access": "isOpenAccess", "match_score": "matchScore", "citation_count": "citationCount", "reference_count": "referenceCount"}
+NESTED = {"authors_json": "authors", "external_ids_json": "externalIds", "publication_types_json": "publicationTypes", "publication_venue_json": "publicationVenue", "journal_json": "journal", "open_access_pdf_json": "openAccessPdf"}
+
+
+def first_paper(response: Column) -> Column:
+    """The first paper of a reply; null for an empty list. A reply without a list of papers is an error."""
+    data = F.get_json_object(response, "$.data")
+    listed = F.when(F.startswith(data, F.lit("[")), True).otherwise(F.raise_error(F.lit("a metadata reply without a list of papers")).cast("boolean"))
+    return F.when(listed, F.get(parsed(response, PAPER)["data"], F.lit(0)))
+
+
+def metadata_rows(replies: DataFrame, publications: DataFrame, response: str = "response") -> DataFrame:
+    """One metadata row for each conversation's reply (conversation_id, response): matched or not_found, the paper's
+    fields, nested parts as JSON, and abbreviation, category and type of the publication that its venue names resolve to.
+    publications: (item, position, abbr, full_name, category, type)."""
+    p = replies.withColumn("_p", first_paper(F.col(response)))
+    venue, names = F.col("_p.publicationVenue"), F.array("_p.venue", "_p.publicationVenue.name", "_p.journal.name")
+    p = p.withColumn("_names", F.filter(F.concat(names, F.coalesce(venue["alternate_names"], F.array())), lambda n: n.isNotNull()))
+    p = resolve_candidates(p, publications, "conversation_id", "_names", "_item")
+    out = p.join(F.broadcast(publications.select(F.col("item").alias("_item"), "abbr", "category", "type")), "_item", "left")
+    nested = [F.get_json_object(response, f"$.data[0].{v}").alias(k) for k, v in NESTED.items()]
+    rank = [F.coalesce("abbr", F.lit("")).alias("venue_abbr"), F.coalesce("category", F.lit("None")).alias("ccf_category"), F.coalesce("type", F.lit("None")).alias("ccf_type")]
+    return out.select("conversation_id", F.when(F.col("_p").isNotNull(), "matched").otherwise("not_found").alias("status"), *(F.col(f"_p.{v}").alias(k) for k, v in FIELDS.items()), *rank, *nested, F.col(response).alias("raw_response_json"), F.lit("semantic_scholar").alias("source"))

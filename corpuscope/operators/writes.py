@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import safe_int
+from corpuscope.functions import payloads
+from corpuscope.functions.text import inferred_kind, safe_int, strip, whole_number
 
 
 def replace_by_key(target: DataFrame, keys: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -59,13 +60,169 @@ def new_files(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 def _indexed(rows: DataFrame, part: str) -> DataFrame:
     index = {"figures": "figure_index", "tables": "table_index"}.get(part)
-    return rows.withColumn(index, F.when(F.col(index).isNull(), F.col("position") + 1).otherwise(safe_int(F.col(index), 1, 1))) if index else rows
+    return rows.withColumn(index, F.greatest(F.coalesce(whole_number(F.col(index)).try_cast("int"), F.col("position") + 1), F.lit(1))) if index else rows
+
+
+def _given(c: str, default: Column) -> Column:
+    return F.coalesce(F.nullif(strip(F.col(c).cast("string")), F.lit("")), default)
 
 
 def bundle_children(bundles: DataFrame, part: str, key: str = "conversation_id") -> DataFrame:
-    """One row for each element of an array of structs, with its place; index columns get the place where they are missing."""
+    """One row for each element of an array of structs, with its place; null elements go. Figures and tables without an
+    index get their place, whole numbers are 1 at least; tags without a code go, and their labels and paths have defaults;
+    messages get their kind, and whether they are shown where that is not given."""
     rows = bundles.select(key, F.posexplode(part).alias("position", "_e")).where("_e IS NOT NULL").select(key, "position", "_e.*")
-    return _indexed(rows, part)
+    has = set(rows.columns)
+    if part in ("figures", "tables"):
+        rows = _indexed(rows, part)
+        rows = rows.withColumns({c: safe_int(F.col(c), 1, 1) for c in ("page_number", "image_width", "image_height") if c in has} | {"image_mime_type": _given("image_mime_type", F.lit("image/webp")) for c in ("image_mime_type",) if c in has})
+        if "image_data_base64" in has:
+            data = strip(F.col("image_data_base64"))
+            bad = F.when((data != "") & F.try_to_binary(data, F.lit("base64")).isNull(), F.raise_error(F.lit("image data is no base64")).cast("binary"))
+            rows = rows.withColumn("image_data", F.coalesce(bad, F.when(data != "", F.try_to_binary(data, F.lit("base64")))))
+    if part == "tags":
+        rows = rows.where(strip(F.coalesce("tag_code", F.lit(""))) != "")
+        none = F.lit("")
+        rows = rows.withColumns({"tag_code": strip(F.col("tag_code")), "category_code": _given("category_code", none)})
+        rows = rows.withColumns({"category_label": _given("category_label", F.col("category_code")), "tag_label": _given("tag_label", F.col("tag_code")), "source": _given("source", F.lit("agent"))})
+        rows = rows.withColumn("tag_path", _given("tag_path", F.concat_ws("/", "category_label", "tag_label")))
+    if part == "messages":
+        null = F.lit(None).cast("string")
+        rows = rows.withColumn("message_kind", inferred_kind(*(F.col(c) if c in has else null for c in ("message_kind", "message_type", "role", "content"))))
+        shown = F.col("message_kind").isin("bot_reply", "user_message")
+        rows = rows.withColumn("visible_to_user", F.coalesce("visible_to_user", shown) if "visible_to_user" in has else shown)
+    return rows
+
+
+PARTS = ("messages", "figures", "tables", "tags")
+
+
+def bundle_tables(bundles: DataFrame, existing_files: DataFrame, existing_papers: DataFrame, now: Column | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables by name, outcome): what bundles of papers become, ready for publish().
+
+    bundles: conversation_id (may be null), title, file_record struct (filename, fingerprint, poe_url, content_type,
+    poe_name), messages, figures, tables, tags (arrays of structs), meta struct. A bundle without its three file fields, or
+    with the id of a paper that is there, is refused; one whose fingerprint is known gives the paper that has it and adds
+    nothing. Of bundles of one fingerprint the first by id counts. outcome: conversation_id, exists, error and
+    committed_parts, a part being named if its list is not empty. All rows of a call have one time.
+    """
+    now = F.current_timestamp() if now is None else now
+    field = lambda c: strip(F.coalesce(F.col(f"file_record.{c}").cast("string"), F.lit("")))
+    b = bundles.withColumns({f"_{c}": field(c) for c in ("filename", "fingerprint", "poe_url", "content_type", "poe_name")})
+    b = b.withColumn("conversation_id", F.coalesce(F.nullif(strip(F.col("conversation_id")), F.lit("")), F.substring(F.sha2(F.concat_ws("\n", "_fingerprint", "_filename", "_poe_url"), 256), 1, 12)))
+    missing = F.filter(F.array(*(F.when(F.col(f"_{c}") == "", F.lit(c)) for c in ("filename", "fingerprint", "poe_url"))), lambda x: x.isNotNull())
+    b = b.withColumn("error", F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))))
+    known = live_files(existing_files, existing_papers)[0].join(existing_files.select("file_id", F.col("conversation_id").alias("_known")), "file_id").select(F.col("fingerprint").alias("_fingerprint"), "_known")
+    taken = existing_papers.select(F.col("id").cast("string").alias("conversation_id"), F.lit(True).alias("_taken"))
+    b = b.join(known, "_fingerprint", "left").join(taken, "conversation_id", "left")
+    first = b.where("error IS NULL").groupBy("_fingerprint").agg(F.min("conversation_id").alias("_first"))
+    b = b.join(first, "_fingerprint", "left").withColumn("_known", F.coalesce(F.col("_known").cast("string"), F.when(F.col("_first") != F.col("conversation_id"), F.col("_first"))))
+    b = b.withColumn("error", F.coalesce("error", F.when(F.col("_known").isNull() & F.col("_taken"), F.concat(F.lit("conversation_id already exists: "), "conversation_id")))).withColumn("exists", F.col("error").isNull() & F.col("_known").isNotNull())
+    good = b.where("error IS NULL AND NOT exists")
+    papers = good.select(F.col("conversation_id").alias("id"), _given("title", F.col("_filename")).alias("title"), F.col("_filename").alias("original_filename"), F.lit("active").alias("status"), now.alias("created_at"))
+    files = good.select("conversation_id", F.col("_filename").alias("filename"), F.col("_fingerprint").alias("fingerprint"), F.col("_poe_url").alias("poe_url"), _given("_content_type", F.lit("application/pdf")).alias("content_type"), _given("_poe_name", F.col("_filename")).alias("poe_name"), now.alias("uploaded_at"))
+    tables = {"conversation": papers, "file_record": files} | {p: bundle_children(good, p).withColumn("created_at", now) for p in PARTS}
+    tables["messages"] = normalized_messages(tables["messages"])
+    m = good.where("meta IS NOT NULL").select("conversation_id", "meta.*")
+    found = F.lit(False)
+    for c in ("paper_id", "venue", "year"):
+        if c in m.columns:
+            found = found | (F.coalesce(F.col(c).cast("string"), F.lit("")) != "") & (F.coalesce(F.col(c).cast("string"), F.lit("")) != "0")
+    status = F.when(found, "matched").otherwise("not_found")
+    m = m.withColumn("status", _given("status", status) if "status" in m.columns else status)
+    tables["meta"] = m.withColumns({c: _given(c, F.lit(d)) if c in m.columns else F.lit(d) for c, d in (("ccf_category", "None"), ("ccf_type", "None"), ("source", "agent"), ("raw_response_json", "{}"))}).withColumn("created_at", now).withColumn("updated_at", now)
+    parts = F.concat(F.array(F.lit("conversation"), F.lit("file_record")), F.filter(F.array(*(F.when(F.coalesce(F.size(p), F.lit(0)) > 0, F.lit(p)) for p in PARTS), F.when(F.col("meta").isNotNull(), F.lit("meta"))), lambda x: x.isNotNull()))
+    none = F.array().cast("array<string>")
+    return tables, b.select(F.when(F.col("exists"), F.col("_known")).otherwise(F.col("conversation_id")).alias("conversation_id"), "exists", "error", F.when(F.col("error").isNull() & ~F.col("exists"), parts).otherwise(none).alias("committed_parts"))
+
+
+def compose_error(bundles: DataFrame) -> DataFrame:
+    """bundles with error and error_code: title, the three file fields and messages are needed for a bundle to be valid."""
+    blank = lambda c: strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    error = F.when(blank("title"), "title is required")
+    for c in ("filename", "fingerprint", "poe_url"):
+        error = error.when(blank(f"file_record.{c}"), f"file_record.{c} is required")
+    out = bundles.withColumn("error", error.when(F.col("messages").isNull(), "messages must be a list"))
+    return out.withColumn("error_code", F.when(F.col("error").isNotNull(), "invalid_bundle"))
+
+
+# ---------------------------------------------------------------- messages
+def normalized_messages(messages: DataFrame) -> DataFrame:
+    """Messages as they are stored: kind by what is known of them, a section only for replies, and of replies the cleaned
+    text and payload. payload may be missing."""
+    m = messages if "payload" in messages.columns else messages.withColumn("payload", F.lit(None).cast("string"))
+    null, has = F.lit(None).cast("string"), set(m.columns)
+    kind = inferred_kind(*(F.col(c) if c in has else null for c in ("message_kind", "message_type", "role", "content")))
+    bot = F.col("message_kind") == "bot_reply"
+    m = m.withColumn("message_kind", kind).withColumn("_s", F.when(F.col("message_kind") == "bot_reply", payloads.stored_reply(F.col("content"), F.col("payload"))))
+    out = m.withColumns({"content": F.when(bot, F.col("_s.content")).otherwise(F.col("content")), "payload": F.when(bot, payloads.payload_json(F.col("_s"))).otherwise(F.col("payload"))})
+    return (out.withColumn("section_category", F.when(bot, F.col("section_category"))) if "section_category" in has else out).drop("_s")
+
+
+def message_pairs(turns: DataFrame, user_kind: str = "user_message", user_visible: bool = True) -> DataFrame:
+    """Two messages for each turn (conversation_id, user_content, bot_content, payload), the user's first, as stored."""
+    null = F.lit(None).cast("string")
+    row = lambda kind, content, payload, shown: F.struct(F.lit(kind).alias("message_kind"), F.col(content).alias("content"), payload.alias("payload"), F.lit(shown).alias("visible_to_user"))
+    both = F.array(row(user_kind, "user_content", null, user_visible), row("bot_reply", "bot_content", F.col("payload"), True))
+    rest = [c for c in turns.columns if c not in ("user_content", "bot_content", "payload")]
+    return normalized_messages(turns.select(*rest, F.posexplode(both).alias("position", "_m")).select(*rest, "position", "_m.*"))
+
+
+def replace_if_any(target: DataFrame, found: DataFrame, part: str, key: str = "conversation_id") -> DataFrame:
+    """target with the rows of keys for which something was found, an array of structs (part), replaced; keys with nothing
+    found, or an error, keep theirs."""
+    some = found.where(F.coalesce(F.size(part), F.lit(0)) > 0)
+    new = some.select(key, F.explode(part).alias("_e")).select(key, "_e.*")
+    return replace_by_key(target, some.select(key).distinct(), new, key)
+
+
+def paper_shells(files: DataFrame, now: Column | None = None) -> DataFrame:
+    """Rows of papers for new files (conversation_id, filename): without a title yet."""
+    return files.select(F.col("conversation_id").alias("id"), F.lit(None).cast("string").alias("title"), F.col("filename").alias("original_filename"), F.lit("active").alias("status"), (F.current_timestamp() if now is None else now).alias("created_at"))
+
+
+def retitled(papers: DataFrame, titles: DataFrame) -> DataFrame:
+    """papers with new titles (id, title) where there are any that are not blank."""
+    t = titles.where(strip(F.coalesce("title", F.lit(""))) != "").select("id", strip(F.col("title")).alias("_title"))
+    return papers.join(t, "id", "left").withColumn("title", F.coalesce("_title", "title")).select(*papers.columns)
+
+
+# ---------------------------------------------------------------- schemas
+def evolve(rows: DataFrame, columns: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """rows with all the columns (name: type), null where they were not there, and without those to drop."""
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in rows.columns}).drop(*drop)
+
+
+def assert_columns(rows: DataFrame, columns) -> DataFrame:
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return rows
+
+
+def chosen(rows: DataFrame, wanted) -> DataFrame:
+    """Those of the wanted columns that rows have."""
+    return rows.select(*(c for c in wanted if c in rows.columns))
+
+
+# ---------------------------------------------------------------- reports
+def write_report(rows: DataFrame, path: str, view: str = "jsonl", split: bool = False) -> None:
+    """Report rows as lines: jsonl (all), or deleted and diff (rows whose action is not keep, with the text of their view).
+    split: one folder for each action."""
+    from corpuscope.functions.markup import deleted_view, diff_view
+
+    if view != "jsonl":
+        rows = rows.where("action != 'keep'")
+        shown = deleted_view if view == "deleted" else diff_view
+        rows = rows.select("action", shown(*(F.col(c) for c in ("message_id", "conversation_id", "action", "reasons", "original_content", "display_content"))).alias("value"))
+    writer = rows.write.mode("overwrite")
+    writer = writer.partitionBy("action") if split else writer
+    writer.json(path) if view == "jsonl" else (writer if split else rows.select("value").write.mode("overwrite")).text(path)
+
+
+def write_json_list(rows: DataFrame, path: str) -> None:
+    """A reference list as JSON, a row a line, without null fields."""
+    rows.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -97,14 +254,25 @@ def bundle_error(bundles: DataFrame) -> DataFrame:
 
 
 def publish(spark: SparkSession, parts: dict[str, DataFrame], root: str) -> str:
-    """Write several tables so that readers see all or none: each commit is a folder, and one row names the last whole one."""
+    """Write several tables so that readers see all or none: each commit is a folder, and one row, written last, names the
+    last whole one. Commits of one root are made one after the other; their rows are numbered."""
     version = uuid.uuid4().hex
     for name, df in parts.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(version, sorted(parts))], "version string, parts array<string>").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/_commits")
+    number = _commits(spark, root).agg(F.coalesce(F.max("number"), F.lit(0)) + 1).first()[0]
+    spark.createDataFrame([(version, sorted(parts), int(number))], COMMIT).withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/_commits")
     return version
 
 
+COMMIT = "version string, parts array<string>, number long"
+
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_commits")
+    there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    return spark.read.schema(COMMIT).json(f"{root}/_commits") if there else spark.createDataFrame([], COMMIT)
+
+
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    last = spark.read.json(f"{root}/_commits").orderBy(F.desc("at")).first()
+    last = _commits(spark, root).orderBy(F.desc("number"), F.desc("version")).first()
     return spark.read.parquet(f"{root}/{last.version}/{name}")

@@ -46,6 +46,29 @@ def files(spark: SparkSession, path: str, extension: str = "pdf") -> DataFrame:
     return read.where((F.col("length") > 0) & F.endswith(F.lower("path"), F.lit(f".{extension}"))).withColumn("fingerprint", F.sha2("content", 256))
 
 
+def file_stream(spark: SparkSession, path: str, extension: str = "pdf") -> DataFrame:
+    """The same of a folder that files are put into, as a stream."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    read = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
+    return read.where((F.col("length") > 0) & F.endswith(F.lower("path"), F.lit(f".{extension}"))).withColumn("fingerprint", F.sha2("content", 256))
+
+
+def tag_tree(spark: SparkSession, path: str) -> DataFrame:
+    """A taxonomy file: a JSON list of categories (code, label, label_en, tags), or an object with it under categories."""
+    tag = "array<struct<code:string,label:string,label_en:string>>"
+    fields = f"struct<code:string,label:string,label_en:string,tags:{tag}>"
+    text = spark.read.text(path, wholetext=True)
+    listed = F.coalesce(F.get_json_object("value", "$.categories"), F.col("value"))
+    return text.select(F.explode(F.from_json(F.ltrim(F.regexp_replace(listed, "\ufeff", "")), f"array<{fields}>")).alias("c")).select("c.*")
+
+
+def venue_file(spark: SparkSession, path: str) -> DataFrame:
+    """A venue list file, a JSON list of objects: (item, position, abbr, full_name, category, type, field)."""
+    fields = "array<struct<abbr:string,full_name:string,category:string,type:string,field:string>>"
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", fields)).alias("position", "v"))
+    return rows.select(F.col("position").cast("string").alias("item"), "position", "v.*")
+
+
 def from_base64(c) -> F.Column:
     """Bytes of a base64 text; null where it is no base64."""
     return F.try_to_binary(c, F.lit("base64"))
@@ -82,6 +105,12 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
+def table_rows(html: str, element_id: str | None = None) -> list[list[str]]:
+    parser = _Tables(element_id)
+    parser.feed(html)
+    return parser.rows
+
+
 def html_rows(pages: DataFrame, key: str, html: str = "html", element_id: str | None = None) -> DataFrame:
     """(key, row_no, cells) of each table row of each page. The parser works on one page at a time, in Arrow batches."""
 
@@ -89,11 +118,10 @@ def html_rows(pages: DataFrame, key: str, html: str = "html", element_id: str |
         for batch in batches:
             owner, number, cells = [], [], []
             for i, text in enumerate(batch.column(html).to_pylist()):
-                parser = _Tables(element_id)
-                parser.feed(text or "")
-                owner += [i] * len(parser.rows)
-                number += range(len(parser.rows))
-                cells += parser.rows
+                found = table_rows(text or "", element_id)
+                owner += [i] * len(found)
+                number += range(len(found))
+                cells += found
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner, pa.int32())), pa.array(number, pa.int32()), pa.array(cells, pa.list_(pa.string()))], [key, "row_no", "cells"])
 
     kind = pages.schema[key].dataType.simpleString()

@@ -11,21 +11,31 @@ OUTPUT = "job_id long, status string, started_at timestamp, updated_at timestamp
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """(job_id, status, started_at, updated_at, error): the last status, the first start, and an error only if it failed.
+    """(job_id, status, started_at, updated_at, error): the last status, the first start since the job was last queued,
+    and an error only if it failed.
 
-    events: job_id, seq, at, status, error; rows of equal seq are ordered by status. Partial maxima are taken before the
-    shuffle, so a job with very many events is no burden.
+    events: job_id, seq, at, status, error; rows of equal seq are ordered by status. A job that is queued again after it
+    ran has not started. Partial maxima are taken before the shuffle, so a job with very many events is no burden.
     """
     order = F.struct("seq", "status")
-    last = events.groupBy("job_id").agg(
-        F.max_by("status", order).alias("status"), F.min(F.when(F.col("status") == "running", F.col("at"))).alias("started_at"),
-        F.max_by("at", order).alias("updated_at"), F.max_by("error", order).alias("error"),
-    )
+    when = lambda s, c: F.when(F.col("status") == s, c)
+    queued = events.groupBy("job_id").agg(F.max(when("queued", order)).alias("_queued"))
+    since = events.join(queued, "job_id").withColumn("_start", F.when((F.col("status") == "running") & (F.col("_queued").isNull() | (order > F.col("_queued"))), F.col("at")))
+    last = since.groupBy("job_id").agg(F.max_by("status", order).alias("status"), F.min("_start").alias("started_at"), F.max_by("at", order).alias("updated_at"), F.max_by("error", order).alias("error"))
     return last.withColumn("error", F.when(F.col("status") == "failed", F.coalesce("error", F.lit("job failed"))).otherwise(""))
 
 
-def pending(jobs: DataFrame) -> DataFrame:
-    return jobs.where(F.col("status").isin("queued", "running"))
+def progress_marks(events: DataFrame) -> DataFrame:
+    """(job_id, progress, updated_at): each job's latest mark that is not null, and the time of its latest event."""
+    return events.groupBy("job_id").agg(F.max_by("progress", F.when(F.col("progress").isNotNull(), F.struct("at", "seq"))).alias("progress"), F.max("at").alias("updated_at"))
+
+
+def pending(jobs: DataFrame, order: str | None = None, types: tuple[str, ...] = (), conversation=None) -> DataFrame:
+    """Jobs that are queued or run, of some types or one conversation if asked for, the oldest first by order."""
+    rows = jobs.where(F.col("status").isin("queued", "running"))
+    rows = rows.where(F.col("job_type").isin(*types)) if types else rows
+    rows = rows if conversation is None else rows.where(F.col("conversation_id") == F.lit(conversation))
+    return rows.orderBy(order) if order else rows
 
 
 def recovered(jobs: DataFrame) -> DataFrame:
@@ -42,7 +52,9 @@ def stream_job_states(events: DataFrame) -> DataFrame:
         seq, status, start, at, error = held.get if held.exists else (-(2**62), "", None, None, None)
         for rows in batches:
             for r in rows.sort_values(["seq", "status"]).itertuples():
-                if r.status == "running" and (start is None or r.at < start):
+                if r.status == "queued":
+                    start = None
+                elif r.status == "running" and (start is None or r.at < start):
                     start = r.at
                 if (r.seq, r.status) >= (seq, status):
                     seq, status, at, error = r.seq, r.status, r.at, r.error
