@@ -239,11 +239,11 @@ STATUS_JSON_FIELDS = "struct<" + ",".join(f"{k}:string" for k in STATUS_KEYS) +
 def old_status(content: Column, payload: Column, long_command: bool = True) -> Column:
     """(origin, status): from the payload's status, else from the block in the text, else missing."""
     stored = payloads.parsed(payloads.key(payload, "translation_status"), STATUS_JSON_FIELDS)
-    block = status_lines(content, long_command)
     empty = F.lit(None).cast("string")
-    as_json = F.when(block.isNotNull(), F.struct(*(block[k].alias(k) for k in STATUS_KEYS), empty.alias("source"), F.struct(*(empty.alias(k) for k in ("type", "command", "target_scope"))).alias("next_action")))
+    as_json = lambda b: F.struct(*(b[k].alias(k) for k in STATUS_KEYS), empty.alias("source"), F.struct(*(empty.alias(k) for k in ("type", "command", "target_scope"))).alias("next_action"))
     pair = lambda o, s: F.struct(F.lit(o).alias("origin"), s.cast(STATUS_JSON_FIELDS).alias("status"))
-    return F.when(stored.isNotNull(), pair("payload.translation_status", stored)).when(block.isNotNull(), pair("content.translation_status_block", as_json)).otherwise(pair("missing", F.lit(None)))
+    choose = lambda x: F.when(x["stored"].isNotNull(), pair("payload.translation_status", x["stored"])).when(x["block"].isNotNull(), pair("content.translation_status_block", as_json(x["block"]))).otherwise(pair("missing", F.lit(None)))
+    return let(F.struct(stored.alias("stored"), status_lines(content, long_command).alias("block")), choose)
 
 
 def _clean(c: Column) -> Column:
@@ -252,7 +252,10 @@ def _clean(c: Column) -> Column:
 
 def status_v2(s: Column) -> Column:
     """(reason, status) of an old status in the form of version 2: ok, or why it is refused and null."""
+    return let(s, _version_2)
 
+
+def _version_2(s: Column) -> Column:
     def fields(x: Column) -> Column:
         said = F.lower(_clean(F.coalesce(x["type"], x["action"])))
         kind = F.when(said == "custom_message", "continue").otherwise(said)

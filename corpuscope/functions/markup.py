@@ -7,7 +7,9 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+_LIST = T.ArrayType(T.StringType())
 MATH = re.compile(r"\\[a-zA-Z]+|[_^=+\-*/{}0-9]|[A-Za-z]\([A-Za-z0-9]+\)")
 INLINE = re.compile(r"\\\((?:\\.|[^\\])*?\\\)|\(([^()\n]+)\)")
 BLOCKS = re.compile(r"\\\[[\s\S]*?\\\]|\\\([\s\S]*?\\\)")
@@ -47,12 +49,12 @@ def normal_math(text: str) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised_math(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else normal_math(t))
 
 
-@F.pandas_udf("text string, formulas array<string>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("formulas", _LIST)]))
 def protected_math(texts: pd.Series) -> pd.DataFrame:
     """Texts with each marked formula as a numbered token, and the formulas."""
 
@@ -69,7 +71,7 @@ def protected_math(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": [r[0] for r in rows], "formulas": [r[1] for r in rows]})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def restored_math(texts: pd.Series, formulas: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else re.sub(r"@@MATH_(\d+)@@", lambda m: f[int(m[1])], t) for t, f in zip(texts, formulas)])
 
@@ -79,7 +81,7 @@ def deleted(original: str, shown: str) -> list[str]:
     return [x[2:] for x in difflib.ndiff((original or "").splitlines(), (shown or "").splitlines()) if x.startswith("- ")]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_LIST)
 def deleted_lines(original: pd.Series, shown: pd.Series) -> pd.Series:
     return pd.Series([deleted(a, b) for a, b in zip(original, shown)])
 
@@ -88,7 +90,7 @@ def _head(message, conversation, action, reasons) -> tuple[str, str]:
     return f"message_id={message} conversation_id={conversation} action={action}", f"reasons={','.join(reasons) if reasons is not None and len(reasons) else '-'}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def deleted_view(message: pd.Series, conversation: pd.Series, action: pd.Series, reasons: pd.Series, original: pd.Series, shown: pd.Series) -> pd.Series:
     out = []
     for m, c, a, r, o, s in zip(message, conversation, action, reasons, original, shown):
@@ -97,7 +99,7 @@ def deleted_view(message: pd.Series, conversation: pd.Series, action: pd.Series,
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def diff_view(message: pd.Series, conversation: pd.Series, action: pd.Series, reasons: pd.Series, original: pd.Series, shown: pd.Series) -> pd.Series:
     out = []
     for m, c, a, r, o, s in zip(message, conversation, action, reasons, original, shown):

@@ -89,7 +89,7 @@ def metadata_rows(replies: DataFrame, publications: DataFrame, response: str = "
     p = replies.withColumn("_p", first_paper(F.col(response)))
     venue, names = F.col("_p.publicationVenue"), F.array("_p.venue", "_p.publicationVenue.name", "_p.journal.name")
     p = p.withColumn("_names", F.filter(F.concat(names, F.coalesce(venue["alternate_names"], F.array())), lambda n: n.isNotNull()))
-    p = resolve_candidates(p, publications, "conversation_id", "_names", "_item")
+    p = resolve_candidates(p, publications.withColumnRenamed("item", "_item"), "conversation_id", "_names", "_item")
     out = p.join(F.broadcast(publications.select(F.col("item").alias("_item"), "abbr", "category", "type")), "_item", "left")
     nested = [F.get_json_object(response, f"$.data[0].{v}").alias(k) for k, v in NESTED.items()]
     rank = [F.coalesce("abbr", F.lit("")).alias("venue_abbr"), F.coalesce("category", F.lit("None")).alias("ccf_category"), F.coalesce("type", F.lit("None")).alias("ccf_type")]

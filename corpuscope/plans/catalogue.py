@@ -283,7 +283,7 @@ def next_unit(spark: SparkSession, sf: str) -> DataFrame:
 
 EVENTS = "SELECT user_id AS job_id, event_id AS seq, ts AS moment, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'running' END AS status, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN props END AS error FROM events"
 FOLD = f"""WITH e AS ({EVENTS}) SELECT job_id, status, CAST(started_at AS TIMESTAMP) AS started_at, CAST(moment AS TIMESTAMP) AS updated_at, CASE WHEN status = 'failed' THEN coalesce(error, 'job failed') ELSE '' END AS error
-FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC, status DESC) AS r, min(CASE WHEN status = 'running' THEN moment END) OVER (PARTITION BY job_id) AS started_at FROM e) WHERE r = 1"""
+FROM (SELECT e.*, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC, status DESC) AS r, (SELECT min(x.moment) FROM e x WHERE x.job_id = e.job_id AND x.status = 'running' AND x.seq > coalesce((SELECT max(q.seq) FROM e q WHERE q.job_id = e.job_id AND q.status = 'queued'), -1)) AS started_at FROM e) WHERE r = 1"""
 
 
 def job_events(spark: SparkSession, sf: str) -> DataFrame:

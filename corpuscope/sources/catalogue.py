@@ -57,9 +57,9 @@ def tag_tree(spark: SparkSession, path: str) -> DataFrame:
     """A taxonomy file: a JSON list of categories (code, label, label_en, tags), or an object with it under categories."""
     tag = "array<struct<code:string,label:string,label_en:string>>"
     fields = f"struct<code:string,label:string,label_en:string,tags:{tag}>"
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True).withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
     listed = F.coalesce(F.get_json_object("value", "$.categories"), F.col("value"))
-    return text.select(F.explode(F.from_json(F.ltrim(F.regexp_replace(listed, "\ufeff", "")), f"array<{fields}>")).alias("c")).select("c.*")
+    return text.select(F.explode(F.from_json(listed, f"array<{fields}>")).alias("c")).select("c.*")
 
 
 def venue_file(spark: SparkSession, path: str) -> DataFrame:
