@@ -294,7 +294,7 @@ def venue_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id AS conversation_id, CASE WHEN doc_id % 7 = 0 THEN 'not_found' ELSE 'matched' END AS status, CASE WHEN doc_id % 7 <> 0 THEN left(text, 30) END AS matched_title, CAST(CASE WHEN doc_id % 7 <> 0 THEN 2000 + doc_id % 20 END AS INTEGER) AS year, CASE WHEN doc_id % 7 <> 0 AND lang = 'en' THEN 'EN' ELSE '' END AS venue_abbr, CASE WHEN doc_id % 7 <> 0 AND lang = 'en' THEN 'A' ELSE 'None' END AS ccf_category FROM documents", False)
 def metadata_replies(spark: SparkSession, sf: str) -> DataFrame:
-    paper = F.struct(F.left("text", F.lit(30)).alias("title"), (2000 + F.col("doc_id") % 20).alias("year"), F.concat(F.lit("nothing "), "source").alias("venue"), F.struct(F.lit("n").alias("name"), F.array("lang").alias("alternate_names")).alias("publicationVenue"))
+    paper = F.struct(F.left("text", F.lit(30)).alias("title"), (2000 + F.col("doc_id") % 20).alias("year"), F.concat(F.lit("nothing "), "source").alias("venue"), F.struct(F.lit("zzz").alias("name"), F.array("lang").alias("alternate_names")).alias("publicationVenue"))
     reply = F.when(F.col("doc_id") % 7 == 0, '{"data": []}').otherwise(F.to_json(F.struct(F.array(paper).alias("data"))))
     pubs = spark.createDataFrame([("x", 0, "EN", "en", "A", "journal")], "item string, position int, abbr string, full_name string, category string, type string")
     rows = venues.metadata_rows(c.table(spark, sf, "documents").select(F.col("doc_id").alias("conversation_id"), reply.alias("response")), pubs)

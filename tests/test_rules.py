@@ -170,7 +170,7 @@ def test_listing_pieces(spark, tmp_path):
     d = search.tag_definitions(catalogue.tag_tree(spark, str(tmp_path / "t.json")))
     assert tuple(d.select("tag_code", "tag_path", "tag_path_en").first()) == ("L1", "甲/乙", "l/m")
     assert [r.tag_code for r in search.resolved_tags(spark.createDataFrame([(1, " l1"), (1, "L1"), (1, "Q")], "conversation_id long, tag_code string"), d).collect()] == ["L1"]
-    papers = spark.createDataFrame([(1, "the a", 5), (2, "a thing", 6)], "id long, title string, created_at long")
+    papers = spark.createDataFrame([(1, "the a", 5), (2, "other", 6)], "id long, title string, created_at long")
     assert [(r.id, r.tier) for r in search.search_page(papers, papers, "the a")[0].collect()] == [(1, "exact"), (2, "fuzzy")]
     assert search.search_page(papers, papers, "the a", "fuzzy")[0].count() == 1 and search.search_page(papers, papers)[0].count() == 0
     child = spark.createDataFrame([(1, 1, "x", 1, "A", "T2", "u")], "conversation_id long, id long, content string, figure_index int, category_code string, tag_code string, poe_url string").withColumn("table_index", F.col("figure_index"))
@@ -236,7 +236,7 @@ def test_page_assets(spark):
     got = {r.kind: r for r in layout.page_assets(page(spark, [image, near, other, caption, label, table, named])).collect()}
     f, t = got["figure"], got["table"]
     assert (f.label, f.asset_index, f.page) == ("Figure 1", 1, 0) and (f.x0, f.y0, f.y1) == (92.0, 77.0, 298.0) and f.x1 == 288.0
-    assert (t.label, t.caption) == ("Table 1", "Table 1. Numbers") and (t.y0, t.y1) == (492.0, 527.0) and (t.pixel_height, t.pixel_width) == (70, 416)
+    assert (t.label, t.caption) == ("Table 1", "Table 1. Numbers") and (t.y0, t.y1) == (492.0, 527.0) and (t.pixel_height, t.pixel_width) == (70, 432)
     assert layout.page_assets(page(spark, [image], [caption])).count() == 0
 
 
