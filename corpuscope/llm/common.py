@@ -54,6 +54,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sql_lower(text: str) -> str:
+    """SQL that lower-cases A-Z alone."""
+    for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        text = f"replace({text}, '{letter}', '{letter.lower()}')"
+    return text
+
+
 # ---------------------------------------------------------------- row-wise maps
 def map_texts(df: DataFrame, fields: list[T.StructField], start: Callable[[], Callable], keep: list[str], text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """Add columns computed from each text. start() runs once a task and returns batch -> arrays, in the order of fields.

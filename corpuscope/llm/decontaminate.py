@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, covered, gram_ok, grams, list_array, map_texts, ranges, runs, saved, table
+from .common import ALNUM, Words, covered, gram_ok, grams, list_array, map_texts, ranges, runs, saved, sql_lower, table
 
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text whose fingerprints executors hold at once; a larger benchmark goes over the documents in blocks.
@@ -173,3 +173,17 @@ def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(sql_lower("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(sql_lower("coalesce(text, '')"))} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT item, w, least(len(w), 10) AS k FROM b WHERE len(w) > 0))),
+spots AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, item, spots.k AS k, i FROM spots JOIN win ON spots.k = win.k AND spots.g = win.g),
+n AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS m, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_hit, coalesce(m, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""

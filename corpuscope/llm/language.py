@@ -250,7 +250,7 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     seen = F.coalesce("nw", F.lit(0))
     scored = both.select(_key_column(), F.log10(F.least(p, F.lit(1.0))).alias("s"), F.log10((seen + 0.5) / F.lit(smooth)).alias("b"), (seen > 0).cast("int").alias("known"))
 
-    ided = docs.select(*keep, F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit(1), body).alias("_k2"))
+    ided = docs.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit(1), body).alias("_k2"))
     texts = docs.select(F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("text"))
     of = lambda x: F.sum(F.col("m") * F.col(x))
     found = _requests(texts).join(scored, "key").groupBy("k1", "k2").agg(F.sum("m").alias("_m"), of("known").alias("_known"), of("b").alias("_base"), of("s").alias("_score"))
@@ -259,7 +259,7 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     out = ided.join(found, ["_k1", "_k2"])
     whole = lambda x: F.round(F.col(x) / F.col("_copies")).cast("long")
     score = F.col("_score") / F.col("_copies")
-    return out.select(*keep, whole("_m").alias("n_tokens"), whole("_known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), (F.col("_base") / F.col("_copies")).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / whole("_m")).alias("perplexity"))
+    return out.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), whole("_m").alias("n_tokens"), whole("_known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), (F.col("_base") / F.col("_copies")).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / whole("_m")).alias("perplexity"))
 
 
 def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

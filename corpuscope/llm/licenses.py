@@ -22,7 +22,8 @@ from .common import ALNUM, Words, gram_ok, grams, list_array, map_texts, table
 #: Phrases and labels that the base scan counts (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label -> wordings with markup. Each starts with mandatory words.
+#: label -> wordings with markup. Each starts with mandatory words. Those of text: are whole, disclaimers included; of the
+#: long licenses (Apache, GPL, MPL, Creative Commons) it is the notice that files carry.
 TEMPLATES = {
     "notice:mit": ["released under the [[terms of the]] mit license", "licensed under the [[terms of the]] mit license", "distributed under the [[terms of the]] mit license"],
     "notice:apache-2.0": ["licensed under the apache license version 2 0 [[the license you may not use this file except in compliance with the license]]", "released under the apache license version 2 0"],
@@ -33,12 +34,25 @@ TEMPLATES = {
     "notice:bsd": ["use of this source code is governed by a bsd style license [[that can be found in the license file]]"],
     "notice:mpl-2.0": ["subject to the terms of the mozilla public license v 2 0"],
     "text:mit": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{the authors or copyright holders|the authors|the copyright holders}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
     ],
-    "text:isc": ["permission to use copy modify and {{or|}} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "text:isc": ["permission to use copy modify and {{or|}} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{the author disclaims|isc disclaims|the authors disclaim|copyright holder disclaims}} all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{the author|isc|the authors|copyright holder}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
     "text:bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{1}} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {{1}} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[{{1}} neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]]"
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{1}} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {{1}} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[{{1}} neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]] "
+        "this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
     ],
+    "text:zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions {{1}} the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required {{1}} altered source versions must be plainly marked as such and must not be misrepresented as being the original software {{1}} this notice may not be removed or altered from any source distribution"
+    ],
+    "text:unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "text:apache-2.0-notice": [
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[{{1}} www apache org licenses license 2 0]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+    ],
+    "text:gpl-notice": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation {{either version 2|either version 3|version 2|version 3}} of the license [[or at your option any later version]] this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"
+    ],
+    "text:mpl-2.0-notice": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {{1}} mozilla org mpl 2 0"],
 }
 MARKUP = re.compile(r"\[\[|\]\]|\{\{.*?\}\}|[^\s\[\]{}]+")
 FIELDS = [
@@ -178,7 +192,8 @@ def scan_licenses(docs: DataFrame, keep: list[str] | None = None, text: str = "t
 
     score: 0 without any place, 0.5 with base phrases alone, above that for templates (the share of mandatory words in
     the accepted run, from 0.5 to 1; the best place counts). Null or empty texts have no words and no places; repeated
-    documents each get their row; an input column named like a result gives way to it. No shuffle, no state beyond the
+    documents each get their row; an input column named like a result gives way to it; places of one start are ordered by
+    end and label; an empty table gives no rows. No shuffle, no state beyond the
     compiled templates.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Words, grams, list_array, map_texts, mix, ranges, saved, table
+from .common import NOT_SPACE, Words, grams, list_array, map_texts, mix, ranges, saved, sql_lower, table
 
 BUCKET_BITS, MANTISSA_BITS, ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
@@ -270,8 +270,8 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-OP2_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({sql_lower("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
 s AS (
   SELECT DISTINCT doc_id, CASE WHEN len(t) = 1 THEN t[1] ELSE t[i] || ' ' || t[i + 1] END AS g
   FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t), 2))) AS i FROM w WHERE len(t) > 0)

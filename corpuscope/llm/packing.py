@@ -22,8 +22,8 @@ from .common import list_array, ranges, saved, slices, table
 from .tokens import default_tokenizer, encoded
 
 CAPACITY = 1024
-#: Ranks within one length are counted in so many salted groups, so that a frequent length has no single owner.
-SALTS = 32
+#: Ranks within one length are counted in salted groups of about so many pieces, so that a frequent length has no single owner.
+GROUP = 100_000
 PLAN = "length int, rank long, n long, sequence long, each long, at long"
 
 
@@ -99,20 +99,22 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """pieces() with sequence_id and offset: no sequence holds more than capacity ids, and each is filled from 0 without gaps.
 
-    Null texts are empty and have one piece of the end id. Repeated documents are packed each for itself. Other input
+    Null texts, and empty ones, have one piece of the end id. Repeated documents are packed each for itself. Other input
     columns are not carried. Empty tables give no rows. The pieces are written once to the shared folder, since the plan
     and the placing both read them.
     """
     cut = saved(pieces(docs, tokenizer, capacity, doc_id, text, with_ids), "pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64(doc_id, "piece"), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity * SALTS rows
+    spark = docs.sparkSession
+    each = [(r.length, 1 + r["count"] // GROUP) for r in cut.groupBy("length").count().collect()]  # at most capacity rows
+    groups = F.broadcast(spark.createDataFrame(each, "length int, groups long"))
+    salted = cut.join(groups, "length").withColumn("salt", F.pmod(F.xxhash64(doc_id, "piece", "start", "ids_crc32"), F.col("groups")).cast("int")).drop("groups")
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity rows, and one for GROUP pieces
     counts: dict[int, int] = {}
     before = []
     for r in sorted(sizes):
         before.append((r.length, r.salt, counts.get(r.length, 0)))
         counts[r.length] = counts.get(r.length, 0) + r.n
     rows, _ = plan_best_fit(counts, capacity)
-    spark = docs.sparkSession
     plan = F.broadcast(spark.createDataFrame(rows, PLAN).withColumnRenamed("length", "plan_length"))
     offsets = F.broadcast(spark.createDataFrame(before, "length int, salt int, before long"))
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy(doc_id, "piece")) - 1).join(offsets, ["length", "salt"]).withColumn("r", F.col("r") + F.col("before"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import op8_winnowing_decontamination
+from .decontaminate import OP8_SQL, op8_winnowing_decontamination
 from .language import op5_pitman_yor_scores
 from .licenses import op10_license_templates
 from .nearest import op1_inverted_file_search
@@ -14,4 +14,4 @@ from .tokens import op4_token_id_output
 from .toxicity import op6_recurrent_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_inverted_file_search, op2_minhash_near_dedup, op3_best_fit_packing, op4_token_id_output, op5_pitman_yor_scores, op6_recurrent_toxicity, op7_suffix_array_dedup, op8_winnowing_decontamination, op9_positive_unlabelled_quality, op10_license_templates)}
-SQL: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL}
+SQL: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL, "op8_winnowing_decontamination": OP8_SQL}
