@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +47,28 @@ def recovered(jobs: DataFrame) -> DataFrame:
 
 
 def stream_job_states(events: DataFrame) -> DataFrame:
-    """The same over a stream, in update mode. State by job: last order and status, first start, last time, error."""
-    state = "seq long, status string, started_at timestamp, updated_at timestamp, error string"
+    """The same over a stream, in update mode; events may come in any order. State by job: last order and status, last
+    time, error, when it was last queued, and the starts since then that may still count (those earlier than all later
+    ones in order)."""
+    state = "seq long, status string, updated_at timestamp, error string, marks string"
 
     def step(key, batches, held):
-        seq, status, start, at, error = held.get if held.exists else (-(2**62), "", None, None, None)
+        seq, status, at, error, marks = held.get if held.exists else (-(2**62), "", None, None, "[null, []]")
+        queued, starts = json.loads(marks)
         for rows in batches:
             for r in rows.sort_values(["seq", "status"]).itertuples():
                 if r.status == "queued":
-                    start = None
-                elif r.status == "running" and (start is None or r.at < start):
-                    start = r.at
+                    queued = r.seq if queued is None else max(queued, r.seq)
+                elif r.status == "running":
+                    starts.append([r.seq, r.at.value])
                 if (r.seq, r.status) >= (seq, status):
                     seq, status, at, error = r.seq, r.status, r.at, r.error
-        held.update((seq, status, start, at, error))
+        kept: list[list[int]] = []
+        for s, t in sorted(starts, reverse=True):
+            if (queued is None or s >= queued) and (not kept or t < kept[-1][1]):
+                kept.append([s, t])
+        held.update((seq, status, at, error, json.dumps([queued, kept])))
+        start = pd.Timestamp(kept[-1][1]) if kept else None
         said = (error or "job failed") if status == "failed" else ""
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "started_at": pd.to_datetime([start]), "updated_at": pd.to_datetime([at]), "error": [said]})
 
