@@ -191,16 +191,20 @@ def command(action: Column, target: Column) -> Column:
     return F.concat(F.lit("[COMMAND]\naction="), action, F.lit("\ntarget="), target, F.lit("\n[/COMMAND]"))
 
 
-def _value(rows: Column, name: str) -> Column:
-    """The last value of a key among lines key=value."""
-    own = F.filter(F.transform(rows, strip), lambda r: F.lower(strip(F.regexp_extract(r, r"^([^=]*)=", 1))) == name)
-    return strip(F.regexp_extract(F.try_element_at(own, F.lit(-1)), r"(?s)=(.*)$", 1))
+def _pairs(rows: Column) -> Column:
+    """Lines key=value as structs, key in lower case; each line is taken apart once."""
+    return F.transform(rows, lambda r: F.struct(F.lower(F.trim(F.substring_index(r, "=", 1))).alias("k"), strip(F.regexp_extract(r, r"(?s)=(.*)$", 1)).alias("v"), F.contains(r, F.lit("=")).alias("given")))
+
+
+def _value(pairs: Column, name: str) -> Column:
+    """The last value of a key; null if it is not there."""
+    return F.try_element_at(F.filter(pairs, lambda r: r["given"] & (r["k"] == name)), F.lit(-1))["v"]
 
 
 def command_fields(c: Column) -> Column:
     """(action, target) of a command block; null where they are not given."""
     rows = lines(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)\[COMMAND\]\s*(.*?)\s*\[/COMMAND\]", 1))
-    return let(rows, lambda r: F.struct(_value(r, "action").alias("action"), _value(r, "target").alias("target")))
+    return let(_pairs(rows), lambda r: F.struct(_value(r, "action").alias("action"), _value(r, "target").alias("target")))
 
 
 def scope_of_command(c: Column) -> Column:
@@ -216,10 +220,11 @@ def status_lines(c: Column, long_command: bool = True) -> Column:
     """
     block = F.regexp_extract(F.coalesce(c, F.lit("")), STATUS_OLD, 1)
 
-    def made(rows: Column) -> Column:
-        values = {k: F.coalesce(_value(rows, k), F.lit("")) for k in STATUS_KEYS}
+    def made(x: Column) -> Column:
+        rows, pairs = x["rows"], x["pairs"]
+        values = {k: F.coalesce(_value(pairs, k), F.lit("")) for k in STATUS_KEYS}
         if long_command:
-            named = F.transform(rows, lambda r, i: F.struct((i + 1).alias("i"), F.lower(strip(F.regexp_extract(r, r"^([^=]*)=", 1))).alias("k")))
+            named = F.transform(pairs, lambda r, i: F.struct((i + 1).alias("i"), F.when(r["given"], r["k"]).otherwise("").alias("k")))
             at = F.struct(_last(named, lambda r: r["k"] == "next_action_command").alias("p"), named.alias("named"))
 
             def text(a: Column) -> Column:
@@ -230,7 +235,8 @@ def status_lines(c: Column, long_command: bool = True) -> Column:
             values["next_action_command"] = let(at, text)
         return F.struct(*(v.alias(k) for k, v in values.items()))
 
-    return F.when(F.coalesce(c, F.lit("")).rlike(STATUS_OLD), let(lines(block), made))
+    split = let(lines(block), lambda r: F.struct(r.alias("rows"), _pairs(r).alias("pairs")))
+    return F.when(F.coalesce(c, F.lit("")).rlike(STATUS_OLD), let(split, made))
 
 
 STATUS_JSON_FIELDS = "struct<" + ",".join(f"{k}:string" for k in STATUS_KEYS) + ",source:string,next_action:struct<type:string,command:string,target_scope:string>>"
