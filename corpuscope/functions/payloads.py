@@ -59,6 +59,10 @@ def unit_ids(c: Column) -> Column:
 
 # ---------------------------------------------------------------- plans and glossaries
 def plan(p: Column) -> Column:
+    return let(p, _plan)
+
+
+def _plan(p: Column) -> Column:
     """(protocol, status, units, appendix_units, reason) of a struct like PLAN; null for an unknown status. A plan without
     units is unsupported, but keeps its appendix."""
     none, status, reason = F.array().cast("array<string>"), F.lower(_word(p["status"])), _word(p["reason"])
@@ -76,12 +80,15 @@ def plan(p: Column) -> Column:
 
 def plan_of_reply(c: Column) -> Column:
     """The plan in a planning reply: under its own key, or the reply itself."""
-    said = without_fences(c)
-    own = key(said, "translation_plan")
-    return plan(parsed(F.when(F.startswith(own, F.lit("{")), own).otherwise(said), PLAN))
+    own = lambda said: F.coalesce(F.when(F.startswith(key(said, "translation_plan"), F.lit("{")), key(said, "translation_plan")), said)
+    return plan(parsed(let(without_fences(c), own), PLAN))
 
 
 def glossary(g: Column) -> Column:
+    return let(g, _glossary)
+
+
+def _glossary(g: Column) -> Column:
     """(protocol, status, entries) of a struct like GLOSSARY; null stays null. Without entries it is confirmed."""
 
     def made(entries: Column) -> Column:
@@ -119,6 +126,10 @@ def _count(c: Column, default: Column) -> Column:
 
 
 def stored_status(s: Column) -> Column:
+    return let(s, _stored_status)
+
+
+def _stored_status(s: Column) -> Column:
     """A struct like STATUS with its lists cleaned, counts from 0 on and flags made anew; null for another protocol or an
     unknown state or plan status."""
 

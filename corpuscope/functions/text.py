@@ -144,6 +144,10 @@ def is_wrapper(c: Column) -> Column:
 
 
 def top_units(units: Column) -> Column:
+    return let(units, _top_units)
+
+
+def _top_units(units: Column) -> Column:
     """Units without those split further, without wrapper titles (unless all are), and without numbered descendants. Each
     unit's numbering is found once."""
     tagged = F.transform(units, lambda u: F.struct(u.alias("u"), hierarchy_prefix(u).alias("p"), is_wrapper(u).alias("w")))
