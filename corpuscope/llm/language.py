@@ -4,7 +4,8 @@ Every word of the training texts has a restaurant for what follows it; all these
 restaurant, whose base is uniform over the known words and one for all unknown. Customers are seated by Gibbs sampling:
 each sweep draws the number of tables of each word in the parent given its customers, then that of each pair (context,
 word) given the parent's prediction. Pairs, contexts and words are Spark tables keyed by hashes; the totals that a sweep
-needs are summed over all of them before it, and frequent words are salted in joins. A pair of one customer always has
+needs are summed over all of them before it, and frequent words are salted in joins. Texts are written once, as blocks of
+numbered words. A block asks the buckets of pairs and of words for all it needs in lists, and gets lists in the same order. A pair of one customer always has
 one table, so only pairs of two and more are drawn. Draws depend on the pair and the sweep, not on partitions.
 Probabilities are the mean of several samples' predictions, so each context's probabilities sum to 1.
 """
@@ -13,14 +14,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Words, mix, saved, slices, table
+from .common import NOT_SPACE, Words, list_array, mix, saved, slices, table
 from .labelled import fold
 
-#: Words of this share of all tokens are salted in joins, so there are at most 1 / HOT_SHARE. Results don't depend on it.
+#: Words of about this share of all tokens are spread in joins, so there are at most 2 / HOT_SHARE. Results don't depend on it.
 HOT_SHARE = 1e-3
+#: Bytes of text that are one block, and tokens of the table for each bucket of pairs. Results don't depend on them.
+BLOCK, BUCKET = 16 << 20, 2_500_000
 DISCOUNT, STRENGTH = (0.6, 0.75), (5.0, 1.0)  # of the parent, and of contexts
 BURN_IN, SAMPLES = 4, 3
 EXACT = 40  # pairs of up to so many customers draw their tables in one step; larger ones are seated in growing parties
@@ -45,42 +51,200 @@ def _key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _key_column():
-    return F.col("u").bitwiseXOR(F.shiftleft("w", 17).bitwiseOR(F.shiftrightunsigned("w", 47))).alias("key")
+    return F.col("u").bitwiseXOR(F.shiftleft("w", 17).bitwiseOR(F.shiftrightunsigned("w", 47)))
 
 
-def _pair_counts(docs: DataFrame) -> DataFrame:
-    """(u, w, n): how often w follows u in training texts, 0 where it does in other texts only."""
+# ---------------------------------------------------------------- blocks of texts as numbers of words
+def _blocks(docs: DataFrame) -> DataFrame:
+    """docs (row, text, train) as one row for each BLOCK bytes of text: the block's words, most frequent first, the tokens
+    as their places there, and the words of a large share with their counts."""
+    schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in (("block", "long"), ("words", "array<long>"), ("tokens", "array<int>"), ("lengths", "array<int>"), ("train", "array<boolean>"), ("often", "array<long>"), ("times", "array<long>"))])
+    schema = schema.add("rows", T.ArrayType(docs.schema["row"].dataType))
 
     def run(batches):
-        for batch in slices(batches, "text", 16 << 20):
-            parts = list(slices([batch], "text"))
-            streams = [token_stream(part.column("text")) for part in parts]
-            w, u = (np.concatenate([x[k] for x in streams]) for k in (0, 2))
-            n = np.concatenate([np.repeat(part.column("train").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(x[1])) for part, x in zip(parts, streams)])
-            order = np.lexsort((u, w))
-            w, u = w[order], u[order]
-            new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(u[new].view(np.int64)), pa.array(w[new].view(np.int64)), pa.array(np.add.reduceat(n[order], new))], ["u", "w", "n"])
+        part = TaskContext.get().partitionId()
+        for i, batch in enumerate(slices(batches, "text", BLOCK)):
+            streams = [token_stream(p.column("text")) for p in slices([batch], "text")]
+            words, inverse, counts = np.unique(np.concatenate([x[0] for x in streams]), return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            lengths = np.concatenate([np.diff(x[1]) for x in streams]).astype(np.int32)
+            often = order[: np.searchsorted(-counts[order], -HOT_SHARE * len(inverse), "right")]
+            one = lambda x: list_array(x, np.array([len(x)]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + i]), one(words[order].view(np.int64)), one(place[inverse]), one(lengths), one(batch.column("train")), one(words[often].view(np.int64)), one(counts[often]), one(batch.column("row"))],
+                schema.names,
+            )
+
+    return docs.mapInArrow(run, schema)
+
+
+class _Pairs:
+    """The distinct pairs (u, w) of a block, as places in its words, in the order of their buckets."""
+
+    def __init__(self, batch, row: int, buckets: int, hot: np.ndarray):
+        self.block = batch.column("block")[row].as_py()
+        self.words, tokens, self.lengths, train = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("words", "tokens", "lengths", "train"))
+        self.tokens = tokens = tokens.astype(np.int64)
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        before[self.starts] = np.flatnonzero(self.words == END.view(np.int64))[0]
+        key = before * len(self.words) + tokens
+        by_key = np.argsort(key)
+        key = key[by_key]
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        u, w = np.divmod(key[first], len(self.words))
+        n = np.add.reduceat(np.repeat(train, self.lengths)[by_key].astype(np.int64), first)
+        bucket = (self.words % buckets)[u]
+        own = np.flatnonzero(np.isin(self.words, hot)[u])
+        bucket[own] = _key(*(self.words[x[own]].view(np.uint64) for x in (u, w))).view(np.int64) % buckets
+        order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
+        self.u, self.w, self.n, self.bucket = u[order], w[order], n[order], bucket[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.of_token = np.empty_like(tokens)
+        self.of_token[by_key] = place[np.cumsum(new) - 1]
+
+
+def _pair_requests(blocks: DataFrame, buckets: int, hot: list[int], seen: bool) -> DataFrame:
+    """Each block's pairs by bucket: contexts, the number of words of each, these words, and counts in training texts.
+    Pairs of one context share a bucket, but those of hot contexts are spread. seen: only pairs of training texts."""
 
-    return docs.mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                b = _Pairs(batch, row, buckets, np.array(hot, np.int64))
+                own = np.flatnonzero(b.n > 0) if seen else np.arange(len(b.n))
+                u, w, n, bucket = b.u[own], b.w[own], b.n[own], b.bucket[own]
+                if not len(own):
+                    continue
+                first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (bucket[1:] != bucket[:-1])))
+                ids, sizes = np.unique(bucket, return_counts=True)
+                runs = np.unique(bucket[first], return_counts=True)[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), b.block)), list_array(b.words[u[first]], runs), list_array(np.diff(np.append(first, len(u))).astype(np.int32), runs), list_array(b.words[w], sizes), list_array(n.astype(np.int32), sizes)],
+                    ["bucket", "block", "u", "k", "w", "n"],
+                )
 
+    return blocks.select("block", "words", "tokens", "lengths", "train").mapInArrow(run, "bucket int, block long, u array<long>, k array<int>, w array<long>, n array<int>")
 
-def _requests(texts: DataFrame) -> DataFrame:
-    """(k1, k2, key, m): the pairs of each text and how often it has them."""
 
-    def run(batches):
-        for batch in slices(batches, "text"):
-            tokens, offsets, before = token_stream(batch.column("text"))
-            key, doc = _key(before, tokens), np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            order = np.lexsort((key, doc))
-            key, doc = key[order], doc[order]
-            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-            own = pa.array(doc[new])
-            yield pa.RecordBatch.from_arrays([batch.column("k1").take(own), batch.column("k2").take(own), pa.array(key[new].view(np.int64)), pa.array(np.diff(np.append(new, len(key))))], ["k1", "k2", "key", "m"])
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return pc.list_flatten(table.column(name)).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's requests: u, w and count over all blocks of each pair, sorted by key, these keys, and each request's pair."""
+    u, w, n = np.repeat(_flat(table, "u"), _flat(table, "k")), _flat(table, "w"), _flat(table, "n").astype(np.int64)
+    key = _key(u.view(np.uint64), w.view(np.uint64)).view(np.int64)
+    order = np.argsort(key)
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    first = np.flatnonzero(new)
+    of = np.empty(len(key), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return u[order[first]], w[order[first]], np.add.reduceat(n[order], first), key[order[first]], of
+
+
+def _counts(requests: DataFrame) -> DataFrame:
+    """(kind, a, b, n, ones): pairs of two customers and more (kind 0), and by bucket the customers and the pairs of one
+    customer of each word (kind 1) and each context (kind 2)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        u, w, n, _, _ = _totals(table)
+        two = n >= 2
+        out = [(0, u[two], w[two], n[two], n[two] * 0)]
+        for kind, x in ((1, w), (2, u)):
+            ids, inverse = np.unique(x, return_inverse=True)
+            out.append((kind, ids, ids, np.bincount(inverse, n, len(ids)).astype(np.int64), np.bincount(inverse[~two], minlength=len(ids))))
+        return pa.table([np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out]), *(np.concatenate([x[k] for x in out]) for k in range(1, 5))], ["kind", "a", "b", "n", "ones"])
 
-    return texts.mapInArrow(run, "k1 long, k2 long, key long, m long")
+    return requests.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long, ones long")
 
 
+_ANSWER = "kind int, bucket int, block long, n array<long>, v array<float>"
+
+
+def _seats(requests: DataFrame, state: DataFrame) -> DataFrame:
+    """Answers to pair requests: customers less discounts of each pair, in order. state: (bucket, key, t mean tables)."""
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], f.type) for f in pa_answer], schema=pa_answer)
+        _, _, n, keys, of = _totals(table)
+        t = np.minimum(n, 1).astype(np.float64)
+        t[np.searchsorted(keys, known.column("key").to_numpy())] = known.column("t").to_numpy()
+        sizes = pc.list_value_length(table.column("w")).to_numpy()
+        rows = table.num_rows
+        return pa.table([np.zeros(rows, np.int32), table.column("bucket"), table.column("block"), pa.nulls(rows, pa_answer.field("n").type), list_array((n - DISCOUNT[1] * t).astype(np.float32)[of], sizes)], schema=pa_answer)
+
+    pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.list_(pa.int64())), ("v", pa.list_(pa.float32()))])
+    return requests.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, _ANSWER)
+
+
+def _word_answers(blocks: DataFrame, facts: DataFrame, buckets: int, unknown: list[float]) -> DataFrame:
+    """What facts (bucket, w, n, p0.., b0..) say of each block's words, in order of buckets; n = 0 of others."""
+
+    def ask(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = batch.column("words")[row].values.to_numpy()
+                order = np.argsort(words % buckets, kind="stable")
+                ids, sizes = np.unique(words % buckets, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), batch.column("block")[row].as_py())), list_array(words[order], sizes)], ["bucket", "block", "w"])
+
+    values = [*(f"p{i}" for i in range(SAMPLES)), *(f"b{i}" for i in range(SAMPLES))]
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], f.type) for f in pa_answer], schema=pa_answer)
+        have = known.column("w").to_numpy()
+        by, words = np.argsort(have), _flat(table, "w")
+        sizes = pc.list_value_length(table.column("w")).to_numpy().astype(np.int64)
+        v = np.repeat(np.array([*unknown, *([1.0] * SAMPLES)], np.float32)[None], len(words), axis=0)
+        n = np.zeros(len(words), np.int64)
+        if len(have):
+            at = by[np.minimum(np.searchsorted(have, words, sorter=by), len(have) - 1)]
+            found = have[at] == words
+            at = at[found]
+            n[found] = known.column("n").to_numpy()[at]
+            v[found] = np.stack([known.column(c).to_numpy()[at] for c in values], axis=1)
+        rows = table.num_rows
+        return pa.table([np.ones(rows, np.int32), table.column("bucket"), table.column("block"), list_array(n, sizes), list_array(v.ravel(), sizes * len(values))], schema=pa_answer)
+
+    pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.list_(pa.int64())), ("v", pa.list_(pa.float32()))])
+    asked = blocks.select("block", "words").mapInArrow(ask, "bucket int, block long, w array<long>")
+    return asked.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(run, _ANSWER)
+
+
+def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int], smooth: float) -> DataFrame:
+    """(row, m, known, base, score) of each text, from its block and the answers to the block's requests."""
+    schema = T.StructType([T.StructField("row", blocks.schema["rows"].dataType.elementType), *(T.StructField(n, t) for n, t in (("m", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())))])
+
+    def run(table: pa.Table, answer: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        b = _Pairs(table, 0, buckets, np.array(hot, np.int64))
+        answer = answer.sort_by("bucket")
+        kind = answer.column("kind").to_numpy()
+        seat = _flat(answer.filter(pa.array(kind == 0)), "v").astype(np.float64)
+        of_words = answer.filter(pa.array(kind == 1))
+        order = np.argsort(b.words % buckets, kind="stable")
+        n, v = np.empty(len(order), np.int64), np.empty((len(order), 2 * SAMPLES))
+        n[order], v[order] = _flat(of_words, "n"), _flat(of_words, "v").reshape(-1, 2 * SAMPLES)
+        p = seat / (STRENGTH[1] + n[b.u])
+        for i in range(SAMPLES):
+            p += v[b.u, SAMPLES + i] * v[b.w, i] / SAMPLES
+        sums = lambda x: np.add.reduceat(x, b.starts)
+        base, known = np.log10((n + 0.5) / smooth), (n > 0).astype(np.int64)
+        rows = table.column("rows").combine_chunks().flatten()
+        return pa.table([rows, b.lengths.astype(np.int64), sums(known[b.tokens]), sums(base[b.tokens]), sums(np.log10(np.minimum(p, 1.0))[b.of_token])], ["row", "m", "known", "base", "score"])
+
+    return blocks.drop("often", "times").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+# ---------------------------------------------------------------- seating
 def _log_stirling(d: float) -> np.ndarray:
     """log of the generalised Stirling numbers for up to EXACT customers: ways to seat c at t tables."""
     s = np.full((EXACT + 1, EXACT + 1), -np.inf)
@@ -176,13 +340,14 @@ def _p0(customers: str, tables: str, all_customers: float, all_tables: float, kn
     return (F.coalesce(F.col(customers) - DISCOUNT[0] * F.col(tables), F.lit(0.0)) + F.lit(base)) / F.lit(STRENGTH[0] + all_customers)
 
 
-def _sampled(pairs: DataFrame, contexts: DataFrame, words: DataFrame, known: int, salted: _Salted) -> tuple[DataFrame, DataFrame]:
+def _sampled(pairs: DataFrame, contexts: DataFrame, words: DataFrame, known: int, once: int, salted: _Salted) -> tuple[DataFrame, DataFrame]:
     """Pairs of two customers and more (u, w, c, t, s0, s1, ...) with their tables in each sample, and words (u, w, ones,
-    c, t, s0, ...) with those of the parent."""
+    c, t, s0, ...) with those of the parent. The words that occur once have one customer at one table throughout and are
+    only counted."""
     S, zero = [f"s{i}" for i in range(SAMPLES)], F.lit(0).cast("long")
-    start = pairs.where("n >= 2").select("u", "w", F.col("n").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
+    start = pairs.select("u", "w", F.col("n").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
     state = saved(salted.join(start, contexts.select("u", "ones"), "u"), "seats")
-    parents = words.select(zero.alias("u"), "w", "ones", F.col("types").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
+    parents = words.where("n >= 2").select(zero.alias("u"), "w", "ones", F.col("ones").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
     all_tables, old = known, []
     for sweep in range(BURN_IN + SAMPLES):
         sample = sweep - BURN_IN
@@ -192,7 +357,7 @@ def _sampled(pairs: DataFrame, contexts: DataFrame, words: DataFrame, known: int
             old.append(parents)
         parents = parents.join(seated, "w", "left").withColumn("c", F.col("ones") + F.coalesce("more", F.lit(0))).drop("more")
         parents = saved(keep(_drawn(parents.withColumns({"total": F.lit(all_tables).cast("long"), "p": F.lit(1 / (known + 1))}), 0, sweep)), "parents")
-        customers, all_tables = (int(x or 0) for x in parents.agg(F.sum("c"), F.sum("t")).first())
+        customers, all_tables = (int(x or 0) + once for x in parents.agg(F.sum("c"), F.sum("t")).first())
         totals = state.groupBy("u").agg((F.sum("t") + F.first("ones")).alias("total"))
         p0 = parents.select("w", _p0("c", "t", customers, all_tables, known).alias("p"))
         old.append(state)
@@ -223,43 +388,41 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]
-    body = F.coalesce(F.col(text), F.lit(""))
-    pairs = saved(_pair_counts(docs.select(body.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))), "pairs")
-    sums = (F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("ones"), F.count("*").alias("types"))
-    words, contexts = (saved(pairs.where("n > 0").groupBy(x).agg(*sums), "words") for x in ("w", "u"))
-    known, N = (int(x or 0) for x in words.agg(F.count("*"), F.sum("n")).first())
-    hot = [r.w for r in words.where(F.col("n") >= max(1, HOT_SHARE * N)).select("w").collect()]
+    row = F.struct(F.lit(True).alias("any"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
+    blocks = saved(_blocks(docs.select(row.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))), "blocks", "zstd")
+    tokens = int(blocks.select(F.sum(F.size("tokens")).alias("n")).first().n or 0)
+    buckets = 1 + tokens // BUCKET
+    often = blocks.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("n"))
+    hot = sorted(r.often for r in often.where(F.col("n") >= HOT_SHARE / 2 * tokens).collect())
     salted = _Salted(hot, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    state, parents = _sampled(pairs, contexts, words, known, salted)
+    counts = saved(_counts(_pair_requests(blocks, buckets, hot, True)), "counts")
+    _dropped([])
+    pairs = counts.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("w"), "n")
+    words, contexts = (saved(counts.where(F.col("kind") == k).groupBy(F.col("a").alias(x)).agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")), "words") for k, x in ((1, "w"), (2, "u")))
+    known, once, N = (int(x or 0) for x in words.agg(F.count("*"), F.count_if(F.col("n") == 1), F.sum("n")).first())
+    state, parents = _sampled(pairs, contexts, words, known, once, salted)
+    _dropped([counts])
 
     S = range(SAMPLES)
     by = lambda x: state.groupBy(x).agg(*(F.sum(f"s{i}").alias(f"m{i}") for i in S))
     customers = lambda i: F.col("ones") + F.coalesce(f"m{i}", F.lit(0))
-    dish = parents.join(by("w"), "w", "left").select("w", *(customers(i).alias(f"c{i}") for i in S), *(F.least(F.col(f"s{i}"), customers(i)).alias(f"t{i}") for i in S))
-    dish = saved(dish.join(words.select("w", F.col("n").alias("nw")), "w"), "dishes")
+    dish = words.join(by("w"), "w", "left").select("w", "n", *(customers(i).alias(f"c{i}") for i in S))
+    dish = dish.join(parents.select("w", *(f"s{i}" for i in S)), "w", "left").select("w", "n", *(f"c{i}" for i in S), *(F.least(F.coalesce(f"s{i}", F.lit(1)), f"c{i}").alias(f"t{i}") for i in S))
+    tables = contexts.join(by("u"), "u", "left").select(F.col("u").alias("w"), *(customers(i).alias(f"of{i}") for i in S))
+    dish = saved(dish.join(tables, "w"), "dishes")
     totals = [float(x or 0) for x in dish.agg(*(F.sum(f"{k}{i}") for k in "ct" for i in S)).first()]
-    p0 = dish.select("w", "nw", *(_p0(f"c{i}", f"t{i}", totals[i], totals[SAMPLES + i], known).alias(f"p{i}") for i in S))
     size = STRENGTH[1] + F.col("n")
-    back = contexts.join(by("u"), "u", "left").select("u", size.alias("size"), *(((STRENGTH[1] + DISCOUNT[1] * customers(i)) / size).alias(f"b{i}") for i in S))
-    seats = pairs.where("n < 2").select("u", "w", (F.col("n") * (1 - DISCOUNT[1])).alias("seat"))
-    seats = seats.union(state.select("u", "w", F.col("c") - DISCOUNT[1] / SAMPLES * sum((F.col(f"s{i}") for i in S), F.lit(0))))
-    both = salted.join(salted.join(seats, back, "u", "left"), p0, "w", "left")
+    facts = dish.select(F.pmod("w", F.lit(buckets)).cast("int").alias("bucket"), "w", "n", *(_p0(f"c{i}", f"t{i}", totals[i], totals[SAMPLES + i], known).alias(f"p{i}") for i in S), *(((STRENGTH[1] + DISCOUNT[1] * F.col(f"of{i}")) / size).alias(f"b{i}") for i in S))
     unknown = [float((STRENGTH[0] + DISCOUNT[0] * totals[SAMPLES + i]) / (known + 1) / (STRENGTH[0] + totals[i])) for i in S]
-    p = F.coalesce(F.col("seat") / F.col("size"), F.lit(0.0)) + sum((F.coalesce(f"b{i}", F.lit(1.0)) * F.coalesce(f"p{i}", F.lit(unknown[i])) for i in S), F.lit(0.0)) / SAMPLES
-    smooth = N + 0.5 * (known + 1)
-    seen = F.coalesce("nw", F.lit(0))
-    scored = both.select(_key_column(), F.log10(F.least(p, F.lit(1.0))).alias("s"), F.log10((seen + 0.5) / F.lit(smooth)).alias("b"), (seen > 0).cast("int").alias("known"))
-
-    ided = docs.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit(1), body).alias("_k2"))
-    texts = docs.select(F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("text"))
-    of = lambda x: F.sum(F.col("m") * F.col(x))
-    found = _requests(texts).join(scored, "key").groupBy("k1", "k2").agg(F.sum("m").alias("_m"), of("known").alias("_known"), of("b").alias("_base"), of("s").alias("_score"))
-    copies = ided.groupBy("_k1", "_k2").agg(F.count("*").alias("_copies"))  # equal texts add up in the sums above
-    found = found.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}).join(copies, ["_k1", "_k2"])
-    out = ided.join(found, ["_k1", "_k2"])
-    whole = lambda x: F.round(F.col(x) / F.col("_copies")).cast("long")
-    score = F.col("_score") / F.col("_copies")
-    return out.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), whole("_m").alias("n_tokens"), whole("_known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), (F.col("_base") / F.col("_copies")).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / whole("_m")).alias("perplexity"))
+    word_answers = saved(_word_answers(blocks, facts, buckets, unknown), "answers")
+    _dropped([dish, words, contexts, parents])
+    spread = F.when(F.col("u").isin(hot), F.pmod("key", F.lit(buckets))).otherwise(F.pmod("u", F.lit(buckets))).cast("int")
+    mean = sum((F.col(f"s{i}") for i in S), F.lit(0)) / SAMPLES
+    seated = state.select("u", _key_column().alias("key"), mean.alias("t")).select(spread.alias("bucket"), "key", "t")
+    seats = saved(_seats(_pair_requests(blocks, buckets, hot, False), seated), "answers")
+    _dropped([state])
+    out = _scored(blocks, word_answers.union(seats), buckets, hot, N + 0.5 * (known + 1))
+    return out.select(*(F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("m").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("m")).alias("perplexity"))
 
 
 def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
