@@ -26,7 +26,7 @@ from .labelled import fold
 #: Words of about this share of all tokens are spread in joins, so there are at most 2 / HOT_SHARE. Results don't depend on it.
 HOT_SHARE = 1e-3
 #: Bytes of text that are one block, and tokens of the table for each bucket of pairs. Results don't depend on them.
-BLOCK, BUCKET = 16 << 20, 2_500_000
+BLOCK, BUCKET = 8 << 20, 2_500_000
 DISCOUNT, STRENGTH = (0.6, 0.75), (5.0, 1.0)  # of the parent, and of contexts
 BURN_IN, SAMPLES = 4, 3
 EXACT = 40  # pairs of up to so many customers draw their tables in one step; larger ones are seated in growing parties
@@ -83,30 +83,35 @@ def _blocks(docs: DataFrame) -> DataFrame:
 class _Pairs:
     """The distinct pairs (u, w) of a block, as places in its words, in the order of their buckets."""
 
-    def __init__(self, batch, row: int, buckets: int, hot: np.ndarray):
+    def __init__(self, batch, row: int, buckets: int, hot: np.ndarray, places: bool = False):
+        """places: also find the place of each token's pair."""
         self.block = batch.column("block")[row].as_py()
-        self.words, tokens, self.lengths, train = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("words", "tokens", "lengths", "train"))
-        self.tokens = tokens = tokens.astype(np.int64)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
+        self.words, self.tokens, self.lengths, train = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("words", "tokens", "lengths", "train"))
         self.starts = np.cumsum(self.lengths) - self.lengths
-        before[self.starts] = np.flatnonzero(self.words == END.view(np.int64))[0]
-        key = before * len(self.words) + tokens
-        by_key = np.argsort(key)
-        key = key[by_key]
-        new = np.append(True, key[1:] != key[:-1])
+        key = np.empty(len(self.tokens), np.int64)
+        key[1:] = self.tokens[:-1]
+        key[self.starts] = np.flatnonzero(self.words == END.view(np.int64))[0]
+        key *= len(self.words)
+        key += self.tokens
+        by_key = np.argsort(key) if places else None
+        key <<= 1
+        key |= np.repeat(train, self.lengths)
+        key = key[by_key] if places else np.sort(key)
+        new = np.append(True, key[1:] >> 1 != key[:-1] >> 1)
         first = np.flatnonzero(new)
-        u, w = np.divmod(key[first], len(self.words))
-        n = np.add.reduceat(np.repeat(train, self.lengths)[by_key].astype(np.int64), first)
-        bucket = (self.words % buckets)[u]
+        n = np.add.reduceat(key & 1, first).astype(np.int32)
+        u, w = (x.astype(np.int32) for x in np.divmod(key[first] >> 1, len(self.words)))
+        del key
+        bucket = (self.words % buckets).astype(np.int32)[u]
         own = np.flatnonzero(np.isin(self.words, hot)[u])
         bucket[own] = _key(*(self.words[x[own]].view(np.uint64) for x in (u, w))).view(np.int64) % buckets
         order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
         self.u, self.w, self.n, self.bucket = u[order], w[order], n[order], bucket[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.of_token = np.empty_like(tokens)
-        self.of_token[by_key] = place[np.cumsum(new) - 1]
+        if places:
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            self.of_token = np.empty(len(by_key), np.int32)
+            self.of_token[by_key] = place[np.cumsum(new) - 1]
 
 
 def _pair_requests(blocks: DataFrame, buckets: int, hot: list[int], seen: bool) -> DataFrame:
@@ -117,9 +122,9 @@ def _pair_requests(blocks: DataFrame, buckets: int, hot: list[int], seen: bool)
         for batch in batches:
             for row in range(batch.num_rows):
                 b = _Pairs(batch, row, buckets, np.array(hot, np.int64))
-                own = np.flatnonzero(b.n > 0) if seen else np.arange(len(b.n))
+                own = b.n > 0 if seen else slice(None)
                 u, w, n, bucket = b.u[own], b.w[own], b.n[own], b.bucket[own]
-                if not len(own):
+                if not len(n):
                     continue
                 first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (bucket[1:] != bucket[:-1])))
                 ids, sizes = np.unique(bucket, return_counts=True)
@@ -225,7 +230,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int],
 
     def run(table: pa.Table, answer: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        b = _Pairs(table, 0, buckets, np.array(hot, np.int64))
+        b = _Pairs(table, 0, buckets, np.array(hot, np.int64), places=True)
         answer = answer.sort_by("bucket")
         kind = answer.column("kind").to_numpy()
         seat = _flat(answer.filter(pa.array(kind == 0)), "v").astype(np.float64)
@@ -327,11 +332,11 @@ class _Salted:
 
     def join(self, pairs: DataFrame, one: DataFrame, by: str, how: str = "inner") -> DataFrame:
         if not self.hot:
-            return pairs.join(one, by, how)
+            return pairs.join(one.hint("shuffle_hash"), by, how)
         other, often = "w" if by == "u" else "u", F.col(by).isin(self.hot)
         left = pairs.withColumn("_salt", F.when(often, F.pmod(F.xxhash64(other), F.lit(self.salts)).cast("int")).otherwise(0))
         right = one.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(F.array(F.lit(0)))))
-        return left.join(right, [by, "_salt"], how).drop("_salt")
+        return left.join(right.hint("shuffle_hash"), [by, "_salt"], how).drop("_salt")
 
 
 def _p0(customers: str, tables: str, all_customers: float, all_tables: float, known: int):
@@ -340,27 +345,27 @@ def _p0(customers: str, tables: str, all_customers: float, all_tables: float, kn
     return (F.coalesce(F.col(customers) - DISCOUNT[0] * F.col(tables), F.lit(0.0)) + F.lit(base)) / F.lit(STRENGTH[0] + all_customers)
 
 
-def _sampled(pairs: DataFrame, contexts: DataFrame, words: DataFrame, known: int, once: int, salted: _Salted) -> tuple[DataFrame, DataFrame]:
+def _sampled(counts: DataFrame, contexts: DataFrame, words: DataFrame, known: int, once: int, salted: _Salted) -> tuple[DataFrame, DataFrame]:
     """Pairs of two customers and more (u, w, c, t, s0, s1, ...) with their tables in each sample, and words (u, w, ones,
     c, t, s0, ...) with those of the parent. The words that occur once have one customer at one table throughout and are
     only counted."""
     S, zero = [f"s{i}" for i in range(SAMPLES)], F.lit(0).cast("long")
-    start = pairs.select("u", "w", F.col("n").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
+    start = counts.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("w"), F.col("n").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
     state = saved(salted.join(start, contexts.select("u", "ones"), "u"), "seats")
     parents = words.where("n >= 2").select(zero.alias("u"), "w", "ones", F.col("ones").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
-    all_tables, old = known, []
+    all_tables, old = known, [counts]
     for sweep in range(BURN_IN + SAMPLES):
         sample = sweep - BURN_IN
         keep = lambda df: df.withColumn(S[sample], F.col("t")) if sample >= 0 else df
         seated = state.groupBy("w").agg(F.sum("t").alias("more"))
-        if sweep:
-            old.append(parents)
+        old += [parents] if sweep else []
         parents = parents.join(seated, "w", "left").withColumn("c", F.col("ones") + F.coalesce("more", F.lit(0))).drop("more")
         parents = saved(keep(_drawn(parents.withColumns({"total": F.lit(all_tables).cast("long"), "p": F.lit(1 / (known + 1))}), 0, sweep)), "parents")
         customers, all_tables = (int(x or 0) + once for x in parents.agg(F.sum("c"), F.sum("t")).first())
+        old = _dropped(old)
         totals = state.groupBy("u").agg((F.sum("t") + F.first("ones")).alias("total"))
         p0 = parents.select("w", _p0("c", "t", customers, all_tables, known).alias("p"))
-        old.append(state)
+        old = [state]
         state = saved(keep(_drawn(salted.join(salted.join(state, totals, "u"), p0, "w"), 1, sweep)), "seats")
         old = _dropped(old)
     return state, parents
@@ -397,11 +402,9 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     salted = _Salted(hot, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     counts = saved(_counts(_pair_requests(blocks, buckets, hot, True)), "counts")
     _dropped([])
-    pairs = counts.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("w"), "n")
     words, contexts = (saved(counts.where(F.col("kind") == k).groupBy(F.col("a").alias(x)).agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")), "words") for k, x in ((1, "w"), (2, "u")))
     known, once, N = (int(x or 0) for x in words.agg(F.count("*"), F.count_if(F.col("n") == 1), F.sum("n")).first())
-    state, parents = _sampled(pairs, contexts, words, known, once, salted)
-    _dropped([counts])
+    state, parents = _sampled(counts, contexts, words, known, once, salted)
 
     S = range(SAMPLES)
     by = lambda x: state.groupBy(x).agg(*(F.sum(f"s{i}").alias(f"m{i}") for i in S))
@@ -414,13 +417,14 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     size = STRENGTH[1] + F.col("n")
     facts = dish.select(F.pmod("w", F.lit(buckets)).cast("int").alias("bucket"), "w", "n", *(_p0(f"c{i}", f"t{i}", totals[i], totals[SAMPLES + i], known).alias(f"p{i}") for i in S), *(((STRENGTH[1] + DISCOUNT[1] * F.col(f"of{i}")) / size).alias(f"b{i}") for i in S))
     unknown = [float((STRENGTH[0] + DISCOUNT[0] * totals[SAMPLES + i]) / (known + 1) / (STRENGTH[0] + totals[i])) for i in S]
-    word_answers = saved(_word_answers(blocks, facts, buckets, unknown), "answers")
-    _dropped([dish, words, contexts, parents])
+    _dropped([words, contexts, parents])
     spread = F.when(F.col("u").isin(hot), F.pmod("key", F.lit(buckets))).otherwise(F.pmod("u", F.lit(buckets))).cast("int")
     mean = sum((F.col(f"s{i}") for i in S), F.lit(0)) / SAMPLES
     seated = state.select("u", _key_column().alias("key"), mean.alias("t")).select(spread.alias("bucket"), "key", "t")
     seats = saved(_seats(_pair_requests(blocks, buckets, hot, False), seated), "answers")
     _dropped([state])
+    word_answers = saved(_word_answers(blocks, facts, buckets, unknown), "answers")
+    _dropped([dish])
     out = _scored(blocks, word_answers.union(seats), buckets, hot, N + 0.5 * (known + 1))
     return out.select(*(F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("m").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("m")).alias("perplexity"))
 
