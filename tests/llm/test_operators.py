@@ -272,13 +272,14 @@ def test_language_scores_rare_contexts(spark):
     assert got[1000].score > got[1001].score + 78 and abs(got[1000].base_score - got[1001].base_score) < 1e-6
 
 
-def test_language_scores_do_not_depend_on_partitions(spark):
-    """With a word of a third of all tokens, totals are those of all tasks, however many there are."""
+def test_language_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """With a word of a third of all tokens, totals are those of all tasks and buckets, however many there are."""
     docs = spark.createDataFrame([(i, " ".join(f"the w{(i * j) % 91}" + (" the" if j % 3 else "") for j in range(1, 60))) for i in range(120)], "doc_id long, text string")
     got, parts = [], spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for n in ("2", "11"):
+        for n, bucket in (("2", 1_000_000), ("11", 300)):
             spark.conf.set("spark.sql.shuffle.partitions", n)
+            monkeypatch.setattr("corpuscope.llm.language.BUCKET", bucket)
             got.append({r.doc_id: r.score for r in score_texts(docs, F.col("doc_id") % 5 != 1).collect()})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
