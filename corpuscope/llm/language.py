@@ -26,7 +26,7 @@ from .labelled import fold
 #: Words of about this share of all tokens are spread in joins, so there are at most 2 / HOT_SHARE. Results don't depend on it.
 HOT_SHARE = 1e-3
 #: Bytes of text that are one block, and tokens of the table for each bucket of pairs. Results don't depend on them.
-BLOCK, BUCKET = 8 << 20, 2_500_000
+BLOCK, BUCKET = 4 << 20, 1_000_000
 DISCOUNT, STRENGTH = (0.6, 0.75), (5.0, 1.0)  # of the parent, and of contexts
 BURN_IN, SAMPLES = 4, 3
 EXACT = 40  # pairs of up to so many customers draw their tables in one step; larger ones are seated in growing parties
@@ -50,10 +50,6 @@ def _key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return u ^ (w << np.uint64(17) | w >> np.uint64(47))
 
 
-def _key_column():
-    return F.col("u").bitwiseXOR(F.shiftleft("w", 17).bitwiseOR(F.shiftrightunsigned("w", 47)))
-
-
 # ---------------------------------------------------------------- blocks of texts as numbers of words
 def _blocks(docs: DataFrame) -> DataFrame:
     """docs (row, text, train) as one row for each BLOCK bytes of text: the block's words, most frequent first, the tokens
@@ -153,34 +149,82 @@ def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return u[order[first]], w[order[first]], np.add.reduceat(n[order], first), key[order[first]], of
 
 
-def _counts(requests: DataFrame) -> DataFrame:
-    """(kind, a, b, n, ones): pairs of two customers and more (kind 0), and by bucket the customers and the pairs of one
-    customer of each word (kind 1) and each context (kind 2)."""
+_LISTS = lambda names, kind: ", ".join(f"{n} array<{kind}>" for n in names.split())
+#: A bucket's pairs of two customers and more: contexts (u, their tables of one customer, totals of each sample) and of
+#: each pair the word, its context's place, customers, tables and the sum of the samples' tables, in order of the words' buckets.
+_PAIRS = f"bucket int, {_LISTS('u once totals w c t sum hot hot_t', 'long')}, at array<int>"
+#: A bucket's words: customers in texts (n), tables of pairs of one customer that serve the word (ones) or stand in its own
+#: restaurant (uones), customers and tables in the parent, those of each sample and its tables as a context (cs, ts, of),
+#: the words that each bucket of pairs (src) has its size of, and sums over the words of two customers and more, or of all.
+_WORDS = f"bucket int, {_LISTS('w n ones uones c t cs ts of', 'long')}, {_LISTS('at src size', 'int')}, sum_c long, sum_t long, sums array<double>"
+#: From buckets of pairs to those of words: kind 0 has tables of words (in order), kind 1 tables of contexts by sample.
+_MESSAGE = "kind int, bucket int, src int, w array<long>, m array<long>"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "float": pa.float32()}
+
+
+def _rows(schema: str, **values) -> pa.Table:
+    """One row; arrays are the lists of the columns named array. Without values: no row."""
+    out = {}
+    for name, kind in (x.split(" ") for x in schema.split(", ")):
+        of = _ARROW[kind.removeprefix("array<").removesuffix(">")]
+        column = pa.array([], pa.list_(of) if "<" in kind else of)
+        if values:
+            x = values[name]
+            column = list_array(pa.array(np.asarray(x), of), np.array([len(x)])) if "<" in kind else pa.array([int(x)], of)
+        out[name] = column
+    return pa.table(out)
+
+
+def _by(ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of words, each with where its words start and how many it has; ids are in order of buckets."""
+    bucket = ids % buckets
+    first = np.flatnonzero(np.append(len(ids) > 0, bucket[1:] != bucket[:-1]))
+    return bucket[first].astype(np.int32), first, np.diff(np.append(first, len(ids)))
+
+
+def _counts(requests: DataFrame, buckets: int) -> DataFrame:
+    """(kind, bucket, src, u, once, w, n, ones, at): a bucket's pairs of two customers and more (kind 0), and lists to the
+    buckets of words: customers, pairs of one customer and other pairs of each word (1), pairs of one customer of each context (2)."""
+    schema = f"kind int, bucket int, src int, {_LISTS('u once w n ones', 'long')}, at array<int>"
 
     def run(table: pa.Table) -> pa.Table:
+        own = table.column("bucket")[0].as_py()
         u, w, n, _, _ = _totals(table)
-        two = n >= 2
-        out = [(0, u[two], w[two], n[two], n[two] * 0)]
+        two, none = n >= 2, np.zeros(0, np.int64)
+        out = []
         for kind, x in ((1, w), (2, u)):
             ids, inverse = np.unique(x, return_inverse=True)
-            out.append((kind, ids, ids, np.bincount(inverse, n, len(ids)).astype(np.int64), np.bincount(inverse[~two], minlength=len(ids))))
-        return pa.table([np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out]), *(np.concatenate([x[k] for x in out]) for k in range(1, 5))], ["kind", "a", "b", "n", "ones"])
-
-    return requests.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long, ones long")
+            order = np.argsort(ids % buckets, kind="stable")
+            ids, all_n, ones, more = (y[order].astype(np.int64) for y in (ids, np.bincount(inverse, n, len(ids)), np.bincount(inverse[~two], minlength=len(ids)), np.bincount(inverse[two], minlength=len(ids))))
+            for to, a, k in zip(*_by(ids, buckets)):
+                part = slice(a, a + k)
+                out.append(_rows(schema, kind=kind, bucket=to, src=own, u=none, once=more[part] if kind == 1 else none, w=ids[part], n=all_n[part], ones=ones[part], at=none))
+            if kind == 2 and two.any():
+                have, at = np.unique(inverse[two], return_inverse=True)
+                names, once = np.unique(x)[have], np.bincount(inverse[~two], minlength=len(ids))[have]
+                words = w[two]
+                order = np.lexsort((words, words % buckets))
+                out.append(_rows(schema, kind=0, bucket=own, src=own, u=names, once=once, w=words[order], n=n[two][order], ones=none, at=at[order]))
+        return pa.concat_tables(out)
+
+    return requests.groupBy("bucket").applyInArrow(run, schema)
 
 
 _ANSWER = "kind int, bucket int, block long, n array<long>, v array<float>"
 
 
 def _seats(requests: DataFrame, state: DataFrame) -> DataFrame:
-    """Answers to pair requests: customers less discounts of each pair, in order. state: (bucket, key, t mean tables)."""
+    """Answers to pair requests: customers less discounts of each pair, in order. state: the pairs of two customers and more."""
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], f.type) for f in pa_answer], schema=pa_answer)
         _, _, n, keys, of = _totals(table)
         t = np.minimum(n, 1).astype(np.float64)
-        t[np.searchsorted(keys, known.column("key").to_numpy())] = known.column("t").to_numpy()
+        if known.num_rows:
+            u = _flat(known, "u")[_flat(known, "at")]
+            key = _key(u.view(np.uint64), _flat(known, "w").view(np.uint64)).view(np.int64)
+            t[np.searchsorted(keys, key)] = _flat(known, "sum") / SAMPLES
         sizes = pc.list_value_length(table.column("w")).to_numpy()
         rows = table.num_rows
         return pa.table([np.zeros(rows, np.int32), table.column("bucket"), table.column("block"), pa.nulls(rows, pa_answer.field("n").type), list_array((n - DISCOUNT[1] * t).astype(np.float32)[of], sizes)], schema=pa_answer)
@@ -189,8 +233,10 @@ def _seats(requests: DataFrame, state: DataFrame) -> DataFrame:
     return requests.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, _ANSWER)
 
 
-def _word_answers(blocks: DataFrame, facts: DataFrame, buckets: int, unknown: list[float]) -> DataFrame:
-    """What facts (bucket, w, n, p0.., b0..) say of each block's words, in order of buckets; n = 0 of others."""
+def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int, known_words: int, totals: list[float]) -> DataFrame:
+    """Of each block's words, in order of buckets: customers, the parent's prediction and what a context leaves to the
+    parent in each sample; n = 0 of unknown words. totals: of customers, then of tables, of the parent in each sample."""
+    unknown = [float(_p0(0, 0, totals[i], totals[SAMPLES + i], known_words)) for i in range(SAMPLES)]
 
     def ask(batches):
         for batch in batches:
@@ -200,28 +246,29 @@ def _word_answers(blocks: DataFrame, facts: DataFrame, buckets: int, unknown: li
                 ids, sizes = np.unique(words % buckets, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), batch.column("block")[row].as_py())), list_array(words[order], sizes)], ["bucket", "block", "w"])
 
-    values = [*(f"p{i}" for i in range(SAMPLES)), *(f"b{i}" for i in range(SAMPLES))]
-
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], f.type) for f in pa_answer], schema=pa_answer)
-        have = known.column("w").to_numpy()
-        by, words = np.argsort(have), _flat(table, "w")
+        have = _flat(known, "w") if known.num_rows else np.zeros(0, np.int64)
+        words = _flat(table, "w")
         sizes = pc.list_value_length(table.column("w")).to_numpy().astype(np.int64)
         v = np.repeat(np.array([*unknown, *([1.0] * SAMPLES)], np.float32)[None], len(words), axis=0)
         n = np.zeros(len(words), np.int64)
         if len(have):
-            at = by[np.minimum(np.searchsorted(have, words, sorter=by), len(have) - 1)]
+            at = np.minimum(np.searchsorted(have, words), len(have) - 1)
             found = have[at] == words
             at = at[found]
-            n[found] = known.column("n").to_numpy()[at]
-            v[found] = np.stack([known.column(c).to_numpy()[at] for c in values], axis=1)
+            n[found] = _flat(known, "n")[at]
+            cs, ts, of = (_flat(known, c).reshape(SAMPLES, -1)[:, at] for c in ("cs", "ts", "of"))
+            for i in range(SAMPLES):
+                v[found, i] = _p0(cs[i], ts[i], totals[i], totals[SAMPLES + i], known_words)
+                v[found, SAMPLES + i] = (STRENGTH[1] + DISCOUNT[1] * of[i]) / (STRENGTH[1] + n[found])
         rows = table.num_rows
-        return pa.table([np.ones(rows, np.int32), table.column("bucket"), table.column("block"), list_array(n, sizes), list_array(v.ravel(), sizes * len(values))], schema=pa_answer)
+        return pa.table([np.ones(rows, np.int32), table.column("bucket"), table.column("block"), list_array(n, sizes), list_array(v.ravel(), sizes * 2 * SAMPLES)], schema=pa_answer)
 
     pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.list_(pa.int64())), ("v", pa.list_(pa.float32()))])
     asked = blocks.select("block", "words").mapInArrow(ask, "bucket int, block long, w array<long>")
-    return asked.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(run, _ANSWER)
+    return asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(run, _ANSWER)
 
 
 def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int], smooth: float) -> DataFrame:
@@ -307,68 +354,173 @@ def draw_tables(c: np.ndarray, p: np.ndarray, total: np.ndarray, d: float, theta
     return t
 
 
-def _drawn(rows: DataFrame, level: int, sweep: int) -> DataFrame:
-    """rows (u, w, c customers, t tables, total tables of the restaurant, p, ...) with t drawn anew, less total and p."""
-    keep = [c for c in rows.columns if c not in ("total", "p")]
-    schema = rows.select(*keep).schema
+def _drawn(u: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray, total: np.ndarray, p: np.ndarray, level: int, sweep: int) -> np.ndarray:
+    """t drawn anew, in parts: tables of c customers in restaurants of total tables, whose parent predicts the word with p."""
+    stirling, out = _log_stirling(DISCOUNT[level]), np.empty_like(t)
+    shift = np.array([2 * sweep + level + 1], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for a in range(0, len(t), 50_000):
+        x = slice(a, a + 50_000)
+        seed = mix(_key(u[x].view(np.uint64), w[x].view(np.uint64)) + shift)
+        out[x] = draw_tables(c[x], p[x], total[x] - t[x], DISCOUNT[level], STRENGTH[level], stirling, seed)
+    return out
 
-    def run(batches):
-        stirling = _log_stirling(DISCOUNT[level])
-        for batch in batches:
-            if batch.num_rows:
-                u, w, c, t, total, p = (batch.column(k).to_numpy() for k in ("u", "w", "c", "t", "total", "p"))
-                seed = mix(_key(u.view(np.uint64), w.view(np.uint64)) + np.uint64(2 * sweep + level + 1) * np.uint64(0xD6E8FEB86659FD93))
-                new = pa.array(draw_tables(c, p, total - t, DISCOUNT[level], STRENGTH[level], stirling, seed))
-                yield pa.RecordBatch.from_arrays([new if k == "t" else batch.column(k) for k in keep], keep)
 
-    return rows.mapInArrow(run, schema)
+def _p0(customers, tables, all_customers: float, all_tables: float, known: int):
+    """The parent's prediction; a word without customers is the unknown one."""
+    return (customers - DISCOUNT[0] * tables + (STRENGTH[0] + DISCOUNT[0] * all_tables) / (known + 1)) / (STRENGTH[0] + all_customers)
+
 
+def _first_words(counts: DataFrame) -> DataFrame:
+    """Buckets of words (_WORDS), each known word at one table of the parent."""
 
-class _Salted:
-    """Joins by a word column in which the rows of frequent words are spread, by the other word of their pair."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("src")
+        kind = table.column("kind").to_numpy()
+        words, contexts = (table.filter(pa.array(kind == k)) for k in (1, 2))
+        ids, more = _flat(words, "w"), _flat(words, "once")
+        w, at = np.unique(ids, return_inverse=True)
+        n, ones = (np.bincount(at, _flat(words, x), len(w)).astype(np.int64) for x in ("n", "ones"))
+        of = np.searchsorted(w, _flat(contexts, "w"))
+        uones = np.bincount(of, _flat(contexts, "ones"), len(w)).astype(np.int64)
+        src = np.repeat(words.column("src").to_numpy(), pc.list_value_length(words.column("w")).to_numpy())[more > 0]
+        names, sizes = np.unique(src, return_counts=True)
+        zero = np.zeros(0, np.int64)
+        return _rows(_WORDS, bucket=table.column("bucket")[0].as_py(), w=w, n=n, ones=ones, uones=uones, c=ones, t=np.ones_like(n), cs=zero, ts=zero, of=zero, at=at[more > 0], src=names, size=sizes, sum_c=0, sum_t=0, sums=zero)
 
-    def __init__(self, hot: list[int], salts: int):
-        self.hot, self.salts = hot, salts
+    return counts.where("kind > 0").groupBy("bucket").applyInArrow(run, _WORDS)
 
-    def join(self, pairs: DataFrame, one: DataFrame, by: str, how: str = "inner") -> DataFrame:
-        if not self.hot:
-            return pairs.join(one.hint("shuffle_hash"), by, how)
-        other, often = "w" if by == "u" else "u", F.col(by).isin(self.hot)
-        left = pairs.withColumn("_salt", F.when(often, F.pmod(F.xxhash64(other), F.lit(self.salts)).cast("int")).otherwise(0))
-        right = one.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(F.array(F.lit(0)))))
-        return left.join(right.hint("shuffle_hash"), [by, "_salt"], how).drop("_salt")
 
+def _first_pairs(counts: DataFrame, hot: list[int]) -> DataFrame:
+    """Buckets of pairs of two customers and more (_PAIRS), each pair at one table."""
 
-def _p0(customers: str, tables: str, all_customers: float, all_tables: float, known: int):
-    """The parent's prediction; a word without customers is the unknown one."""
-    base = (STRENGTH[0] + DISCOUNT[0] * all_tables) / (known + 1)
-    return (F.coalesce(F.col(customers) - DISCOUNT[0] * F.col(tables), F.lit(0.0)) + F.lit(base)) / F.lit(STRENGTH[0] + all_customers)
-
-
-def _sampled(counts: DataFrame, contexts: DataFrame, words: DataFrame, known: int, once: int, salted: _Salted) -> tuple[DataFrame, DataFrame]:
-    """Pairs of two customers and more (u, w, c, t, s0, s1, ...) with their tables in each sample, and words (u, w, ones,
-    c, t, s0, ...) with those of the parent. The words that occur once have one customer at one table throughout and are
-    only counted."""
-    S, zero = [f"s{i}" for i in range(SAMPLES)], F.lit(0).cast("long")
-    start = counts.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("w"), F.col("n").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
-    state = saved(salted.join(start, contexts.select("u", "ones"), "u"), "seats")
-    parents = words.where("n >= 2").select(zero.alias("u"), "w", "ones", F.col("ones").alias("c"), F.lit(1).cast("long").alias("t"), *(zero.alias(s) for s in S))
-    all_tables, old = known, [counts]
-    for sweep in range(BURN_IN + SAMPLES):
-        sample = sweep - BURN_IN
-        keep = lambda df: df.withColumn(S[sample], F.col("t")) if sample >= 0 else df
-        seated = state.groupBy("w").agg(F.sum("t").alias("more"))
-        old += [parents] if sweep else []
-        parents = parents.join(seated, "w", "left").withColumn("c", F.col("ones") + F.coalesce("more", F.lit(0))).drop("more")
-        parents = saved(keep(_drawn(parents.withColumns({"total": F.lit(all_tables).cast("long"), "p": F.lit(1 / (known + 1))}), 0, sweep)), "parents")
-        customers, all_tables = (int(x or 0) + once for x in parents.agg(F.sum("c"), F.sum("t")).first())
-        old = _dropped(old)
-        totals = state.groupBy("u").agg((F.sum("t") + F.first("ones")).alias("total"))
-        p0 = parents.select("w", _p0("c", "t", customers, all_tables, known).alias("p"))
-        old = [state]
-        state = saved(keep(_drawn(salted.join(salted.join(state, totals, "u"), p0, "w"), 1, sweep)), "seats")
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = {k: batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("u", "once", "w", "n", "at")}
+                t, zero = np.ones_like(x["n"]), np.zeros(0, np.int64)
+                places = np.flatnonzero(np.isin(x["u"], hot))
+                tables = np.bincount(x["at"], t, len(x["u"])).astype(np.int64)
+                yield from _rows(_PAIRS, bucket=batch.column("bucket")[i].as_py(), u=x["u"], once=x["once"], totals=zero, w=x["w"], c=x["n"], t=t, sum=t * 0, hot=x["u"][places], hot_t=tables[places], at=x["at"]).to_batches()
+
+    return counts.where("kind = 0").select("bucket", "u", "once", "w", "n", "at").mapInArrow(run, _PAIRS)
+
+
+def _sent(pairs: DataFrame, buckets: int, last: bool) -> DataFrame:
+    """_MESSAGE: the tables of each word in each bucket of pairs; in the last round also the samples' tables of contexts."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda k: batch.column(k)[i].values.to_numpy(zero_copy_only=False)
+                own, w, none = batch.column("bucket")[i].as_py(), get("w"), np.zeros(0, np.int64)
+                start = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                m, out = np.add.reduceat(get("t"), start), []
+                for to, a, k in zip(*_by(w[start], buckets)):
+                    out.append((0, to, none, m[a : a + k]))
+                if last:
+                    u = get("u")
+                    totals = get("totals").reshape(SAMPLES, len(u))
+                    order = np.argsort(u % buckets, kind="stable")
+                    for to, a, k in zip(*_by(u[order], buckets)):
+                        part = order[a : a + k]
+                        out.append((1, to, u[part], totals[:, part].T.ravel()))
+                lists = lambda k: list_array(np.concatenate([x[k] for x in out]), np.array([len(x[k]) for x in out]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([own] * len(out), pa.int32()), lists(2), lists(3)], ["kind", "bucket", "src", "w", "m"])
+
+    return pairs.select("bucket", "u", "totals", "w", "t").mapInArrow(run, _MESSAGE)
+
+
+def _parents(words: DataFrame, messages: DataFrame, sweep: int, all_tables: int, known: int) -> DataFrame:
+    """Buckets of words with customers as the messages say and, but in the last round, tables in the parent drawn anew.
+    From the second round after burn-in on, customers and tables of the round before are kept as a sample."""
+
+    def run(table: pa.Table, sent: pa.Table) -> pa.Table:
+        x = {k: _flat(table, k) for k in ("w", "n", "ones", "uones", "t", "cs", "ts", "at", "src", "size")}
+        sent = sent.sort_by("src")
+        kind = sent.column("kind").to_numpy()
+        m = _flat(sent.filter(pa.array(kind == 0)), "m")
+        c, t, of, sums = x["ones"] + np.bincount(x["at"], m, len(x["w"])).astype(np.int64), x["t"], np.zeros(0, np.int64), np.zeros(0)
+        cs, ts, two = x["cs"], x["ts"], x["n"] >= 2
+        if sweep > BURN_IN:
+            cs, ts = np.append(cs, c), np.append(ts, np.minimum(t, c))
+        if sweep < BURN_IN + SAMPLES:
+            w = x["w"][two]
+            t = t.copy()
+            t[two] = _drawn(w * 0, w, c[two], t[two], np.full(len(w), all_tables), np.full(len(w), 1 / (known + 1)), 0, sweep)
+        else:
+            of = np.repeat(x["uones"][None], SAMPLES, axis=0)
+            contexts = sent.filter(pa.array(kind == 1))
+            at = np.searchsorted(x["w"], _flat(contexts, "w"))
+            more = _flat(contexts, "m").reshape(-1, SAMPLES)
+            for i in range(SAMPLES):
+                of[i] += np.bincount(at, more[:, i], len(x["w"])).astype(np.int64)
+            of, sums = of.ravel(), np.concatenate([y.reshape(SAMPLES, -1).sum(axis=1) for y in (cs, ts)])
+        return _rows(_WORDS, bucket=table.column("bucket")[0].as_py(), **{k: x[k] for k in ("w", "n", "ones", "uones", "at", "src", "size")}, c=c, t=t, cs=cs, ts=ts, of=of, sum_c=c[two].sum(), sum_t=t[two].sum(), sums=sums)
+
+    return words.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(run, _WORDS)
+
+
+def _predictions(words: DataFrame, customers: int, tables: int, known: int) -> DataFrame:
+    """(bucket, src, p): the parent's predictions of the words of each bucket of pairs, in their order there."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c, t, at, src, size = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("c", "t", "at", "src", "size"))
+                p = _p0(c, t, customers, tables, known)[at]
+                own = np.full(len(src), batch.column("bucket")[i].as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(own), list_array(p, size)], ["bucket", "src", "p"])
+
+    return words.select("bucket", "c", "t", "at", "src", "size").mapInArrow(run, "bucket int, src int, p array<double>")
+
+
+def _seated(pairs: DataFrame, predictions: DataFrame, sweep: int, hot: dict[int, int]) -> DataFrame:
+    """Buckets of pairs with tables drawn anew. hot: tables of the contexts that are spread over buckets."""
+    names = np.array(sorted(hot), np.int64)
+    tables = np.array([hot[x] for x in sorted(hot)], np.int64)
+
+    def run(table: pa.Table, sent: pa.Table) -> pa.Table:
+        x = {k: _flat(table, k) for k in ("u", "once", "totals", "w", "c", "t", "sum", "at")}
+        w, at, t, size = x["w"], x["at"], x["t"], len(x["u"])
+        p = _flat(sent.sort_by("src"), "p")[np.cumsum(np.append(False, w[1:] != w[:-1]))]
+        total = x["once"] + np.bincount(at, t, size).astype(np.int64)
+        spread = np.flatnonzero(np.isin(x["u"], names))
+        total[spread] = tables[np.searchsorted(names, x["u"][spread])]
+        t = _drawn(x["u"][at], w, x["c"], t, total[at], p, 1, sweep)
+        new = np.bincount(at, t, size).astype(np.int64)
+        sample = sweep >= BURN_IN
+        return _rows(_PAIRS, bucket=table.column("bucket")[0].as_py(), u=x["u"], once=x["once"], totals=np.append(x["totals"], new) if sample else x["totals"], w=w, c=x["c"], t=t, sum=x["sum"] + t if sample else x["sum"], hot=x["u"][spread], hot_t=new[spread], at=at)
+
+    return pairs.groupBy("bucket").cogroup(predictions.groupBy("bucket")).applyInArrow(run, _PAIRS)
+
+
+def _hot_tables(pairs: DataFrame, singles: dict[int, int]) -> dict[int, int]:
+    """Tables of the contexts that are spread over buckets; singles: those of their pairs of one customer."""
+    rows = pairs.select(F.explode(F.arrays_zip("hot", "hot_t")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_t").alias("t")).collect() if singles else []
+    return {r.hot: int(r.t) + singles[r.hot] for r in rows}
+
+
+def _sampled(counts: DataFrame, hot: list[int], buckets: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Buckets of pairs and of words after all sweeps, the number of known words and that of training tokens. A sweep sends the tables of pairs to the words'
+    buckets in lists, draws the parent's tables there, and sends its predictions back. Words that occur once have one
+    customer at one table throughout and are only counted."""
+    words, pairs = saved(_first_words(counts), "parents"), saved(_first_pairs(counts, np.array(hot, np.int64)), "seats")
+    sizes = words.select(F.size("w").alias("k"), F.size(F.filter("n", lambda x: x == 1)).alias("one"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    known, once, N = (int(x or 0) for x in sizes.agg(F.sum("k"), F.sum("one"), F.sum("n")).first())
+    alone = counts.where("kind = 2").select(F.explode(F.arrays_zip("w", "ones")).alias("x")).where(F.col("x.w").isin(hot)).groupBy("x.w").agg(F.sum("x.ones").alias("n"))
+    singles = {r.w: int(r.n) for r in alone.collect()} if hot else {}
+    old, all_tables = [counts], known
+    for sweep in range(BURN_IN + SAMPLES + 1):
+        last = sweep == BURN_IN + SAMPLES
+        old += [words]
+        words = saved(_parents(words, _sent(pairs, buckets, last), sweep, all_tables, known), "parents")
         old = _dropped(old)
-    return state, parents
+        if not last:
+            customers, all_tables = (int(x or 0) + once for x in words.agg(F.sum("sum_c"), F.sum("sum_t")).first())
+            old = [pairs]
+            pairs = saved(_seated(pairs, _predictions(words, customers, all_tables, known), sweep, _hot_tables(pairs, singles)), "seats")
+            old = _dropped(old)
+    return pairs, words, known, N
 
 
 def _dropped(tables: list[DataFrame]) -> list[DataFrame]:
@@ -399,32 +551,14 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     buckets = 1 + tokens // BUCKET
     often = blocks.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("n"))
     hot = sorted(r.often for r in often.where(F.col("n") >= HOT_SHARE / 2 * tokens).collect())
-    salted = _Salted(hot, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    counts = saved(_counts(_pair_requests(blocks, buckets, hot, True)), "counts")
+    counts = saved(_counts(_pair_requests(blocks, buckets, hot, True), buckets), "counts")
     _dropped([])
-    words, contexts = (saved(counts.where(F.col("kind") == k).groupBy(F.col("a").alias(x)).agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")), "words") for k, x in ((1, "w"), (2, "u")))
-    known, once, N = (int(x or 0) for x in words.agg(F.count("*"), F.count_if(F.col("n") == 1), F.sum("n")).first())
-    state, parents = _sampled(counts, contexts, words, known, once, salted)
-
-    S = range(SAMPLES)
-    by = lambda x: state.groupBy(x).agg(*(F.sum(f"s{i}").alias(f"m{i}") for i in S))
-    customers = lambda i: F.col("ones") + F.coalesce(f"m{i}", F.lit(0))
-    dish = words.join(by("w"), "w", "left").select("w", "n", *(customers(i).alias(f"c{i}") for i in S))
-    dish = dish.join(parents.select("w", *(f"s{i}" for i in S)), "w", "left").select("w", "n", *(f"c{i}" for i in S), *(F.least(F.coalesce(f"s{i}", F.lit(1)), f"c{i}").alias(f"t{i}") for i in S))
-    tables = contexts.join(by("u"), "u", "left").select(F.col("u").alias("w"), *(customers(i).alias(f"of{i}") for i in S))
-    dish = saved(dish.join(tables, "w"), "dishes")
-    totals = [float(x or 0) for x in dish.agg(*(F.sum(f"{k}{i}") for k in "ct" for i in S)).first()]
-    size = STRENGTH[1] + F.col("n")
-    facts = dish.select(F.pmod("w", F.lit(buckets)).cast("int").alias("bucket"), "w", "n", *(_p0(f"c{i}", f"t{i}", totals[i], totals[SAMPLES + i], known).alias(f"p{i}") for i in S), *(((STRENGTH[1] + DISCOUNT[1] * F.col(f"of{i}")) / size).alias(f"b{i}") for i in S))
-    unknown = [float((STRENGTH[0] + DISCOUNT[0] * totals[SAMPLES + i]) / (known + 1) / (STRENGTH[0] + totals[i])) for i in S]
-    _dropped([words, contexts, parents])
-    spread = F.when(F.col("u").isin(hot), F.pmod("key", F.lit(buckets))).otherwise(F.pmod("u", F.lit(buckets))).cast("int")
-    mean = sum((F.col(f"s{i}") for i in S), F.lit(0)) / SAMPLES
-    seated = state.select("u", _key_column().alias("key"), mean.alias("t")).select(spread.alias("bucket"), "key", "t")
-    seats = saved(_seats(_pair_requests(blocks, buckets, hot, False), seated), "answers")
-    _dropped([state])
-    word_answers = saved(_word_answers(blocks, facts, buckets, unknown), "answers")
-    _dropped([dish])
+    pairs, words, known, N = _sampled(counts, hot, buckets)
+    totals = [float(x or 0) for x in words.agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(2 * SAMPLES))).first()]
+    seats = saved(_seats(_pair_requests(blocks, buckets, hot, False), pairs.select("bucket", "u", "w", "at", "sum")), "answers")
+    _dropped([pairs])
+    word_answers = saved(_word_answers(blocks, words.select("bucket", "w", "n", "cs", "ts", "of"), buckets, known, totals), "answers")
+    _dropped([words])
     out = _scored(blocks, word_answers.union(seats), buckets, hot, N + 0.5 * (known + 1))
     return out.select(*(F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("m").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("m")).alias("perplexity"))
 
