@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step handles; a longer single text is handled whole.
 CHUNK_BYTES = 1 << 20
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Word bytes of [^\x20\x09-\x0D]+ and, after lower-casing, of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
@@ -44,9 +45,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder: later plans read files, which outlive lost executors."""
+    """df as a Parquet table in the shared folder: later plans read files, which outlive lost executors. The shuffle files of
+    the write are deleted when it ends."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -50,11 +50,40 @@ def _key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return u ^ (w << np.uint64(17) | w >> np.uint64(47))
 
 
+# ---------------------------------------------------------------- lists of numbers as bytes, which Spark copies whole
+_TYPES = {**dict.fromkeys("words u w n once ones uones totals c t sum cs ts of m".split(), np.int64), **dict.fromkeys("tokens k count at srcs size".split(), np.int32), **dict.fromkeys("v p".split(), np.float32)}
+
+
+def _packed(name: str, x: np.ndarray, counts: np.ndarray | None = None) -> pa.Array:
+    """A binary column of lists, one after the other in x, of the number type that columns of this name have."""
+    x = np.ascontiguousarray(x, _TYPES[name])
+    offsets = np.append(0, np.cumsum([len(x)] if counts is None else counts)) * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(x)])
+
+
+def _list(batch, name: str, row: int) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[row].as_buffer(), _TYPES[name])
+
+
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    """All lists of a column, one after the other."""
+    out = [np.zeros(0, _TYPES[name])]
+    for chunk in table.column(name).chunks:
+        if len(chunk) and chunk.buffers()[2] is not None:
+            offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            out.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(_TYPES[name]))
+    return np.concatenate(out)
+
+
+def _lengths(table: pa.Table, name: str) -> np.ndarray:
+    return pc.binary_length(table.column(name)).to_numpy().astype(np.int64) // np.dtype(_TYPES[name]).itemsize
+
+
 # ---------------------------------------------------------------- blocks of texts as numbers of words
 def _blocks(docs: DataFrame) -> DataFrame:
     """docs (row, text, train) as one row for each BLOCK bytes of text: the block's words, most frequent first, the tokens
     as their places there, and the words of a large share with their counts."""
-    schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in (("block", "long"), ("words", "array<long>"), ("tokens", "array<int>"), ("lengths", "array<int>"), ("train", "array<boolean>"), ("often", "array<long>"), ("times", "array<long>"))])
+    schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in (("block", "long"), ("n_tokens", "long"), ("words", "binary"), ("tokens", "binary"), ("lengths", "array<int>"), ("train", "array<boolean>"), ("often", "array<long>"), ("times", "array<long>"))])
     schema = schema.add("rows", T.ArrayType(docs.schema["row"].dataType))
 
     def run(batches):
@@ -69,7 +98,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             often = order[: np.searchsorted(-counts[order], -HOT_SHARE * len(inverse), "right")]
             one = lambda x: list_array(x, np.array([len(x)]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + i]), one(words[order].view(np.int64)), one(place[inverse]), one(lengths), one(batch.column("train")), one(words[often].view(np.int64)), one(counts[often]), one(batch.column("row"))],
+                [pa.array([(part << 32) + i]), pa.array([len(inverse)]), _packed("words", words[order].view(np.int64)), _packed("tokens", place[inverse]), one(lengths), one(batch.column("train")), one(words[often].view(np.int64)), one(counts[often]), one(batch.column("row"))],
                 schema.names,
             )
 
@@ -82,7 +111,8 @@ class _Pairs:
     def __init__(self, batch, row: int, buckets: int, hot: np.ndarray, places: bool = False):
         """places: also find the place of each token's pair."""
         self.block = batch.column("block")[row].as_py()
-        self.words, self.tokens, self.lengths, train = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("words", "tokens", "lengths", "train"))
+        self.words, self.tokens = _list(batch, "words", row), _list(batch, "tokens", row)
+        self.lengths, train = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("lengths", "train"))
         self.starts = np.cumsum(self.lengths) - self.lengths
         key = np.empty(len(self.tokens), np.int64)
         key[1:] = self.tokens[:-1]
@@ -126,20 +156,16 @@ def _pair_requests(blocks: DataFrame, buckets: int, hot: list[int], seen: bool)
                 ids, sizes = np.unique(bucket, return_counts=True)
                 runs = np.unique(bucket[first], return_counts=True)[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), b.block)), list_array(b.words[u[first]], runs), list_array(np.diff(np.append(first, len(u))).astype(np.int32), runs), list_array(b.words[w], sizes), list_array(n.astype(np.int32), sizes)],
-                    ["bucket", "block", "u", "k", "w", "n"],
+                    [pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), b.block)), _packed("u", b.words[u[first]], runs), _packed("k", np.diff(np.append(first, len(u))), runs), _packed("w", b.words[w], sizes), _packed("count", n, sizes)],
+                    ["bucket", "block", "u", "k", "w", "count"],
                 )
 
-    return blocks.select("block", "words", "tokens", "lengths", "train").mapInArrow(run, "bucket int, block long, u array<long>, k array<int>, w array<long>, n array<int>")
-
-
-def _flat(table: pa.Table, name: str) -> np.ndarray:
-    return pc.list_flatten(table.column(name)).combine_chunks().to_numpy(zero_copy_only=False)
+    return blocks.select("block", "words", "tokens", "lengths", "train").mapInArrow(run, "bucket int, block long, u binary, k binary, w binary, count binary")
 
 
 def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a bucket's requests: u, w and count over all blocks of each pair, sorted by key, these keys, and each request's pair."""
-    u, w, n = np.repeat(_flat(table, "u"), _flat(table, "k")), _flat(table, "w"), _flat(table, "n").astype(np.int64)
+    u, w, n = np.repeat(_flat(table, "u"), _flat(table, "k")), _flat(table, "w"), _flat(table, "count").astype(np.int64)
     key = _key(u.view(np.uint64), w.view(np.uint64)).view(np.int64)
     order = np.argsort(key)
     new = np.append(True, key[order][1:] != key[order][:-1])
@@ -149,30 +175,22 @@ def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return u[order[first]], w[order[first]], np.add.reduceat(n[order], first), key[order[first]], of
 
 
-_LISTS = lambda names, kind: ", ".join(f"{n} array<{kind}>" for n in names.split())
 #: A bucket's pairs of two customers and more: contexts (u, their tables of one customer, totals of each sample) and of
 #: each pair the word, its context's place, customers, tables and the sum of the samples' tables, in order of the words' buckets.
-_PAIRS = f"bucket int, {_LISTS('u once totals w c t sum hot hot_t', 'long')}, at array<int>"
+_PAIRS = "bucket int, u binary, once binary, totals binary, w binary, c binary, t binary, sum binary, at binary, hot array<long>, hot_t array<long>"
 #: A bucket's words: customers in texts (n), tables of pairs of one customer that serve the word (ones) or stand in its own
 #: restaurant (uones), customers and tables in the parent, those of each sample and its tables as a context (cs, ts, of),
-#: the words that each bucket of pairs (src) has its size of, and sums over the words of two customers and more, or of all.
-_WORDS = f"bucket int, {_LISTS('w n ones uones c t cs ts of', 'long')}, {_LISTS('at src size', 'int')}, sum_c long, sum_t long, sums array<double>"
+#: the words that each bucket of pairs (srcs) has its size of, and sums over the words of two customers and more, or of all.
+_WORDS = "bucket int, w binary, n binary, ones binary, uones binary, c binary, t binary, cs binary, ts binary, of binary, at binary, srcs binary, size binary, sum_c long, sum_t long, sums array<double>"
 #: From buckets of pairs to those of words: kind 0 has tables of words (in order), kind 1 tables of contexts by sample.
-_MESSAGE = "kind int, bucket int, src int, w array<long>, m array<long>"
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "float": pa.float32()}
+_MESSAGE = "kind int, bucket int, src int, w binary, m binary"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
 def _rows(schema: str, **values) -> pa.Table:
-    """One row; arrays are the lists of the columns named array. Without values: no row."""
-    out = {}
-    for name, kind in (x.split(" ") for x in schema.split(", ")):
-        of = _ARROW[kind.removeprefix("array<").removesuffix(">")]
-        column = pa.array([], pa.list_(of) if "<" in kind else of)
-        if values:
-            x = values[name]
-            column = list_array(pa.array(np.asarray(x), of), np.array([len(x)])) if "<" in kind else pa.array([int(x)], of)
-        out[name] = column
-    return pa.table(out)
+    """One row of a table of lists."""
+    one = lambda name, kind: _packed(name, values[name]) if kind == "binary" else pa.array([values[name]], _ARROW[kind])
+    return pa.table({name: one(name, kind) for name, kind in (x.split(" ") for x in schema.split(", "))})
 
 
 def _by(ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,10 +200,10 @@ def _by(ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return bucket[first].astype(np.int32), first, np.diff(np.append(first, len(ids)))
 
 
-def _counts(requests: DataFrame, buckets: int) -> DataFrame:
-    """(kind, bucket, src, u, once, w, n, ones, at): a bucket's pairs of two customers and more (kind 0), and lists to the
-    buckets of words: customers, pairs of one customer and other pairs of each word (1), pairs of one customer of each context (2)."""
-    schema = f"kind int, bucket int, src int, {_LISTS('u once w n ones', 'long')}, at array<int>"
+def _counts(requests: DataFrame, buckets: int, hot: list[int]) -> DataFrame:
+    """(kind, bucket, src, u, once, w, n, ones, at, hot, hot_ones): a bucket's pairs of two customers and more (kind 0), and lists to the
+    buckets of words: customers, pairs of one customer and other pairs of each word (1), pairs of one customer of each context (2), those of hot contexts also as arrays."""
+    schema = "kind int, bucket int, src int, u binary, once binary, w binary, n binary, ones binary, at binary, hot array<long>, hot_ones array<long>"
 
     def run(table: pa.Table) -> pa.Table:
         own = table.column("bucket")[0].as_py()
@@ -198,19 +216,20 @@ def _counts(requests: DataFrame, buckets: int) -> DataFrame:
             ids, all_n, ones, more = (y[order].astype(np.int64) for y in (ids, np.bincount(inverse, n, len(ids)), np.bincount(inverse[~two], minlength=len(ids)), np.bincount(inverse[two], minlength=len(ids))))
             for to, a, k in zip(*_by(ids, buckets)):
                 part = slice(a, a + k)
-                out.append(_rows(schema, kind=kind, bucket=to, src=own, u=none, once=more[part] if kind == 1 else none, w=ids[part], n=all_n[part], ones=ones[part], at=none))
+                often = np.flatnonzero(np.isin(ids[part], hot)) if kind == 2 and len(hot) else none
+                out.append(_rows(schema, hot=ids[part][often], hot_ones=ones[part][often], kind=kind, bucket=to, src=own, u=none, once=more[part] if kind == 1 else none, w=ids[part], n=all_n[part], ones=ones[part], at=none))
             if kind == 2 and two.any():
                 have, at = np.unique(inverse[two], return_inverse=True)
                 names, once = np.unique(x)[have], np.bincount(inverse[~two], minlength=len(ids))[have]
                 words = w[two]
                 order = np.lexsort((words, words % buckets))
-                out.append(_rows(schema, kind=0, bucket=own, src=own, u=names, once=once, w=words[order], n=n[two][order], ones=none, at=at[order]))
+                out.append(_rows(schema, hot=none, hot_ones=none, kind=0, bucket=own, src=own, u=names, once=once, w=words[order], n=n[two][order], ones=none, at=at[order]))
         return pa.concat_tables(out)
 
     return requests.groupBy("bucket").applyInArrow(run, schema)
 
 
-_ANSWER = "kind int, bucket int, block long, n array<long>, v array<float>"
+_ANSWER = "kind int, bucket int, block long, n binary, v binary"
 
 
 def _seats(requests: DataFrame, state: DataFrame) -> DataFrame:
@@ -225,11 +244,11 @@ def _seats(requests: DataFrame, state: DataFrame) -> DataFrame:
             u = _flat(known, "u")[_flat(known, "at")]
             key = _key(u.view(np.uint64), _flat(known, "w").view(np.uint64)).view(np.int64)
             t[np.searchsorted(keys, key)] = _flat(known, "sum") / SAMPLES
-        sizes = pc.list_value_length(table.column("w")).to_numpy()
+        sizes = _lengths(table, "w")
         rows = table.num_rows
-        return pa.table([np.zeros(rows, np.int32), table.column("bucket"), table.column("block"), pa.nulls(rows, pa_answer.field("n").type), list_array((n - DISCOUNT[1] * t).astype(np.float32)[of], sizes)], schema=pa_answer)
+        return pa.table([np.zeros(rows, np.int32), table.column("bucket"), table.column("block"), pa.nulls(rows, pa_answer.field("n").type), _packed("v", (n - DISCOUNT[1] * t).astype(np.float32)[of], sizes)], schema=pa_answer)
 
-    pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.list_(pa.int64())), ("v", pa.list_(pa.float32()))])
+    pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.binary()), ("v", pa.binary())])
     return requests.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, _ANSWER)
 
 
@@ -241,17 +260,17 @@ def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int, known_words
     def ask(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                words = batch.column("words")[row].values.to_numpy()
+                words = _list(batch, "words", row)
                 order = np.argsort(words % buckets, kind="stable")
                 ids, sizes = np.unique(words % buckets, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), batch.column("block")[row].as_py())), list_array(words[order], sizes)], ["bucket", "block", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), batch.column("block")[row].as_py())), _packed("w", words[order], sizes)], ["bucket", "block", "w"])
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], f.type) for f in pa_answer], schema=pa_answer)
         have = _flat(known, "w") if known.num_rows else np.zeros(0, np.int64)
         words = _flat(table, "w")
-        sizes = pc.list_value_length(table.column("w")).to_numpy().astype(np.int64)
+        sizes = _lengths(table, "w")
         v = np.repeat(np.array([*unknown, *([1.0] * SAMPLES)], np.float32)[None], len(words), axis=0)
         n = np.zeros(len(words), np.int64)
         if len(have):
@@ -264,10 +283,10 @@ def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int, known_words
                 v[found, i] = _p0(cs[i], ts[i], totals[i], totals[SAMPLES + i], known_words)
                 v[found, SAMPLES + i] = (STRENGTH[1] + DISCOUNT[1] * of[i]) / (STRENGTH[1] + n[found])
         rows = table.num_rows
-        return pa.table([np.ones(rows, np.int32), table.column("bucket"), table.column("block"), list_array(n, sizes), list_array(v.ravel(), sizes * 2 * SAMPLES)], schema=pa_answer)
+        return pa.table([np.ones(rows, np.int32), table.column("bucket"), table.column("block"), _packed("n", n, sizes), _packed("v", v.ravel(), sizes * 2 * SAMPLES)], schema=pa_answer)
 
-    pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.list_(pa.int64())), ("v", pa.list_(pa.float32()))])
-    asked = blocks.select("block", "words").mapInArrow(ask, "bucket int, block long, w array<long>")
+    pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.binary()), ("v", pa.binary())])
+    asked = blocks.select("block", "words").mapInArrow(ask, "bucket int, block long, w binary")
     return asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(run, _ANSWER)
 
 
@@ -293,7 +312,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int],
         rows = table.column("rows").combine_chunks().flatten()
         return pa.table([rows, b.lengths.astype(np.int64), sums(known[b.tokens]), sums(base[b.tokens]), sums(np.log10(np.minimum(p, 1.0))[b.of_token])], ["row", "m", "known", "base", "score"])
 
-    return blocks.drop("often", "times").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return blocks.drop("often", "times", "n_tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- seating
@@ -382,10 +401,10 @@ def _first_words(counts: DataFrame) -> DataFrame:
         n, ones = (np.bincount(at, _flat(words, x), len(w)).astype(np.int64) for x in ("n", "ones"))
         of = np.searchsorted(w, _flat(contexts, "w"))
         uones = np.bincount(of, _flat(contexts, "ones"), len(w)).astype(np.int64)
-        src = np.repeat(words.column("src").to_numpy(), pc.list_value_length(words.column("w")).to_numpy())[more > 0]
+        src = np.repeat(words.column("src").to_numpy(), _lengths(words, "w"))[more > 0]
         names, sizes = np.unique(src, return_counts=True)
         zero = np.zeros(0, np.int64)
-        return _rows(_WORDS, bucket=table.column("bucket")[0].as_py(), w=w, n=n, ones=ones, uones=uones, c=ones, t=np.ones_like(n), cs=zero, ts=zero, of=zero, at=at[more > 0], src=names, size=sizes, sum_c=0, sum_t=0, sums=zero)
+        return _rows(_WORDS, bucket=table.column("bucket")[0].as_py(), w=w, n=n, ones=ones, uones=uones, c=ones, t=np.ones_like(n), cs=zero, ts=zero, of=zero, at=at[more > 0], srcs=names, size=sizes, sum_c=n.sum(), sum_t=(n == 1).sum(), sums=zero)
 
     return counts.where("kind > 0").groupBy("bucket").applyInArrow(run, _WORDS)
 
@@ -396,7 +415,7 @@ def _first_pairs(counts: DataFrame, hot: list[int]) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                x = {k: batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("u", "once", "w", "n", "at")}
+                x = {k: _list(batch, k, i) for k in ("u", "once", "w", "n", "at")}
                 t, zero = np.ones_like(x["n"]), np.zeros(0, np.int64)
                 places = np.flatnonzero(np.isin(x["u"], hot))
                 tables = np.bincount(x["at"], t, len(x["u"])).astype(np.int64)
@@ -411,7 +430,7 @@ def _sent(pairs: DataFrame, buckets: int, last: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda k: batch.column(k)[i].values.to_numpy(zero_copy_only=False)
+                get = lambda k: _list(batch, k, i)
                 own, w, none = batch.column("bucket")[i].as_py(), get("w"), np.zeros(0, np.int64)
                 start = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
                 m, out = np.add.reduceat(get("t"), start), []
@@ -424,7 +443,7 @@ def _sent(pairs: DataFrame, buckets: int, last: bool) -> DataFrame:
                     for to, a, k in zip(*_by(u[order], buckets)):
                         part = order[a : a + k]
                         out.append((1, to, u[part], totals[:, part].T.ravel()))
-                lists = lambda k: list_array(np.concatenate([x[k] for x in out]), np.array([len(x[k]) for x in out]))
+                lists = lambda k: _packed("wm"[k - 2], np.concatenate([x[k] for x in out]), np.array([len(x[k]) for x in out]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([own] * len(out), pa.int32()), lists(2), lists(3)], ["kind", "bucket", "src", "w", "m"])
 
     return pairs.select("bucket", "u", "totals", "w", "t").mapInArrow(run, _MESSAGE)
@@ -435,7 +454,7 @@ def _parents(words: DataFrame, messages: DataFrame, sweep: int, all_tables: int,
     From the second round after burn-in on, customers and tables of the round before are kept as a sample."""
 
     def run(table: pa.Table, sent: pa.Table) -> pa.Table:
-        x = {k: _flat(table, k) for k in ("w", "n", "ones", "uones", "t", "cs", "ts", "at", "src", "size")}
+        x = {k: _flat(table, k) for k in ("w", "n", "ones", "uones", "t", "cs", "ts", "at", "srcs", "size")}
         sent = sent.sort_by("src")
         kind = sent.column("kind").to_numpy()
         m = _flat(sent.filter(pa.array(kind == 0)), "m")
@@ -455,7 +474,7 @@ def _parents(words: DataFrame, messages: DataFrame, sweep: int, all_tables: int,
             for i in range(SAMPLES):
                 of[i] += np.bincount(at, more[:, i], len(x["w"])).astype(np.int64)
             of, sums = of.ravel(), np.concatenate([y.reshape(SAMPLES, -1).sum(axis=1) for y in (cs, ts)])
-        return _rows(_WORDS, bucket=table.column("bucket")[0].as_py(), **{k: x[k] for k in ("w", "n", "ones", "uones", "at", "src", "size")}, c=c, t=t, cs=cs, ts=ts, of=of, sum_c=c[two].sum(), sum_t=t[two].sum(), sums=sums)
+        return _rows(_WORDS, bucket=table.column("bucket")[0].as_py(), **{k: x[k] for k in ("w", "n", "ones", "uones", "at", "srcs", "size")}, c=c, t=t, cs=cs, ts=ts, of=of, sum_c=c[two].sum(), sum_t=t[two].sum(), sums=sums)
 
     return words.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(run, _WORDS)
 
@@ -466,12 +485,12 @@ def _predictions(words: DataFrame, customers: int, tables: int, known: int) -> D
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                c, t, at, src, size = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("c", "t", "at", "src", "size"))
+                c, t, at, src, size = (_list(batch, k, i) for k in ("c", "t", "at", "srcs", "size"))
                 p = _p0(c, t, customers, tables, known)[at]
                 own = np.full(len(src), batch.column("bucket")[i].as_py(), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(own), list_array(p, size)], ["bucket", "src", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(own), _packed("p", p, size)], ["bucket", "src", "p"])
 
-    return words.select("bucket", "c", "t", "at", "src", "size").mapInArrow(run, "bucket int, src int, p array<double>")
+    return words.select("bucket", "c", "t", "at", "srcs", "size").mapInArrow(run, "bucket int, src int, p binary")
 
 
 def _seated(pairs: DataFrame, predictions: DataFrame, sweep: int, hot: dict[int, int]) -> DataFrame:
@@ -482,7 +501,7 @@ def _seated(pairs: DataFrame, predictions: DataFrame, sweep: int, hot: dict[int,
     def run(table: pa.Table, sent: pa.Table) -> pa.Table:
         x = {k: _flat(table, k) for k in ("u", "once", "totals", "w", "c", "t", "sum", "at")}
         w, at, t, size = x["w"], x["at"], x["t"], len(x["u"])
-        p = _flat(sent.sort_by("src"), "p")[np.cumsum(np.append(False, w[1:] != w[:-1]))]
+        p = _flat(sent.sort_by("src"), "p").astype(np.float64)[np.cumsum(np.append(False, w[1:] != w[:-1]))]
         total = x["once"] + np.bincount(at, t, size).astype(np.int64)
         spread = np.flatnonzero(np.isin(x["u"], names))
         total[spread] = tables[np.searchsorted(names, x["u"][spread])]
@@ -505,10 +524,9 @@ def _sampled(counts: DataFrame, hot: list[int], buckets: int) -> tuple[DataFrame
     buckets in lists, draws the parent's tables there, and sends its predictions back. Words that occur once have one
     customer at one table throughout and are only counted."""
     words, pairs = saved(_first_words(counts), "parents"), saved(_first_pairs(counts, np.array(hot, np.int64)), "seats")
-    sizes = words.select(F.size("w").alias("k"), F.size(F.filter("n", lambda x: x == 1)).alias("one"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    known, once, N = (int(x or 0) for x in sizes.agg(F.sum("k"), F.sum("one"), F.sum("n")).first())
-    alone = counts.where("kind = 2").select(F.explode(F.arrays_zip("w", "ones")).alias("x")).where(F.col("x.w").isin(hot)).groupBy("x.w").agg(F.sum("x.ones").alias("n"))
-    singles = {r.w: int(r.n) for r in alone.collect()} if hot else {}
+    known, once, N = (int(x or 0) for x in words.agg(F.sum(F.octet_length("w") / 8), F.sum("sum_t"), F.sum("sum_c")).first())
+    alone = counts.select(F.explode(F.arrays_zip("hot", "hot_ones")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_ones").alias("n"))
+    singles = {r.hot: int(r.n) for r in alone.collect()} if hot else {}
     old, all_tables = [counts], known
     for sweep in range(BURN_IN + SAMPLES + 1):
         last = sweep == BURN_IN + SAMPLES
@@ -547,11 +565,11 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]
     row = F.struct(F.lit(True).alias("any"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
     blocks = saved(_blocks(docs.select(row.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))), "blocks", "zstd")
-    tokens = int(blocks.select(F.sum(F.size("tokens")).alias("n")).first().n or 0)
+    tokens = int(blocks.select(F.sum("n_tokens").alias("n")).first().n or 0)
     buckets = 1 + tokens // BUCKET
     often = blocks.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("n"))
     hot = sorted(r.often for r in often.where(F.col("n") >= HOT_SHARE / 2 * tokens).collect())
-    counts = saved(_counts(_pair_requests(blocks, buckets, hot, True), buckets), "counts")
+    counts = saved(_counts(_pair_requests(blocks, buckets, hot, True), buckets, hot), "counts")
     _dropped([])
     pairs, words, known, N = _sampled(counts, hot, buckets)
     totals = [float(x or 0) for x in words.agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(2 * SAMPLES))).first()]
