@@ -54,25 +54,41 @@ def _key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 _TYPES = {**dict.fromkeys("words u w n once ones uones totals c t sum cs ts of m".split(), np.int64), **dict.fromkeys("tokens k count at srcs size".split(), np.int32), **dict.fromkeys("v p".split(), np.float32)}
 
 
+_WHOLE = ("words", "u", "w", "p")  # of the others each list has all first bytes, then all second bytes and so on, which compresses well
+
+
 def _packed(name: str, x: np.ndarray, counts: np.ndarray | None = None) -> pa.Array:
     """A binary column of lists, one after the other in x, of the number type that columns of this name have."""
     x = np.ascontiguousarray(x, _TYPES[name])
-    offsets = np.append(0, np.cumsum([len(x)] if counts is None else counts)) * x.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(x)])
+    ends = np.append(0, np.cumsum([len(x)] if counts is None else counts)).astype(np.int64)
+    raw = x.view(np.uint8)
+    if name not in _WHOLE:
+        raw = np.concatenate([raw[:0], *(x[a:b].view(np.uint8).reshape(-1, x.itemsize).T.ravel() for a, b in zip(ends, ends[1:]))])
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _numbers(name: str, raw: np.ndarray) -> np.ndarray:
+    kind = np.dtype(_TYPES[name])
+    return raw.view(kind) if name in _WHOLE else np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 def _list(batch, name: str, row: int) -> np.ndarray:
-    return np.frombuffer(batch.column(name)[row].as_buffer(), _TYPES[name])
+    return _numbers(name, np.frombuffer(batch.column(name)[row].as_buffer(), np.uint8))
 
 
-def _flat(table: pa.Table, name: str) -> np.ndarray:
-    """All lists of a column, one after the other."""
-    out = [np.zeros(0, _TYPES[name])]
+def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    out = []
     for chunk in table.column(name).chunks:
         if len(chunk) and chunk.buffers()[2] is not None:
             offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-            out.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(_TYPES[name]))
-    return np.concatenate(out)
+            raw = np.frombuffer(chunk.buffers()[2], np.uint8)
+            out += [_numbers(name, raw[a:b]) for a, b in zip(offsets, offsets[1:])]
+    return out
+
+
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    """All lists of a column, one after the other."""
+    return np.concatenate([np.zeros(0, _TYPES[name]), *_lists(table, name)])
 
 
 def _lengths(table: pa.Table, name: str) -> np.ndarray:
@@ -229,7 +245,9 @@ def _counts(requests: DataFrame, buckets: int, hot: list[int]) -> DataFrame:
     return requests.groupBy("bucket").applyInArrow(run, schema)
 
 
-_ANSWER = "kind int, bucket int, block long, n binary, v binary"
+#: Kind 0: of each pair what its seats come to (v). Kind 1: of each word n, then for each of c, t and tables as a context
+#: the first sample's and the other samples' differences from it, as one list a value (m).
+_ANSWER = "kind int, bucket int, block long, m binary, v binary"
 
 
 def _seats(requests: DataFrame, state: DataFrame) -> DataFrame:
@@ -246,16 +264,15 @@ def _seats(requests: DataFrame, state: DataFrame) -> DataFrame:
             t[np.searchsorted(keys, key)] = _flat(known, "sum") / SAMPLES
         sizes = _lengths(table, "w")
         rows = table.num_rows
-        return pa.table([np.zeros(rows, np.int32), table.column("bucket"), table.column("block"), pa.nulls(rows, pa_answer.field("n").type), _packed("v", (n - DISCOUNT[1] * t).astype(np.float32)[of], sizes)], schema=pa_answer)
+        return pa.table([np.zeros(rows, np.int32), table.column("bucket"), table.column("block"), pa.nulls(rows, pa.binary()), _packed("v", (n - DISCOUNT[1] * t).astype(np.float32)[of], sizes)], schema=pa_answer)
 
-    pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.binary()), ("v", pa.binary())])
+    pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("m", pa.binary()), ("v", pa.binary())])
     return requests.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, _ANSWER)
 
 
-def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int, known_words: int, totals: list[float]) -> DataFrame:
-    """Of each block's words, in order of buckets: customers, the parent's prediction and what a context leaves to the
-    parent in each sample; n = 0 of unknown words. totals: of customers, then of tables, of the parent in each sample."""
-    unknown = [float(_p0(0, 0, totals[i], totals[SAMPLES + i], known_words)) for i in range(SAMPLES)]
+def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """Of each block's words, in order of buckets: customers in texts, customers and tables in the parent and tables as a
+    context in each sample; all 0 of unknown words."""
 
     def ask(batches):
         for batch in batches:
@@ -271,27 +288,28 @@ def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int, known_words
         have = _flat(known, "w") if known.num_rows else np.zeros(0, np.int64)
         words = _flat(table, "w")
         sizes = _lengths(table, "w")
-        v = np.repeat(np.array([*unknown, *([1.0] * SAMPLES)], np.float32)[None], len(words), axis=0)
-        n = np.zeros(len(words), np.int64)
+        v = np.zeros((1 + 3 * SAMPLES, len(words)), np.int64)
         if len(have):
             at = np.minimum(np.searchsorted(have, words), len(have) - 1)
             found = have[at] == words
             at = at[found]
-            n[found] = _flat(known, "n")[at]
-            cs, ts, of = (_flat(known, c).reshape(SAMPLES, -1)[:, at] for c in ("cs", "ts", "of"))
-            for i in range(SAMPLES):
-                v[found, i] = _p0(cs[i], ts[i], totals[i], totals[SAMPLES + i], known_words)
-                v[found, SAMPLES + i] = (STRENGTH[1] + DISCOUNT[1] * of[i]) / (STRENGTH[1] + n[found])
-        rows = table.num_rows
-        return pa.table([np.ones(rows, np.int32), table.column("bucket"), table.column("block"), _packed("n", n, sizes), _packed("v", v.ravel(), sizes * 2 * SAMPLES)], schema=pa_answer)
-
-    pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.binary()), ("v", pa.binary())])
+            v[0, found] = _flat(known, "n")[at]
+            for i, c in enumerate(("cs", "ts", "of")):
+                x = _flat(known, c).reshape(SAMPLES, -1)[:, at]
+                x[1:] -= x[0]
+                v[1 + i * SAMPLES : 1 + (i + 1) * SAMPLES, found] = x
+        rows, ends = table.num_rows, np.append(0, np.cumsum(sizes))
+        m = np.concatenate([v[:, a:b].ravel() for a, b in zip(ends, ends[1:])])
+        return pa.table([np.ones(rows, np.int32), table.column("bucket"), table.column("block"), _packed("m", m, sizes * len(v)), pa.nulls(rows, pa.binary())], schema=pa_answer)
+
+    pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("m", pa.binary()), ("v", pa.binary())])
     asked = blocks.select("block", "words").mapInArrow(ask, "bucket int, block long, w binary")
     return asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(run, _ANSWER)
 
 
-def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int], smooth: float) -> DataFrame:
-    """(row, m, known, base, score) of each text, from its block and the answers to the block's requests."""
+def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int], known_words: int, N: int, totals: list[float]) -> DataFrame:
+    """(row, m, known, base, score) of each text, from its block and the answers to the block's requests.
+    totals: of customers, then of tables, of the parent in each sample."""
     schema = T.StructType([T.StructField("row", blocks.schema["rows"].dataType.elementType), *(T.StructField(n, t) for n, t in (("m", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())))])
 
     def run(table: pa.Table, answer: pa.Table) -> pa.Table:
@@ -302,13 +320,16 @@ def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int],
         seat = _flat(answer.filter(pa.array(kind == 0)), "v").astype(np.float64)
         of_words = answer.filter(pa.array(kind == 1))
         order = np.argsort(b.words % buckets, kind="stable")
-        n, v = np.empty(len(order), np.int64), np.empty((len(order), 2 * SAMPLES))
-        n[order], v[order] = _flat(of_words, "n"), _flat(of_words, "v").reshape(-1, 2 * SAMPLES)
+        v = np.empty((1 + 3 * SAMPLES, len(order)), np.int64)
+        v[:, order] = np.concatenate([x.reshape(len(v), -1) for x in _lists(of_words, "m")], axis=1)
+        n = v[0]
         p = seat / (STRENGTH[1] + n[b.u])
         for i in range(SAMPLES):
-            p += v[b.u, SAMPLES + i] * v[b.w, i] / SAMPLES
+            c, t, of = (v[1 + k * SAMPLES] + (v[1 + k * SAMPLES + i] if i else 0) for k in range(3))
+            left = (STRENGTH[1] + DISCOUNT[1] * of) / (STRENGTH[1] + n) / SAMPLES
+            p += left[b.u] * _p0(c, t, totals[i], totals[SAMPLES + i], known_words)[b.w]
         sums = lambda x: np.add.reduceat(x, b.starts)
-        base, known = np.log10((n + 0.5) / smooth), (n > 0).astype(np.int64)
+        base, known = np.log10((n + 0.5) / (N + 0.5 * (known_words + 1))), (n > 0).astype(np.int64)
         rows = table.column("rows").combine_chunks().flatten()
         return pa.table([rows, b.lengths.astype(np.int64), sums(known[b.tokens]), sums(base[b.tokens]), sums(np.log10(np.minimum(p, 1.0))[b.of_token])], ["row", "m", "known", "base", "score"])
 
@@ -575,9 +596,9 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     totals = [float(x or 0) for x in words.agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(2 * SAMPLES))).first()]
     seats = saved(_seats(_pair_requests(blocks, buckets, hot, False), pairs.select("bucket", "u", "w", "at", "sum")), "answers")
     _dropped([pairs])
-    word_answers = saved(_word_answers(blocks, words.select("bucket", "w", "n", "cs", "ts", "of"), buckets, known, totals), "answers")
+    word_answers = saved(_word_answers(blocks, words.select("bucket", "w", "n", "cs", "ts", "of"), buckets), "answers")
     _dropped([words])
-    out = _scored(blocks, word_answers.union(seats), buckets, hot, N + 0.5 * (known + 1))
+    out = _scored(blocks, word_answers.union(seats), buckets, hot, known, N, totals)
     return out.select(*(F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("m").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("m")).alias("perplexity"))
 
 
