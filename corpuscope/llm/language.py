@@ -12,6 +12,8 @@ Probabilities are the mean of several samples' predictions, so each context's pr
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +29,7 @@ from .labelled import fold
 HOT_SHARE = 1e-3
 #: Bytes of text that are one block, and tokens of the table for each bucket of pairs. Results don't depend on them.
 BLOCK, BUCKET = 4 << 20, 1_000_000
+PARTS = 4  # blocks are scored in so many rounds, which bounds what answers take on disk at once
 DISCOUNT, STRENGTH = (0.6, 0.75), (5.0, 1.0)  # of the parent, and of contexts
 BURN_IN, SAMPLES = 4, 3
 EXACT = 40  # pairs of up to so many customers draw their tables in one step; larger ones are seated in growing parties
@@ -594,11 +597,15 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     _dropped([])
     pairs, words, known, N = _sampled(counts, hot, buckets)
     totals = [float(x or 0) for x in words.agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(2 * SAMPLES))).first()]
-    seats = saved(_seats(_pair_requests(blocks, buckets, hot, False), pairs.select("bucket", "u", "w", "at", "sum")), "answers")
-    _dropped([pairs])
-    word_answers = saved(_word_answers(blocks, words.select("bucket", "w", "n", "cs", "ts", "of"), buckets), "answers")
-    _dropped([words])
-    out = _scored(blocks, word_answers.union(seats), buckets, hot, known, N, totals)
+    facts, parts = words.select("bucket", "w", "n", "cs", "ts", "of"), []
+    for i in range(PARTS):
+        own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(PARTS)) == i)
+        seats = saved(_seats(_pair_requests(own, buckets, hot, False), pairs.select("bucket", "u", "w", "at", "sum")), "answers")
+        word_answers = saved(_word_answers(own, facts, buckets), "answers")
+        parts.append(saved(_scored(own, word_answers.union(seats), buckets, hot, known, N, totals), "scores"))
+        _dropped([seats, word_answers])
+    _dropped([pairs, words, blocks])
+    out = reduce(DataFrame.union, parts)
     return out.select(*(F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("m").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("m")).alias("perplexity"))
 
 
