@@ -264,7 +264,9 @@ def _seats(requests: DataFrame, state: DataFrame) -> DataFrame:
         if known.num_rows:
             u = _flat(known, "u")[_flat(known, "at")]
             key = _key(u.view(np.uint64), _flat(known, "w").view(np.uint64)).view(np.int64)
-            t[np.searchsorted(keys, key)] = _flat(known, "sum") / SAMPLES
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            asked = keys[at] == key
+            t[at[asked]] = _flat(known, "sum")[asked] / SAMPLES
         sizes = _lengths(table, "w")
         rows = table.num_rows
         return pa.table([np.zeros(rows, np.int32), table.column("bucket"), table.column("block"), pa.nulls(rows, pa.binary()), _packed("v", (n - DISCOUNT[1] * t).astype(np.float32)[of], sizes)], schema=pa_answer)
