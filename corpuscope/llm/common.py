@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +137,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """sums[j] - sums[i], times the inverse power of i, is the polynomial hash of raw[i:j] (64 bits, wrapping)."""
+    """sums[j] - sums[i], times the inverse power of i, is the polynomial hash of raw[i:j] (64 bits, wrapping). It is for
+    windows at every byte; texts can be built whose long spans collide, so words and pieces have byte_hashes()."""
     power, _ = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
@@ -148,6 +150,34 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Spans of up to so many bytes are hashed eight bytes a step, all together; longer ones by blake2b, one by one.
+LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each raw[start:end]. Each step mixes eight bytes into what is known so far by a bijection, so spans
+    of equal length and up to eight bytes never collide, and longer ones have no sums that cancel out. Hashes of two seeds
+    are independent."""
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    live, longest = np.arange(len(size)), int(size.max(initial=0))
+    if longest > LONG:
+        live = np.flatnonzero(size <= LONG)
+        whole = np.ascontiguousarray(raw)
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(blake2b(whole[starts[i] : ends[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    for j in range(0, min(longest, LONG), 8):
+        if j:
+            live = live[size[live] > j]
+        rest = np.minimum(size[live] - j, 8)
+        step = (eight[starts[live] + j] & _MASKS[rest]) ^ out[live]
+        out[live] = mix(step) + np.uint64(j + 1)
+    return out
+
+
 class Words:
     """The words of a string column: 64-bit hashes of all of them in order, and where each text's words start."""
 
@@ -166,7 +196,7 @@ class Words:
         self.starts = np.flatnonzero(inside & (~before | first[:-1]))
         self.ends = np.flatnonzero(inside & (~after | first[1:])) + 1
         self.offsets = np.searchsorted(self.starts, offsets)
-        self.hashes = span_hashes(prefix_sums(raw), self.starts, self.ends)
+        self.hashes = byte_hashes(raw, self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:

@@ -64,6 +64,8 @@ class ItemIndex:
         self.prints, self.print_starts = np.unique(rows["f"], return_index=True)
         self.print_counts = np.diff(np.append(self.print_starts, len(rows)))
         self.back, self.full = rows["b"].copy(), rows["w"].copy()
+        first = place[np.unique(full[place], return_index=True)[1]]  # one place of each window, in the order of hashes
+        self.windows, self.words = full[first], w.hashes[first[:, None] + np.arange(window)]
         self.short: dict[int, np.ndarray] = {}
         counts = w.counts
         for k in range(1, window):
@@ -94,7 +96,10 @@ class ItemIndex:
             good = (start >= 0) & (start < len(ok_window))
             good[good] = ok_window[start[good]]
             start, row = start[good], row[good]
-            agree = self._windows(w.hashes, start) == self.full[row]
+            there = np.searchsorted(self.windows, self.full[row])
+            agree = np.ones(len(start), bool)
+            for j in range(self.window):  # word by word
+                agree &= w.hashes[start + j] == self.words[there, j]
             found.append(np.stack([start[agree].astype(np.uint64), np.full(agree.sum(), self.window, np.uint64), self.full[row[agree]]]))
         for k, keys in self.short.items():
             g = grams(w.hashes, k)
@@ -104,9 +109,6 @@ class ItemIndex:
         start, length, key = np.concatenate(found, axis=1)
         return start.astype(np.int64), length.astype(np.int64), key
 
-    def _windows(self, hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
-        return grams(hashes[start[:, None] + np.arange(self.window)].ravel(), self.window)[:: self.window] if len(start) else np.zeros(0, np.uint64)
-
     def scan(self, column: pa.Array) -> tuple[Words, np.ndarray, list[np.ndarray]]:
         """Words, which of them are hit, and each text's items."""
         w = Words(column, ALNUM)

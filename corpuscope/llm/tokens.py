@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, prefix_sums, ranges, scratch_dir, slices, span_hashes, table, text_bytes
+from .common import byte_hashes, list_array, ranges, scratch_dir, slices, table, text_bytes
 
 END = 2
 #: Pieces whose ids a worker keeps (some 30 bytes each; beyond, it goes on with the latest), the longest of them in bytes,
@@ -97,14 +97,18 @@ class Encoder:
         mark[1:] &= _ALNUM[raw[:-1]]
         starts = np.flatnonzero(cut | mark | first[:-1])
         ends = np.append(starts[1:], len(raw))
-        found = pa.array(span_hashes(prefix_sums(raw), starts, ends)).dictionary_encode()
+        found, check = pa.array(byte_hashes(raw, starts, ends)).dictionary_encode(), byte_hashes(raw, starts, ends, 1)
         which, keys = found.indices.to_numpy(), found.dictionary.to_numpy()
         order = np.argsort(keys)  # looked up in order, which is kinder to caches
         which, keys = np.argsort(order)[which], keys[order]
         at = np.empty(len(keys), np.int64)
         at[which[::-1]] = np.arange(len(which))[::-1]  # where each piece stands first
-        start, count = self.known.find(keys)
-        s, c = self.recent.find(keys)
+        if (check != check[at][which]).any():  # two pieces of one hash: nothing is told by it
+            each = self.fresh([x or "" for x in column.to_pylist()])
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        check = check[at]
+        start, count = self.known.find(keys, check)
+        s, c = self.recent.find(keys, check)
         start, count = np.where(c > 0, s + len(self.known.ids), start), np.where(c > 0, c, count)
         new = np.flatnonzero(count == 0)
         ids = [self.known.ids, self.recent.ids]
@@ -113,7 +117,8 @@ class Encoder:
             start[new], count[new] = s + len(ids[0]) + len(ids[1]), c
             ids.append(flat)
             keep = ends[at[new]] - starts[at[new]] <= LONGEST
-            self._keep(keys[new][keep], c[keep], flat[ranges(s[keep], c[keep])[0]])
+            keep &= ~self.known.has(keys[new]) & ~self.recent.has(keys[new])  # a piece of the same hash is kept there
+            self._keep(keys[new][keep], check[new][keep], c[keep], flat[ranges(s[keep], c[keep])[0]])
         place, _ = ranges(start[which], count[which])
         sums = np.concatenate([[0], np.cumsum(count[which])])
         return np.concatenate(ids)[place], np.diff(sums[np.searchsorted(starts, offsets)])
@@ -140,33 +145,40 @@ class Encoder:
         count[order] = np.diff(np.append(cut, len(flat)))
         return start, count, flat
 
-    def _keep(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
-        self.recent = self.recent.with_(keys, lengths, ids)
+    def _keep(self, keys: np.ndarray, check: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.recent = self.recent.with_(keys, check, lengths, ids)
         if len(self.recent.keys) > max(20_000, len(self.known.keys) // 4):
             whole = len(self.known.keys) + len(self.recent.keys) > MEMORY
-            self.known = self.recent if whole else self.known.with_(self.recent.keys, self.recent.count, self.recent.ids)
+            self.known = self.recent if whole else self.known.with_(self.recent.keys, self.recent.check, self.recent.count, self.recent.ids)
             self.recent = Pieces()
 
 
 class Pieces:
-    """The ids of pieces by hash: sorted keys, and where in ids each one's are and how many."""
+    """The ids of pieces by hash: sorted keys with another hash of each, and where in ids each one's are and how many."""
 
     def __init__(self):
-        self.keys, self.start, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and count; a count of 0 for unknown keys."""
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        return self.keys[self._at(keys)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def find(self, keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and count; a count of 0 for pieces that are unknown by either hash."""
         if not len(self.keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.start[at], np.where(self.keys[at] == keys, self.count[at], 0)
+        at = self._at(keys)
+        return self.start[at], np.where((self.keys[at] == keys) & (self.check[at] == check), self.count[at], 0)
 
-    def with_(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> Pieces:
+    def with_(self, keys: np.ndarray, check: np.ndarray, count: np.ndarray, ids: np.ndarray) -> Pieces:
         """These and others; ids come in the order of keys, which are unknown so far."""
         order = np.argsort(keys)
         at, size = np.searchsorted(self.keys, keys[order]), count[order]
         out = Pieces()
-        out.keys, out.count = np.insert(self.keys, at, keys[order]), np.insert(self.count, at, size)
+        out.keys, out.check, out.count = np.insert(self.keys, at, keys[order]), np.insert(self.check, at, check[order]), np.insert(self.count, at, size)
         where = np.insert(self.start, at, len(self.ids) + (np.cumsum(count) - count)[order])
         out.ids, out.start = np.concatenate([self.ids, ids])[ranges(where, out.count)[0]], np.cumsum(out.count) - out.count
         return out
