@@ -25,7 +25,7 @@ WORDS, LEAST, LISTED, SCALE, WITHIN = 4, 30, 2000, 2_000_000, 80
 #: Bytes of text for each bucket, and the least and most buckets (powers of two; 2^28 buckets are a map of 32 MB).
 BUCKET_BYTES, FEWEST, MOST = 16, 1 << 16, 1 << 28
 #: Bytes of text that one step handles.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 _SPACE, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[0x20, 0x09]] = True
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
