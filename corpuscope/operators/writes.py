@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import payloads
 from corpuscope.functions.text import inferred_kind, safe_int, strip, whole_number
+from corpuscope.operators import store
 
 
 def replace_by_key(target: DataFrame, keys: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -97,14 +95,37 @@ def bundle_children(bundles: DataFrame, part: str, key: str = "conversation_id")
 PARTS = ("messages", "figures", "tables", "tags")
 
 
+def _accepted(rows: DataFrame) -> DataFrame:
+    """Of bundles (_row, conversation_id, _fingerprint) that come together, those that would be stored if one came after
+    the other, in the order of these columns, and neither an id nor a fingerprint could be stored twice.
+
+    A round accepts those that are the first left of their id and of their fingerprint, and leaves out all that share one
+    with them. Mostly one round is enough; there are as many as the longest row of bundles that share an id with the one
+    before and a fingerprint with the one after.
+    """
+    order = F.struct("conversation_id", "_fingerprint", "_row")
+    left, out = rows, rows.limit(0)
+    while True:
+        by_id, by_print = (left.groupBy(c).agg(F.min(order).alias(f"_{n}")) for c, n in (("conversation_id", "a"), ("_fingerprint", "b")))
+        marked = left.join(by_id, "conversation_id").join(by_print, "_fingerprint").withColumn("_won", (F.col("_a") == order) & (F.col("_b") == order))
+        marked = store.written(marked.select(*rows.columns, "_won"), "bundles-round")
+        won = marked.where("_won").select(*rows.columns)
+        out = out.unionByName(won)
+        left = marked.where("NOT _won").join(won, "_fingerprint", "left_anti").join(won, "conversation_id", "left_anti").select(*rows.columns)
+        if left.isEmpty():
+            return out
+
+
 def bundle_tables(bundles: DataFrame, existing_files: DataFrame, existing_papers: DataFrame, now: Column | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables by name, outcome): what bundles of papers become, ready for publish().
 
     bundles: conversation_id (may be null), title, file_record struct (filename, fingerprint, poe_url, content_type,
     poe_name), messages, figures, tables, tags (arrays of structs), meta struct. A bundle without its three file fields, or
     with the id of a paper that is there, is refused; one whose fingerprint is known gives the paper that has it and adds
-    nothing. Of bundles of one fingerprint the first by id counts. outcome: conversation_id, exists, error and
-    committed_parts, a part being named if its list is not empty. All rows of a call have one time.
+    nothing. Among themselves the bundles of a call count in the order of id and fingerprint, as if each came by itself:
+    one whose fingerprint an earlier one has stored gives that one's paper, one whose id is taken is refused. outcome:
+    conversation_id, exists, error and committed_parts, a part being named if its list is not empty. All rows of a call
+    have one time.
     """
     now = F.current_timestamp() if now is None else now
     field = lambda c: strip(F.coalesce(F.col(f"file_record.{c}").cast("string"), F.lit("")))
@@ -114,10 +135,14 @@ def bundle_tables(bundles: DataFrame, existing_files: DataFrame, existing_papers
     b = b.withColumn("error", F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))))
     known = live_files(existing_files, existing_papers)[0].join(existing_files.select("file_id", F.col("conversation_id").alias("_known")), "file_id").select(F.col("fingerprint").alias("_fingerprint"), "_known")
     taken = existing_papers.select(F.col("id").cast("string").alias("conversation_id"), F.lit(True).alias("_taken"))
-    b = b.join(known, "_fingerprint", "left").join(taken, "conversation_id", "left")
-    first = b.where("error IS NULL").groupBy("_fingerprint").agg(F.min("conversation_id").alias("_first"))
-    b = b.join(first, "_fingerprint", "left").withColumn("_known", F.coalesce(F.col("_known").cast("string"), F.when(F.col("_first") != F.col("conversation_id"), F.col("_first"))))
-    b = b.withColumn("error", F.coalesce("error", F.when(F.col("_known").isNull() & F.col("_taken"), F.concat(F.lit("conversation_id already exists: "), "conversation_id")))).withColumn("exists", F.col("error").isNull() & F.col("_known").isNotNull())
+    b = store.written(b.withColumn("_row", F.monotonically_increasing_id()), "bundles")
+    b = b.join(known, "_fingerprint", "left").join(taken, "conversation_id", "left").withColumn("_known", F.col("_known").cast("string"))
+    order = ("conversation_id", "_fingerprint", "_row")
+    won = _accepted(b.where("error IS NULL AND _known IS NULL AND _taken IS NULL").select(*order))
+    b = b.join(won.select("_fingerprint", F.struct(*order).alias("_won")), "_fingerprint", "left")
+    b = b.withColumn("_known", F.coalesce("_known", F.when(F.col("error").isNull() & (F.col("_won") < F.struct(*order)), F.col("_won.conversation_id"))))
+    refused = F.col("_known").isNull() & ~F.coalesce(F.col("_won") == F.struct(*order), F.lit(False))
+    b = b.withColumn("error", F.coalesce("error", F.when(refused, F.concat(F.lit("conversation_id already exists: "), "conversation_id")))).withColumn("exists", F.col("error").isNull() & F.col("_known").isNotNull())
     good = b.where("error IS NULL AND NOT exists")
     papers = good.select(F.col("conversation_id").alias("id"), _given("title", F.col("_filename")).alias("title"), F.col("_filename").alias("original_filename"), F.lit("active").alias("status"), now.alias("created_at"))
     files = good.select("conversation_id", F.col("_filename").alias("filename"), F.col("_fingerprint").alias("fingerprint"), F.col("_poe_url").alias("poe_url"), _given("_content_type", F.lit("application/pdf")).alias("content_type"), _given("_poe_name", F.col("_filename")).alias("poe_name"), now.alias("uploaded_at"))
@@ -225,21 +250,10 @@ def write_json_list(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir, or where it is unset in a temporary folder: ranges are drawn once only."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="corpuscope-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    path = f"{base}/ranges-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def numbered_children(rows: DataFrame, part: str, order: list[str], key: str = "conversation_id") -> DataFrame:
     """Like bundle_children, of children that are rows: their places within a key by order. A key of very many rows is cut
     into ranges, whose rows are numbered after the counts of the ranges before."""
-    ranged = _written(rows.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
+    ranged = store.written(rows.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))
     before = counts.select(key, "_range", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)))
@@ -253,26 +267,38 @@ def bundle_error(bundles: DataFrame) -> DataFrame:
     return bundles.withColumn("error", F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))))
 
 
+# ---------------------------------------------------------------- commits
 def publish(spark: SparkSession, parts: dict[str, DataFrame], root: str) -> str:
-    """Write several tables so that readers see all or none: each commit is a folder, and one row, written last, names the
-    last whole one. Commits of one root are made one after the other; their rows are numbered."""
-    version = uuid.uuid4().hex
-    for name, df in parts.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    number = _commits(spark, root).agg(F.coalesce(F.max("number"), F.lit(0)) + 1).first()[0]
-    spark.createDataFrame([(version, sorted(parts), int(number))], COMMIT).withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/_commits")
-    return version
+    """Write several tables, each as a whole, so that readers see all or none; the id of the commit."""
+    return store.commit(spark, root, lambda now, own: {name: store.replace(df, root, name, own) for name, df in parts.items()}).id
 
 
-COMMIT = "version string, parts array<string>, number long"
+def published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table as the last commit has it."""
+    return store.read(spark, root, name)
 
 
-def _commits(spark: SparkSession, root: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_commits")
-    there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
-    return spark.read.schema(COMMIT).json(f"{root}/_commits") if there else spark.createDataFrame([], COMMIT)
+PAPERS, FILES = "id string, title string, original_filename string, status string, created_at timestamp", "file_id string, conversation_id string, filename string, fingerprint string, poe_url string, content_type string, poe_name string, uploaded_at timestamp"
 
 
-def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    last = _commits(spark, root).orderBy(F.desc("number"), F.desc("version")).first()
-    return spark.read.parquet(f"{root}/{last.version}/{name}")
+def commit_bundles(spark: SparkSession, bundles: DataFrame, root: str, now: Column | None = None, stream: str | None = None, batch: int | None = None) -> DataFrame:
+    """Put bundles into the stored tables in one commit; the outcome of each (see bundle_tables()).
+
+    Ids and fingerprints are checked against the version that the commit follows: if another writer comes first, they are
+    checked again against what it has brought, so of two writers with one id one is refused. Nothing is there of a call
+    that fails, and a call that adds nothing makes no commit. stream and batch: as in store.commit(); the outcome of a
+    batch that was brought before is that of its first run.
+    """
+    outcome = f"{root}/outcomes/{stream}/{batch}" if stream is not None else f"{root}/outcomes/{uuid.uuid4().hex}"
+
+    def make(version: store.Version, own: str) -> dict[str, dict] | None:
+        there = lambda name, schema: store.read(spark, root, name, version) if name in version.tables else spark.createDataFrame([], schema)
+        tables, said = bundle_tables(bundles, there("file_record", FILES), there("conversation", PAPERS), now)
+        said.write.mode("overwrite").parquet(outcome)
+        if spark.read.parquet(outcome).where("error IS NULL AND NOT exists").isEmpty():
+            return None
+        tables["file_record"] = tables["file_record"].withColumn("file_id", F.substring(F.sha2(F.concat_ws("\n", "conversation_id", "fingerprint"), 256), 1, 32))
+        return {name: store.append(df, root, name, version, own) for name, df in tables.items()}
+
+    store.commit(spark, root, make, stream, batch)
+    return spark.read.parquet(outcome)

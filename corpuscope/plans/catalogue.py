@@ -287,9 +287,13 @@ FROM (SELECT e.*, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC, stat
 
 
 def job_events(spark: SparkSession, sf: str) -> DataFrame:
+    return job_events_of(c.table(spark, sf, "events"))
+
+
+def job_events_of(events: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").otherwise("running")
     error = F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), F.col("props"))
-    return c.table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), status.alias("status"), error.alias("error"))
+    return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), status.alias("status"), error.alias("error"))
 
 
 @query(FOLD, False)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import legacy, markup, payloads, progress, text
-from corpuscope.operators import filters, layout, search, translation, venues, writes
-from corpuscope.plans.catalogue import job_events, query
+from corpuscope.operators import filters, layout, search, store, translation, venues, writes
+from corpuscope.plans.catalogue import FOLD, job_events, job_events_of, query
 from corpuscope.sources import catalogue as c
+from corpuscope.streaming import claims, jobs, stored
 
 
 def _list(values: str, order: str, alias: str):
@@ -245,10 +248,54 @@ def search_both_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- writes
+def _new_root(spark: SparkSession) -> str:
+    return f"{store.scratch_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
+@query("SELECT conversation_id, CASE WHEN conversation_id % 7 = 0 THEN 'C' ELSE ccf_category END AS ccf_category FROM meta")
+def stored_update(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored table of several files, of which an update by key writes those anew that it touches."""
+    root, m = _new_root(spark), c.metadata(spark, sf)
+    store.commit(spark, root, lambda now, own: {"meta": store.append(m.repartitionByRange(8, "conversation_id"), root, "meta", now, own)})
+    changes = writes.changed(m, m.withColumn("ccf_category", F.when(F.col("conversation_id") % 7 == 0, "C").otherwise(F.col("ccf_category"))), "conversation_id")
+    store.commit(spark, root, lambda now, own: {"meta": store.update(changes, root, "meta", "conversation_id", now, own)})
+    return store.read(spark, root, "meta")
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_orderkey % 3 = 1 THEN l_returnflag END AS flag, CASE WHEN l_orderkey % 3 = 2 THEN CAST(l_suppkey AS VARCHAR) END AS note FROM lineitem""", False)
+def stored_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of three schemas, read as one: a column comes, another goes, and no file is written anew."""
+    root, line = _new_root(spark), c.table(spark, sf, "lineitem")
+    part = lambda i, *more: line.where(F.col("l_orderkey") % 3 == i).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), *more)
+    put = lambda rows: store.commit(spark, root, lambda now, own: {"t": store.append(rows, root, "t", now, own)})
+    alter = lambda **x: store.commit(spark, root, lambda now, own: {"t": store.alter(spark, root, "t", now, own, **x)})
+    put(part(0, F.lit("x").alias("old")))
+    alter(add={"flag": "string"})
+    put(part(1, F.col("l_returnflag").alias("flag")))
+    alter(add={"note": "string"}, drop=("old",))
+    put(part(2, F.col("l_suppkey").cast("string").alias("note")))
+    return store.read(spark, root, "t", columns=("k", "line", "flag", "note"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT o_orderkey // 32 AS g, 'p' || (o_orderkey // 32) || '-' || (o_custkey % 4) AS id, 'f' || (o_orderkey // 32) || '-' || (o_orderkey % 5) AS fp, o_orderkey AS k FROM orders),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id, fp, k) AS i FROM f),
+s AS (SELECT g, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS fps, '' AS said, false AS known, '' AS error FROM o WHERE i = 1
+UNION ALL SELECT o.g, o.i, CASE WHEN list_contains(s.fps, o.fp) OR list_contains(s.ids, o.id) THEN s.ids ELSE list_append(s.ids, o.id) END, CASE WHEN list_contains(s.fps, o.fp) OR list_contains(s.ids, o.id) THEN s.fps ELSE list_append(s.fps, o.fp) END,
+CASE WHEN list_contains(s.fps, o.fp) THEN s.ids[list_position(s.fps, o.fp)] ELSE o.id END, list_contains(s.fps, o.fp), CASE WHEN NOT list_contains(s.fps, o.fp) AND list_contains(s.ids, o.id) THEN 'conversation_id already exists: ' || o.id END FROM s JOIN o ON o.g = s.g AND o.i = s.i + 1)
+SELECT said AS conversation_id, known AS "exists", error, CAST(count(*) AS BIGINT) AS n FROM s WHERE i > 0 GROUP BY ALL""", False)
+def bundle_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as bundles that share ids and fingerprints with others of the same call, put into stored tables."""
+    o = c.table(spark, sf, "orders").withColumn("g", F.expr("o_orderkey div 32").cast("string"))
+    record = F.struct(F.lit("a.pdf").alias("filename"), F.concat(F.lit("f"), "g", F.lit("-"), F.col("o_orderkey") % 5).alias("fingerprint"), F.lit("u").alias("poe_url"), F.lit("").alias("content_type"), F.lit(None).cast("string").alias("poe_name"))
+    none = lambda t: F.array().cast(f"array<struct<{t}>>")
+    b = o.select(F.concat(F.lit("p"), "g", F.lit("-"), F.col("o_custkey") % 4).alias("conversation_id"), F.lit("").alias("title"), record.alias("file_record"), none("role:string,content:string").alias("messages"), none("figure_index:int").alias("figures"), none("table_index:int").alias("tables"), none("tag_code:string,category_code:string,category_label:string,tag_label:string,tag_path:string,source:string").alias("tags"), F.lit(None).cast("struct<paper_id:string>").alias("meta"))
+    return writes.commit_bundles(spark, b, _new_root(spark)).groupBy("conversation_id", "exists", "error").agg(F.count("*").alias("n"))
+
+
 @query("""WITH f AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 11 = 0 THEN '' ELSE 'f' || (o_custkey % 50) || o_orderstatus END AS fp, o_orderkey % 10 = 0 AS taken FROM orders), known AS (SELECT 'f' || v AS fp, 'old' || v AS id FROM (VALUES ('7F'), ('13O')) t(v)),
-first AS (SELECT fp, min(CAST(k AS VARCHAR)) AS k FROM f WHERE fp <> '' GROUP BY 1), x AS (SELECT f.*, n.id AS other, i.k AS lead FROM f LEFT JOIN known n ON n.fp = f.fp LEFT JOIN first i ON i.fp = f.fp)
-SELECT CASE WHEN fp <> '' AND coalesce(other, CASE WHEN lead <> CAST(k AS VARCHAR) THEN lead END) IS NOT NULL THEN coalesce(other, lead) ELSE CAST(k AS VARCHAR) END AS conversation_id, fp <> '' AND coalesce(other, CASE WHEN lead <> CAST(k AS VARCHAR) THEN lead END) IS NOT NULL AS "exists",
-CASE WHEN fp = '' THEN 'missing: fingerprint' WHEN coalesce(other, CASE WHEN lead <> CAST(k AS VARCHAR) THEN lead END) IS NULL AND taken THEN 'conversation_id already exists: ' || k END AS error FROM x""", False)
+first AS (SELECT fp, min(CAST(k AS VARCHAR)) AS k FROM f WHERE fp <> '' AND NOT taken GROUP BY 1), x AS (SELECT f.*, n.id AS other, i.k AS lead FROM f LEFT JOIN known n ON n.fp = f.fp LEFT JOIN first i ON i.fp = f.fp)
+SELECT CASE WHEN fp <> '' AND coalesce(other, CASE WHEN lead < CAST(k AS VARCHAR) THEN lead END) IS NOT NULL THEN coalesce(other, lead) ELSE CAST(k AS VARCHAR) END AS conversation_id, fp <> '' AND coalesce(other, CASE WHEN lead < CAST(k AS VARCHAR) THEN lead END) IS NOT NULL AS "exists",
+CASE WHEN fp = '' THEN 'missing: fingerprint' WHEN coalesce(other, CASE WHEN lead < CAST(k AS VARCHAR) THEN lead END) IS NULL AND taken THEN 'conversation_id already exists: ' || k END AS error FROM x""", False)
 def bundle_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as bundles: some without fingerprint, some of a known file, some of a paper that is there."""
     o = c.table(spark, sf, "orders")
@@ -267,6 +314,31 @@ def message_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return writes.message_pairs(t, "continue_command", False).select("conversation_id", "turn", "position", "message_kind", "content", "visible_to_user")
 
 
+def claim_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks as requests, errors and purchases as ends of the job that the latest click before asked for, accepted or not."""
+    e = c.table(spark, sf, "events")
+    asked = F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    status = F.when(F.col("event_type") == "click", claims.REQUESTED).when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").otherwise("other")
+    return e.select(F.col("user_id").alias("conversation_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), asked.alias("job_id"), status.alias("status"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS u, event_id AS seq, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS job FROM events),
+r AS (SELECT u, seq, i, (SELECT min(x.i) FROM e x WHERE x.u = e.u AND x.job = e.seq AND x.t IN ('error', 'purchase')) AS until FROM e WHERE t = 'click'),
+a AS (SELECT u, seq, i, until FROM r WHERE i = (SELECT min(x.i) FROM r x WHERE x.u = r.u) UNION ALL SELECT r.u, r.seq, r.i, r.until FROM a JOIN r ON r.u = a.u AND r.i = (SELECT min(x.i) FROM r x WHERE x.u = a.u AND x.i > a.until))
+SELECT u AS conversation_id, seq, CAST(seq AS VARCHAR) AS job_id, seq IN (SELECT seq FROM a) AS accepted FROM r""", False)
+def request_claims(spark: SparkSession, sf: str) -> DataFrame:
+    return claims.claims(claim_events(spark, sf))
+
+
+@query(FOLD, False)
+def logged_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that come as a stream into a stored log, and the states of all jobs in it."""
+    root, e = _new_root(spark), c.table(spark, sf, "events")
+    stream = job_events_of(spark.readStream.schema(e.schema).parquet(f"{sf}/events.parquet*"))
+    stored.log_events(stream, root).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stored.states(spark, root)
+
+
 @query("SELECT event_id AS seq, user_id AS conversation_id, event_id = min(event_id) OVER (PARTITION BY user_id) AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 5 = 0) AS accepted FROM events WHERE event_type = 'click'", False)
 def claimed_requests(spark: SparkSession, sf: str) -> DataFrame:
     e = c.table(spark, sf, "events").withColumnRenamed("user_id", "conversation_id")
