@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscope.functions import progress, text
 from corpuscope.functions.text import STATUS_JSON, let, ordered_set, strip
@@ -45,6 +46,60 @@ def json_or(c: Column, schema: str, default: Column) -> Column:
     return F.when(F.startswith(strip(F.coalesce(c, F.lit(""))), F.lit("{")), F.coalesce(F.from_json(c, schema), default)).otherwise(default)
 
 
+# ---------------------------------------------------------------- JSON texts of one form
+# A string with its escapes, a number, a run of blanks, or any other character.
+TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*|\s+|[^"]'
+NUMBER = "\u0001"  # marks numbers that would be written in another way
+
+
+def _tokens(c: Column, each) -> Column:
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), each), "")
+
+
+def spaced_json(c: Column) -> Column:
+    """A JSON text without blanks but one after each comma and colon."""
+    return _tokens(c, lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).when(t.rlike(r"^\s+$"), "").otherwise(t))
+
+
+def canonical_json(c: Column) -> Column:
+    """A JSON text with the keys of all objects in order, at any depth, and one blank after each comma and colon; null if it
+    is no JSON, or an object has a key twice. Keys are ordered by UTF-16 code units, numbers stay as they are written, and
+    characters are written as such. Equal texts mean equal values."""
+    odd = lambda t: t.rlike(r"^-?[0-9]") & t.rlike(r"[.eE]|^-0|[0-9]{19}")
+    marked = _tokens(c, lambda t: F.when(odd(t), F.concat(F.lit('"' + r"\u0001"), t, F.lit('"'))).otherwise(t))
+    ordered = F.when(F.try_parse_json(c).isNotNull(), F.to_json(F.try_parse_json(marked)))
+    mark = F.lit('"' + r"\u0001")
+    own = lambda t: F.startswith(t, mark)
+    return _tokens(ordered, lambda t: F.when(own(t), F.substring(t, 8, F.length(t) - 8)).when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(t))
+
+
+def iso(c: Column, offset: bool = True) -> Column:
+    """A time as ISO text, microseconds only where there are any, and with its offset unless it is a time of no zone."""
+    micros = F.when(F.date_format(c, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(c, "SSSSSS"))).otherwise("")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), micros, F.date_format(c, "xxx") if offset else F.lit(""))
+
+
+def _dated(c: Column, kind: T.DataType) -> Column:
+    """c with all times and dates in it as ISO texts."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return iso(c, isinstance(kind, T.TimestampType))
+    if isinstance(kind, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _dated(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _dated(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(_dated(c[f.name], f.dataType).alias(f.name) for f in kind)))
+    return c
+
+
+def json_dump(c: Column, kind: T.DataType, ordered: bool = False) -> Column:
+    """A struct, array or map of a type as a JSON text, nulls included, times as ISO; ordered: in the canonical form."""
+    said = F.to_json(_dated(c, kind), {"ignoreNullFields": "false"})
+    return canonical_json(said) if ordered else spaced_json(said)
+
+
 def without_fences(c: Column) -> Column:
     """The text between a first line of three backticks and a last line of them alone, if both are there."""
     said = strip(F.coalesce(c, F.lit("")))

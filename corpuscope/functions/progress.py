@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import let
+from corpuscope.functions.text import let, ordered_set, strip
 
 
 def _left(units: Column, done: Column) -> Column:
@@ -60,9 +60,9 @@ def glossary_entries(entries: Column, most: int = 30, candidates: int = 3) -> Co
     """Entries (term, candidates, selected): trimmed, first of each term, at most three candidates, and a selected one of these."""
 
     def clean(e: Column) -> Column:
-        own = F.slice(F.array_distinct(F.filter(F.transform(e["candidates"], lambda x: F.trim(x)), lambda x: x != "")), 1, candidates)
-        chosen = F.trim(F.coalesce(e["selected"], F.lit("")))
-        return F.struct(F.trim(e["term"]).alias("term"), own.alias("candidates"), F.when(F.array_contains(own, chosen), chosen).otherwise(F.get(own, F.lit(0))).alias("selected"))
+        own = F.slice(ordered_set(e["candidates"]), 1, candidates)
+        chosen = strip(F.coalesce(e["selected"], F.lit("")))
+        return F.struct(strip(e["term"]).alias("term"), own.alias("candidates"), F.when(F.array_contains(own, chosen), chosen).otherwise(F.get(own, F.lit(0))).alias("selected"))
 
     good = F.filter(F.transform(entries, clean), lambda e: (e["term"] != "") & (F.size(e["candidates"]) > 0))
     first = lambda g: let(F.transform(g, lambda e: e["term"]), lambda terms: F.filter(g, lambda e, i: F.array_position(terms, e["term"]) == i + 1))

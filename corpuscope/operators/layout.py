@@ -43,10 +43,15 @@ def candidates(captions: DataFrame, regions: DataFrame) -> DataFrame:
     return j.withColumn("distance", distance).where(F.col("distance").between(NEAREST, FARTHEST) & (across | inside)).select("doc_id", "page", "caption_id", "region_id", "direction", "distance")
 
 
-def matches(captions: DataFrame, regions: DataFrame) -> DataFrame:
+def matches(captions: DataFrame, regions: DataFrame, directions: DataFrame | None = None) -> DataFrame:
     """The best single region of each caption: in each direction by score less 0.02 of the distance (an overlap counts as
-    nearer), then above unless the other's score alone is better by over 0.5. Groups of regions: see page_assets()."""
-    scored = candidates(captions, regions).join(region_score(regions).select("doc_id", "page", "region_id", "score"), ["doc_id", "page", "region_id"])
+    nearer), then above unless the other's score alone is better by over 0.5. directions (doc_id, direction): documents
+    whose captions are said to stand above or below, of which only regions in that direction count. Groups of regions: see
+    page_assets()."""
+    found = candidates(captions, regions)
+    if directions is not None:
+        found = found.join(directions.select("doc_id", F.col("direction").alias("_only")), "doc_id", "left").where("_only IS NULL OR _only = direction").drop("_only")
+    scored = found.join(region_score(regions).select("doc_id", "page", "region_id", "score"), ["doc_id", "page", "region_id"])
     near = scored.withColumn("value", F.col("score") - 0.02 * F.col("distance"))
     keys = ["doc_id", "page", "caption_id"]
     best = near.groupBy(*keys, "direction").agg(F.max_by(F.struct("region_id", "score"), F.struct("value", -F.col("region_id"))).alias("b"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions import payloads
-from corpuscope.functions.text import default_if_blank, strip, summary
+from corpuscope.functions.text import category_codes, compact, cut_at_word, default_if_blank, let, strip, summary
 from corpuscope.operators import filters
 
 
@@ -155,6 +155,32 @@ def resolved_tags(codes: DataFrame, definitions: DataFrame, source: str = "manua
     return codes.select("conversation_id", F.upper(strip(F.col("tag_code"))).alias("tag_code")).distinct().join(F.broadcast(known), "tag_code").withColumn("source", F.lit(source))
 
 
+def prompt_library(definitions: DataFrame) -> DataFrame:
+    """(category_code, category, tags): how a classifier is told of each category, as code=label and as code:tags, a tag
+    being its code and label; as long as the taxonomy."""
+    tag = F.struct("position", F.concat("tag_code", "tag_label").alias("t"))
+    each = definitions.groupBy("category_code", "category_label").agg(F.array_sort(F.collect_list(tag)).alias("l"))
+    return each.select("category_code", F.concat_ws("=", "category_code", "category_label").alias("category"), F.concat_ws(":", "category_code", F.array_join(F.transform("l", lambda x: x["t"]), " ")).alias("tags"))
+
+
+def category_prompts(papers: DataFrame, library: DataFrame, template: str) -> DataFrame:
+    """papers (title, abstract) with prompt: the template with all categories, the title (240 characters at most) and the
+    abstract (1200 at most, whole words) in place of {categories}, {title} and {abstract}."""
+    listed = ",".join(r.category for r in library.orderBy("category_code").collect())  # as long as the taxonomy
+    said = lambda c, n: F.coalesce(F.nullif(cut_at_word(compact(F.coalesce(c, F.lit(""))), n), F.lit("")), F.lit("-"))
+    fill = F.replace(F.replace(F.replace(F.lit(template), F.lit("{categories}"), F.lit(listed)), F.lit("{title}"), said("title", 240)), F.lit("{abstract}"), said("abstract", 1200))
+    return papers.withColumn("prompt", fill)
+
+
+def tag_prompts(replies: DataFrame, library: DataFrame, template: str) -> DataFrame:
+    """replies (conversation_id, reply: categories as a classifier named them) with prompt: the template with the tags of
+    the known ones among them, or of all categories if it named none, in place of {tags}."""
+    every = F.array(*(F.struct(F.lit(r.category_code).alias("c"), F.lit(r.tags).alias("t")) for r in library.orderBy("category_code").collect()))  # as long as the taxonomy
+    named = lambda codes: F.filter(every, lambda x: F.array_contains(codes, x["c"]))
+    own = let(let(category_codes(F.col("reply")), named), lambda some: F.when(F.size(some) > 0, some).otherwise(every))
+    return replies.withColumn("prompt", F.replace(F.lit(template), F.lit("{tags}"), F.array_join(F.transform(own, lambda x: x["t"]), "\n")))
+
+
 def asset_urls(assets: DataFrame, kind: str) -> DataFrame:
     """Assets with an id, and the address of each: kind is figures or tables."""
     return assets.where("id IS NOT NULL").withColumn("image_url", F.concat(F.lit(f"/assets/{kind}/"), F.col("id").cast("string")))

@@ -161,9 +161,24 @@ def file_list(spark: SparkSession, root: str, version: Version, name: str) -> li
     return sorted((r.file, r.schema) for r in rows)
 
 
-def _read_files(spark: SparkSession, root: str, version: Version, name: str, files: list[tuple[str, int]]) -> DataFrame:
+#: The column of rows_of() that names a row's file.
+FILE = "_file"
+
+
+def rows_of(spark: SparkSession, root: str, version: Version, name: str, files: list[tuple[str, int]]) -> DataFrame:
+    """Rows of some of a table's files, each with its file's name."""
+    return _read_files(spark, root, version, name, files, True)
+
+
+def _short(path):
+    """The last two parts of a path, folder and file, which tell a table's files apart."""
+    return F.substring_index(path, "/", -2)
+
+
+def _read_files(spark: SparkSession, root: str, version: Version, name: str, files: list[tuple[str, int]], named: bool = False) -> DataFrame:
     """Rows of some of a table's files in its current schema: columns that a file's schema did not have are null, and
     those that are there no more are left out. Files of one schema are read by one scan."""
+    more = [F.concat(F.lit(f"data/{name}/"), _short(F.col("_metadata.file_path"))).alias(FILE)] if named else []
     schemas = [T.StructType.fromJson(s) for s in version.tables[name]["schemas"]]
     out = None
     for i, own in enumerate(schemas):
@@ -171,9 +186,10 @@ def _read_files(spark: SparkSession, root: str, version: Version, name: str, fil
         if paths:
             rows = spark.read.schema(own).parquet(*paths)
             kept = _carried(schemas, i)
-            rows = rows.select(*((F.col(c.name) if c.name in kept else F.lit(None)).cast(c.dataType).alias(c.name) for c in schemas[-1]))
+            rows = rows.select(*((F.col(c.name) if c.name in kept else F.lit(None)).cast(c.dataType).alias(c.name) for c in schemas[-1]), *more)
             out = rows if out is None else out.unionByName(rows)
-    return spark.createDataFrame([], schemas[-1]) if out is None else out
+    empty = T.StructType([*schemas[-1], *([T.StructField(FILE, T.StringType())] if named else [])])
+    return spark.createDataFrame([], empty) if out is None else out
 
 
 def _carried(schemas: list[T.StructType], first: int) -> set[str]:
@@ -210,7 +226,16 @@ def _added(df: DataFrame, root: str, name: str) -> list[str]:
 
 
 def _nullable(schema: T.StructType) -> dict:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]).jsonValue()
+    """A schema as it is stored: everything may be null, at any depth."""
+
+    def wide(t: T.DataType) -> T.DataType:
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(wide(t.elementType))
+        if isinstance(t, T.MapType):
+            return T.MapType(wide(t.keyType), wide(t.valueType))
+        return T.StructType([T.StructField(f.name, wide(f.dataType)) for f in t]) if isinstance(t, T.StructType) else t
+
+    return wide(schema).jsonValue()
 
 
 def replace(df: DataFrame, root: str, name: str, own: str) -> dict:
@@ -255,7 +280,7 @@ def _once(changes: DataFrame, key: str) -> DataFrame:
 
 
 def _merge(changes: DataFrame, root: str, name: str, key: str, version: Version, own: str, keep: tuple[str, ...], add: bool) -> dict | None:
-    spark, schema, schemas = changes.sparkSession, version.schema(name), version.tables[name]["schemas"]
+    spark, schema = changes.sparkSession, version.schema(name)
     changes = _once(changes, key)
     given = [c for c in changes.columns if c != key]
     unknown = [c for c in given if c not in schema.names]
@@ -268,16 +293,14 @@ def _merge(changes: DataFrame, root: str, name: str, key: str, version: Version,
     value = lambda c: F.col(f"_new.{c.name}").cast(c.dataType)
     one = lambda c: F.when(F.col("_new._set"), value(c)).otherwise(F.col(c.name)) if c.name in given and c.name not in keep else F.col(c.name)
     rows = old.join(new, F.col(key) == F.col("_key"), "left").select(*(one(c).alias(c.name) for c in schema))
-    if add:
-        fresh = new.join(old.select(key), F.col(key) == F.col("_key"), "left_anti")
-        if not fresh.isEmpty():
-            made = lambda c: F.col("_key").cast(c.dataType) if c.name == key else value(c) if c.name in given else F.lit(None).cast(c.dataType)
-            fresh = fresh.select(*(made(c).alias(c.name) for c in schema))
-            rows = rows.unionByName(fresh) if touched else fresh
-            return _state(spark, root, name, own, [f for f in files if f[0] not in touched] + [(f, len(schemas) - 1) for f in _added(rows, root, name)], schemas)
-    if not touched:
+    fresh = new.join(old.select(key), F.col(key) == F.col("_key"), "left_anti") if add else None
+    if fresh is not None and not fresh.isEmpty():
+        made = lambda c: F.col("_key").cast(c.dataType) if c.name == key else value(c) if c.name in given else F.lit(None).cast(c.dataType)
+        fresh = fresh.select(*(made(c).alias(c.name) for c in schema))
+        rows = rows.unionByName(fresh) if touched else fresh
+    elif not touched:
         return None
-    return _state(spark, root, name, own, [f for f in files if f[0] not in touched] + [(f, len(schemas) - 1) for f in _added(rows, root, name)], schemas)
+    return rewritten(spark, root, name, version, own, touched, rows)[0]
 
 
 def _holding(spark: SparkSession, root: str, version: Version, name: str, files: list[tuple[str, int]], keys: DataFrame, key: str) -> set[str]:
@@ -285,14 +308,22 @@ def _holding(spark: SparkSession, root: str, version: Version, name: str, files:
     found: set[str] = set()
     schemas = [T.StructType.fromJson(s) for s in version.tables[name]["schemas"]]
     for i, own in enumerate(schemas):
-        names = {f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[1]: f for f, s in files if s == i}
-        if names and key in _carried(schemas, i):
-            rows = spark.read.schema(own).parquet(*(f"{root}/{f}" for f in names.values())).select(F.col(key), F.col("_metadata.file_path").alias("_file"))
-            for r in rows.join(keys.distinct(), key, "left_semi").select("_file").distinct().collect():
-                found.add(names["/".join(r._file.rsplit("/", 2)[1:])])
+        paths = [f"{root}/{f}" for f, s in files if s == i]
+        if paths and key in _carried(schemas, i):
+            rows = spark.read.schema(own).parquet(*paths).select(F.col(key), F.concat(F.lit(f"data/{name}/"), _short(F.col("_metadata.file_path"))).alias(FILE))
+            found |= {r[0] for r in rows.join(keys.distinct(), key, "left_semi").select(FILE).distinct().collect()}
     return found
 
 
+def rewritten(spark: SparkSession, root: str, name: str, version: Version, own: str, without: set[str], rows: DataFrame | None) -> tuple[dict, list[str]]:
+    """The table without some files and with rows (in its current schema) in new ones; the new files' names."""
+    schemas, files = version.tables[name]["schemas"], file_list(spark, root, version, name)
+    made = [] if rows is None else _added(rows, root, name)
+    if not made and not without:
+        return version.tables[name], []
+    return _state(spark, root, name, own, [f for f in files if f[0] not in without] + [(f, len(schemas) - 1) for f in made], schemas), made
+
+
 def alter(spark: SparkSession, root: str, name: str, version: Version, own: str, add: dict[str, str] | None = None, drop: tuple[str, ...] = ()) -> dict | None:
     """Other columns from now on (add: name and type), without writing a file anew: old files are read as what they were
     and filled up. Columns that are there, or are not there, are left as they are; None: nothing changes."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import payloads, progress
 from corpuscope.functions.text import inferred_kind, let, strip, whole_number
+from corpuscope.operators import store, writes
 
 CONTINUE_TYPE = "continue_translation"
 
@@ -68,6 +69,70 @@ def confirm_glossary(contexts: DataFrame, submitted: str = "entries") -> DataFra
     return contexts.withColumn("confirmed", given).withColumn("error", error)
 
 
+# ---------------------------------------------------------------- replies that arrive
+#: What becomes of a reply or a confirmation: error is null if it counted.
+OUTCOME = "conversation_id {key}, seq long, unit string, state string, error string"
+
+
+def continued(contexts: DataFrame, replies: DataFrame, template: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(contexts, messages, outcomes) after replies have come in: what each conversation's plan, status and glossary are
+    now, the pairs of messages to append, and for each reply its unit and new state, or why it is refused.
+
+    contexts: as latest_context() gives them; replies: conversation_id, seq, action, target_scope, unit (the one that was
+    asked for) and reply. A conversation's replies count in the order of seq, each for the unit that is next then: one
+    for another unit is stale. Replies of all conversations are taken side by side, the first of each, then the second
+    and so on, so there are as many rounds as the busiest conversation has replies here.
+    """
+    key = contexts.schema["conversation_id"].dataType.simpleString()
+    now = store.written(contexts.select("conversation_id", "plan", "status", "glossary", "error"), "contexts")
+    left = store.written(replies.where("conversation_id IS NOT NULL").select("conversation_id", F.col("seq").cast("long").alias("seq"), "action", "target_scope", F.col("unit").alias("asked"), "reply"), "replies")
+    messages, outcomes = None, replies.sparkSession.createDataFrame([], OUTCOME.format(key=key))
+    while not left.isEmpty():
+        names = [c for c in left.columns if c != "conversation_id"]
+        first = left.groupBy("conversation_id").agg(F.min_by(F.struct(*names), F.struct("seq", "asked", "reply")).alias("_r")).select("conversation_id", "_r.*")
+        known = first.join(now, "conversation_id", "left").withColumn("error", F.coalesce("error", F.when(F.col("plan").isNull() | F.col("status").isNull(), "no plan or status")))
+        steps = next_steps(known, template)
+        steps = steps.withColumn("error", F.coalesce(F.when(~F.col("action").eqNullSafe(F.lit("continue")), "unsupported action"), "error", F.when(F.col("asked").isNotNull() & (strip(F.col("asked")) != F.col("unit")), "stale reply")))
+        after = after_reply(steps).select("conversation_id", "seq", F.col("stored.translation_status").alias("_status"), payloads.payload_json(F.col("stored")).alias("_payload"), F.col("stored.content").alias("_content"))
+        done = store.written(steps.select("conversation_id", "seq", "unit", "error", "prompt", "reply").join(after, ["conversation_id", "seq"], "left"), "round")
+        good = done.where("error IS NULL")
+        outcomes = outcomes.unionByName(done.select("conversation_id", "seq", "unit", F.col("_status.state").alias("state"), "error"))
+        section = payloads.text.message_section(F.col("_content"), F.col("_status.active_scope"), F.col("_content"))["section"]
+        turns = good.select("conversation_id", "seq", F.col("prompt").alias("user_content"), F.col("reply").alias("bot_content"), F.col("_payload").alias("payload"), section.alias("section_category"))
+        pairs = writes.message_pairs(turns, "continue_command", False)
+        messages = pairs if messages is None else messages.unionByName(pairs)
+        new = good.select("conversation_id", "_status")
+        now = store.written(now.join(new, "conversation_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status"), "contexts")
+        left = store.written(left.join(first.select("conversation_id", "seq", "asked", "reply"), (left["conversation_id"] == first["conversation_id"]) & (left["seq"] == first["seq"]) & left["asked"].eqNullSafe(first["asked"]) & left["reply"].eqNullSafe(first["reply"]), "left_anti"), "replies")
+    if messages is None:
+        none = replies.sparkSession.createDataFrame([], f"conversation_id {key}, seq long, user_content string, bot_content string, payload string, section_category string")
+        messages = writes.message_pairs(none, "continue_command", False)
+    return now, messages, outcomes
+
+
+def confirmed(contexts: DataFrame, submissions: DataFrame, asked: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(contexts, messages, outcomes) after glossaries were confirmed: the newest valid submission of a conversation is its
+    glossary now, and each valid one appends a hidden pair, the user's text (asked) and an empty reply that carries plan,
+    status and glossary. submissions: conversation_id, seq, entries. See confirm_glossary() for what is refused."""
+    key = contexts.schema["conversation_id"].dataType.simpleString()
+    given = submissions.where("conversation_id IS NOT NULL").select("conversation_id", F.col("seq").cast("long").alias("seq"), "entries")
+    known = given.join(contexts.select("conversation_id", "plan", "status", "glossary", "error"), "conversation_id", "left")
+    judged = confirm_glossary(known.withColumn("error", F.coalesce("error", F.when(F.col("plan").isNull() | F.col("status").isNull(), "no plan or status"))))
+    judged = store.written(judged, "confirmed")
+    good = judged.where("error IS NULL")
+    payload = F.to_json(F.struct(F.col("plan").alias("translation_plan"), F.col("status").alias("translation_status"), F.col("confirmed").alias("translation_glossary")))
+    turns = good.select("conversation_id", "seq", F.lit(asked).alias("user_content"), F.lit("").alias("bot_content"), payload.alias("payload"), F.lit(None).cast("string").alias("section_category"))
+    messages = writes.message_pairs(turns, "user_message", False).withColumn("visible_to_user", F.lit(False))
+    new = good.groupBy("conversation_id").agg(F.max_by("confirmed", "seq").alias("_g"))
+    now = contexts.join(new, "conversation_id", "left").withColumn("glossary", F.coalesce("_g", "glossary")).drop("_g")
+    outcomes = judged.select("conversation_id", "seq", F.lit(None).cast("string").alias("unit"), F.col("status.state").alias("state"), "error")
+    return now, messages, outcomes.to(replies_schema(judged.sparkSession, key))
+
+
+def replies_schema(spark, key: str):
+    return spark.createDataFrame([], OUTCOME.format(key=key)).schema
+
+
 # ---------------------------------------------------------------- whole runs
 def run_states(plans: DataFrame, replies: DataFrame, continue_count: int) -> DataFrame:
     """(conversation_id, step, unit, status) of whole runs: the first unit and up to continue_count more, the appendix
@@ -109,15 +174,17 @@ def artifact_errors(plan: Column, results: Column) -> Column:
     return F.when(plan.isNull(), F.array(F.lit("translation_plan is missing or invalid"))).when(plan["status"] == "unsupported", F.array().cast("array<string>")).when(missing, F.array(F.lit("unit_results must be a non-empty list"))).when(F.size(results) > F.size(planned), F.concat(F.array(F.lit("unit_results exceed the planned units")), found)).otherwise(found)
 
 
-def build_artifact(rows: DataFrame) -> DataFrame:
+def build_artifact(rows: DataFrame, first: str, more: str, planned: str) -> DataFrame:
     """rows (plan normalised, results like RESULT) with artifact_errors, messages (role, content, message_kind,
     visible_to_user, status), first_bot_message, continue_count_used and translation_status; the last four null where
-    there are errors. A run of an unsupported plan has one pair of messages without text."""
+    there are errors. first, more: what is asked for the first and for each further unit, whose id takes the place of
+    {unit}; planned: what is asked for a plan. A run of an unsupported plan has one pair of messages, without a reply's
+    text."""
     out = rows.withColumn("artifact_errors", artifact_errors(F.col("plan"), F.col("results")))
 
     def pair(r: Column, i: Column) -> Column:
         unit, state = strip(r["unit_id"]), F.upper(strip(r["state"]))
-        asked = F.when(i == 0, F.concat(F.lit("Translate "), unit, F.lit(" from the local PDF."))).otherwise(F.concat(F.lit("Continue with "), unit, F.lit(".")))
+        asked = F.replace(F.when(i == 0, F.lit(first)).otherwise(F.lit(more)), F.lit("{unit}"), unit)
         done = F.transform(F.slice(F.col("results"), F.lit(1), i + F.when(state == "OK", 1).otherwise(0)), lambda x: strip(x["unit_id"]))
         scope = F.when(F.array_contains(F.col("plan.appendix_units"), unit), "appendix").otherwise("body")
         status = progress.status(F.col("plan.status"), F.col("plan.units"), F.col("plan.appendix_units"), done, unit, scope, state, strip(F.coalesce(r["reason"], F.lit(""))), F.col("plan.reason"), unit)
@@ -128,7 +195,7 @@ def build_artifact(rows: DataFrame) -> DataFrame:
 
     refused = progress.status(F.lit("unsupported"), F.array().cast("array<string>"), F.array().cast("array<string>"), F.array().cast("array<string>"), F.lit(""), F.lit("body"), F.lit(None).cast("string"), F.lit(""), F.col("plan.reason"))
     empty = F.array(
-        F.struct(F.lit("user").alias("role"), F.lit("Inspect the local PDF and build a translation plan.").alias("content"), F.lit("system_prompt").alias("message_kind"), F.lit(False).alias("visible_to_user"), F.lit(None).cast(_STATUS).alias("status")),
+        F.struct(F.lit("user").alias("role"), F.lit(planned).alias("content"), F.lit("system_prompt").alias("message_kind"), F.lit(False).alias("visible_to_user"), F.lit(None).cast(_STATUS).alias("status")),
         F.struct(F.lit("bot").alias("role"), F.lit("").alias("content"), F.lit("bot_reply").alias("message_kind"), F.lit(True).alias("visible_to_user"), refused.cast(_STATUS).alias("status")),
     )
     good = F.size("artifact_errors") == 0

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.payloads import parsed
-from corpuscope.functions.text import venue_name
+from corpuscope.functions.payloads import canonical_json, parsed
+from corpuscope.functions.text import abstract, compact, strip, tag_codes, venue_name
+from corpuscope.operators import search, writes
 
 #: Bytes of names up to which a publication list is broadcast for containment; a longer one is joined by its words.
 BROADCAST_BYTES = 8 << 20
@@ -75,22 +76,65 @@ FIELDS = {"paper_id": "paperId", "corpus_id": "corpusId", "matched_title": "titl
 NESTED = {"authors_json": "authors", "external_ids_json": "externalIds", "publication_types_json": "publicationTypes", "publication_venue_json": "publicationVenue", "journal_json": "journal", "open_access_pdf_json": "openAccessPdf"}
 
 
-def first_paper(response: Column) -> Column:
-    """The first paper of a reply; null for an empty list. A reply without a list of papers is an error."""
+def reply_error(response: Column) -> Column:
+    """Why a metadata reply can't be used; null if it can."""
     data = F.get_json_object(response, "$.data")
-    listed = F.when(F.startswith(data, F.lit("[")), True).otherwise(F.raise_error(F.lit("a metadata reply without a list of papers")).cast("boolean"))
-    return F.when(listed, F.get(parsed(response, PAPER)["data"], F.lit(0)))
+    blank = strip(F.coalesce(response, F.lit(""))) == ""
+    return F.when(blank, "no reply").when(F.try_parse_json(response).isNull(), "a reply that is no JSON").when(~F.coalesce(F.startswith(data, F.lit("[")), F.lit(False)), "a metadata reply without a list of papers")
+
+
+def first_paper(response: Column) -> Column:
+    """The first paper of a reply; null for an empty list, and where there is no list of papers."""
+    return F.when(reply_error(response).isNull(), F.get(parsed(response, PAPER)["data"], F.lit(0)))
+
+
+def metadata_errors(replies: DataFrame, response: str = "response") -> DataFrame:
+    """(conversation_id, error, response) of the replies that give no row: what is put aside to be looked at."""
+    return replies.select("conversation_id", reply_error(F.col(response)).alias("error"), F.col(response).alias("response")).where("error IS NOT NULL")
 
 
 def metadata_rows(replies: DataFrame, publications: DataFrame, response: str = "response") -> DataFrame:
     """One metadata row for each conversation's reply (conversation_id, response): matched or not_found, the paper's
-    fields, nested parts as JSON, and abbreviation, category and type of the publication that its venue names resolve to.
-    publications: (item, position, abbr, full_name, category, type)."""
-    p = replies.withColumn("_p", first_paper(F.col(response)))
+    fields, nested parts as JSON in one form, and abbreviation, category and type of the publication that its venue names
+    resolve to. Replies that can't be used give no row, see metadata_errors(). publications: (item, position, abbr,
+    full_name, category, type)."""
+    p = replies.where(reply_error(F.col(response)).isNull()).withColumn("_p", first_paper(F.col(response)))
     venue, names = F.col("_p.publicationVenue"), F.array("_p.venue", "_p.publicationVenue.name", "_p.journal.name")
     p = p.withColumn("_names", F.filter(F.concat(names, F.coalesce(venue["alternate_names"], F.array())), lambda n: n.isNotNull()))
     p = resolve_candidates(p, publications.withColumnRenamed("item", "_item"), "conversation_id", "_names", "_item")
     out = p.join(F.broadcast(publications.select(F.col("item").alias("_item"), "abbr", "category", "type")), "_item", "left")
-    nested = [F.get_json_object(response, f"$.data[0].{v}").alias(k) for k, v in NESTED.items()]
+    nested = [canonical_json(F.get_json_object(response, f"$.data[0].{v}")).alias(k) for k, v in NESTED.items()]
     rank = [F.coalesce("abbr", F.lit("")).alias("venue_abbr"), F.coalesce("category", F.lit("None")).alias("ccf_category"), F.coalesce("type", F.lit("None")).alias("ccf_type")]
-    return out.select("conversation_id", F.when(F.col("_p").isNotNull(), "matched").otherwise("not_found").alias("status"), *(F.col(f"_p.{v}").alias(k) for k, v in FIELDS.items()), *rank, *nested, F.col(response).alias("raw_response_json"), F.lit("semantic_scholar").alias("source"))
+    return out.select("conversation_id", F.when(F.col("_p").isNotNull(), "matched").otherwise("not_found").alias("status"), *(F.col(f"_p.{v}").alias(k) for k, v in FIELDS.items()), *rank, *nested, canonical_json(F.col(response)).alias("raw_response_json"), F.lit("semantic_scholar").alias("source"))
+
+
+def abstracts(papers: DataFrame, messages: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(conversation_id, title, abstract, origin): what a paper's tags are chosen by. The abstract is that of the first
+    reply that is not blank, else that of the metadata; origin says which, none if there is neither. papers: id, title,
+    original_filename (the title's stand-in); messages: conversation_id, id, message_kind, content."""
+    said = messages.where((F.col("message_kind") == "bot_reply") & (strip(F.coalesce("content", F.lit(""))) != ""))
+    first = said.groupBy("conversation_id").agg(F.min_by("content", "id").alias("_said")).select("conversation_id", abstract(F.col("_said")).alias("_own"))
+    known = metadata.select("conversation_id", compact(F.coalesce("abstract", F.lit(""))).alias("_other"))
+    title = F.coalesce(F.nullif(strip(F.coalesce("title", F.lit(""))), F.lit("")), F.col("original_filename"), F.lit(""))
+    p = papers.select(F.col("id").alias("conversation_id"), title.alias("title")).join(first, "conversation_id", "left").join(known, "conversation_id", "left")
+    own, other = (F.nullif(F.coalesce(c, F.lit("")), F.lit("")) for c in ("_own", "_other"))
+    origin = F.when(own.isNotNull(), "reply").when(other.isNotNull(), "metadata").otherwise("none")
+    return p.select("conversation_id", "title", F.coalesce(own, other, F.lit("")).alias("abstract"), origin.alias("origin"))
+
+
+def refresh_metadata(papers: DataFrame, messages: DataFrame, metadata: DataFrame, tags: DataFrame, replies: DataFrame, publications: DataFrame, tag_replies: DataFrame, definitions: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(metadata, abstracts, tags, errors) after papers were looked up anew.
+
+    replies: conversation_id, response. A reply that can't be used leaves the paper's row as it is and gives an error row;
+    the others replace it, created_at apart. tag_replies: conversation_id, reply (a classifier's answer). Known codes in
+    it replace a paper's tags; without any, or without a title or an abstract to ask by, they stay.
+    """
+    now = F.current_timestamp() if now is None else now
+    new = metadata_rows(replies, publications).withColumns({"created_at": now, "updated_at": now})
+    known = writes.upsert(metadata, new.select(*metadata.columns), "conversation_id")
+    asked = abstracts(papers, messages, known)
+    could = asked.where("title <> '' AND abstract <> ''").select("conversation_id")
+    codes = tag_replies.join(could, "conversation_id", "left_semi").select("conversation_id", F.explode(tag_codes(F.col("reply"))).alias("tag_code"))
+    found = search.resolved_tags(codes, definitions, "poe")
+    after = writes.replace_by_key(tags, found.select("conversation_id").distinct(), found.select(*tags.columns), "conversation_id")
+    return known, asked, after, metadata_errors(replies)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscope.functions import payloads
 from corpuscope.functions.text import inferred_kind, safe_int, strip, whole_number
@@ -36,8 +37,36 @@ def export_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+# The export's columns.
+EXPORT = (
+    "id", "conversation_id", "conversation_title", "status", "paper_id", "corpus_id", "matched_title", "url", "abstract", "year", "venue", "venue_abbr", "ccf_category", "ccf_type", "publication_date", "is_open_access", "match_score",
+    "citation_count", "reference_count", "authors_json", "external_ids_json", "publication_types_json", "publication_venue_json", "journal_json", "open_access_pdf_json", "raw_response_json", "source", "created_at", "updated_at",
+)
+
+
+def export_rows(metadata: DataFrame, papers: DataFrame) -> DataFrame:
+    """All metadata rows with their paper's title, if there is one, in the export's columns and as its texts: nulls and
+    columns that are not there are empty, times and dates ISO, truth True or False, and numbers as they are."""
+    rows = metadata.join(papers.select(F.col("id").alias("conversation_id"), F.col("title").alias("conversation_title")), "conversation_id", "left")
+
+    def text(c: str) -> Column:
+        if c not in rows.columns:
+            return F.lit("")
+        kind = rows.schema[c].dataType
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return export_text(payloads.iso(F.col(c), isinstance(kind, T.TimestampType)))
+        return export_text(F.initcap(F.col(c).cast("string")) if isinstance(kind, T.BooleanType) else F.col(c))
+
+    return rows.select(*(text(c).alias(c) for c in EXPORT))
+
+
+def write_export(metadata: DataFrame, papers: DataFrame, path: str) -> None:
+    """export_rows() as CSV files with a header; quotes within values are doubled."""
+    export_rows(metadata, papers).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
 def csv_export(metadata: DataFrame, papers: DataFrame, path: str) -> None:
-    """All metadata rows with their paper's title, if there is one."""
+    """All metadata rows as they are, with their paper's title, if there is one."""
     rows = metadata.join(papers.select(F.col("id").alias("conversation_id"), "title"), "conversation_id", "left")
     rows.select(*(export_text(F.col(c)).alias(c) for c in rows.columns)).write.mode("overwrite").option("header", True).csv(path)
 
@@ -201,6 +230,31 @@ def replace_if_any(target: DataFrame, found: DataFrame, part: str, key: str = "c
     return replace_by_key(target, some.select(key).distinct(), new, key)
 
 
+def reprocess_requests(requests: DataFrame) -> DataFrame:
+    """requests with figure_direction, table_direction and error: where captions are asked to stand, above or below, null
+    for what is not to be done anew. An asset_type with its caption_direction, the older way to ask, overrides the
+    direction of that kind. Columns that requests lack count as null."""
+    col = lambda c: F.col(c) if c in requests.columns else F.lit(None).cast("string")
+    kind, old, sides = col("asset_type"), col("caption_direction"), ("above", "below")
+    asked = kind.isNotNull() | old.isNotNull()
+    own = {k: F.when(asked & (kind == k), old).otherwise(col(f"{k}_caption_direction")) for k in ("figure", "table")}
+    bad = lambda c: c.isNotNull() & ~c.isin(*sides)
+    error = F.when(asked & ~F.coalesce(kind.isin("figure", "table"), F.lit(False)), "asset_type must be 'figure' or 'table'").when(asked & ~F.coalesce(old.isin(*sides), F.lit(False)), "caption_direction must be 'above' or 'below'")
+    for k, c in own.items():
+        error = error.when(bad(c), f"{k}_caption_direction must be 'above' or 'below'")
+    error = error.when(own["figure"].isNull() & own["table"].isNull(), "at least one caption direction is needed")
+    return requests.withColumns({f"{k}_direction": c for k, c in own.items()} | {"error": error})
+
+
+def reprocessed(assets: DataFrame, found: DataFrame, requests: DataFrame, kind: str) -> DataFrame:
+    """assets (figures or tables: kind figure or table) after requests (see reprocess_requests()): of papers whose request
+    has a direction for the kind and for which something was found in it (found: conversation_id, direction and the
+    columns of assets), the found ones; of all others those that there were."""
+    good = requests.where(F.col("error").isNull()).select("conversation_id", F.col(f"{kind}_direction").alias("direction")).where("direction IS NOT NULL").distinct()
+    new = found.join(good, ["conversation_id", "direction"], "left_semi")
+    return replace_by_key(assets, new.select("conversation_id").distinct(), new.select(*assets.columns), "conversation_id")
+
+
 def paper_shells(files: DataFrame, now: Column | None = None) -> DataFrame:
     """Rows of papers for new files (conversation_id, filename): without a title yet."""
     return files.select(F.col("conversation_id").alias("id"), F.lit(None).cast("string").alias("title"), F.col("filename").alias("original_filename"), F.lit("active").alias("status"), (F.current_timestamp() if now is None else now).alias("created_at"))
@@ -245,9 +299,14 @@ def write_report(rows: DataFrame, path: str, view: str = "jsonl", split: bool =
     writer.json(path) if view == "jsonl" else (writer if split else rows.select("value").write.mode("overwrite")).text(path)
 
 
-def write_json_list(rows: DataFrame, path: str) -> None:
-    """A reference list as JSON, a row a line, without null fields."""
-    rows.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+def write_json_list(rows: DataFrame, path: str, order: str, most: int = 100_000) -> None:
+    """A reference list (publications, a taxonomy) as one indented JSON list in the order of a column, which is left out,
+    as are null fields. For lists that are read whole by their readers: more than most rows are an error."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows are no reference list")
+    fields = F.struct(*(F.col(c) for c in rows.columns if c != order))
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), fields.alias("_row")))).alias("l"))
+    listed.select(F.to_json(F.transform("l", lambda x: x["_row"]), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def numbered_children(rows: DataFrame, part: str, order: list[str], key: str = "conversation_id") -> DataFrame:

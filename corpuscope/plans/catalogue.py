@@ -13,7 +13,7 @@ from corpuscope.streaming import jobs
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-CATALOGUE = """WITH papers AS (SELECT doc_id AS id, substring(text, 1, 80) AS title, n_chars AS created_at FROM documents),
+CATALOGUE = """WITH papers AS (SELECT doc_id AS id, text AS title, n_chars AS created_at FROM documents),
 meta AS (SELECT doc_id AS conversation_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'A' WHEN quality = 0 AND toxic = 0 THEN 'B' WHEN quality = 0 AND toxic = 1 THEN 'C' ELSE 'None' END AS ccf_category FROM labels),
 ven AS (SELECT doc_id AS conversation_id, source AS venue, CASE WHEN lang = 'en' THEN upper(source) ELSE '' END AS venue_abbr, CAST(2015 + doc_id % 10 AS INTEGER) AS year FROM documents),
 tags AS (SELECT l_orderkey AS conversation_id, l_returnflag AS tag_code FROM lineitem),
@@ -235,7 +235,7 @@ def venue_containment(spark: SparkSession, sf: str) -> DataFrame:
     return venues.resolve(c.table(spark, sf, "part").select("p_partkey", "p_name"), pubs, "p_name")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(regexp_extract_all(upper(substring(text, 1, 80) || ' t' || (doc_id % 12) || ', L3'), '\\b([LMTSAP]\\d{1,2})\\b', 1), lambda x: true), ',') AS codes FROM documents".replace("\\\\", "\\"), False)
+@query("SELECT doc_id, array_to_string(list_filter(regexp_extract_all(upper(text || ' t' || (doc_id % 12) || ', L3'), '\\b([LMTSAP]\\d{1,2})\\b', 1), lambda x: true), ',') AS codes FROM documents".replace("\\\\", "\\"), False)
 def tag_codes(spark: SparkSession, sf: str) -> DataFrame:
     said = F.concat("text", F.lit(" t"), (F.col("doc_id") % 12).cast("string"), F.lit(", L3"))
     return c.table(spark, sf, "documents").select("doc_id", F.array_join(text.tag_codes(said), ",").alias("codes"))

@@ -248,14 +248,14 @@ def search_both_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- writes
-def _new_root(spark: SparkSession) -> str:
+def new_root(spark: SparkSession) -> str:
     return f"{store.scratch_dir(spark)}/store-{uuid.uuid4().hex}"
 
 
 @query("SELECT conversation_id, CASE WHEN conversation_id % 7 = 0 THEN 'C' ELSE ccf_category END AS ccf_category FROM meta")
 def stored_update(spark: SparkSession, sf: str) -> DataFrame:
     """A stored table of several files, of which an update by key writes those anew that it touches."""
-    root, m = _new_root(spark), c.metadata(spark, sf)
+    root, m = new_root(spark), c.metadata(spark, sf)
     store.commit(spark, root, lambda now, own: {"meta": store.append(m.repartitionByRange(8, "conversation_id"), root, "meta", now, own)})
     changes = writes.changed(m, m.withColumn("ccf_category", F.when(F.col("conversation_id") % 7 == 0, "C").otherwise(F.col("ccf_category"))), "conversation_id")
     store.commit(spark, root, lambda now, own: {"meta": store.update(changes, root, "meta", "conversation_id", now, own)})
@@ -265,7 +265,7 @@ def stored_update(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_orderkey % 3 = 1 THEN l_returnflag END AS flag, CASE WHEN l_orderkey % 3 = 2 THEN CAST(l_suppkey AS VARCHAR) END AS note FROM lineitem""", False)
 def stored_schemas(spark: SparkSession, sf: str) -> DataFrame:
     """A table of three schemas, read as one: a column comes, another goes, and no file is written anew."""
-    root, line = _new_root(spark), c.table(spark, sf, "lineitem")
+    root, line = new_root(spark), c.table(spark, sf, "lineitem")
     part = lambda i, *more: line.where(F.col("l_orderkey") % 3 == i).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), *more)
     put = lambda rows: store.commit(spark, root, lambda now, own: {"t": store.append(rows, root, "t", now, own)})
     alter = lambda **x: store.commit(spark, root, lambda now, own: {"t": store.alter(spark, root, "t", now, own, **x)})
@@ -289,7 +289,7 @@ def bundle_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     record = F.struct(F.lit("a.pdf").alias("filename"), F.concat(F.lit("f"), "g", F.lit("-"), F.col("o_orderkey") % 5).alias("fingerprint"), F.lit("u").alias("poe_url"), F.lit("").alias("content_type"), F.lit(None).cast("string").alias("poe_name"))
     none = lambda t: F.array().cast(f"array<struct<{t}>>")
     b = o.select(F.concat(F.lit("p"), "g", F.lit("-"), F.col("o_custkey") % 4).alias("conversation_id"), F.lit("").alias("title"), record.alias("file_record"), none("role:string,content:string").alias("messages"), none("figure_index:int").alias("figures"), none("table_index:int").alias("tables"), none("tag_code:string,category_code:string,category_label:string,tag_label:string,tag_path:string,source:string").alias("tags"), F.lit(None).cast("struct<paper_id:string>").alias("meta"))
-    return writes.commit_bundles(spark, b, _new_root(spark)).groupBy("conversation_id", "exists", "error").agg(F.count("*").alias("n"))
+    return writes.commit_bundles(spark, b, new_root(spark)).groupBy("conversation_id", "exists", "error").agg(F.count("*").alias("n"))
 
 
 @query("""WITH f AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 11 = 0 THEN '' ELSE 'f' || (o_custkey % 50) || o_orderstatus END AS fp, o_orderkey % 10 = 0 AS taken FROM orders), known AS (SELECT 'f' || v AS fp, 'old' || v AS id FROM (VALUES ('7F'), ('13O')) t(v)),
@@ -333,7 +333,7 @@ def request_claims(spark: SparkSession, sf: str) -> DataFrame:
 @query(FOLD, False)
 def logged_states(spark: SparkSession, sf: str) -> DataFrame:
     """Events that come as a stream into a stored log, and the states of all jobs in it."""
-    root, e = _new_root(spark), c.table(spark, sf, "events")
+    root, e = new_root(spark), c.table(spark, sf, "events")
     stream = job_events_of(spark.readStream.schema(e.schema).parquet(f"{sf}/events.parquet*"))
     stored.log_events(stream, root).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return stored.states(spark, root)
@@ -364,9 +364,9 @@ def venue_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return venues.resolve_candidates(p, pubs, "p_partkey", "names").select("p_partkey", "item")
 
 
-@query("SELECT doc_id AS conversation_id, CASE WHEN doc_id % 7 = 0 THEN 'not_found' ELSE 'matched' END AS status, CASE WHEN doc_id % 7 <> 0 THEN left(text, 30) END AS matched_title, CAST(CASE WHEN doc_id % 7 <> 0 THEN 2000 + doc_id % 20 END AS INTEGER) AS year, CASE WHEN doc_id % 7 <> 0 AND lang = 'en' THEN 'EN' ELSE '' END AS venue_abbr, CASE WHEN doc_id % 7 <> 0 AND lang = 'en' THEN 'A' ELSE 'None' END AS ccf_category FROM documents", False)
+@query("SELECT doc_id AS conversation_id, CASE WHEN doc_id % 7 = 0 THEN 'not_found' ELSE 'matched' END AS status, CASE WHEN doc_id % 7 <> 0 THEN text END AS matched_title, CAST(CASE WHEN doc_id % 7 <> 0 THEN 2000 + doc_id % 20 END AS INTEGER) AS year, CASE WHEN doc_id % 7 <> 0 AND lang = 'en' THEN 'EN' ELSE '' END AS venue_abbr, CASE WHEN doc_id % 7 <> 0 AND lang = 'en' THEN 'A' ELSE 'None' END AS ccf_category FROM documents", False)
 def metadata_replies(spark: SparkSession, sf: str) -> DataFrame:
-    paper = F.struct(F.left("text", F.lit(30)).alias("title"), (2000 + F.col("doc_id") % 20).alias("year"), F.concat(F.lit("nothing "), "source").alias("venue"), F.struct(F.lit("zzz").alias("name"), F.array("lang").alias("alternate_names")).alias("publicationVenue"))
+    paper = F.struct(F.col("text").alias("title"), (2000 + F.col("doc_id") % 20).alias("year"), F.concat(F.lit("nothing "), "source").alias("venue"), F.struct(F.lit("zzz").alias("name"), F.array("lang").alias("alternate_names")).alias("publicationVenue"))
     reply = F.when(F.col("doc_id") % 7 == 0, '{"data": []}').otherwise(F.to_json(F.struct(F.array(paper).alias("data"))))
     pubs = spark.createDataFrame([("x", 0, "EN", "en", "A", "journal")], "item string, position int, abbr string, full_name string, category string, type string")
     rows = venues.metadata_rows(c.table(spark, sf, "documents").select(F.col("doc_id").alias("conversation_id"), reply.alias("response")), pubs)

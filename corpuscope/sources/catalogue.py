@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- the catalogue over the given tables
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), F.col("n_chars").alias("created_at"))
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("n_chars").alias("created_at"))
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from corpuscope.operators import store
+from corpuscope.operators import store, translation
 from corpuscope.streaming import jobs
 
 
@@ -90,3 +90,39 @@ def refused_uploads(files: DataFrame, extension: str = "pdf") -> DataFrame:
     """Uploads (path, length) with error: what is wrong with a file, null if nothing."""
     error = F.when(~F.endswith(F.lower("path"), F.lit(f".{extension}")), f"not a .{extension} file").when(F.coalesce("length", F.lit(0)) <= 0, "empty file")
     return files.withColumn("error", error)
+
+
+# ---------------------------------------------------------------- translations
+CONTEXTS, MESSAGES, OUTCOMES = "contexts", "messages", "outcomes"
+
+
+def open_contexts(messages: DataFrame, root: str) -> store.Version:
+    """Store what the newest messages say of each conversation: the state that replies go on from."""
+    return store.commit(messages.sparkSession, root, lambda now, own: {CONTEXTS: store.replace(translation.latest_context(messages), root, CONTEXTS, own)})
+
+
+def _brought(step, batch: DataFrame, root: str, now: store.Version, own: str) -> dict[str, dict] | None:
+    """What a step (contexts, rows -> contexts, messages, outcomes) on one batch changes in the stored tables: contexts of
+    the batch's conversations alone are read, and only files with changed ones are written anew."""
+    spark = batch.sparkSession
+    rows = store.written(batch, "batch")
+    old = store.read(spark, root, CONTEXTS, now).join(rows.select("conversation_id").distinct(), "conversation_id", "left_semi")
+    contexts, messages, outcomes = step(old, rows)
+    outcomes = store.written(outcomes, "outcomes")
+    if outcomes.isEmpty():
+        return None
+    counted = outcomes.where("error IS NULL").select("conversation_id").distinct()
+    changed = store.update(contexts.join(counted, "conversation_id", "left_semi").select("conversation_id", "status", "glossary"), root, CONTEXTS, "conversation_id", now, own)
+    tables = {OUTCOMES: store.append(outcomes, root, OUTCOMES, now, own), MESSAGES: store.append(messages, root, MESSAGES, now, own)}
+    return tables | ({CONTEXTS: changed} if changed else {})
+
+
+def continue_translations(replies: DataFrame, root: str, template: str, name: str = "replies") -> DataStreamWriter:
+    """Replies that arrive (see translation.continued()): each that counts appends a pair of messages and moves its
+    conversation on, each that doesn't leaves an outcome that says why. Contexts must be open."""
+    return stored(replies, root, name, lambda batch, now, own: _brought(lambda old, rows: translation.continued(old, rows, template), batch, root, now, own))
+
+
+def confirm_glossaries(submissions: DataFrame, root: str, asked: str, name: str = "glossaries") -> DataStreamWriter:
+    """Glossaries that are confirmed as they arrive (see translation.confirmed())."""
+    return stored(submissions, root, name, lambda batch, now, own: _brought(lambda old, rows: translation.confirmed(old, rows, asked), batch, root, now, own))

@@ -4,7 +4,7 @@ import pytest
 from conftest import SF
 from oracle import difference, expected
 
-from corpuscope.plans import rules  # noqa: F401
+from corpuscope.plans import rules, runs  # noqa: F401
 from corpuscope.plans.catalogue import QUERIES, SQL
 
 

@@ -104,12 +104,12 @@ def test_runs_artifacts_and_markdown(spark):
     assert got == {1: [("u1", "IN_PROGRESS"), ("u2", "BODY_DONE"), ("a1", "ALL_DONE")], 2: [("u1", "IN_PROGRESS"), ("u2", "UNSUPPORTED")], 3: [("u1", "IN_PROGRESS")]}
     results = [[("u1", "ok", "", "one"), ("u2", "UNSUPPORTED", "r", "")], [("u2", "OK", "", "x")], [], [("u1", "UNSUPPORTED", "r", ""), ("u2", "OK", "", "")]]
     rows = spark.createDataFrame(list(enumerate(results)), f"i int, results {translation.RESULT}").withColumn("plan", plan)
-    built = {r.i: r for r in translation.build_artifact(rows).collect()}
-    assert built[0].artifact_errors == [] and [m.content for m in built[0].messages] == ["Translate u1 from the local PDF.", "one", "Continue with u2.", ""]
+    built = {r.i: r for r in translation.build_artifact(rows, "Begin with {unit}.", "Continue with {unit}.", "Plan it.").collect()}
+    assert built[0].artifact_errors == [] and [m.content for m in built[0].messages] == ["Begin with u1.", "one", "Continue with u2.", ""]
     assert (built[0].translation_status.state, built[0].first_bot_message, built[0].continue_count_used) == ("UNSUPPORTED", "one", 1)
     assert built[1].artifact_errors == ["unit_results[0] is not the next planned unit"] and built[2].artifact_errors == ["unit_results must be a non-empty list"] and built[1].messages is None
     assert built[3].artifact_errors == ["unit_results[1].content is required"]
-    good = translation.build_artifact(rows.where("i = 0"))
+    good = translation.build_artifact(rows.where("i = 0"), "Begin with {unit}.", "Continue with {unit}.", "Plan it.")
     md = good.select(translation.markdown(F.col("messages"), F.col("plan"), F.col("translation_status"), payloads.errors(F.lit('[{"skill":"s"}]')), F.col("continue_count_used"), F.col("first_bot_message"), F.lit("T")).alias("m")).first().m
     assert md.startswith("# T\n\n- 可见译文段数: 1\n- 续翻次数: 1\n- 首段摘要预览: one\n") and "## 1. u1\n\none\n" in md and md.endswith("- [1] skill=s; type=-; retryable=no; message=-\n")
     plans_ = F.transform("messages", lambda m: F.when(m["role"] == "bot", F.col("plan")))
