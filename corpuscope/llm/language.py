@@ -3,7 +3,8 @@
 Every word of the training texts has a restaurant for what follows it; all these share one parent, the unigram
 restaurant, whose base is uniform over the known words and one for all unknown. Customers are seated by Gibbs sampling:
 each sweep draws the number of tables of each word in the parent given its customers, then that of each pair (context,
-word) given the parent's prediction. Pairs, contexts and words are Spark tables keyed by hashes; the totals that a sweep
+word) given what the parent, without the pair's own customers there, predicts for so many more (see seating.py). All
+pairs are drawn side by side, given the state after the sweep before. Pairs, contexts and words are Spark tables keyed by hashes; the totals that a sweep
 needs are summed over all of them before it, and frequent words are salted in joins. Texts are written once, as blocks of
 numbered words. A block asks the buckets of pairs and of words for all it needs in lists, and gets lists in the same order. A pair of one customer always has
 one table, so only pairs of two and more are drawn. Draws depend on the pair and the sweep, not on partitions.
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 
 from .common import NOT_SPACE, Words, list_array, mix, saved, slices, table
 from .labelled import fold
+from .seating import Parent, draw_tables
 
 #: Words of about this share of all tokens are spread in joins, so there are at most 2 / HOT_SHARE. Results don't depend on it.
 HOT_SHARE = 1e-3
@@ -29,7 +31,6 @@ HOT_SHARE = 1e-3
 BLOCK, BUCKET = 4 << 20, 1_000_000
 DISCOUNT, STRENGTH = (0.6, 0.75), (5.0, 1.0)  # of the parent, and of contexts
 BURN_IN, SAMPLES = 4, 3
-EXACT = 40  # pairs of up to so many customers draw their tables in one step; larger ones are seated in growing parties
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
 
@@ -337,74 +338,23 @@ def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int],
 
 
 # ---------------------------------------------------------------- seating
-def _log_stirling(d: float) -> np.ndarray:
-    """log of the generalised Stirling numbers for up to EXACT customers: ways to seat c at t tables."""
-    s = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    s[0, 0] = 0
-    for c in range(EXACT):
-        for t in range(c + 2):
-            a = s[c, t - 1] if t else -np.inf
-            b = s[c, t] + np.log(c - d * t) if t and c - d * t > 0 else -np.inf
-            s[c + 1, t] = np.logaddexp(a, b)
-    return s
-
-
-def _uniforms(seed: np.ndarray, first: int, n: int) -> np.ndarray:
-    """The numbers first, first + 1, ... of each seed's own sequence, in (0, 1)."""
-    at = np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mix(seed[:, None] + at[None]) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-
-
-def _binomial(m: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Binomial draws by two uniforms each: by inversion, or by the normal distribution where the variance is 50 or more."""
-    spread = m * q * (1 - q)
-    out = np.clip(np.rint(m * q + np.sqrt(spread) * np.sqrt(-2 * np.log(x[:, 0])) * np.cos(2 * np.pi * x[:, 1])), 0, m).astype(np.int64)
-    own = np.flatnonzero(spread < 50)
-    low, size = np.minimum(q[own], 1 - q[own]), m[own]
-    p = (1 - low) ** size
-    below, got = p.copy(), np.zeros(len(own), np.int64)
-    live = np.flatnonzero((x[own, 0] > below) & (size > 0))
-    while len(live):
-        p[live] *= (size[live] - got[live]) / (got[live] + 1) * (low[live] / (1 - low[live]))
-        got[live] += 1
-        below[live] += p[live]
-        live = live[(x[own[live], 0] > below[live]) & (got[live] < size[live])]
-    out[own] = np.where(q[own] <= 0.5, got, size - got)
-    return out
-
-
-def draw_tables(c: np.ndarray, p: np.ndarray, total: np.ndarray, d: float, theta: float, stirling: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Tables of c customers of one dish whose parent predicts it with p, in restaurants with total other tables."""
-    t = np.minimum(c, 1)
-    for k in range(2, EXACT + 1):
-        own = np.flatnonzero((c == k) if k < EXACT else (c >= k))
-        if len(own):
-            more = np.cumsum(np.log(theta + d * (np.maximum(total[own], 0)[:, None] + np.arange(k))), axis=1)
-            weight = stirling[k, 1 : k + 1][None] + more + np.arange(1, k + 1)[None] * np.log(p[own])[:, None]
-            t[own] = 1 + np.argmax(weight - np.log(-np.log(_uniforms(seed[own], 0, k))), axis=1)
-    seated, step = np.full(len(c), EXACT), EXACT
-    own = np.flatnonzero(c > EXACT)
-    while len(own):
-        party = np.minimum(np.maximum(1, seated[own] // 10), c[own] - seated[own])
-        new = (theta + d * (np.maximum(total[own], 0) + t[own])) * p[own]
-        t[own] += _binomial(party, new / (seated[own] - d * t[own] + new), _uniforms(seed[own], step, 2))
-        seated[own] += party
-        step += 2
-        own = own[seated[own] < c[own]]
-    return t
-
-
-def _drawn(u: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray, total: np.ndarray, p: np.ndarray, level: int, sweep: int) -> np.ndarray:
-    """t drawn anew, in parts: tables of c customers in restaurants of total tables, whose parent predicts the word with p."""
-    stirling, out = _log_stirling(DISCOUNT[level]), np.empty_like(t)
+def _drawn(u: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray, total: np.ndarray, parent: Parent, level: int, sweep: int) -> np.ndarray:
+    """t drawn anew, in parts: tables of c customers in restaurants of total tables, whose parent gives them customers."""
+    out = np.empty_like(t)
     shift = np.array([2 * sweep + level + 1], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for a in range(0, len(t), 50_000):
         x = slice(a, a + 50_000)
         seed = mix(_key(u[x].view(np.uint64), w[x].view(np.uint64)) + shift)
-        out[x] = draw_tables(c[x], p[x], total[x] - t[x], DISCOUNT[level], STRENGTH[level], stirling, seed)
+        out[x] = draw_tables(c[x], parent.of(x), total[x] - t[x], DISCOUNT[level], STRENGTH[level], seed)
     return out
 
 
+def _without_own(p: np.ndarray, t: np.ndarray, customers: int, all_tables: int, known: int) -> Parent:
+    """The parent as each pair sees it: without the customers that the pair's own t tables are there. p: its prediction."""
+    mass = STRENGTH[0] + customers
+    return Parent(np.maximum(p * mass - t, (STRENGTH[0] + DISCOUNT[0] * all_tables) / (known + 1)), mass - t)
+
+
 def _p0(customers, tables, all_customers: float, all_tables: float, known: int):
     """The parent's prediction; a word without customers is the unknown one."""
     return (customers - DISCOUNT[0] * tables + (STRENGTH[0] + DISCOUNT[0] * all_tables) / (known + 1)) / (STRENGTH[0] + all_customers)
@@ -486,7 +436,7 @@ def _parents(words: DataFrame, messages: DataFrame, sweep: int, all_tables: int,
         if sweep < BURN_IN + SAMPLES:
             w = x["w"][two]
             t = t.copy()
-            t[two] = _drawn(w * 0, w, c[two], t[two], np.full(len(w), all_tables), np.full(len(w), 1 / (known + 1)), 0, sweep)
+            t[two] = _drawn(w * 0, w, c[two], t[two], np.full(len(w), all_tables), Parent(np.full(len(w), 1 / (known + 1))), 0, sweep)
         else:
             of = np.repeat(x["uones"][None], SAMPLES, axis=0)
             contexts = sent.filter(pa.array(kind == 1))
@@ -514,8 +464,9 @@ def _predictions(words: DataFrame, customers: int, tables: int, known: int) -> D
     return words.select("bucket", "c", "t", "at", "srcs", "size").mapInArrow(run, "bucket int, src int, p binary")
 
 
-def _seated(pairs: DataFrame, predictions: DataFrame, sweep: int, hot: dict[int, int]) -> DataFrame:
-    """Buckets of pairs with tables drawn anew. hot: tables of the contexts that are spread over buckets."""
+def _seated(pairs: DataFrame, predictions: DataFrame, sweep: int, hot: dict[int, int], customers: int, all_tables: int, known: int) -> DataFrame:
+    """Buckets of pairs with tables drawn anew. hot: tables of the contexts that are spread over buckets; customers and
+    all_tables: of the parent."""
     names = np.array(sorted(hot), np.int64)
     tables = np.array([hot[x] for x in sorted(hot)], np.int64)
 
@@ -526,7 +477,7 @@ def _seated(pairs: DataFrame, predictions: DataFrame, sweep: int, hot: dict[int,
         total = x["once"] + np.bincount(at, t, size).astype(np.int64)
         spread = np.flatnonzero(np.isin(x["u"], names))
         total[spread] = tables[np.searchsorted(names, x["u"][spread])]
-        t = _drawn(x["u"][at], w, x["c"], t, total[at], p, 1, sweep)
+        t = _drawn(x["u"][at], w, x["c"], t, total[at], _without_own(p, t, customers, all_tables, known), 1, sweep)
         new = np.bincount(at, t, size).astype(np.int64)
         sample = sweep >= BURN_IN
         return _rows(_PAIRS, bucket=table.column("bucket")[0].as_py(), u=x["u"], once=x["once"], totals=np.append(x["totals"], new) if sample else x["totals"], w=w, c=x["c"], t=t, sum=x["sum"] + t if sample else x["sum"], hot=x["u"][spread], hot_t=new[spread], at=at)
@@ -557,7 +508,7 @@ def _sampled(counts: DataFrame, hot: list[int], buckets: int) -> tuple[DataFrame
         if not last:
             customers, all_tables = (int(x or 0) + once for x in words.agg(F.sum("sum_c"), F.sum("sum_t")).first())
             old = [pairs]
-            pairs = saved(_seated(pairs, _predictions(words, customers, all_tables, known), sweep, _hot_tables(pairs, singles)), "seats")
+            pairs = saved(_seated(pairs, _predictions(words, customers, all_tables, known), sweep, _hot_tables(pairs, singles), customers, all_tables, known), "seats")
             old = _dropped(old)
     return pairs, words, known, N
 
