@@ -100,7 +100,7 @@ def _lengths(table: pa.Table, name: str) -> np.ndarray:
 def _blocks(docs: DataFrame) -> DataFrame:
     """docs (row, text, train) as one row for each BLOCK bytes of text: the block's words, most frequent first, the tokens
     as their places there, and the words of a large share with their counts."""
-    schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in (("block", "long"), ("n_tokens", "long"), ("words", "binary"), ("tokens", "binary"), ("lengths", "array<int>"), ("train", "array<boolean>"), ("often", "array<long>"), ("times", "array<long>"))])
+    schema = T.StructType.fromDDL("block long, n_tokens long, words binary, tokens binary, lengths array<int>, train array<boolean>, often array<long>, times array<long>")
     schema = schema.add("rows", T.ArrayType(docs.schema["row"].dataType))
 
     def run(batches):
@@ -495,7 +495,7 @@ def _sampled(counts: DataFrame, hot: list[int], buckets: int) -> tuple[DataFrame
     """Buckets of pairs and of words after all sweeps, the number of known words and that of training tokens. A sweep sends the tables of pairs to the words'
     buckets in lists, draws the parent's tables there, and sends its predictions back. Words that occur once have one
     customer at one table throughout and are only counted."""
-    words, pairs = saved(_first_words(counts), "parents"), saved(_first_pairs(counts, np.array(hot, np.int64)), "seats")
+    words, pairs = saved(_first_words(counts), "parents", "zstd"), saved(_first_pairs(counts, np.array(hot, np.int64)), "seats", "zstd")
     known, once, N = (int(x or 0) for x in words.agg(F.sum(F.octet_length("w") / 8), F.sum("sum_t"), F.sum("sum_c")).first())
     alone = counts.select(F.explode(F.arrays_zip("hot", "hot_ones")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_ones").alias("n"))
     singles = {r.hot: int(r.n) for r in alone.collect()} if hot else {}
@@ -503,25 +503,23 @@ def _sampled(counts: DataFrame, hot: list[int], buckets: int) -> tuple[DataFrame
     for sweep in range(BURN_IN + SAMPLES + 1):
         last = sweep == BURN_IN + SAMPLES
         old += [words]
-        words = saved(_parents(words, _sent(pairs, buckets, last), sweep, all_tables, known), "parents")
+        words = saved(_parents(words, _sent(pairs, buckets, last), sweep, all_tables, known), "parents", "zstd")
         old = _dropped(old)
         if not last:
             customers, all_tables = (int(x or 0) + once for x in words.agg(F.sum("sum_c"), F.sum("sum_t")).first())
             old = [pairs]
-            pairs = saved(_seated(pairs, _predictions(words, customers, all_tables, known), sweep, _hot_tables(pairs, singles), customers, all_tables, known), "seats")
+            pairs = saved(_seated(pairs, _predictions(words, customers, all_tables, known), sweep, _hot_tables(pairs, singles), customers, all_tables, known), "seats", "zstd")
             old = _dropped(old)
     return pairs, words, known, N
 
 
 def _dropped(tables: list[DataFrame]) -> list[DataFrame]:
-    """Delete saved tables that no later plan reads, and let Spark clean up the shuffles of plans that are done with."""
+    """Delete saved tables that no later plan reads."""
     for df in tables:
         jvm, files = df.sparkSession._jvm, df.inputFiles()
         if files:
             folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
             folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
     return []
 
 
@@ -541,13 +539,12 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     buckets = 1 + tokens // BUCKET
     often = blocks.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("n"))
     hot = sorted(r.often for r in often.where(F.col("n") >= HOT_SHARE / 2 * tokens).collect())
-    counts = saved(_counts(_pair_requests(blocks, buckets, hot, True), buckets, hot), "counts")
-    _dropped([])
+    counts = saved(_counts(_pair_requests(blocks, buckets, hot, True), buckets, hot), "counts", "zstd")
     pairs, words, known, N = _sampled(counts, hot, buckets)
     totals = [float(x or 0) for x in words.agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(2 * SAMPLES))).first()]
-    seats = saved(_seats(_pair_requests(blocks, buckets, hot, False), pairs.select("bucket", "u", "w", "at", "sum")), "answers")
+    seats = saved(_seats(_pair_requests(blocks, buckets, hot, False), pairs.select("bucket", "u", "w", "at", "sum")), "answers", "zstd")
     _dropped([pairs])
-    word_answers = saved(_word_answers(blocks, words.select("bucket", "w", "n", "cs", "ts", "of"), buckets), "answers")
+    word_answers = saved(_word_answers(blocks, words.select("bucket", "w", "n", "cs", "ts", "of"), buckets), "answers", "zstd")
     _dropped([words])
     out = _scored(blocks, word_answers.union(seats), buckets, hot, known, N, totals)
     return out.select(*(F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("m").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("m")).alias("perplexity"))
