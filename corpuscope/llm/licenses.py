@@ -45,7 +45,7 @@ TEMPLATES = {
     "text:zlib": [
         "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions {{1}} the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required {{1}} altered source versions must be plainly marked as such and must not be misrepresented as being the original software {{1}} this notice may not be removed or altered from any source distribution"
     ],
-    "text:unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "text:unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software [[for more information please refer to {{http|https}} unlicense org]]"],
     "text:apache-2.0-notice": [
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[{{1}} www apache org licenses license 2 0]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
     ],
@@ -152,30 +152,35 @@ class Automaton:
 
 class Scanner:
     def __init__(self, phrases: dict[str, str], templates: dict[str, list[str]]):
-        self.phrases = [(label, np.uint64(h), k) for phrase, label in phrases.items() for k, h in [self._key(_hashes(phrase))]]
+        self.phrases = [(label, np.uint64(h), k, np.array(words, np.uint64)) for phrase, label in phrases.items() for words in [_hashes(phrase)] for k, h in [self._key(words)]]
         self.automata = [(a, np.uint64(h), k) for label, texts in templates.items() for t in texts for a in [Automaton.compile(label, t)] for k, h in [self._key(a.prefix)]]
 
     @staticmethod
     def _key(hashes: list[int]) -> tuple[int, int]:
+        """How many first words, four at most, places are looked up by, and their hash."""
         k = min(len(hashes), 4)
-        return k, hashes if k == 0 else int(grams(np.array(hashes[:k], np.uint64), k)[0])
+        if not k:
+            raise ValueError("a phrase needs a word")
+        return k, int(grams(np.array(hashes[:k], np.uint64), k)[0])
 
     def scan(self, column: pa.Array) -> tuple[Words, list[list[tuple]]]:
         w = Words(column, ALNUM)
         n, doc = len(w.hashes), w.doc
         places: list[list[tuple]] = [[] for _ in range(len(w.counts))]
         keyed = {}
-        for k in {k for *_, k in [*self.phrases, *self.automata]}:
-            g, keys = grams(w.hashes, k), np.unique(np.array([h for _, h, kk in [*self.phrases, *self.automata] if kk == k], np.uint64))
+        wanted = [x[1:3] for x in [*self.phrases, *self.automata]]
+        for k in {k for _, k in wanted}:
+            g, keys = grams(w.hashes, k), np.unique(np.array([h for h, kk in wanted if kk == k], np.uint64))
             at = np.flatnonzero(gram_ok(w.offsets, n, k))
             where = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
             hit = keys[where] == g[at]
             keyed[k] = (at[hit], g[at[hit]])
-        for label, h, k in self.phrases:
+        for label, h, k, own in self.phrases:
             at, g = keyed[k]
             for x in at[g == h].tolist():
-                d = doc[x]
-                places[d].append((label, x - int(w.offsets[d]), x - int(w.offsets[d]) + k, True, 0.5))
+                d, end = doc[x], x + len(own)
+                if end <= w.offsets[d + 1] and (w.hashes[x:end] == own).all():  # all its words, not only the first
+                    places[d].append((label, x - int(w.offsets[d]), end - int(w.offsets[d]), True, 0.5))
         for a, h, k in self.automata:
             at, g = keyed[k]
             for x in at[g == h].tolist():

@@ -298,3 +298,26 @@ def test_phrase_scores_are_exact(spark):
     with unittest.mock.patch.object(phrases, "frequent_phrases", lambda *x: (found, spark.createDataFrame([("en", big * 2)], "lang string, n long"))):
         (row,) = phrases.collocations(docs).collect()
     assert (row.a, row.l, row.r, row.score) == (big, big * 2, big + 2, 2_000_000 * big // (3 * big + 2))
+
+
+# ---------------------------------------------------------------- licenses
+def test_phrases_count_whole(spark):
+    from corpuscope.llm.licenses import scan_licenses
+
+    texts = ["All rights are reserved here.", "all rights are reserved never", "x all rights are reserved", "all rights are reserved HERE all rights are reserved here", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(p.label, p.start, p.end) for p in r.places] for r in scan_licenses(docs, phrases={"all rights are reserved here": "r", "one": "o"}, templates={}).collect()}
+    assert got == {0: [("r", 0, 5)], 1: [], 2: [], 3: [("r", 0, 5), ("r", 5, 10)], 4: [("o", 0, 1)]}
+
+
+def test_whole_unlicense(spark):
+    from corpuscope.llm.licenses import TEMPLATES, scan_licenses
+
+    body = TEMPLATES["text:unlicense"][0].split("[[")[0]
+    cut = body.index("in jurisdictions")
+    texts = [body, body + "For more information, please refer to <https://unlicense.org/>", body[:cut] + "but only if you pay the author a fee", body[:cut], body.replace("relinquishment", "withdrawal")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {p.label: p.end for p in r.places} for r in scan_licenses(docs).collect()}
+    n = len(body.split())
+    assert got[0]["text:unlicense"] == n and got[1]["text:unlicense"] == n + 9
+    assert all("text:unlicense" not in got[i] for i in (2, 3, 4))
