@@ -582,6 +582,17 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
         assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter((i, text(k)) for i, k in [(1, "a"), (None, "b"), (5, "c"), (7, "d"), (2, "e"), (None, "f")])
 
 
+def test_pipeline_keeps_rows_of_one_hash(spark, monkeypatch):
+    """Rows whose keys collide are still different rows."""
+    import corpus_pipeline
+
+    real = corpus_pipeline._key
+    monkeypatch.setattr(corpus_pipeline, "_key", lambda seed: F.lit(5).cast("long") if seed in (0, 2) else real(seed))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "u v w x y z"), (3, None), (4, "a b c d e f")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a b c d e f"), (2, "u v w x y z"), (3, None)]
+
+
 def test_pipeline_keeps_values_of_clashing_columns(spark):
     import corpus_pipeline as p
 
