@@ -27,6 +27,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").drop("score", "predicted").withColumnsRenamed({f"_{c}": c for c in own}).select(*docs.columns)
 
 
+def _key(seed: int):
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number for each pair of doc_id and text. Pairs that would share one, as some among very many do,
+    are told by a second hash and get another; the driver holds no more than the numbers that are shared."""
+    row, seed = _key(0), 2
+    while True:
+        both = docs.select(row.alias("_row"), _key(1).alias("_other")).groupBy("_row").agg(F.min("_other").alias("a"), F.max("_other").alias("b"))
+        shared = [r[0] for r in both.where("a < b").select("_row").collect()]
+        if not shared:
+            return docs.withColumn("_row", row)
+        row, seed = F.when(row.isin(*shared), _key(seed)).otherwise(row), seed + 1
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts whose sets of five-word shingles are linked by a similarity of 0.8 or more, that of
     the smallest doc_id, one without doc_id only if no other has one. Groups are of rows, not of ids: of rows equal in
