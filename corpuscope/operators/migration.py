@@ -49,6 +49,44 @@ def _with_status(payload: Column, status: Column) -> Column:
     return F.when(F.size(made) > 0, F.to_json(made))
 
 
+def payload_cleanup(messages: DataFrame) -> DataFrame:
+    """messages (message_kind, content, payload) with action, reasons, next_content and next_payload: replies as they would
+    be stored today, the status block out of the text and the payload's parts in their form. A block that can't be read
+    is left alone (skip_parse_error); what is stored so already, or is no reply, is kept."""
+    bot = F.col("message_kind") == "bot_reply"
+    m = messages.withColumn("_s", F.when(bot, payloads.stored_reply(F.coalesce("content", F.lit("")), F.col("payload"))))
+    unread = F.coalesce("content", F.lit("")).rlike(text.STATUS_JSON) & F.col("_s.raw").isNull()
+    made = payloads.payload_json(F.col("_s"))
+    same = payloads.canonical_json(made).eqNullSafe(payloads.canonical_json(F.col("payload")))
+    content, payload = F.col("_s.content"), F.when(same, F.col("payload")).otherwise(made)
+    differs = ~content.eqNullSafe(F.coalesce("content", F.lit(""))) | ~same
+    m = m.withColumn("action", F.when(~bot, "keep").when(unread, "skip_parse_error").when(differs, "update").otherwise("keep"))
+    update = F.col("action") == "update"
+    m = m.withColumn("reasons", F.when(F.col("action") == "skip_parse_error", F.array(F.lit("status block that is no JSON"))).otherwise(F.array().cast("array<string>")))
+    return m.withColumns({f"{NEXT}content": F.when(update, content).otherwise(F.col("content")), f"{NEXT}payload": F.when(update, payload).otherwise(F.col("payload"))}).drop("_s")
+
+
+# Keys that are no longer kept.
+OUTDATED = ("translation_status", "raw_translation_status_text", "raw_document_outline_text", "parse_error")
+
+
+def status_version_2(messages: DataFrame) -> DataFrame:
+    """messages (message_kind, content, payload) with action, reasons and next_payload: replies' old statuses, from the
+    payload or else from the block in the text, in the form of version 2, the payload's other keys beside it. A status that
+    can't be brought into that form leaves the message alone (skip_error), the reason being where it was found and why."""
+    bot = F.col("message_kind") == "bot_reply"
+    m = messages.withColumn("_o", F.when(bot, legacy.old_status(F.col("content"), F.col("payload")))).withColumn("_v", F.when(bot, legacy.status_v2(F.col("_o.status"))))
+    obj = F.when(F.startswith(text.strip(F.coalesce("payload", F.lit(""))), F.lit("{")), F.col("payload"))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    others = F.map_filter(F.coalesce(F.try_parse_json(obj).cast("map<string,variant>"), empty), lambda k, _: ~k.isin(*OUTDATED))
+    made = F.to_json(F.map_concat(others, F.parse_json(F.to_json(F.struct(F.col("_v.status").alias("translation_status")))).cast("map<string,variant>")))
+    same = payloads.canonical_json(made).eqNullSafe(payloads.canonical_json(F.col("payload")))
+    good = F.col("_v.reason") == "ok"
+    m = m.withColumn("action", F.when(~bot, "keep").when(~good, "skip_error").when(same, "keep").otherwise("update"))
+    m = m.withColumn("reasons", F.when(F.col("action") == "skip_error", F.array(F.concat_ws(":", "_o.origin", "_v.reason"))).otherwise(F.array().cast("array<string>")))
+    return m.withColumn(f"{NEXT}payload", F.when(F.col("action") == "update", made).otherwise(F.col("payload"))).drop("_o", "_v")
+
+
 def display_filter(messages: DataFrame) -> DataFrame:
     """messages with action (keep, trim or hide), reasons, next_content and next_visible_to_user: what the filter for old
     replies does to them. A trimmed reply keeps what is shown of it, a hidden one is no longer visible."""

@@ -81,6 +81,18 @@ def filtered_replies(spark: SparkSession, sf: str) -> DataFrame:
     return store.read(spark, root, "messages").select("id", "content", "visible_to_user")
 
 
+@query(r"""SELECT conv_id * 1000 + turn AS id, CASE WHEN role <> 'assistant' THEN 'keep' WHEN turn % 3 = 1 THEN 'skip_parse_error' ELSE 'update' END AS action, CASE WHEN role <> 'assistant' THEN text WHEN turn % 3 = 1 THEN text || chr(10) || '[TRANSLATION_STATUS_JSON]{bad}[/TRANSLATION_STATUS_JSON]' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS content,
+CASE WHEN role = 'assistant' AND turn % 3 <> 1 THEN '{"turn":' || turn || '}' ELSE '{"turn":' || turn || ',"parse_error":"x"}' END AS payload FROM conversations""", False)
+def cleaned_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies with status blocks, some of them no JSON, and outdated payload keys, as they would be stored today."""
+    t = c.table(spark, sf, "conversations")
+    bot, block = F.col("role") == "assistant", F.lit('\n[TRANSLATION_STATUS_JSON]{"state": "OK"}[/TRANSLATION_STATUS_JSON]')
+    said = F.when(~bot, F.col("text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit("\n[TRANSLATION_STATUS_JSON]{bad}[/TRANSLATION_STATUS_JSON]"))).otherwise(F.concat("text", block))
+    payload = F.concat(F.lit('{"turn":'), "turn", F.lit(',"parse_error":"x"}'))
+    m = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(bot, "bot_reply").otherwise("user_message").alias("message_kind"), said.alias("content"), payload.alias("payload"))
+    return migration.payload_cleanup(m).select("id", "action", F.col("next_content").alias("content"), F.col("next_payload").alias("payload"))
+
+
 # ---------------------------------------------------------------- metadata
 @query("""WITH m AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant' AND turn % 5 <> 0 AND trim(text, ' \t\n\r') <> '')
 SELECT d.doc_id AS conversation_id, CASE WHEN d.doc_id % 9 = 0 THEN CASE WHEN l.doc_id IS NULL THEN NULL ELSE 'old' END WHEN d.doc_id % 7 = 0 THEN 'not_found' ELSE 'matched' END AS status,

@@ -69,6 +69,39 @@ def venue_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("position").cast("string").alias("item"), "position", "v.*")
 
 
+def artifact_files(spark: SparkSession, path: str) -> DataFrame:
+    """JSON files (path, value, error): the text without a byte order mark; error says if it is no JSON object."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    return rows.withColumn("error", F.when(~F.coalesce(F.startswith(json_kind(F.col("value")), F.lit("OBJECT")), F.lit(False)), "the input must be a JSON object"))
+
+
+def json_kind(c, path: str = "$") -> F.Column:
+    """What stands at a path of a JSON text: OBJECT<...>, ARRAY<...>, STRING and so on; null if nothing does."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), path, "variant"))
+
+
+def shape_errors(c, objects: tuple[str, ...] = (), lists: tuple[str, ...] = (), texts: tuple[str, ...] = ()) -> F.Column:
+    """What is wrong with the fields of a JSON object, as texts in the order of the fields given: objects and lists must be
+    such, texts must be there and not blank."""
+    kind = lambda f: F.coalesce(json_kind(c, f"$.{f}"), F.lit(""))
+    blank = lambda f: F.coalesce(F.regexp_replace(F.get_json_object(c, f"$.{f}"), r"(?U)\s+", ""), F.lit("")) == ""
+    found = [F.when(~F.startswith(kind(f), F.lit("OBJECT")), f"field '{f}' must be an object") for f in objects]
+    found += [F.when(~F.startswith(kind(f), F.lit("ARRAY")), f"field '{f}' must be a list") for f in lists]
+    found += [F.when(blank(f), f"{f} is required") for f in texts]
+    return F.filter(F.array(*found), lambda e: e.isNotNull()) if found else F.array().cast("array<string>")
+
+
+def with_path_errors(rows: DataFrame, field: str, known: DataFrame) -> DataFrame:
+    """rows with path_error: whether the path in a field is given and names a file. known: path and is_file of what there
+    is, as a listing of the store gives it; paths are compared as they are, without their scheme."""
+    plain = lambda c: F.regexp_replace(c, r"^[a-z0-9+.-]+:/+", "/")
+    there = known.select(plain(F.col("path")).alias("_path"), F.col("is_file").alias("_is_file")).groupBy("_path").agg(F.max("_is_file").alias("_is_file"))
+    said = F.trim(F.coalesce(F.col(field), F.lit("")))
+    out = rows.withColumn("_path", plain(said)).join(there, "_path", "left")
+    error = F.when(said == "", f"{field} is required").when(F.col("_is_file").isNull(), F.concat(F.lit(f"{field} does not exist: "), said)).when(~F.col("_is_file"), F.concat(F.lit(f"{field} must be a file: "), said))
+    return out.withColumn("path_error", error).drop("_path", "_is_file")
+
+
 def from_base64(c) -> F.Column:
     """Bytes of a base64 text; null where it is no base64."""
     return F.try_to_binary(c, F.lit("base64"))

@@ -277,3 +277,42 @@ def test_reprocess(spark):
     got = layout.matches(captions, regions, given)
     assert {r.doc_id: (r.region_id, r.direction) for r in got.collect()} == {1: (2, "below"), 2: (1, "above"), 3: (1, "above")}
     assert {r.doc_id: r.direction for r in layout.direction_vote(got).collect()} == {1: "below", 2: "above", 3: "above"}
+
+
+# ---------------------------------------------------------------- older backfills, artifacts
+def test_payload_cleanup(spark):
+    block = '[TRANSLATION_STATUS_JSON]%s[/TRANSLATION_STATUS_JSON]'
+    rows = [(1, "bot_reply", "a " + block % '{"state":"OK"}', '{"parse_error":"e","k":1}'), (2, "bot_reply", "a " + block % '{bad}', None), (3, "bot_reply", "a", '{ "k" : 1 }'), (4, "user_message", " a ", "x"), (5, "bot_reply", " a ", None), (6, "bot_reply", None, None)]
+    m = spark.createDataFrame(rows, "id long, message_kind string, content string, payload string")
+    got = {r.id: (r.action, r.next_content, r.next_payload) for r in migration.payload_cleanup(m).collect()}
+    assert got == {1: ("update", "a", '{"k":1}'), 2: ("skip_parse_error", rows[1][2], None), 3: ("keep", "a", '{ "k" : 1 }'), 4: ("keep", " a ", "x"), 5: ("update", "a", None), 6: ("keep", None, None)}
+    assert {r.id: r.changed for r in migration.report(migration.payload_cleanup(m), "id").collect()} == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
+
+
+def test_status_version_2(spark, tmp_path):
+    block = "[TRANSLATION_STATUS]\nstate=%s\nphase=body\n[/TRANSLATION_STATUS]"
+    rows = [(1, "bot_reply", block % "body_done", '{"k":[1],"parse_error":"x"}'), (2, "bot_reply", block % "odd", None), (3, "bot_reply", "x", '{"translation_status":{"state":"ALL_DONE"}}'), (4, "bot_reply", "x", None), (5, "user_message", block % "body_done", None)]
+    m = spark.createDataFrame(rows, "id long, message_kind string, content string, payload string")
+    root = str(tmp_path)
+    store.commit(spark, root, lambda now, own: {"m": store.append(m, root, "m", now, own)})
+    got = {r.id: (r.action, r.reasons) for r in migration.audit(spark, root, "m", "id", migration.status_version_2).collect()}
+    assert got == {1: ("update", []), 2: ("skip_error", ["content.translation_status_block:invalid_state"]), 3: ("update", []), 4: ("skip_error", ["missing:missing_translation_status"]), 5: ("keep", [])}
+    migration.migrate(spark, root, "m", "id", migration.status_version_2, "v2")
+    new = {r.id: r for r in store.read(spark, root, "m").collect()}
+    one_, three = json.loads(new[1].payload), json.loads(new[3].payload)
+    assert (one_["k"], one_["translation_status"]["state"], "parse_error" in one_, three["translation_status"]["is_all_done"]) == ([1], "BODY_DONE", False, True)
+    assert new[2].payload is None and new[1].content == rows[0][2]
+    assert migration.audit(spark, root, "m", "id", migration.status_version_2).where("action = 'update'").isEmpty()  # done once, done for good
+
+
+def test_artifact_files(spark, tmp_path):
+    for name, data in (("a", '\ufeff{"m": [1], "p": {}, "t": " x"}'), ("b", "[1]"), ("c", "{bad"), ("d", '{"m": "[x", "p": [], "t": " "}')):
+        (tmp_path / f"{name}.json").write_text(data, encoding="utf-8")
+    rows = catalogue.artifact_files(spark, str(tmp_path / "*.json")).withColumn("shape", catalogue.shape_errors(F.col("value"), ("p",), ("m",), ("t",)))
+    got = {r.path[-6:-5]: (r.error, r["shape"]) for r in rows.collect()}
+    wrong = ["field 'p' must be an object", "field 'm' must be a list", "t is required"]
+    assert got == {"a": (None, []), "b": ("the input must be a JSON object", wrong), "c": ("the input must be a JSON object", wrong), "d": (None, wrong)}
+    asked = spark.createDataFrame([(str(tmp_path / "a.json"),), ("/no",), (str(tmp_path),), (" ",), (None,)], "f string")
+    known = rows.select("path", F.lit(True).alias("is_file")).union(spark.createDataFrame([(str(tmp_path), False)], "path string, is_file boolean"))
+    errors = {r.f: r.path_error for r in catalogue.with_path_errors(asked, "f", known).collect()}
+    assert errors == {str(tmp_path / "a.json"): None, "/no": "f does not exist: /no", str(tmp_path): f"f must be a file: {tmp_path}", " ": "f is required", None: "f is required"}
