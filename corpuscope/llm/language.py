@@ -31,6 +31,8 @@ HOT_SHARE = 1e-3
 BLOCK, BUCKET = 4 << 20, 1_000_000
 DISCOUNT, STRENGTH = (0.6, 0.75), (5.0, 1.0)  # of the parent, and of contexts
 BURN_IN, SAMPLES = 4, 3
+#: Rounds in which blocks are scored, so that as large a share of all answers moves between tasks at a time.
+ROUNDS = 4
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
 
@@ -546,7 +548,12 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     _dropped([pairs])
     word_answers = saved(_word_answers(blocks, words.select("bucket", "w", "n", "cs", "ts", "of"), buckets), "answers", "zstd")
     _dropped([words])
-    out = _scored(blocks, word_answers.union(seats), buckets, hot, known, N, totals)
+    answers, out = word_answers.union(seats), None
+    for i in range(ROUNDS):  # counts are whole by now; a round has its blocks' answers moved to them
+        own = F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == i
+        part = saved(_scored(blocks.where(own), answers.where(own), buckets, hot, known, N, totals), "scores", "zstd")
+        out = part if out is None else out.union(part)
+    _dropped([blocks, word_answers, seats])
     return out.select(*(F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("m").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("m")).alias("perplexity"))
 
 
