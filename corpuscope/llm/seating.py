@@ -18,6 +18,8 @@ from .common import mix
 SMALL, LIMIT = 40, 1024
 #: Places at which the weights of many customers are worked out, and how many standard deviations these reach.
 PLACES, REACH = 128, 9.0
+#: Stirling numbers that are worked out at a time, in some 3 KB each.
+PART = 8192
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -83,9 +85,10 @@ def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     out[tabled] = stirling_table(d)[c[tabled].astype(np.int64), t[tabled].astype(np.int64)]
     few = ~tabled & ~all_alone & (t < c**d)
     many = ~tabled & ~all_alone & ~few
-    for where, by in ((few, _by_sum), (many, _by_saddle)):
-        if where.any():
-            out[where] = by(c[where], t[where], d)
+    for where, by in ((np.flatnonzero(few), _by_sum), (np.flatnonzero(many), _by_saddle)):
+        for a in range(0, len(where), PART):
+            own = where[a : a + PART]
+            out[own] = by(c[own], t[own], d)
     return out
 
 
@@ -133,8 +136,8 @@ def draw_tables(c: np.ndarray, parent: Parent, total: np.ndarray, d: float, thet
             weight = log_weight(np.full(len(at), k), at, parent.of(rows), total[rows], d, theta).reshape(-1, k)
             t[own] = 1 + np.argmax(weight - np.log(-np.log(uniforms(seed[own], 0, k))), axis=1)
     own = np.flatnonzero(c > SMALL)
-    for a in range(0, len(own), 2000):
-        x = own[a : a + 2000]
+    for a in range(0, len(own), 500):
+        x = own[a : a + 500]
         t[x] = _draw_many(c[x].astype(np.float64), parent.of(x), total[x], d, theta, seed[x])
     return t
 
