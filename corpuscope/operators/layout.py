@@ -1,15 +1,12 @@
-"""Captions and graphic regions of pages: which regions a caption can own, as a join by page."""
+"""Captions and graphic regions of pages: which regions a caption can own, as a join by page, and whole pages as rows whose
+blocks, captions and groups of regions are arrays, judged by expressions."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import FIGURE, TABLE, overlap
+from corpuscope.functions.text import FIGURE, TABLE, adjacent, caption_label, compact, digit_ratio, has_caption_suffix, has_line_numbers, is_paragraph, let, near_same, overlap, strip
 
 # Fixed values, in points and shares of the page.
 MIN_WIDTH, MIN_HEIGHT, NEAREST, FARTHEST, SHARE, CENTRE = 40, 16, -6, 260, 0.25, 30
@@ -69,262 +66,270 @@ def direction_vote(matched: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- whole pages
-_FIGURE, _TABLE = (re.compile(rf"^\s*({x})\b", re.I) for x in (FIGURE, TABLE))
-_INNER = re.compile(rf"({FIGURE})\s*[:.]?", re.I)
-_ROWS = "doc_id {id}, page int, place int, kind string, label string, caption string, x0 double, y0 double, x1 double, y1 double, pixel_width int, pixel_height int"
 #: What pages are: one row each. Blocks of type 0 hold lines of text, those of type 1 are images.
 PAGE = "doc_id long, page int, page_w double, page_h double, blocks array<struct<type:int,x0:double,y0:double,x1:double,y1:double,lines:array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>>>, drawings array<struct<x0:double,y0:double,x1:double,y1:double>>"
+_EDGES = "x0:double,y0:double,x1:double,y1:double"
+_LINES = f"array<struct<text:string,{_EDGES}>>"
+_TEXT = f"struct<{_EDGES},text:string,lines:{_LINES}>"
+_CAPTION = f"struct<{_EDGES},text:string,label:string>"
+#: Of a region: whether it is text, what it adds to a group's score, and its area.
+_REGION = f"struct<y0:double,x0:double,i:int,x1:double,y1:double,is_text:boolean,score:double,area:double>"
+_GROUP = f"struct<{_EDGES},members:array<int>,score:double,area:double,texts:int>"
+_FOUND = f"struct<place:int,label:string,caption:string,{_EDGES},cx0:double,cy0:double,cx1:double>"
+#: kind: vertical gap within a group, and how much better below must be.
+RULES = {"figure": (GROUP_GAP, 0.5), "table": (TABLE_GROUP_GAP, 0.75)}
+
+
+def _list(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _width(b: Column) -> Column:
+    return b["x1"] - b["x0"]
+
+
+def _height(b: Column) -> Column:
+    return b["y1"] - b["y0"]
+
+
+def _same(a: Column, b: Column) -> Column:
+    return near_same({e: a[e] for e in BOX}, {e: b[e] for e in BOX})
+
+
+def _beside(a: Column, b: Column, across: float, down: float) -> Column:
+    return adjacent({e: a[e] for e in BOX}, {e: b[e] for e in BOX}, across, down)
+
+
+def _in_column(r: Column, c: Column) -> Column:
+    """Whether c, a caption, stands over or under a box."""
+    middle = (c["x0"] + c["x1"]) / 2
+    return (overlap(r["x0"], r["x1"], c["x0"], c["x1"]) >= SHARE * F.greatest(F.lit(1.0), F.least(_width(r), _width(c)))) | middle.between(r["x0"] - CENTRE, r["x1"] + CENTRE)
+
+
+def _joined(a: Column, b: Column) -> list[Column]:
+    """The edges of the least box round two."""
+    return [F.least(a["x0"], b["x0"]).alias("x0"), F.least(a["y0"], b["y0"]).alias("y0"), F.greatest(a["x1"], b["x1"]).alias("x1"), F.greatest(a["y1"], b["y1"]).alias("y1")]
+
+
+def _around(boxes: Column) -> list[Column]:
+    """The edges of the least box round all of an array."""
+    return [(F.array_min if e in ("x0", "y0") else F.array_max)(_edge(boxes, e)).alias(e) for e in BOX]
+
+
+def _edge(boxes: Column, e: str) -> Column:
+    return F.transform(boxes, lambda b: b[e])
+
+
+def _caption_start(text: Column, name: str) -> Column:
+    return text.rlike(rf"(?i)^\s*(?:{name})\b")
+
+
+def _table_label(text: Column) -> Column:
+    return strip(F.regexp_extract(text, rf"(?i)^\s*({TABLE})\b", 1))
+
+
+def _joined_text(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda x: x["text"]), " ")
+
+
+def _texts(blocks: Column) -> Column:
+    """Blocks of text with their lines that are not blank, runs of white space as one blank."""
+    line = lambda x: F.struct(compact(F.coalesce(x["text"], F.lit(""))).alias("text"), *(x[e].cast("double").alias(e) for e in BOX))
+    lines = lambda b: F.filter(F.transform(F.coalesce(b["lines"], _list(f"struct<text:string,{_EDGES}>")), line), lambda x: x["text"] != "")
+    text = lambda b: let(lines(b), lambda rows: F.struct(*(b[e].cast("double").alias(e) for e in BOX), _joined_text(rows).alias("text"), rows.alias("lines")))
+    return F.filter(F.transform(F.filter(F.coalesce(blocks, F.array()), lambda b: b["type"] == 0), text), lambda t: t["text"] != "").cast(f"array<{_TEXT}>")
+
+
+def _in_order(regions: Column) -> Column:
+    """Regions from top to bottom and left to right, of nearly equal ones the first alone, numbered."""
+    placed = F.array_sort(F.transform(regions, lambda r, i: F.struct(r["y0"], r["x0"], i.cast("int").alias("i"), r["x1"], r["y1"], r["is_text"], r["score"], r["area"])))
+    apart = F.aggregate(placed, _list(_REGION), lambda kept, r: F.when(F.exists(kept, lambda o: _same(r, o)), kept).otherwise(F.concat(kept, F.array(r.cast(_REGION)))))
+    return F.transform(apart, lambda r, i: r.withField("i", i.cast("int")))
+
+
+def _region(b: Column, is_text: Column | bool, score: Column) -> Column:
+    return F.struct(b["y0"].cast("double").alias("y0"), b["x0"].cast("double").alias("x0"), F.lit(0).alias("i"), b["x1"].cast("double").alias("x1"), b["y1"].cast("double").alias("y1"), F.lit(is_text).alias("is_text"), score.cast("double").alias("score"), (_width(b) * _height(b)).cast("double").alias("area")).cast(_REGION)
+
+
+def _large(boxes: Column) -> Column:
+    return F.filter(boxes, lambda b: (_width(b) >= MIN_WIDTH) & (_height(b) >= MIN_HEIGHT))
+
+
+def _graphics() -> Column:
+    """Images and drawings large enough for a figure, but for drawings that fill much of the page."""
+    w, h = F.col("page_w"), F.col("page_h")
+    size = lambda b: F.when(_width(b) >= 140, 0.5).otherwise(0.0) + F.when(_height(b) >= 60, 0.5).otherwise(0.0)
+    huge = lambda b: (_width(b) * _height(b) > BIG_AREA * w * h) | ((_width(b) >= BIG_WIDTH * F.greatest(F.lit(1.0), w)) & (_height(b) >= BIG_HEIGHT * F.greatest(F.lit(1.0), h)))
+    images = F.transform(_large(F.filter(F.coalesce("blocks", F.array()), lambda b: b["type"] == 1)), lambda b: _region(b, False, 2.0 + size(b)))
+    drawn = F.transform(F.filter("_drawn", lambda b: ~huge(b)), lambda b: _region(b, False, 1.4 + size(b)))
+    return _in_order(F.concat(images, drawn))
+
+
+def _first_caption(t: Column) -> Column:
+    """The place (from 1) of the first line that starts as a table's caption; 0 if none does."""
+    return F.array_position(F.transform(t["lines"], lambda x: has_caption_suffix(x["text"])), True).cast("int")
+
 
+def _table_regions() -> Column:
+    """Text that may be a table's, above a caption's line if there is one, and drawings."""
+    h = F.col("page_h")
 
-@dataclass
-class Region:
-    """A box with what is known of it."""
+    def part(t: Column) -> Column:
+        return let(_first_caption(t), lambda at: F.when(at > 0, F.slice(t["lines"], F.lit(1), at - 1)).otherwise(t["lines"]))
 
-    x0: float
-    y0: float
-    x1: float
-    y1: float
-    kind: str = ""
-    text: str = ""
-    label: str = ""
-    lines: list = field(default_factory=list)
+    def judged(rows: Column) -> Column:
+        return let(F.struct(*_around(rows), _joined_text(rows).alias("text"), rows.alias("lines"), F.size(rows).alias("n")), lambda x: x.withField("digits", digit_ratio(x["text"])))
 
-    @property
-    def width(self) -> float:
-        return self.x1 - self.x0
+    def good(x: Column) -> Column:
+        named = _caption_start(x["text"], FIGURE) | _caption_start(x["text"], TABLE)
+        margin = (x["n"] <= 2) & ((x["y1"] <= MARGIN) | (x["y0"] >= h - MARGIN))
+        small = (_width(x) < TEXT_WIDTH) | (_height(x) < TEXT_HEIGHT) | ((x["n"] <= 2) & (_width(x) < 120) & (_height(x) < 20) & (x["digits"] < 0.2))
+        return ~(named | margin | small | has_line_numbers(_edge(x["lines"], "text")) | (is_paragraph(x["text"], x["n"]) & (x["digits"] < 0.05)))
 
-    @property
-    def height(self) -> float:
-        return self.y1 - self.y0
+    yes = lambda c, v: F.when(c, v).otherwise(0.0)
+    score = lambda x: 1.5 + yes(_width(x) >= 140, 0.8) + yes(x["digits"] >= 0.08, 1.4) + yes(x["n"] <= 3, 0.3) - yes(is_paragraph(x["text"], x["n"]), 2.5)
+    parts = F.filter(F.transform("_texts", part), lambda rows: F.size(rows) > 0)
+    texts = F.transform(F.filter(F.transform(parts, judged), good), lambda x: _region(x, True, score(x)))
+    return _in_order(F.concat(F.transform("_drawn", lambda b: _region(b, False, F.lit(1.2))), texts))
 
-    def near_same(self, o: Region, tolerance: float = 6) -> bool:
-        return all(abs(getattr(self, e) - getattr(o, e)) <= tolerance for e in BOX)
 
-    def gap(self, o: Region, axis: str) -> float:
-        return max(0.0, getattr(o, f"{axis}0") - getattr(self, f"{axis}1"), getattr(self, f"{axis}0") - getattr(o, f"{axis}1"))
-
-    def shared(self, o: Region, axis: str) -> float:
-        return max(0.0, min(getattr(self, f"{axis}1"), getattr(o, f"{axis}1")) - max(getattr(self, f"{axis}0"), getattr(o, f"{axis}0")))
-
-    def beside(self, o: Region, across: float, down: float) -> bool:
-        return (self.shared(o, "x") > 0 and self.gap(o, "y") <= down) or (self.shared(o, "y") > 0 and self.gap(o, "x") <= across)
-
-    def in_column(self, o: Region) -> bool:
-        """Whether o, a caption, stands over or under this box."""
-        return self.shared(o, "x") >= SHARE * max(1.0, min(self.width, o.width)) or self.x0 - CENTRE <= (o.x0 + o.x1) / 2 <= self.x1 + CENTRE
-
-    def clipped(self, w: float, h: float) -> Region:
-        return Region(max(0.0, self.x0 - PADDING), max(0.0, self.y0 - PADDING), min(w, self.x1 + PADDING), min(h, self.y1 + PADDING))
-
-
-def union(boxes: list[Region], **more) -> Region:
-    return Region(min(b.x0 for b in boxes), min(b.y0 for b in boxes), max(b.x1 for b in boxes), max(b.y1 for b in boxes), **more)
-
-
-def _in_order(boxes: list[Region], apart: bool = True) -> list[Region]:
-    """From top to bottom and left to right; apart: of nearly equal ones the first alone."""
-    out: list[Region] = []
-    for b in sorted(boxes, key=lambda b: (b.y0, b.x0)):
-        if not apart or not any(b.near_same(o) for o in out):
-            out.append(b)
-    return out
-
-
-def _styled(text: str) -> re.Match | None:
-    """A table's label that is followed as captions are: by nothing, a mark, a capital or a digit."""
-    m = _TABLE.match(text)
-    rest = text[m.end() :].lstrip() if m else ""
-    return m if m and (not rest or rest[0] in ".:;,-(" or rest[0].isupper() or rest[0].isdigit()) else None
-
-
-def _figure_label(text: str) -> str | None:
-    if m := _FIGURE.match(text):
-        return m[1].strip()
-    m = _INNER.search(text)
-    head = text[: m.start()] if m else ""
-    return m[1].strip() if m and len(head) <= 48 and len(head.strip()) <= 24 and not set(head) & set(".:;!?") else None
+def _ordered(captions: Column) -> Column:
+    """Captions from top to bottom and left to right."""
+    placed = F.array_sort(F.transform(captions, lambda c, i: F.struct(c["y0"], c["x0"], i.alias("i"), c.alias("c"))))
+    return F.transform(placed, lambda x: x["c"]).cast(f"array<{_CAPTION}>")
 
 
-def _digits(text: str) -> float:
-    return sum(c.isdigit() for c in text) / len(text) if text else 0.0
-
-
-def _paragraph(text: str, n: int) -> bool:
-    return len(text) >= 120 and n >= 3 and sum(c.isalpha() for c in text) > 40 and sum(c in ",.;:()[]" for c in text) >= 2
-
-
-def _numbered_lines(rows: list[str]) -> bool:
-    n, letters = len(rows), sum(c.isalpha() for r in rows for c in r)
-    ends, alone = (sum(bool(re.search(p, r)) for r in rows) for p in (r"\b\d{2,4}\s+\d{2,4}\s*$", r"^\d{2,4}$"))
-    return n >= 4 and letters > 40 and (ends >= max(3, n // 2) or alone >= max(3, n // 3))
-
-
-class Page:
-    """One page: its regions and captions."""
-
-    def __init__(self, row):
-        self.w, self.h = float(row.page_w), float(row.page_h)
-        self.texts, self.images = [], []
-        for b in [] if row.blocks is None else row.blocks:
-            box = Region(*(float(b[e]) for e in BOX))
-            if b["type"] == 1:
-                self.images.append(box)
-            elif b["type"] == 0:
-                lines = [Region(*(float(x[e]) for e in BOX), text=" ".join((x["text"] or "").split())) for x in ([] if b["lines"] is None else b["lines"])]
-                box.lines = [x for x in lines if x.text]
-                box.text = " ".join(x.text for x in box.lines)
-                if box.text:
-                    self.texts.append(box)
-        drawn = [Region(*(float(d[e]) for e in BOX), kind="drawing") for d in ([] if row.drawings is None else row.drawings)]
-        self.drawings = [d for d in drawn if d.width >= MIN_WIDTH and d.height >= MIN_HEIGHT]
-
-    def graphics(self) -> list[Region]:
-        images = [Region(i.x0, i.y0, i.x1, i.y1, "image") for i in self.images if i.width >= MIN_WIDTH and i.height >= MIN_HEIGHT]
-        huge = lambda d: d.width * d.height > BIG_AREA * self.w * self.h or (d.width >= BIG_WIDTH * max(1.0, self.w) and d.height >= BIG_HEIGHT * max(1.0, self.h))
-        return _in_order([*images, *(d for d in self.drawings if not huge(d))])
-
-    def figure_captions(self) -> list[Region]:
-        named = [(t, _figure_label(t.text)) for t in self.texts]
-        return _in_order([Region(t.x0, t.y0, t.x1, t.y1, text=t.text, label=label) for t, label in named if label], apart=False)
-
-    def table_captions(self) -> list[Region]:
-        """Whole blocks, then blocks from the line that starts like a caption on; each with narrow text close below."""
-        found = [Region(t.x0, t.y0, t.x1, t.y1, text=t.text, label=m[1].strip()) for t in self.texts if (m := _styled(t.text))]
-        for t in self.texts:
-            at = self.caption_line(t)
-            if at is not None:
-                part = union(t.lines[at:], text=" ".join(x.text for x in t.lines[at:]), label=_styled(t.lines[at].text)[1].strip())
-                if not any(part.near_same(o) for o in found):
-                    found.append(part)
-        out = []
-        for c in _in_order(found, apart=False):
-            grown = c
-            for t in self.texts:
-                close = -1 <= t.y0 - grown.y1 <= 18 and t.width <= min(140.0, grown.width * 0.33)
-                if close and not t.near_same(c) and t.in_column(grown) and not _TABLE.match(t.text):
-                    grown = union([grown, t], text=f"{grown.text} {t.text}", label=c.label)
-            out.append(grown)
-        return out
-
-    @staticmethod
-    def caption_line(t: Region) -> int | None:
-        return next((i for i, x in enumerate(t.lines) if _styled(x.text)), None)
-
-    def context(self) -> list[Region]:
-        return [t for t in self.texts if not _FIGURE.match(t.text) and not _TABLE.match(t.text)]
-
-    def table_regions(self) -> list[Region]:
-        """Text that may be a table's, above a caption's line if there is one, and drawings."""
-        out = list(self.drawings)
-        for t in self.texts:
-            rows = t.lines[: self.caption_line(t)]
-            text = " ".join(x.text for x in rows)
-            if not text or _FIGURE.match(text) or _TABLE.match(text):
-                continue
-            box, n, digits = union(rows, kind="text", text=text, lines=rows), len(rows), _digits(text)
-            margin = n <= 2 and (box.y1 <= MARGIN or box.y0 >= self.h - MARGIN)
-            small = box.width < TEXT_WIDTH or box.height < TEXT_HEIGHT or (n <= 2 and box.width < 120 and box.height < 20 and digits < 0.2)
-            if not (margin or small or _numbered_lines([x.text for x in rows]) or (_paragraph(text, n) and digits < 0.05)):
-                out.append(box)
-        return _in_order(out)
-
-
-def _graphic_score(group: list[Region]) -> float:
-    each = sum((2.0 if r.kind == "image" else 1.4) + 0.5 * (r.width >= 140) + 0.5 * (r.height >= 60) for r in group)
-    return each + 0.8 * (len(group) >= 2) + min(sum(r.width * r.height for r in group) / 12000, 6.0)
-
-
-def _table_score(group: list[Region]) -> float:
-    score, texts = 0.0, [r for r in group if r.kind == "text"]
-    for r in texts:
-        score += 1.5 + 0.8 * (r.width >= 140) + 1.4 * (_digits(r.text) >= 0.08) + 0.3 * (len(r.lines) <= 3) - 2.5 * _paragraph(r.text, len(r.lines))
-    return score + 1.2 * (len(group) - len(texts)) + 1.2 * (len(texts) >= 2)
-
-
-#: score, vertical gap within a group, and how much better below must be
-RULES = {"figure": (_graphic_score, GROUP_GAP, 0.5), "table": (_table_score, TABLE_GROUP_GAP, 0.75)}
-
-
-def _toward(caption: Region, regions: list[Region], used: set[int], up: bool, kind: str) -> list[int]:
-    """The best group of regions above or below a caption: grown from each candidate by what stands beside it, and judged
-    by score less 0.02 of the first one's distance."""
-    score, down, _ = RULES[kind]
-    far = {i: caption.y0 - r.y1 if up else r.y0 - caption.y1 for i, r in enumerate(regions) if i not in used and r.in_column(caption)}
-    far = {i: d for i, d in far.items() if NEAREST <= d <= FARTHEST}
-    best, top = [], None
-    for i, distance in far.items():
-        group, box, more = {i}, regions[i], True
-        while more:
-            more = False
-            for j in far:
-                if j not in group and box.beside(regions[j], GROUP_GAP, down):
-                    group.add(j)
-                    box, more = union([box, regions[j]]), True
-        value = score([regions[j] for j in sorted(group)]) - 0.02 * distance
-        if top is None or value > top:
-            best, top = sorted(group), value
-    return best
-
-
-def _pick(caption: Region, regions: list[Region], used: set[int], kind: str, direction: str | None = None) -> tuple[list[int], list[int], list[int]]:
-    """(the regions taken, those above, those below)."""
-    score, _, margin = RULES[kind]
-    above, below = (_toward(caption, regions, used, up, kind) for up in (True, False))
-    if direction in ("above", "below") and (above if direction == "above" else below):
-        return (above if direction == "above" else below), above, below
-    if not above or not below:
-        return above or below, above, below
-    up = score([regions[i] for i in above]) >= score([regions[i] for i in below]) - margin
-    return (above if up else below), above, below
-
-
-def _votes(page: Page, kind: str) -> tuple[int, int]:
-    """How many captions speak for above and for below: those with matches on one side, and of figures also those whose
-    better side leads by 0.75. Tables use up what they take."""
-    captions, regions = (page.figure_captions(), page.graphics()) if kind == "figure" else (page.table_captions(), page.table_regions())
-    votes, used = [0, 0], set()
-    for c in captions:
-        taken, above, below = _pick(c, regions, used, kind)
-        if bool(above) != bool(below):
-            votes[0 if above else 1] += 1
-        elif above and kind == "figure":
-            lead = _graphic_score([regions[i] for i in above]) - _graphic_score([regions[i] for i in below])
-            votes[0] += lead >= 0.75
-            votes[1] += lead <= -0.75
-        if kind == "table":
-            used.update(taken)
-    return votes[0], votes[1]
-
-
-def _frame(page: Page, box: Region, caption: Region, kind: str) -> Region:
-    """The final rectangle: figures take in text close to them and keep to a narrow caption's column; tables keep to it."""
-    share = caption.width / max(1.0, page.w)
+def _figure_captions() -> Column:
+    named = F.transform("_texts", lambda t: F.struct(*(t[e].alias(e) for e in BOX), t["text"].alias("text"), caption_label(t["text"], FIGURE).alias("label")))
+    return _ordered(F.filter(named, lambda c: c["label"].isNotNull() & (c["label"] != "")))
+
+
+def _table_captions() -> Column:
+    """Whole blocks, then blocks from the line that starts like a caption on; each with narrow text close below."""
+    whole = F.transform(F.filter("_texts", lambda t: has_caption_suffix(t["text"])), lambda t: F.struct(*(t[e].alias(e) for e in BOX), t["text"].alias("text"), _table_label(t["text"]).alias("label")).cast(_CAPTION))
+
+    def part(t: Column) -> Column:
+        rows = lambda at: F.slice(t["lines"], at, F.size(t["lines"]))
+        made = lambda r: F.struct(*_around(r), _joined_text(r).alias("text"), _table_label(F.get(r, F.lit(0))["text"]).alias("label"))
+        return let(_first_caption(t), lambda at: F.when(at > 0, let(rows(F.greatest(at, F.lit(1))), made)))
+
+    parts = F.filter(F.transform("_texts", part), lambda c: c.isNotNull()).cast(f"array<{_CAPTION}>")
+    found = F.aggregate(parts, whole, lambda kept, c: F.when(F.exists(kept, lambda o: _same(c, o)), kept).otherwise(F.concat(kept, F.array(c.cast(_CAPTION)))))
+
+    def grown(c: Column) -> Column:
+        def more(g: Column, t: Column) -> Column:
+            close = (t["y0"] - g["y1"]).between(-1, 18) & (_width(t) <= F.least(F.lit(140.0), _width(g) * 0.33))
+            takes = close & ~_same(t, c) & _in_column(t, g) & ~_caption_start(t["text"], TABLE)
+            return F.when(takes, F.struct(*_joined(g, t), F.concat_ws(" ", g["text"], t["text"]).alias("text"), g["label"].alias("label")).cast(_CAPTION)).otherwise(g)
+
+        return F.aggregate("_texts", c.cast(_CAPTION), more)
+
+    return F.transform(_ordered(found), grown)
+
+
+# ---------------------------------------------------------------- groups
+def _value(g: Column, kind: str) -> Column:
+    """The score of a group of regions."""
     if kind == "figure":
-        for t in page.context():
-            x, y = (t.x0 + t.x1) / 2, (t.y0 + t.y1) / 2
-            inside = box.x0 - CONTEXT_GAP <= x <= box.x1 + CONTEXT_GAP and box.y0 - CONTEXT_GAP <= y <= box.y1 + CONTEXT_GAP
-            if t.y0 < caption.y0 and inside and box.beside(t, CONTEXT_GAP, CONTEXT_GAP):
-                box = union([box, t])
-        box = box.clipped(page.w, page.h)
-        return box if share >= 0.6 else Region(max(0.0, min(box.x0, caption.x0 - PADDING)), box.y0, min(box.x1, page.w, caption.x1 + 12), box.y1)
-    if share < ONE_COLUMN:
-        box = Region(max(box.x0, 0.0, caption.x0 - 10), box.y0, min(box.x1, page.w, caption.x1 + 10), box.y1)
-    elif share < 0.85:
-        box = Region(max(0.0, min(box.x0, caption.x0 - COLUMN_PADDING)), box.y0, min(page.w, max(box.x1, caption.x1 + COLUMN_PADDING)), box.y1)
-    return box.clipped(page.w, page.h)
+        return g["score"] + F.when(F.size(g["members"]) >= 2, 0.8).otherwise(0.0) + F.least(g["area"] / 12000, F.lit(6.0))
+    return g["score"] + F.when(g["texts"] >= 2, 1.2).otherwise(0.0)
+
+
+def _with(g: Column, r: Column) -> Column:
+    return F.struct(*_joined(g, r), F.concat(g["members"], F.array(r["i"])).alias("members"), (g["score"] + r["score"]).alias("score"), (g["area"] + r["area"]).alias("area"), (g["texts"] + r["is_text"].cast("int")).alias("texts"))
+
+
+def _grown(seed: Column, near: Column, down: float) -> Column:
+    """The group that grows from a region: whatever stands beside its box joins it, until nothing does. Each round goes
+    through all regions; there are as many as regions at most, and none after one that adds nothing."""
+    first = F.struct(*(seed[e].alias(e) for e in BOX), F.array(seed["i"]).alias("members"), seed["score"].alias("score"), seed["area"].alias("area"), seed["is_text"].cast("int").alias("texts"))
+    state = lambda g, n: F.struct(g.alias("g"), n.cast("int").alias("n"))  # noqa: E731  n: members before the last round, -1 before any
+
+    def once(g: Column) -> Column:
+        return F.aggregate(near, g, lambda a, r: F.when(~F.array_contains(a["members"], r["i"]) & _beside(a, r, GROUP_GAP, down), _with(a, r)).otherwise(a))
+
+    def round_(s: Column, _: Column) -> Column:
+        return F.when(s["n"] == F.size(s["g"]["members"]), s).otherwise(state(once(s["g"]), F.size(s["g"]["members"])))
+
+    return F.when(F.size(near) == 1, first).otherwise(F.aggregate(near, state(first, F.lit(-1)), round_)["g"])
+
+
+def _toward(c: Column, regions: Column, used: Column, up: bool, kind: str) -> Column:
+    """The best group of regions above or below a caption, null if there is none: grown from each region that is near
+    enough and in its column, and judged by score less 0.02 of the first one's distance."""
+    distance = lambda r: (c["y0"] - r["y1"]) if up else (r["y0"] - c["y1"])
+    near = F.filter(regions, lambda r: ~F.array_contains(used, r["i"]) & distance(r).between(NEAREST, FARTHEST) & _in_column(r, c))
+    judged = lambda some: F.transform(some, lambda r: let(_grown(r, some, RULES[kind][0]), lambda g: F.struct((_value(g, kind) - 0.02 * distance(r)).alias("value"), -r["i"].alias("i"), g.alias("g"))))
+    return F.array_max(let(near, judged))["g"]
+
+
+def _pick(c: Column, regions: Column, used: Column, kind: str, direction: Column) -> Column:
+    """(taken, above, below): the groups of a caption, the one in the given direction if there is one, else above unless
+    below is better by a margin; null where there is none."""
+    both = F.struct(_toward(c, regions, used, True, kind).alias("above"), _toward(c, regions, used, False, kind).alias("below"))
+
+    def chosen(b: Column) -> Column:
+        a, o = b["above"], b["below"]
+        up = _value(a, kind) >= _value(o, kind) - RULES[kind][1]
+        taken = F.when((direction == "above") & a.isNotNull(), a).when((direction == "below") & o.isNotNull(), o).when(a.isNull() | o.isNull(), F.coalesce(a, o)).when(up, a).otherwise(o)
+        return F.struct(taken.alias("taken"), a.alias("above"), o.alias("below"))
+
+    return let(both, chosen)
+
+
+def _with_regions(pages: DataFrame) -> DataFrame:
+    """pages with the captions and regions of each kind."""
+    w = pages.withColumns({"page_w": F.col("page_w").cast("double"), "page_h": F.col("page_h").cast("double"), "_texts": _texts(F.col("blocks")), "_drawn": _large(F.coalesce("drawings", _list(f"struct<{_EDGES}>")))})
+    return w.withColumns({"_figure_regions": _graphics(), "_table_regions": _table_regions(), "_figure_captions": _figure_captions(), "_table_captions": _table_captions()})
 
 
 def page_votes(pages: DataFrame) -> DataFrame:
-    """(doc_id, kind, direction): by the votes of all captions of a document; null on a tie. Pages are judged one by one."""
+    """(doc_id, kind, direction): by the votes of all captions of a document; null on a tie. A caption speaks for the side
+    on which alone it has matches, and of figures also for the better side if that leads by 0.75. Tables use up what they
+    take. Pages are judged one by one, as expressions over their rows; only the votes are gathered."""
+    none = F.lit(None).cast("string")
+
+    def votes(kind: str) -> Column:
+        def one(s: Column, c: Column) -> Column:
+            def counted(p: Column) -> Column:
+                a, b = p["above"], p["below"]
+                lead = _value(a, "figure") - _value(b, "figure") if kind == "figure" else F.lit(0.0)
+                vote = F.when(a.isNotNull() & b.isNull(), 1).when(a.isNull() & b.isNotNull(), -1).when(a.isNull(), 0).when(lead >= 0.75, 1).when(lead <= -0.75, -1).otherwise(0)
+                used = F.concat(s["used"], F.coalesce(p["taken"]["members"], _list("int"))) if kind == "table" else s["used"]
+                return F.struct(used.alias("used"), (s["votes"] + vote).cast("int").alias("votes"))
+
+            return let(_pick(c, F.col(f"_{kind}_regions"), s["used"], kind, none), counted)
+
+        return F.aggregate(f"_{kind}_captions", F.struct(_list("int").alias("used"), F.lit(0).alias("votes")), one)["votes"]
+
+    each = _with_regions(pages).select("doc_id", F.create_map(*(x for k in RULES for x in (F.lit(k), votes(k)))).alias("v")).select("doc_id", F.explode("v").alias("kind", "n"))
+    n = each.groupBy("doc_id", "kind").agg(F.sum("n").alias("n"))
+    return n.select("doc_id", "kind", F.when(F.col("n") > 0, "above").when(F.col("n") < 0, "below").alias("direction"))
 
-    def run(batches):
-        for rows in batches:
-            out = [(r.doc_id, r.page, kind, *_votes(page, kind)) for r in rows.itertuples() for page in [Page(r)] for kind in RULES]
-            yield pd.DataFrame(out, columns=["doc_id", "page", "kind", "above", "below"])
 
-    id_ = pages.schema["doc_id"].dataType.simpleString()
-    n = pages.mapInPandas(run, f"doc_id {id_}, page int, kind string, above int, below int").groupBy("doc_id", "kind").agg(F.sum("above").alias("above"), F.sum("below").alias("below"))
-    return n.select("doc_id", "kind", F.when(F.col("above") > F.col("below"), "above").when(F.col("below") > F.col("above"), "below").alias("direction"))
+def _clipped(b: Column) -> Column:
+    return F.struct(F.greatest(F.lit(0.0), b["x0"] - PADDING).alias("x0"), F.greatest(F.lit(0.0), b["y0"] - PADDING).alias("y0"), F.least(F.col("page_w"), b["x1"] + PADDING).alias("x1"), F.least(F.col("page_h"), b["y1"] + PADDING).alias("y1"))
+
+
+def _frame(f: Column, kind: str) -> Column:
+    """The final rectangle of what was found: figures take in text close to them and keep to a narrow caption's column;
+    tables keep to it. cx0, cy0, cx1: the caption's edges."""
+    w = F.col("page_w")
+    share = (f["cx1"] - f["cx0"]) / F.greatest(F.lit(1.0), w)
+    edges = F.struct(*(f[e].alias(e) for e in BOX))
+    span = lambda b, x0, x1: F.struct(x0.alias("x0"), b["y0"].alias("y0"), x1.alias("x1"), b["y1"].alias("y1"))
+    if kind == "figure":
+        context = F.filter("_texts", lambda t: ~_caption_start(t["text"], FIGURE) & ~_caption_start(t["text"], TABLE))
+
+        def more(b: Column, t: Column) -> Column:
+            inside = ((t["x0"] + t["x1"]) / 2).between(b["x0"] - CONTEXT_GAP, b["x1"] + CONTEXT_GAP) & ((t["y0"] + t["y1"]) / 2).between(b["y0"] - CONTEXT_GAP, b["y1"] + CONTEXT_GAP)
+            return F.when((t["y0"] < f["cy0"]) & inside & _beside(b, t, CONTEXT_GAP, CONTEXT_GAP), F.struct(*_joined(b, t))).otherwise(b)
+
+        grown = let(F.aggregate(context, edges, more), _clipped)
+        return let(grown, lambda b: F.when(share >= 0.6, b).otherwise(span(b, F.greatest(F.lit(0.0), F.least(b["x0"], f["cx0"] - PADDING)), F.least(b["x1"], w, f["cx1"] + 12))))
+    narrow = span(edges, F.greatest(edges["x0"], F.lit(0.0), f["cx0"] - 10), F.least(edges["x1"], w, f["cx1"] + 10))
+    wide = span(edges, F.greatest(F.lit(0.0), F.least(edges["x0"], f["cx0"] - COLUMN_PADDING)), F.least(w, F.greatest(edges["x1"], f["cx1"] + COLUMN_PADDING)))
+    return let(F.when(share < ONE_COLUMN, narrow).when(share < 0.85, wide).otherwise(edges), _clipped)
 
 
 def page_assets(pages: DataFrame, directions: DataFrame | None = None) -> DataFrame:
@@ -332,29 +337,27 @@ def page_assets(pages: DataFrame, directions: DataFrame | None = None) -> DataFr
     asset_index). pages: rows like PAGE; directions: see page_votes(), found here if not given.
 
     On a page, captions take regions from top to bottom, each region once. Indexes count a document's figures and tables
-    each. Pages without captions or regions give nothing; doubled pages count twice.
+    each. Pages without captions or regions give nothing; doubled pages count twice. A page is one row, judged by
+    expressions over its arrays; only directions and indexes need rows of a document together.
     """
     directions = page_votes(pages) if directions is None else directions
-    by_doc = directions.groupBy("doc_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("direction"))).alias(f"{k}_direction") for k in RULES))
-
-    def run(batches):
-        for rows in batches:
-            out = []
-            for r in rows.itertuples():
-                page = Page(r)
-                for kind in RULES:
-                    captions, regions = (page.figure_captions(), page.graphics()) if kind == "figure" else (page.table_captions(), page.table_regions())
-                    used: set[int] = set()
-                    for place, c in enumerate(captions):
-                        taken, _, _ = _pick(c, regions, used, kind, getattr(r, f"{kind}_direction"))
-                        if taken:
-                            used.update(taken)
-                            b = _frame(page, union([regions[i] for i in taken]), c, kind)
-                            size = (int(-(-2 * b.width // 1)), int(-(-2 * b.height // 1)))  # rendered at twice the size
-                            out.append((r.doc_id, r.page, place, kind, c.label, c.text, b.x0, b.y0, b.x1, b.y1, *size))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _ROWS.split(", ")])
-
-    id_ = pages.schema["doc_id"].dataType.simpleString()
-    found = pages.join(by_doc, "doc_id", "left").mapInPandas(run, _ROWS.format(id=id_))
+    by_doc = directions.groupBy("doc_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("direction"))).alias(f"_{k}_direction") for k in RULES))
+
+    def found(kind: str) -> Column:
+        def one(s: Column, c: Column) -> Column:
+            def taken(p: Column) -> Column:
+                g = p["taken"]
+                row = F.struct(s["place"].alias("place"), c["label"].alias("label"), c["text"].alias("caption"), *(g[e].alias(e) for e in BOX), c["x0"].alias("cx0"), c["y0"].alias("cy0"), c["x1"].alias("cx1")).cast(_FOUND)
+                some = g.isNotNull()
+                return F.struct((s["place"] + 1).alias("place"), F.when(some, F.concat(s["used"], g["members"])).otherwise(s["used"]).alias("used"), F.when(some, F.concat(s["found"], F.array(row))).otherwise(s["found"]).alias("found"))
+
+            return let(_pick(c, F.col(f"_{kind}_regions"), s["used"], kind, F.col(f"_{kind}_direction")), taken)
+
+        return F.aggregate(f"_{kind}_captions", F.struct(F.lit(0).alias("place"), _list("int").alias("used"), _list(_FOUND).alias("found")), one)["found"]
+
+    named = lambda kind: F.transform(found(kind), lambda f: F.struct(F.lit(kind).alias("kind"), f["place"].alias("place"), f["label"].alias("label"), f["caption"].alias("caption"), _frame(f, kind).alias("box")))
+    rows = _with_regions(pages).join(by_doc, "doc_id", "left").select("doc_id", "page", F.explode(F.concat(*(named(k) for k in RULES))).alias("a")).select("doc_id", "page", "a.*")
+    size = lambda a, b: F.ceil(2 * (F.col(f"box.{b}") - F.col(f"box.{a}"))).cast("int")  # noqa: E731  rendered at twice the size
     order = Window.partitionBy("doc_id", "kind").orderBy("page", "place")  # assets of one document
-    return found.withColumn("asset_index", F.row_number().over(order)).drop("place")
+    out = rows.select("doc_id", "page", "place", "kind", "label", "caption", *(F.col(f"box.{e}").alias(e) for e in BOX), size("x0", "x1").alias("pixel_width"), size("y0", "y1").alias("pixel_height"))
+    return out.withColumn("asset_index", F.row_number().over(order)).drop("place")

@@ -169,16 +169,21 @@ def box_relations(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("a.doc_id").agg(F.count("*").alias("pairs"), F.count_if(text.near_same(side("a"), side("o"), 60.0)).alias("same"), F.count_if(text.adjacent(side("a"), side("o"))).alias("beside"))
 
 
-@query(None)
-def figures_and_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as blocks of pages, with what is found on them. No SQL: groups of regions grow step by step."""
+def page_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as blocks of pages."""
     b = _boxes(spark, sf).withColumn("type", F.when(F.col("flag") == "A", 1).otherwise(0))
     said = F.when(F.col("flag") == "N", F.concat(F.lit("Figure "), F.col("n"), F.lit(". order"))).otherwise(F.concat(F.lit("Table "), F.col("n"), F.lit(": 1 2 3")))
     line = F.array(F.struct(said.alias("text"), "x0", "y0", "x1", "y1"))
     block = F.struct("type", "x0", "y0", "x1", "y1", F.when(F.col("type") == 0, line).alias("lines"))
     pages = b.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
     drawings = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
-    return layout.page_assets(pages.select("doc_id", "page", F.lit(900.0).alias("page_w"), F.lit(1000.0).alias("page_h"), "blocks", drawings.alias("drawings")))
+    return pages.select("doc_id", "page", F.lit(900.0).alias("page_w"), F.lit(1000.0).alias("page_h"), "blocks", drawings.alias("drawings"))
+
+
+@query(None)
+def figures_and_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """What is found on the pages. No SQL: groups of regions grow step by step; tests hold the pages against plain Python."""
+    return layout.page_assets(page_rows(spark, sf))
 
 
 # ---------------------------------------------------------------- listings
