@@ -109,6 +109,14 @@ class Parent:
     def of(self, rows) -> Parent:
         return Parent(self.count[rows], self.mass[rows])
 
+    def next(self, i: np.ndarray) -> np.ndarray:
+        """What it gives for one customer more, i having come, for each dish and each of some i."""
+        rising = np.isfinite(self.mass)
+        if not rising.any():
+            return np.repeat(self.count[:, None], len(i), axis=1)
+        mass = np.where(rising, self.mass, 1.0)
+        return np.where(rising[:, None], (self.count[:, None] + i[None]) / (mass[:, None] + i[None]), self.count[:, None])
+
     def log(self, t: np.ndarray) -> np.ndarray:
         """log of what it gives for t customers in a row."""
         out = t * np.log(self.count)
@@ -125,16 +133,29 @@ def log_weight(c: np.ndarray, t: np.ndarray, parent: Parent, total: np.ndarray,
     return log_stirling(c, t, d) + t * np.log(d) + log_gamma(first + t) - log_gamma(first) + parent.log(np.asarray(t, np.float64))
 
 
+def _products(step: np.ndarray) -> np.ndarray:
+    """1 and the products of a row's first steps, or for many steps, whose product may leave the range of numbers, these in
+    proportion to the largest."""
+    if step.shape[1] < 8:
+        return np.concatenate([np.ones((len(step), 1)), step.cumprod(axis=1)], axis=1)
+    logs = np.concatenate([np.zeros((len(step), 1)), np.log(step).cumsum(axis=1)], axis=1)
+    return np.exp(logs - logs.max(axis=1, keepdims=True))
+
+
 def draw_tables(c: np.ndarray, parent: Parent, total: np.ndarray, d: float, theta: float, seed: np.ndarray) -> np.ndarray:
     """Tables of c customers of one dish, drawn by their weights; none for no customer, one for one."""
     t, total = np.minimum(c, 1), np.maximum(total, 0).astype(np.float64)
+    table = stirling_table(d)
+    small = np.where((c > 1) & (c <= SMALL), c, 0)
+    by_count = np.argsort(small, kind="stable")
+    ends = np.searchsorted(small[by_count], np.arange(2, SMALL + 2))
     for k in range(2, SMALL + 1):
-        own = np.flatnonzero(c == k)
+        own = by_count[ends[k - 2] : ends[k - 1]]
         if len(own):
-            at = np.tile(np.arange(1, k + 1), len(own))
-            rows = np.repeat(own, k)
-            weight = log_weight(np.full(len(at), k), at, parent.of(rows), total[rows], d, theta).reshape(-1, k)
-            t[own] = 1 + np.argmax(weight - np.log(-np.log(uniforms(seed[own], 0, k))), axis=1)
+            i = np.arange(1, k, dtype=np.float64)  # from i tables to one more
+            step = np.exp(np.diff(table[k, 1 : k + 1]))[None] * (theta + d * (total[own][:, None] + i[None])) * parent.of(own).next(i)
+            weight = _products(step).cumsum(axis=1)
+            t[own] = 1 + (weight[:, :-1] < uniforms(seed[own], 0, 1) * weight[:, -1:]).sum(axis=1)
     own = np.flatnonzero(c > SMALL)
     for a in range(0, len(own), 500):
         x = own[a : a + 500]
