@@ -7,6 +7,7 @@ character belongs to a word), so words are found with numpy on the bytes of many
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -49,6 +50,7 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: later plans read files, which outlive lost executors. The shuffle files of
     the write are deleted when it ends."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    small_batches(df.sparkSession)
     conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN, None)
     conf.set(CLEAN, "true")
     try:
@@ -58,7 +60,18 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Rows go to Python and back some MB at a time, unless the session says otherwise: rows with whole texts or lists are
+    large, and what the JVM holds for a batch lies outside its heap, in several copies."""
+    if spark.conf.get(BATCH, None) in (None, "67108864b", "64MB"):  # Spark's own value
+        spark.conf.set(BATCH, size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -70,6 +83,16 @@ def sql_lower(text: str) -> str:
 
 
 # ---------------------------------------------------------------- row-wise maps
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system: workers are kept from task to task, beside a JVM that
+    needs the same memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def map_texts(df: DataFrame, fields: list[T.StructField], start: Callable[[], Callable], keep: list[str], text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """Add columns computed from each text. start() runs once a task and returns batch -> arrays, in the order of fields.
 
@@ -86,6 +109,7 @@ def map_texts(df: DataFrame, fields: list[T.StructField], start: Callable[[], Ca
         for part in slices(batches, text):
             arrays = step(part)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *arrays], [*keep, *(f.name for f in fields)])
+        give_back()
 
     return df.select(*read).mapInArrow(run, schema)
 
