@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions import payloads
+from corpuscope.functions import formulas, payloads
 from corpuscope.operators import migration, store, translation, venues, writes
 from corpuscope.plans.catalogue import query
 from corpuscope.plans.rules import new_root
@@ -28,6 +28,21 @@ def event_dump(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", payloads.json_dump(F.col("row"), e.schema["row"].dataType).alias("said"))
 
 
+# ---------------------------------------------------------------- formulas
+@query(r"""SELECT p_partkey, '\(x=' || p_size || '\) (' || p_type || ') \(a (b=1)\)' || chr(10) || '\[y_' || p_size || '\]' || chr(10) || '\[' || chr(10) || 'z' || chr(10) || '= ' || p_partkey || chr(10) || '\]' || chr(10) || '[' || chr(10) || 'not closed (c=1)' AS said FROM part""", False)
+def formula_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with formulas in brackets of all kinds, marked."""
+    text = F.concat(F.lit("(x="), "p_size", F.lit(") ("), "p_type", F.lit(") \\(a (b=1)\\)\n [y_"), "p_size", F.lit("] \n[\nz\n= "), "p_partkey", F.lit("\n]\n[\nnot closed (c=1)"))
+    return c.table(spark, sf, "part").select("p_partkey", formulas.math_marks(text).alias("said"))
+
+
+@query("SELECT p_partkey, p_name || ' @@MATH_0@@ ' || p_type || ' @@MATH_1@@' AS said, CAST(2 AS INTEGER) AS n, true AS whole FROM part", False)
+def formulas_set_aside(spark: SparkSession, sf: str) -> DataFrame:
+    """Marked formulas as tokens, and put back."""
+    p = c.table(spark, sf, "part").withColumn("t", F.concat("p_name", F.lit(" \\[x="), "p_size", F.lit("\\] "), "p_type", F.lit(" \\(y\\)"))).withColumn("s", formulas.set_aside(F.col("t")))
+    return p.select("p_partkey", F.col("s.text").alias("said"), F.size("s.formulas").alias("n"), (formulas.put_back(F.col("s.text"), F.col("s.formulas")) == F.col("t")).alias("whole"))
+
+
 # ---------------------------------------------------------------- replies
 @query("""WITH p AS (SELECT p_partkey AS k, 1 + p_size % 3 AS n, p_partkey % 5 AS m, p_partkey % 7 = 3 AND p_partkey % 5 >= 2 AS fails FROM part),
 r AS (SELECT k, n, m, fails, unnest(range(1, m + 1)) AS s FROM p),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.functions.text import compact
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -144,21 +146,56 @@ def table_rows(html: str, element_id: str | None = None) -> list[list[str]]:
     return parser.rows
 
 
+# A comment, a tag, text between tags, or a lone sign; names of tags; the signs that texts write as entities (fixed values).
+HTML_TOKEN, HTML_NAME = r"(?s)<!--.*?-->|<[/!?]?[a-zA-Z][^>]*>|[^<]+|<", r"^<(/?[a-zA-Z][a-zA-Z0-9]*)"
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&"}
+_ROWS = "struct<depth:int,row:array<string>,cell:string,rows:array<array<string>>>"
+
+
+def unescaped(c) -> F.Column:
+    """A text with numeric and common entities as the characters they stand for."""
+
+    def one(t: F.Column) -> F.Column:
+        code = F.when(t.rlike("^&#[xX]"), F.conv(F.regexp_extract(t, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(t, "^&#([0-9]+);", 1)).try_cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(t.rlike("^&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});$") & (code > 0) & (code < 0x110000), char).otherwise(t)
+
+    parts = F.regexp_extract_all(c, F.lit(r"&#[0-9xX][0-9a-fA-F]*;|[^&]+|&"), F.lit(0))
+    out = F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(parts, one), "")).otherwise(c)
+    for name, sign in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return out
+
+
 def html_rows(pages: DataFrame, key: str, html: str = "html", element_id: str | None = None) -> DataFrame:
-    """(key, row_no, cells) of each table row of each page. The parser works on one page at a time, in Arrow batches."""
-
-    def run(batches):
-        for batch in batches:
-            owner, number, cells = [], [], []
-            for i, text in enumerate(batch.column(html).to_pylist()):
-                found = table_rows(text or "", element_id)
-                owner += [i] * len(found)
-                number += range(len(found))
-                cells += found
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner, pa.int32())), pa.array(number, pa.int32()), pa.array(cells, pa.list_(pa.string()))], [key, "row_no", "cells"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, row_no int, cells array<string>")
+    """(key, row_no, cells) of each row of a page's tables that has a cell with text; element_id: only of those within the
+    div of this id. A cell goes from its tag to its end tag, runs of white space being one blank; one that is not ended
+    before the next begins is lost. Scripts and styles have no text. A page is cut into tags and texts, and these are gone
+    through once, by expressions."""
+    whole = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>)", "$1$3")
+    named = lambda t: F.struct(t.alias("t"), F.lower(F.regexp_extract(t, HTML_NAME, 1)).alias("name"))
+    tokens = F.transform(F.regexp_extract_all(whole, F.lit(HTML_TOKEN), F.lit(0)), named)
+    opens = F.lit(False)
+    if element_id:
+        opens = lambda t: t.rlike(rf"(?is)^<div\b[^>]*?\bid\s*=\s*[\"']?{re.escape(element_id)}[\"']?[\s/>]")
+
+    def step(s: F.Column, x: F.Column) -> F.Column:
+        t, name = x["t"], x["name"]
+        depth = s["depth"]
+        if element_id:
+            depth = F.when((name == "div") & ((depth > 0) | opens(t)), depth + 1).when((name == "/div") & (depth > 0), depth - 1).otherwise(depth)
+        text = F.when(name == "", F.when(F.startswith(t, F.lit("<!--")), "").otherwise(unescaped(t)))
+        cell_ends, row_ends = name.isin("/td", "/th") & s["cell"].isNotNull(), (name == "/tr") & s["row"].isNotNull()
+        cell_ends_row = F.concat(s["row"], F.array(compact(s["cell"])))
+        starts = (name == "tr") & (depth > 0)
+        none = F.lit(None).cast("string")
+        row = F.when(starts, F.array().cast("array<string>")).when(cell_ends, cell_ends_row).when(row_ends, F.lit(None).cast("array<string>")).otherwise(s["row"])
+        cell = F.when(~starts & name.isin("td", "th") & s["row"].isNotNull(), "").when(cell_ends, none).when(s["cell"].isNotNull() & text.isNotNull(), F.concat(s["cell"], text)).otherwise(s["cell"])
+        rows = F.when(row_ends & ~cell_ends & F.exists(F.coalesce(s["row"], F.array().cast("array<string>")), lambda v: v != ""), F.concat(s["rows"], F.array(s["row"]))).otherwise(s["rows"])
+        return F.when(name.isin("div", "/div", "tr", "/tr", "td", "/td", "th", "/th", ""), F.struct(depth.cast("int").alias("depth"), row.alias("row"), cell.alias("cell"), rows.alias("rows")).cast(_ROWS)).otherwise(s)
+
+    first = F.struct(F.lit(0 if element_id else 1).alias("depth"), F.lit(None).cast("array<string>").alias("row"), F.lit(None).cast("string").alias("cell"), F.array().cast("array<array<string>>").alias("rows")).cast(_ROWS)
+    return pages.select(key, F.posexplode(F.aggregate(tokens, first, step)["rows"]).alias("row_no", "cells"))
 
 
 # How the list writes its two types.

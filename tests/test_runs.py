@@ -316,3 +316,32 @@ def test_artifact_files(spark, tmp_path):
     known = rows.select("path", F.lit(True).alias("is_file")).union(spark.createDataFrame([(str(tmp_path), False)], "path string, is_file boolean"))
     errors = {r.f: r.path_error for r in catalogue.with_path_errors(asked, "f", known).collect()}
     assert errors == {str(tmp_path / "a.json"): None, "/no": "f does not exist: /no", str(tmp_path): f"f must be a file: {tmp_path}", " ": "f is required", None: "f is required"}
+
+
+# ---------------------------------------------------------------- HTML tables
+HTML = [
+    "<table><tr><td>a</td><td> b \n c </td></tr><tr><td> </td></tr></table>", "<table><tr><td>a<td>b</td></tr></table>", "<div id='x'><div><table><tr><th>1&amp;2 &lt;i&gt; &#233;&#x4f1a;&nbsp;z</th></tr></table></div></div><table><tr><td>no</td></tr></table>",
+    "<TABLE><TR><TD CLASS='q'>x <b>y</b><!-- <td>z</td> --></TD></TR></TABLE>", "<tr><td>open", "a < b <tr><td>1 < 2</td></tr>", "", None, "<div id=x><tr><td>in</td></tr></div><tr><td>out</td></tr>", "<div id='y'><div id='x'><tr><td>1</td></tr><div><tr><td>2</td></tr></div></div><tr><td>3</td></tr></div>",
+    "<script>if (a<b) document.write('<tr><td>s</td></tr>')</script><tr><td>t</td></tr>", "<tr><td>1</td><td></td></tr></tr><tr></tr><tr><td></td></tr>", "<tr><td>a</td><tr><td>b</td></tr>", "<p>x</p><tr><td>&copy;&#0;&unknown;</td></tr>",
+]
+
+
+@pytest.mark.parametrize("element_id", [None, "x"])
+def test_html_rows(spark, element_id):
+    """Against the standard library's parser, but for entities that are not common."""
+    df = spark.createDataFrame(list(enumerate(HTML[:-1])), "id long, html string")
+    want = [(i, n, row) for i, h in enumerate(HTML[:-1]) for n, row in enumerate(catalogue.table_rows(h or "", element_id))]
+    assert sorted(map(tuple, catalogue.html_rows(df, "id", element_id=element_id).collect())) == want and want
+
+
+def test_html_entities(spark):
+    df = spark.createDataFrame([(1, HTML[-1])], "id long, html string")
+    assert catalogue.html_rows(df, "id").first().cells == ["&copy;&#0;&unknown;"]
+
+
+def test_html_of_pages(spark):
+    from conftest import SF
+
+    pages = catalogue.table(spark, SF, "pages").select("page_id", "html")
+    want = sorted((r.page_id, n, row) for r in pages.collect() for n, row in enumerate(catalogue.table_rows(r.html or "")))
+    assert sorted(map(tuple, catalogue.html_rows(pages, "page_id").collect())) == want
