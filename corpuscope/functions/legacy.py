@@ -193,7 +193,7 @@ def command(action: Column, target: Column) -> Column:
 
 def _pairs(rows: Column) -> Column:
     """Lines key=value as structs, key in lower case; each line is taken apart once."""
-    return F.transform(rows, lambda r: F.struct(F.lower(F.trim(F.substring_index(r, "=", 1))).alias("k"), strip(F.regexp_extract(r, r"(?s)=(.*)$", 1)).alias("v"), F.contains(r, F.lit("=")).alias("given")))
+    return F.transform(rows, lambda r: F.struct(F.lower(strip(F.substring_index(r, "=", 1))).alias("k"), strip(F.regexp_extract(r, r"(?s)=(.*)$", 1)).alias("v"), F.contains(r, F.lit("=")).alias("given")))
 
 
 def _value(pairs: Column, name: str) -> Column:

@@ -43,7 +43,8 @@ def key(c: Column, name: str) -> Column:
 
 def json_or(c: Column, schema: str, default: Column) -> Column:
     """A JSON object as a struct, else the default; bad JSON and other kinds of values give the default."""
-    return F.when(F.startswith(strip(F.coalesce(c, F.lit(""))), F.lit("{")), F.coalesce(F.from_json(c, schema), default)).otherwise(default)
+    is_object = F.startswith(strip(F.coalesce(c, F.lit(""))), F.lit("{")) & F.try_parse_json(c).isNotNull()
+    return F.when(is_object, F.coalesce(F.from_json(c, schema), default)).otherwise(default)
 
 
 # ---------------------------------------------------------------- JSON texts of one form

@@ -27,7 +27,7 @@ def status(planner: Column, units: Column, appendix: Column, completed: Column,
     """
     none = F.array().cast("array<string>")
     done = F.filter(F.concat(units, appendix), lambda u: F.array_contains(F.coalesce(completed, none), u))
-    given, source_name = F.lower(F.trim(F.coalesce(scope, F.lit("")))), F.coalesce(F.nullif(F.trim(F.coalesce(source if source is not None else F.lit(""), F.lit(""))), F.lit("")), F.lit("canonical_payload"))
+    given, source_name = F.lower(strip(F.coalesce(scope, F.lit("")))), F.coalesce(F.nullif(strip(F.coalesce(source if source is not None else F.lit(""), F.lit(""))), F.lit("")), F.lit("canonical_payload"))
 
     def placed(d: Column) -> Column:
         return F.struct(d.alias("done"), _left(units, d).alias("body"), _left(appendix, d).alias("rest"))
@@ -38,8 +38,8 @@ def status(planner: Column, units: Column, appendix: Column, completed: Column,
         tried = F.when(given.isin("body", "appendix"), given).when(given == "done", F.when(body, "body").otherwise("appendix")).otherwise("body")
         state = F.when(refused | stuck, "UNSUPPORTED").when(body, "IN_PROGRESS").when(rest, "BODY_DONE").otherwise("ALL_DONE")
         active = F.when(refused, "body").when(stuck, tried).when(body, "body").when(rest, "appendix").otherwise("done")
-        own = F.coalesce(F.nullif(F.trim(F.coalesce(raw_unit if raw_unit is not None else F.lit(""), F.lit(""))), F.lit("")), F.trim(F.coalesce(current, F.lit(""))))
-        unit = F.when(refused, "").when(stuck, own).otherwise(F.trim(F.coalesce(current, F.lit(""))))
+        own = F.coalesce(F.nullif(strip(F.coalesce(raw_unit if raw_unit is not None else F.lit(""), F.lit(""))), F.lit("")), strip(F.coalesce(current, F.lit(""))))
+        unit = F.when(refused, "").when(stuck, own).otherwise(strip(F.coalesce(current, F.lit(""))))
         reason = F.when(refused, F.coalesce(plan_reason if plan_reason is not None else F.lit(""), F.lit(""))).when(stuck, F.coalesce(raw_reason, F.lit(""))).otherwise("")
         return F.struct(l["done"].alias("done"), l["body"].alias("body"), l["rest"].alias("rest"), state.alias("state"), active.alias("active"), unit.alias("unit"), reason.alias("reason"), refused.alias("refused"))
 

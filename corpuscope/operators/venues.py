@@ -38,8 +38,10 @@ def _contained(asked: DataFrame, names: DataFrame) -> DataFrame:
         outer = all_(asked, "c").join(first(names, "n"), "g").where(F.contains("c", "n"))
         pairs = inner.drop("g").unionByName(outer.drop("g")).distinct()
     ratio = F.least(F.length("n"), F.length("c")) / F.greatest(F.length("n"), F.length("c"))
-    best = pairs.withColumn("s", ratio).groupBy("c", "item").agg(F.max("s").alias("s")).groupBy("c").agg(F.max_by("item", "s").alias("item"), F.max("s").alias("top"), F.collect_list("s").alias("all"))
-    return best.where(F.size(F.filter("all", lambda x: x == F.col("top"))) == 1).select("c", "item")
+    items = pairs.withColumn("s", ratio).groupBy("c", "item").agg(F.max("s").alias("s"))
+    tied = items.groupBy("c", "s").agg(F.count("*").alias("n"), F.min("item").alias("item"))  # how many reach each ratio
+    best = tied.groupBy("c").agg(F.max_by(F.struct("n", "item"), "s").alias("b"))
+    return best.where("b.n = 1").select("c", "b.item")
 
 
 def resolve(names: DataFrame, publications: DataFrame, name: str = "name", key: str = "item") -> DataFrame:

@@ -322,7 +322,7 @@ def numbered_children(rows: DataFrame, part: str, order: list[str], key: str = "
 
 def bundle_error(bundles: DataFrame) -> DataFrame:
     """bundles with error: what of filename, fingerprint and url is missing; null if nothing."""
-    missing = F.filter(F.array(*(F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", c) for c in ("filename", "fingerprint", "poe_url"))), lambda x: x.isNotNull())
+    missing = F.filter(F.array(*(F.when(strip(F.coalesce(F.col(c), F.lit(""))) == "", c) for c in ("filename", "fingerprint", "poe_url"))), lambda x: x.isNotNull())
     return bundles.withColumn("error", F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))))
 
 

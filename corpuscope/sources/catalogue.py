@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import compact
+from corpuscope.functions.text import compact, strip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +98,7 @@ def with_path_errors(rows: DataFrame, field: str, known: DataFrame) -> DataFrame
     is, as a listing of the store gives it; paths are compared as they are, without their scheme."""
     plain = lambda c: F.regexp_replace(c, r"^[a-z0-9+.-]+:/+", "/")
     there = known.select(plain(F.col("path")).alias("_path"), F.col("is_file").alias("_is_file")).groupBy("_path").agg(F.max("_is_file").alias("_is_file"))
-    said = F.trim(F.coalesce(F.col(field), F.lit("")))
+    said = strip(F.coalesce(F.col(field), F.lit("")))
     out = rows.withColumn("_path", plain(said)).join(there, "_path", "left")
     error = F.when(said == "", f"{field} is required").when(F.col("_is_file").isNull(), F.concat(F.lit(f"{field} does not exist: "), said)).when(~F.col("_is_file"), F.concat(F.lit(f"{field} must be a file: "), said))
     return out.withColumn("path_error", error).drop("_path", "_is_file")

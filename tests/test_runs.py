@@ -345,3 +345,23 @@ def test_html_of_pages(spark):
     pages = catalogue.table(spark, SF, "pages").select("page_id", "html")
     want = sorted((r.page_id, n, row) for r in pages.collect() for n, row in enumerate(catalogue.table_rows(r.html or "")))
     assert sorted(map(tuple, catalogue.html_rows(pages, "page_id").collect())) == want
+
+
+# ---------------------------------------------------------------- small expressions
+def test_small_expressions(spark):
+    rows = spark.createDataFrame([('{"a":1}',), ("[1]",), ("{bad",), (None,)], "s string")
+    default = F.named_struct(F.lit("a"), F.lit(9))
+    assert [r.v.a for r in rows.select(payloads.json_or(F.col("s"), "struct<a:int>", default).alias("v")).collect()] == [1, 9, 9, 9]
+    block = '[TRANSLATION_STATUS_JSON]{"state":"OK"}[/TRANSLATION_STATUS_JSON]'
+    said = spark.createDataFrame([(f"a {block} b",), ("none",), (None,)], "s string")
+    assert [r.t for r in said.select(payloads.status_text(F.col("s")).alias("t")).collect()] == [block, None, None]
+    regions = spark.createDataFrame([(1, "image", 0.0, 0.0, 50.0, 20.0), (2, "image", 0.0, 0.0, 30.0, 20.0), (3, "drawing", 0.0, 0.0, 550.0, 300.0), (4, "image", 0.0, 0.0, 550.0, 300.0), (5, "drawing", 0.0, 0.0, 100.0, 60.0)], "i int, kind string, x0 double, y0 double, x1 double, y1 double")
+    assert [r.i for r in layout.graphic_regions(regions.withColumns({"page_w": F.lit(600.0), "page_h": F.lit(800.0)})).orderBy("i").collect()] == [1, 4, 5]
+    bundle = spark.createDataFrame([("f", "\t\n", "u")], "filename string, fingerprint string, poe_url string")
+    assert writes.bundle_error(bundle).first().error == "missing: fingerprint"
+
+
+def test_status_texts_are_stripped(spark):
+    s = progress.status(F.lit("ok"), F.array(F.lit("u1"), F.lit("u2")), F.array().cast("array<string>"), F.array(F.lit("u1")), F.lit("\tu1\n"), F.lit("\nBODY "), F.lit("OK"), F.lit(""))
+    r = spark.range(1).select(s.alias("s")).first().s
+    assert (r.current_unit_id, r.next_unit_id, r.active_scope) == ("u1", "u2", "body")
