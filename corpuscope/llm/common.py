@@ -273,5 +273,8 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def list_array(values: pa.Array | np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Lists, one after the other in values; so many that 32 bits can't place them are an error."""
+    if len(values) >= 1 << 31:
+        raise ValueError("a text is too long: its lists have 2^31 values or more")
     values = values if isinstance(values, pa.Array) else pa.array(values)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)

@@ -125,7 +125,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     """Each document with n_words, n_hit (words inside a shared window), item_ids (strings, sorted) and hit_spans (word places).
 
     Null or empty texts have no words and no hits. Items without id or without words take no part; repeated items count
-    once. Repeated documents each get their row. An input column named like a result gives way to it. The documents are
+    once. Repeated documents each get their row; without documents there are no rows, without items no hits. A text of up
+    to 2 GiB is held whole in a task, in some 60 bytes for each of its own. An input column named like a result gives way to it. The documents are
     read in place, without a shuffle; the benchmark's size is measured, and beyond block_bytes it goes over the
     documents in several blocks, each held by the executors in turn, with the same result.
     """

@@ -64,6 +64,8 @@ def _packed(name: str, x: np.ndarray, counts: np.ndarray | None = None) -> pa.Ar
     """A binary column of lists, one after the other in x, of the number type that columns of this name have."""
     x = np.ascontiguousarray(x, _TYPES[name])
     ends = np.append(0, np.cumsum([len(x)] if counts is None else counts)).astype(np.int64)
+    if x.nbytes >= 1 << 31:
+        raise ValueError("a text is too long: its words take 2 GiB or more")
     raw = x.view(np.uint8)
     if name not in _WHOLE:
         raw = np.concatenate([raw[:0], *(x[a:b].view(np.uint8).reshape(-1, x.itemsize).T.ravel() for a, b in zip(ends, ends[1:]))])
@@ -531,7 +533,8 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
 
     train: condition of the rows to learn from. Null texts are empty, so their one token is the end. Repeated rows each
     get their row; rows of equal id and text are scored alike. Without training rows the known words are none and every
-    token has the one unknown word's probability, 1. An input column named like a result gives way to it.
+    token has the one unknown word's probability, 1. An empty table gives no rows. A text's words are held whole, in some
+    50 bytes each; one whose words take 2 GiB as numbers is an error. An input column named like a result gives way to it.
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]

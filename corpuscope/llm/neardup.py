@@ -161,6 +161,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Equal sets are one
     node, however many documents have them. Rows of equal doc_id are one document, linked through any of their texts.
     Rows without doc_id take no part: their component_id is null and kept is false. Further input columns don't matter.
+    An empty table gives no rows. Ties don't arise: components are named by ids. A text of up to 2 GiB, Spark's own limit,
+    is held whole in a task, in some 40 bytes for each of its own.
     """
     base = saved(sketches(docs, doc_id, text, words), "sketches")
     used = base.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -122,7 +122,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_fold, keep: list[str
     train_fold: condition on doc_id of rows that may be learnt from. At most limit positives (label 1) and as many
     documents without regard to labels are fitted on, chosen by a hash of the id; every row is scored, on its text alone.
     Null texts are empty; labels without document, null labels and repeated labels do no harm. Without usable labels
-    every score is 0.5. An input column named like a result gives way to it.
+    every score is 0.5. An empty table gives no rows; repeated rows are scored alike, and a score at the threshold is
+    predicted 1. A text of up to 2 GiB is held whole in a task. An input column named like a result gives way to it.
     """
     good = sample(labels.where(train_fold).where(F.col(label) == 1).select(doc_id).where(F.col(doc_id).isNotNull()).distinct(), doc_id, limit)
     rows = lambda chosen: np.array([r.x for r in feature_rows(with_text(docs, chosen, doc_id, text), text, []).collect()]).reshape(-1, CLASSES + 12)

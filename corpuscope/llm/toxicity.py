@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ALNUM, Words, map_texts, ranges, table
-from .labelled import fold, sample, with_text
+from .labelled import bounded, fold, sample, with_text
 
 #: Labelled documents that the network is fitted on at most.
 SAMPLE = 6000
+#: Bytes of their texts that the driver holds at most.
+LEARN_BYTES = 64 << 20
 WINDOW, STRIDE, HIDDEN, INPUT = 24, 12, 8, 8
 WORD_BUCKETS, CHAR_BUCKETS, LONG_BUCKETS = 1 << 15, 1 << 12, 1 << 15
 #: Training texts that a word needs for a vector of its own, and how often training leaves that out, so that characters tell.
@@ -224,12 +226,14 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_fold, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, limit: int = SAMPLE) -> DataFrame:
     """docs with score (0 to 1) and predicted (score at or over threshold).
 
-    train_fold: condition on doc_id of rows that may be learnt from; at most limit of them are, chosen by a hash of the
-    id. Every row is scored by all windows of its whole text, and by nothing else. Null and empty texts get the lowest
+    train_fold: condition on doc_id of rows that may be learnt from; at most limit of them are, and so many that their
+    texts take LEARN_BYTES, chosen by a hash of the id. Every row is scored by all windows of its whole text, and by nothing else. Null and empty texts get the lowest
     score. Null labels, labels without document and repeated labels do no harm (of contradicting ones, 1 counts);
-    without labels every score is 0.5. An input column named like a result gives way to it.
+    without labels every score is 0.5. An empty table gives no rows; repeated rows are scored alike, and a score at the
+    threshold is predicted 1. A text of up to 2 GiB is held whole in a task. An input column named like a result gives way to it.
     """
     chosen = sample(labels.where(train_fold).where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("y")), doc_id, limit)
+    chosen = bounded(docs, chosen, doc_id, text, LEARN_BYTES)
     rows = with_text(docs, chosen, doc_id, text).select(F.coalesce(text, F.lit("")).alias("t"), "y").toPandas()
     net = train(pa.array(rows["t"].tolist(), pa.string()), rows["y"].to_numpy(np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(net)

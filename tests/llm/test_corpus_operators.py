@@ -321,3 +321,16 @@ def test_whole_unlicense(spark):
     n = len(body.split())
     assert got[0]["text:unlicense"] == n and got[1]["text:unlicense"] == n + 9
     assert all("text:unlicense" not in got[i] for i in (2, 3, 4))
+
+
+# ---------------------------------------------------------------- what classifiers learn from
+def test_sample_of_bounded_bytes(spark):
+    from corpuscope.llm.labelled import bounded
+
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(50, "y" * 100_000), (3, "z" * 100)], "doc_id long, text string")
+    chosen = docs.select("doc_id").distinct().withColumn("y", F.lit(1))
+    assert bounded(docs, chosen, "doc_id", "text", 1 << 20).count() == 51
+    kept = bounded(docs, chosen, "doc_id", "text", 2000)
+    own = [r.doc_id for r in kept.collect()]
+    total = docs.where(F.col("doc_id").isin(*own)).agg(F.sum(F.length("text"))).first()[0] if own else 0
+    assert total <= 2000 and bounded(docs, chosen.limit(0), "doc_id", "text", 10).count() == 0
