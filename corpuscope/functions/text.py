@@ -84,6 +84,11 @@ def visible(kind: Column) -> Column:
     return kind.isin("bot_reply", "user_message")
 
 
+def message_metadata(kind: Column, type_: Column, role: Column, content: Column, prompts: tuple[str, ...] = ()) -> Column:
+    """(message_kind, role, visible_to_user) of a message, by what is known of it."""
+    return let(inferred_kind(kind, type_, role, content, prompts), lambda k: F.struct(k.alias("message_kind"), role_of_kind(k).alias("role"), visible(k).alias("visible_to_user")))
+
+
 def summary(c: Column, blank: str, limit: int = 200) -> Column:
     text = F.coalesce(c, F.lit(""))
     return F.when(strip(text) == "", blank).when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)

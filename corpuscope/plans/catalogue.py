@@ -198,8 +198,8 @@ CASE WHEN role = 'assistant' THEN 'bot' ELSE 'user' END AS role, role = 'assista
 def message_kinds(spark: SparkSession, sf: str) -> DataFrame:
     t = c.table(spark, sf, "conversations")
     role = F.when(F.col("role") == "assistant", " Bot ").otherwise(F.col("role"))
-    kind = text.inferred_kind(F.lit("?"), F.lit(None).cast("string"), role, F.when(F.col("turn") % 7 == 0, "继 续\n").otherwise(F.col("text")))
-    return t.select("conv_id", "turn", kind.alias("kind")).withColumn("role", text.role_of_kind(F.col("kind"))).withColumn("visible", text.visible(F.col("kind")))
+    known = text.message_metadata(F.lit("?"), F.lit(None).cast("string"), role, F.when(F.col("turn") % 7 == 0, "继 续\n").otherwise(F.col("text")))
+    return t.select("conv_id", "turn", known.alias("m")).select("conv_id", "turn", F.col("m.message_kind").alias("kind"), "m.role", F.col("m.visible_to_user").alias("visible"))
 
 
 TITLES = "CASE doc_id % 6 WHEN 0 THEN 'Appendix A.1 x' WHEN 1 THEN 'A.1. S' WHEN 2 THEN '3.2 METHOD' WHEN 3 THEN 'III. R' WHEN 4 THEN '3 M :: 3.1 S' ELSE title END"

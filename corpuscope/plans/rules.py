@@ -87,11 +87,10 @@ def stored_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN turn % 5 = 1 THEN '' ELSE t END AS display, CASE WHEN turn % 5 = 1 THEN 'hide' WHEN turn % 5 = 4 AND t = text THEN 'keep' ELSE 'trim' END AS action, CASE turn % 5 WHEN 0 THEN 'trimmed_legacy_footer' WHEN 1 THEN 'hidden_optional_section_only:references'
-WHEN 2 THEN 'trimmed_optional_section_tail:appendix' WHEN 3 THEN 'trimmed_trailing_service_block' ELSE '' END AS reasons FROM (SELECT conv_id, turn, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE NOT regexp_matches(text, '(?im)word|latex|ppt|appendix|reply|^\s*$|^(supp|ack|ref|bib)'))""", False)
+WHEN 2 THEN 'trimmed_optional_section_tail:appendix' WHEN 3 THEN 'trimmed_trailing_service_block' ELSE '' END AS reasons FROM (SELECT conv_id, turn, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)""", False)
 def shown_replies(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with the footers and sections of old replies, as they are shown. Texts that hold such words themselves, by
-    chance, are left out of the comparison."""
-    t = c.table(spark, sf, "conversations").where(~F.col("text").rlike(r"(?im)word|latex|ppt|appendix|reply|^\s*$|^(supp|ack|ref|bib)"))
+    """Texts with the footers and sections of old replies, as they are shown."""
+    t = c.table(spark, sf, "conversations")
     tail = {0: "\n\n---\n如需继续，请回复“继续”", 2: "\n\n## 附录 A\nmore", 3: "\n\n✅ **全文翻译完成**\n- 生成 摘要\n## 下一步"}
     said = F.when(F.col("turn") % 5 == 1, F.concat(F.lit("# 参考文献\n"), "text"))
     for k, v in tail.items():
@@ -378,10 +377,10 @@ def metadata_replies(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conversation_id", "status", "matched_title", "year", "venue_abbr", "ccf_category")
 
 
-@query("SELECT conv_id, turn, len(string_split(text, chr(10))) > 1 AS any_deleted FROM conversations WHERE NOT contains(text, chr(13))", False)
+@query("SELECT conv_id, turn, len(string_split(text, chr(10))) > 1 AS any_deleted FROM conversations", False)
 def deleted_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Texts against their first line: whether lines are gone."""
-    t = c.table(spark, sf, "conversations").where(~F.contains("text", F.lit("\r")))
+    t = c.table(spark, sf, "conversations")
     return t.select("conv_id", "turn", (F.size(markup.deleted_lines(F.col("text"), F.split_part("text", F.lit("\n"), F.lit(1)))) > 0).alias("any_deleted"))
 
 
