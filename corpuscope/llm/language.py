@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Words, list_array, mix, saved, slices, table
+from .common import NOT_SPACE, Words, give_back, list_array, mix, saved, slices, table
 from .labelled import fold
 from .seating import Parent, draw_tables
 
@@ -48,6 +48,22 @@ def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, offsets, before
 
 
+def lean(run):
+    """run, after which the worker gives back what it has freed."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    def two(table: pa.Table, other: pa.Table) -> pa.Table:
+        out = run(table, other)
+        give_back()
+        return out
+
+    return two if run.__code__.co_argcount == 2 else one
+
+
 def _key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One number for a pair; both are spread hashes already."""
     return u ^ (w << np.uint64(17) | w >> np.uint64(47))
@@ -247,7 +263,7 @@ def _counts(requests: DataFrame, buckets: int, hot: list[int]) -> DataFrame:
                 out.append(_rows(schema, hot=none, hot_ones=none, kind=0, bucket=own, src=own, u=names, once=once, w=words[order], n=n[two][order], ones=none, at=at[order]))
         return pa.concat_tables(out)
 
-    return requests.groupBy("bucket").applyInArrow(run, schema)
+    return requests.groupBy("bucket").applyInArrow(lean(run), schema)
 
 
 #: Kind 0: of each pair what its seats come to (v). Kind 1: of each word n, then for each of c, t and tables as a context
@@ -272,7 +288,7 @@ def _seats(requests: DataFrame, state: DataFrame) -> DataFrame:
         return pa.table([np.zeros(rows, np.int32), table.column("bucket"), table.column("block"), pa.nulls(rows, pa.binary()), _packed("v", (n - DISCOUNT[1] * t).astype(np.float32)[of], sizes)], schema=pa_answer)
 
     pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("m", pa.binary()), ("v", pa.binary())])
-    return requests.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, _ANSWER)
+    return requests.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(lean(run), _ANSWER)
 
 
 def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
@@ -309,7 +325,7 @@ def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int) -> DataFram
 
     pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("m", pa.binary()), ("v", pa.binary())])
     asked = blocks.select("block", "words").mapInArrow(ask, "bucket int, block long, w binary")
-    return asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(run, _ANSWER)
+    return asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(lean(run), _ANSWER)
 
 
 def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int], known_words: int, N: int, totals: list[float]) -> DataFrame:
@@ -338,7 +354,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int],
         rows = table.column("rows").combine_chunks().flatten()
         return pa.table([rows, b.lengths.astype(np.int64), sums(known[b.tokens]), sums(base[b.tokens]), sums(np.log10(np.minimum(p, 1.0))[b.of_token])], ["row", "m", "known", "base", "score"])
 
-    return blocks.drop("often", "times", "n_tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return blocks.drop("often", "times", "n_tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(run), schema)
 
 
 # ---------------------------------------------------------------- seating
@@ -381,7 +397,7 @@ def _first_words(counts: DataFrame) -> DataFrame:
         zero = np.zeros(0, np.int64)
         return _rows(_WORDS, bucket=table.column("bucket")[0].as_py(), w=w, n=n, ones=ones, uones=uones, c=ones, t=np.ones_like(n), cs=zero, ts=zero, of=zero, at=at[more > 0], srcs=names, size=sizes, sum_c=n.sum(), sum_t=(n == 1).sum(), sums=zero)
 
-    return counts.where("kind > 0").groupBy("bucket").applyInArrow(run, _WORDS)
+    return counts.where("kind > 0").groupBy("bucket").applyInArrow(lean(run), _WORDS)
 
 
 def _first_pairs(counts: DataFrame, hot: list[int]) -> DataFrame:
@@ -451,7 +467,7 @@ def _parents(words: DataFrame, messages: DataFrame, sweep: int, all_tables: int,
             of, sums = of.ravel(), np.concatenate([y.reshape(SAMPLES, -1).sum(axis=1) for y in (cs, ts)])
         return _rows(_WORDS, bucket=table.column("bucket")[0].as_py(), **{k: x[k] for k in ("w", "n", "ones", "uones", "at", "srcs", "size")}, c=c, t=t, cs=cs, ts=ts, of=of, sum_c=c[two].sum(), sum_t=t[two].sum(), sums=sums)
 
-    return words.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(run, _WORDS)
+    return words.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(lean(run), _WORDS)
 
 
 def _predictions(words: DataFrame, customers: int, tables: int, known: int) -> DataFrame:
@@ -486,7 +502,7 @@ def _seated(pairs: DataFrame, predictions: DataFrame, sweep: int, hot: dict[int,
         sample = sweep >= BURN_IN
         return _rows(_PAIRS, bucket=table.column("bucket")[0].as_py(), u=x["u"], once=x["once"], totals=np.append(x["totals"], new) if sample else x["totals"], w=w, c=x["c"], t=t, sum=x["sum"] + t if sample else x["sum"], hot=x["u"][spread], hot_t=new[spread], at=at)
 
-    return pairs.groupBy("bucket").cogroup(predictions.groupBy("bucket")).applyInArrow(run, _PAIRS)
+    return pairs.groupBy("bucket").cogroup(predictions.groupBy("bucket")).applyInArrow(lean(run), _PAIRS)
 
 
 def _hot_tables(pairs: DataFrame, singles: dict[int, int]) -> dict[int, int]:
