@@ -73,7 +73,7 @@ _LINES = f"array<struct<text:string,{_EDGES}>>"
 _TEXT = f"struct<{_EDGES},text:string,lines:{_LINES}>"
 _CAPTION = f"struct<{_EDGES},text:string,label:string>"
 #: Of a region: whether it is text, what it adds to a group's score, and its area.
-_REGION = f"struct<y0:double,x0:double,i:int,x1:double,y1:double,is_text:boolean,score:double,area:double>"
+_REGION = "struct<y0:double,x0:double,i:int,x1:double,y1:double,is_text:boolean,score:double,area:double>"
 _GROUP = f"struct<{_EDGES},members:array<int>,score:double,area:double,texts:int>"
 _FOUND = f"struct<place:int,label:string,caption:string,{_EDGES},cx0:double,cy0:double,cx1:double>"
 #: kind: vertical gap within a group, and how much better below must be.

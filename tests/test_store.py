@@ -48,6 +48,22 @@ def test_put_if_absent(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "c").iterdir() if not p.name.endswith(".crc")) == ["1.json"]
 
 
+def test_another_file_system(spark, tmp_path):
+    """By a rename that does not overwrite, where a link can't be made."""
+    key = "fs.viewfs.mounttable.other.link./in"
+    spark.conf.set(key, f"file://{tmp_path}")
+    try:
+        root = "viewfs://other/in/r"
+        won = together(*(lambda i=i: store.put_if_absent(spark, f"{root}/c/1.json", str(i)) for i in range(3)))
+        assert any(won) and (tmp_path / "r" / "c" / "1.json").exists() and not store.put_if_absent(spark, f"{root}/c/1.json", "late")
+        put(spark, root, [(1, "a"), (2, "b")])
+        change = spark.createDataFrame([(1, "new")], "k long, v string")
+        store.commit(spark, root, lambda now, own: {"t": store.update(change, root, "t", "k", now, own)})
+        assert rows(spark, root) == [(1, "new"), (2, "b")] and store.versions(spark, root) == [1, 2]
+    finally:
+        spark.conf.unset(key)
+
+
 def test_writers_at_once(spark, tmp_path):
     """All commits stand, with numbers of their own, and every version holds whole commits only."""
     root = str(tmp_path)
