@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions import payloads, progress
-from corpuscope.functions.text import inferred_kind, let, strip, whole_number
+from corpuscope.functions.text import let, strip, whole_number
 from corpuscope.operators import store, writes
 
 CONTINUE_TYPE = "continue_translation"
