@@ -16,6 +16,7 @@ import json
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -334,3 +335,51 @@ def alter(spark: SparkSession, root: str, name: str, version: Version, own: str,
     if [f.name for f in fields] == now.names:
         return None
     return {"list": version.tables[name]["list"], "schemas": version.tables[name]["schemas"] + [_nullable(T.StructType(fields))]}
+
+
+# ---------------------------------------------------------------- upkeep
+def compact(spark: SparkSession, root: str, name: str, version: Version, own: str, size: int = 128 << 20) -> dict | None:
+    """The table with its small files, as many commits of few rows leave them, written together as files of about size
+    bytes; files of half that and more stay as they are. None: there are no two small ones."""
+    files = file_list(spark, root, version, name)
+    if len(files) < 2:
+        return None
+    listed = spark.read.format("binaryFile").load([f"{root}/{f}" for f, _ in files]).select(F.concat(F.lit(f"data/{name}/"), _short(F.col("path"))).alias("f"), "length")
+    small = {r.f: r.length for r in listed.where(F.col("length") < size // 2).collect()}
+    if len(small) < 2:
+        return None
+    rows = _read_files(spark, root, version, name, [f for f in files if f[0] in small])
+    return rewritten(spark, root, name, version, own, set(small), rows.repartition(max(1, -(-sum(small.values()) // size))))[0]
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 10, hours: float = 24.0) -> int:
+    """Delete data files and lists that none of the last keep commits has, and these commits' forerunners; how many data
+    files went. What is younger than hours stays, since a writer may be about to commit it: no commit, and no reader of an
+    older version, should take longer."""
+    numbers = versions(spark, root)
+    if not numbers:
+        return 0
+    kept = [at_version(spark, root, n) for n in numbers[-keep:]]
+    lists = {t["list"] for v in kept for t in v.tables.values()}
+    used = {r.file for r in spark.read.schema(LIST).parquet(*(f"{root}/{x}" for x in lists)).select("file").distinct().collect()} if lists else set()
+    fs, _ = _files(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    before, gone = (time.time() - 3600 * hours) * 1000, 0
+    for n in numbers[:-keep]:
+        fs.delete(path(_name(root, n)), False)
+    for table in _below(fs, path(f"{root}/data")):
+        for folder in _below(fs, table.getPath()):
+            own = [f for f in _below(fs, folder.getPath()) if not f.getPath().getName().startswith((".", "_"))]
+            names = {f"data/{table.getPath().getName()}/{folder.getPath().getName()}/{f.getPath().getName()}" for f in own}
+            if own and not names & used and all(f.getModificationTime() < before for f in own):
+                fs.delete(folder.getPath(), True)
+                gone += len(own)
+    for commit_lists in _below(fs, path(f"{root}/lists")):
+        for x in _below(fs, commit_lists.getPath()):
+            if f"lists/{commit_lists.getPath().getName()}/{x.getPath().getName()}" not in lists and x.getModificationTime() < before:
+                fs.delete(x.getPath(), True)
+    return gone
+
+
+def _below(fs, folder) -> list:
+    return list(fs.listStatus(folder)) if fs.exists(folder) else []

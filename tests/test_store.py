@@ -209,3 +209,30 @@ def test_bundles_of_a_stream(spark, tmp_path):
     first = writes.commit_bundles(spark, bundles(spark, ("a", "p1")), root, stream="s", batch=4).collect()
     again = writes.commit_bundles(spark, bundles(spark, ("a", "p1")), root, stream="s", batch=4).collect()
     assert first == again and not first[0].exists and len(rows(spark, root, "conversation")) == 1
+
+
+def test_compact(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(6):
+        put(spark, root, [(i, "a")])
+    put(spark, root, [(i, str(i) * 50) for i in range(100, 9000)])
+    store.commit(spark, root, lambda now, own: {"t": store.alter(spark, root, "t", now, own, add={"n": "int"})})
+    before, want = {f for f, _ in store.file_list(spark, root, store.latest(spark, root), "t")}, rows(spark, root)
+    pack = lambda: store.commit(spark, root, lambda now, own: (t := store.compact(spark, root, "t", now, own, 40_000)) and {"t": t})
+    pack()
+    after = {f for f, _ in store.file_list(spark, root, store.latest(spark, root), "t")}
+    assert rows(spark, root) == want and len(after) == 2 and len(before & after) == 1
+    number = store.latest(spark, root).number
+    assert pack().number == number  # one small file is left: nothing to do
+
+
+def test_vacuum(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(4):
+        store.commit(spark, root, lambda now, own, i=i: {"t": store.replace(spark.createDataFrame([(i,)], "k long").coalesce(1), root, "t", own)})
+    store.append(spark.createDataFrame([(9,)], "k long").coalesce(1), root, "t", store.latest(spark, root), "lost")  # never committed
+    assert store.vacuum(spark, root, keep=2) == 0  # all is young
+    assert store.vacuum(spark, root, keep=2, hours=-1) == 3
+    assert store.versions(spark, root) == [3, 4] and [rows(spark, root, version=store.at_version(spark, root, n)) for n in (3, 4)] == [[(2,)], [(3,)]]
+    put(spark, root, [(5,)], "k long")
+    assert rows(spark, root) == [(3,), (5,)]
