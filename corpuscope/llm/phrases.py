@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_hashes, mix, ranges, saved, slices, sql_lower, table, text_bytes
+from .common import byte_hashes, give_back, mix, ranges, saved, slices, sql_lower, table, text_bytes
 
 #: Longest phrase in words, least count, phrases listed for each language, scale of scores, share (in percent) of a
 #: phrase's places that must lie in a longer one for it to be dropped.
@@ -25,7 +25,7 @@ WORDS, LEAST, LISTED, SCALE, WITHIN = 4, 30, 2000, 2_000_000, 80
 #: Bytes of text for each bucket, and the least and most buckets (powers of two; 2^28 buckets are a map of 32 MB).
 BUCKET_BYTES, FEWEST, MOST = 16, 1 << 16, 1 << 28
 #: Bytes of text that one step handles.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 _SPACE, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[0x20, 0x09]] = True
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -136,6 +136,7 @@ def _pass(docs: DataFrame, k: int, maps: Maps, least: int, longest: int) -> Data
         own = shared.value
         for part in slices(batches, "text", STEP_BYTES):
             yield from _counts(Pieces(part.column("text"), part.column("lang")), k, own, longest)
+        give_back()
 
     summed = docs.mapInArrow(run, _COUNT).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
     return saved(summed.where((F.col("n") >= least) | F.col("bucket").isNull()), f"phrases-{k}")
