@@ -17,7 +17,7 @@ from .common import mix
 #: Customers up to which all weights are gone through at once, and up to which Stirling numbers are tabled.
 SMALL, LIMIT = 40, 1024
 #: Places at which the weights of many customers are worked out, and how many standard deviations these reach.
-PLACES, REACH = 128, 9.0
+PLACES, REACH = 128, 7.5
 #: Stirling numbers that are worked out at a time, in some 3 KB each.
 PART = 8192
 
@@ -33,6 +33,20 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / x
 
 
+def log_rise(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """log of x (x + 1) ... (x + k - 1), up to what does not depend on k: for large x, of which gamma functions would leave
+    no digits, by the middle factor."""
+    out, large = np.empty(len(x)), x > 1e5
+    out[~large] = log_gamma((x + k)[~large])
+    near = large & (k < 0.01 * x)
+    if near.any():
+        n, middle = k[near], x[near] + (k[near] - 1) / 2
+        out[near] = n * np.log(middle) - n * (n * n - 1) / (24 * middle * middle)
+    far = large & ~near
+    out[far] = log_gamma((x + k)[far]) - log_gamma(x[far])
+    return out
+
+
 @lru_cache(maxsize=4)
 def stirling_table(d: float, limit: int = LIMIT) -> np.ndarray:
     """log S_d(c, t) for c, t up to limit."""
@@ -118,19 +132,19 @@ class Parent:
         return np.where(rising[:, None], (self.count[:, None] + i[None]) / (mass[:, None] + i[None]), self.count[:, None])
 
     def log(self, t: np.ndarray) -> np.ndarray:
-        """log of what it gives for t customers in a row."""
+        """log of what it gives for t customers in a row, up to what does not depend on t."""
         out = t * np.log(self.count)
         rising = np.isfinite(self.mass)
         if rising.any():
             a, b, k = self.count[rising], self.mass[rising], t[rising]
-            out[rising] = log_gamma(a + k) - log_gamma(a) - log_gamma(b + k) + log_gamma(b)
+            out[rising] = log_rise(a, k) - log_rise(b, k)
         return out
 
 
 def log_weight(c: np.ndarray, t: np.ndarray, parent: Parent, total: np.ndarray, d: float, theta: float) -> np.ndarray:
     """log of the weight of t tables, up to what does not depend on t."""
-    first = theta / d + total
-    return log_stirling(c, t, d) + t * np.log(d) + log_gamma(first + t) - log_gamma(first) + parent.log(np.asarray(t, np.float64))
+    t = np.asarray(t, np.float64)
+    return log_stirling(c, t, d) + t * np.log(d) + log_rise(theta / d + total, t) + parent.log(t)
 
 
 def _products(step: np.ndarray) -> np.ndarray:

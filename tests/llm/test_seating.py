@@ -50,6 +50,14 @@ def test_stirling_numbers_of_many_customers(d):
     assert np.isfinite(big).all() and big[2] == 0
 
 
+def test_rising_products():
+    for x in (0.5, 3.0, 9.9e4, 1.1e5, 1e9, 1e13):
+        k = np.array([1.0, 2, 10, 500, 900])
+        got = seating.log_rise(np.full(5, x), k)
+        want = np.array([np.log(x + np.arange(n)).sum() for n in k.astype(int)])
+        assert np.abs(np.diff(got) - np.diff(want)).max() < 1e-6 * max(1, np.abs(want).max() / 1e3)
+
+
 def test_large_counts():
     """Millions of customers: draws are finite, between their bounds, and grow with what the parent gives."""
     n = 50
