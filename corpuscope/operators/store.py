@@ -47,7 +47,13 @@ def written(df: DataFrame, name: str = "rows") -> DataFrame:
     """df as Parquet in the shared folder: what is drawn or numbered in it stays as it is, also if executors are lost."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return sorted_join(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def sorted_join(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting, not by a broadcast: Spark judges files by their size on disk, and rows of ids and JSON
+    that take 10 MB there may take a driver's whole memory. F.broadcast() of the other side goes before it; a union drops it."""
+    return df.hint("merge")
 
 
 def _files(spark: SparkSession, path: str):

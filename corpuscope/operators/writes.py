@@ -135,12 +135,12 @@ def _accepted(rows: DataFrame) -> DataFrame:
     order = F.struct("conversation_id", "_fingerprint", "_row")
     left, out = rows, rows.limit(0)
     while True:
-        by_id, by_print = (left.groupBy(c).agg(F.min(order).alias(f"_{n}")) for c, n in (("conversation_id", "a"), ("_fingerprint", "b")))
+        by_id, by_print = (store.sorted_join(left.groupBy(c).agg(F.min(order).alias(f"_{n}"))) for c, n in (("conversation_id", "a"), ("_fingerprint", "b")))
         marked = left.join(by_id, "conversation_id").join(by_print, "_fingerprint").withColumn("_won", (F.col("_a") == order) & (F.col("_b") == order))
         marked = store.written(marked.select(*rows.columns, "_won"), "bundles-round")
         won = marked.where("_won").select(*rows.columns)
         out = out.unionByName(won)
-        left = marked.where("NOT _won").join(won, "_fingerprint", "left_anti").join(won, "conversation_id", "left_anti").select(*rows.columns)
+        left = store.written(marked.where("NOT _won").join(won, "_fingerprint", "left_anti").join(won, "conversation_id", "left_anti").select(*rows.columns), "bundles-left")
         if left.isEmpty():
             return out
 
@@ -162,13 +162,13 @@ def bundle_tables(bundles: DataFrame, existing_files: DataFrame, existing_papers
     b = b.withColumn("conversation_id", F.coalesce(F.nullif(strip(F.col("conversation_id")), F.lit("")), F.substring(F.sha2(F.concat_ws("\n", "_fingerprint", "_filename", "_poe_url"), 256), 1, 12)))
     missing = F.filter(F.array(*(F.when(F.col(f"_{c}") == "", F.lit(c)) for c in ("filename", "fingerprint", "poe_url"))), lambda x: x.isNotNull())
     b = b.withColumn("error", F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))))
-    known = live_files(existing_files, existing_papers)[0].join(existing_files.select("file_id", F.col("conversation_id").alias("_known")), "file_id").select(F.col("fingerprint").alias("_fingerprint"), "_known")
+    known = live_files(store.sorted_join(existing_files), store.sorted_join(existing_papers))[0].join(store.sorted_join(existing_files.select("file_id", F.col("conversation_id").alias("_known"))), "file_id").select(F.col("fingerprint").alias("_fingerprint"), "_known")
     taken = existing_papers.select(F.col("id").cast("string").alias("conversation_id"), F.lit(True).alias("_taken"))
     b = store.written(b.withColumn("_row", F.monotonically_increasing_id()), "bundles")
-    b = b.join(known, "_fingerprint", "left").join(taken, "conversation_id", "left").withColumn("_known", F.col("_known").cast("string"))
+    b = b.join(store.sorted_join(known), "_fingerprint", "left").join(store.sorted_join(taken), "conversation_id", "left").withColumn("_known", F.col("_known").cast("string"))
     order = ("conversation_id", "_fingerprint", "_row")
     won = _accepted(b.where("error IS NULL AND _known IS NULL AND _taken IS NULL").select(*order))
-    b = b.join(won.select("_fingerprint", F.struct(*order).alias("_won")), "_fingerprint", "left")
+    b = b.join(store.sorted_join(won.select("_fingerprint", F.struct(*order).alias("_won"))), "_fingerprint", "left")
     b = b.withColumn("_known", F.coalesce("_known", F.when(F.col("error").isNull() & (F.col("_won") < F.struct(*order)), F.col("_won.conversation_id"))))
     refused = F.col("_known").isNull() & ~F.coalesce(F.col("_won") == F.struct(*order), F.lit(False))
     b = b.withColumn("error", F.coalesce("error", F.when(refused, F.concat(F.lit("conversation_id already exists: "), "conversation_id")))).withColumn("exists", F.col("error").isNull() & F.col("_known").isNotNull())

@@ -236,3 +236,15 @@ def test_vacuum(spark, tmp_path):
     assert store.versions(spark, root) == [3, 4] and [rows(spark, root, version=store.at_version(spark, root, n)) for n in (3, 4)] == [[(2,)], [(3,)]]
     put(spark, root, [(5,)], "k long")
     assert rows(spark, root) == [(3,), (5,)]
+
+
+def test_rows_of_stored_files_are_not_broadcast(spark, tmp_path):
+    """Files of few bytes may hold rows that take a driver's memory: joins sort them, on either side, and rounds of bundles too."""
+    ids = spark.range(100).select(F.concat(F.lit("p"), "id").alias("conversation_id"), F.lit("{}").alias("payload"))
+    a, b = store.written(ids, "a"), store.written(ids, "b")
+    for joined in (a.join(b, "conversation_id"), a.join(b.groupBy("conversation_id").count(), "conversation_id", "left"), b.where("payload = '{}'").join(a, "conversation_id", "left_anti")):
+        joined.count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    o = spark.range(64).select(F.concat(F.lit("p"), F.col("id") % 4).alias("conversation_id"), F.concat(F.lit("f"), F.col("id") % 5).alias("_fingerprint"), F.col("id").alias("_row"))
+    assert writes._accepted(o).count() == 4
