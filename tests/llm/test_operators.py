@@ -602,3 +602,19 @@ def test_pipeline_keeps_values_of_clashing_columns(spark):
     for stage in (p.drop_repeats, p.drop_contaminated):
         got = stage(spark, docs, SF)
         assert got.columns == docs.columns and tuple(got.select(*names).first()) == tuple(names)
+
+
+def test_nearest_among_copies_and_near_copies(spark):
+    """Vectors that the codes can't tell apart, and equal ones: the true neighbours are found all the same."""
+    r = np.random.default_rng(1)
+    base = r.normal(size=(200, 16))
+    x = base[r.integers(200, size=2000)] + 1e-5 * r.normal(size=(2000, 16)) * (r.random(2000) < 0.7)[:, None]
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for g in search(rows, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(g.query_id, []).append(g.vec_id)
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = y[::50] @ y.T
+    near[np.arange(40), np.arange(0, 2000, 50)] = -2
+    least = np.sort(near, axis=1)[:, -5] - 1e-13
+    assert all(len(v) == 5 for v in got.values()) and sum(near[q // 50, v] >= least[q // 50] for q, own in got.items() for v in own) >= 0.95 * 200
