@@ -31,7 +31,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends; found from the ends, as a search for it would try each place of a long text."""
+    return F.regexp_extract(c, r"(?sU)\A\s*+(.*\S)", 1)
 
 
 def squeezed(c: Column) -> Column:

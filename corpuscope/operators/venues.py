@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.payloads import canonical_json, parsed
 from corpuscope.functions.text import abstract, compact, strip, tag_codes, venue_name
-from corpuscope.operators import search, writes
+from corpuscope.operators import search, store, writes
 
 #: Bytes of names up to which a publication list is broadcast for containment; a longer one is joined by its words.
 BROADCAST_BYTES = 8 << 20
@@ -59,7 +59,7 @@ def resolve_candidates(rows: DataFrame, publications: DataFrame, id_: str, candi
     """rows (id_, candidates: an array of names in order, ...) with item: the first candidate with an equal name decides;
     if none has one, the first with an unambiguous containment; else null. Rows of one id_ are one."""
     names = _names(publications, key)
-    each = rows.select(id_, F.posexplode(candidates).alias("_place", "_n")).withColumn("c", venue_name(F.col("_n"))).where("c != ''").groupBy(id_, "c").agg(F.min("_place").alias("_place"))
+    each = rows.select(id_, F.posexplode_outer(candidates).alias("_place", "_n")).withColumn("c", venue_name(F.col("_n"))).where("c != ''").groupBy(id_, "c").agg(F.min("_place").alias("_place"))
     exact = names.groupBy("n").agg(F.min_by("item", "position").alias("_exact")).withColumnRenamed("n", "c")
     asked = each.select("c").distinct().join(exact, "c", "left_anti")
     found = each.join(exact, "c", "left").join(_contained(asked, names).withColumnRenamed("item", "_near"), "c", "left")
@@ -103,11 +103,13 @@ def metadata_rows(replies: DataFrame, publications: DataFrame, response: str = "
     p = replies.where(reply_error(F.col(response)).isNull()).withColumn("_p", first_paper(F.col(response)))
     venue, names = F.col("_p.publicationVenue"), F.array("_p.venue", "_p.publicationVenue.name", "_p.journal.name")
     p = p.withColumn("_names", F.filter(F.concat(names, F.coalesce(venue["alternate_names"], F.array())), lambda n: n.isNotNull()))
+    # read twice from here on: for the venues and for the rows
+    p = store.written(p.select("conversation_id", F.col(response).alias("_response"), "_p", "_names"), "replies")
     p = resolve_candidates(p, publications.withColumnRenamed("item", "_item"), "conversation_id", "_names", "_item")
     out = p.join(F.broadcast(publications.select(F.col("item").alias("_item"), "abbr", "category", "type")), "_item", "left")
-    nested = [canonical_json(F.get_json_object(response, f"$.data[0].{v}")).alias(k) for k, v in NESTED.items()]
+    nested = [canonical_json(F.get_json_object("_response", f"$.data[0].{v}")).alias(k) for k, v in NESTED.items()]
     rank = [F.coalesce("abbr", F.lit("")).alias("venue_abbr"), F.coalesce("category", F.lit("None")).alias("ccf_category"), F.coalesce("type", F.lit("None")).alias("ccf_type")]
-    return out.select("conversation_id", F.when(F.col("_p").isNotNull(), "matched").otherwise("not_found").alias("status"), *(F.col(f"_p.{v}").alias(k) for k, v in FIELDS.items()), *rank, *nested, canonical_json(F.col(response)).alias("raw_response_json"), F.lit("semantic_scholar").alias("source"))
+    return out.select("conversation_id", F.when(F.col("_p").isNotNull(), "matched").otherwise("not_found").alias("status"), *(F.col(f"_p.{v}").alias(k) for k, v in FIELDS.items()), *rank, *nested, canonical_json(F.col("_response")).alias("raw_response_json"), F.lit("semantic_scholar").alias("source"))
 
 
 def abstracts(papers: DataFrame, messages: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -150,3 +150,16 @@ def test_tag_codes_of_the_whole_text(spark, tmp_path):
 
     spark.createDataFrame([(5, "word " * 30 + "M4 end")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert "M4" in QUERIES["tag_codes"](spark, str(tmp_path)).first().codes.split(",")
+
+
+def test_strip_of_long_texts(spark):
+    """White space of all kinds goes from both ends, and the time for it does not grow with the blanks within."""
+    import time
+
+    texts = ["", " ", "\n 　", "a", " a b \r\n ", "\u0085x\n\ny\t", None, "\U0001f600 z \U0001f600 "]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(text.strip(F.col("t"))).collect()]
+    assert got == [None if x is None else x.strip() for x in texts]
+    one = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 60_000), F.lit("b")).alias("t"))
+    began = time.time()
+    assert one.select(F.length(text.strip(F.col("t")))).first()[0] == 60_002
+    assert time.time() - began < 5
