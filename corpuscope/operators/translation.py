@@ -3,7 +3,7 @@ the artifacts of finished runs. What a model says comes in as a table of replies
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import payloads, progress
@@ -85,16 +85,19 @@ def continued(contexts: DataFrame, replies: DataFrame, template: str) -> tuple[D
     """
     key = contexts.schema["conversation_id"].dataType.simpleString()
     now = store.written(contexts.select("conversation_id", "plan", "status", "glossary", "error"), "contexts")
-    left = store.written(replies.where("conversation_id IS NOT NULL").select("conversation_id", F.col("seq").cast("long").alias("seq"), "action", "target_scope", F.col("unit").alias("asked"), "reply"), "replies")
+    given = replies.where("conversation_id IS NOT NULL").select("conversation_id", F.col("seq").cast("long").alias("seq"), F.col("unit").alias("asked"), "reply", F.struct("action", "target_scope").alias("_how"))
+    once = given.groupBy("conversation_id", "seq", "asked", "reply").agg(F.min("_how").alias("_how"))
+    numbered = once.select("*", "_how.*", F.row_number().over(Window.partitionBy("conversation_id").orderBy("seq", "asked", "reply")).alias("_n")).drop("_how")
+    numbered = store.written(numbered.repartitionByRange("_n", "conversation_id"), "replies")  # a round reads the files of its number
     messages, outcomes = None, replies.sparkSession.createDataFrame([], OUTCOME.format(key=key))
-    while not left.isEmpty():
-        names = [c for c in left.columns if c != "conversation_id"]
-        first = left.groupBy("conversation_id").agg(F.min_by(F.struct(*names), F.struct("seq", "asked", "reply")).alias("_r")).select("conversation_id", "_r.*")
-        known = first.join(now, "conversation_id", "left").withColumn("error", F.coalesce("error", F.when(F.col("plan").isNull() | F.col("status").isNull(), "no plan or status")))
+    for n in range(1, (numbered.agg(F.max("_n")).first()[0] or 0) + 1):
+        known = numbered.where(F.col("_n") == n).drop("_n").join(now, "conversation_id", "left").withColumn("error", F.coalesce("error", F.when(F.col("plan").isNull() | F.col("status").isNull(), "no plan or status")))
         steps = next_steps(known, template)
         steps = steps.withColumn("error", F.coalesce(F.when(~F.col("action").eqNullSafe(F.lit("continue")), "unsupported action"), "error", F.when(F.col("asked").isNotNull() & (strip(F.col("asked")) != F.col("unit")), "stale reply")))
-        after = after_reply(steps).select("conversation_id", "seq", F.col("stored.translation_status").alias("_status"), payloads.payload_json(F.col("stored")).alias("_payload"), F.col("stored.content").alias("_content"))
-        done = store.written(steps.select("conversation_id", "seq", "unit", "error", "prompt", "reply").join(after, ["conversation_id", "seq"], "left"), "round")
+        steps = store.written(steps, "steps")
+        said = ("conversation_id", "seq", "unit", "error", "prompt", "reply")
+        after = after_reply(steps).select(*said, F.col("stored.translation_status").alias("_status"), payloads.payload_json(F.col("stored")).alias("_payload"), F.col("stored.content").alias("_content"))
+        done = store.written(after.unionByName(steps.where("error IS NOT NULL").select(*said), allowMissingColumns=True), "round")
         good = done.where("error IS NULL")
         outcomes = outcomes.unionByName(done.select("conversation_id", "seq", "unit", F.col("_status.state").alias("state"), "error"))
         section = payloads.text.message_section(F.col("_content"), F.col("_status.active_scope"), F.col("_content"))["section"]
@@ -103,7 +106,6 @@ def continued(contexts: DataFrame, replies: DataFrame, template: str) -> tuple[D
         messages = pairs if messages is None else messages.unionByName(pairs)
         new = good.select("conversation_id", "_status")
         now = store.written(now.join(new, "conversation_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status"), "contexts")
-        left = store.written(left.join(first.select("conversation_id", "seq", "asked", "reply"), (left["conversation_id"] == first["conversation_id"]) & (left["seq"] == first["seq"]) & left["asked"].eqNullSafe(first["asked"]) & left["reply"].eqNullSafe(first["reply"]), "left_anti"), "replies")
     if messages is None:
         none = replies.sparkSession.createDataFrame([], f"conversation_id {key}, seq long, user_content string, bot_content string, payload string, section_category string")
         messages = writes.message_pairs(none, "continue_command", False)
