@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import FIGURE, TABLE, adjacent, caption_label, compact, digit_ratio, has_caption_suffix, has_line_numbers, is_paragraph, let, near_same, overlap, strip
+from corpuscope.operators import store
 
 # Fixed values, in points and shares of the page.
 MIN_WIDTH, MIN_HEIGHT, NEAREST, FARTHEST, SHARE, CENTRE = 40, 16, -6, 260, 0.25, 30
@@ -287,6 +288,16 @@ def page_votes(pages: DataFrame) -> DataFrame:
     """(doc_id, kind, direction): by the votes of all captions of a document; null on a tie. A caption speaks for the side
     on which alone it has matches, and of figures also for the better side if that leads by 0.75. Tables use up what they
     take. Pages are judged one by one, as expressions over their rows; only the votes are gathered."""
+    return _votes(_with_regions(pages))
+
+
+def _each(found: Column) -> Column:
+    """The elements of an array as rows, and null for none: an inner explode() makes Spark work the array out twice more for a
+    filter on its size."""
+    return F.explode_outer(found)
+
+
+def _votes(regions: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def votes(kind: str) -> Column:
@@ -302,7 +313,8 @@ def page_votes(pages: DataFrame) -> DataFrame:
 
         return F.aggregate(f"_{kind}_captions", F.struct(_list("int").alias("used"), F.lit(0).alias("votes")), one)["votes"]
 
-    each = _with_regions(pages).select("doc_id", F.create_map(*(x for k in RULES for x in (F.lit(k), votes(k)))).alias("v")).select("doc_id", F.explode("v").alias("kind", "n"))
+    counted = F.array(*(F.struct(F.lit(k).alias("kind"), votes(k).alias("n")) for k in RULES))
+    each = regions.select("doc_id", _each(counted).alias("v")).select("doc_id", "v.*")
     n = each.groupBy("doc_id", "kind").agg(F.sum("n").alias("n"))
     return n.select("doc_id", "kind", F.when(F.col("n") > 0, "above").when(F.col("n") < 0, "below").alias("direction"))
 
@@ -340,7 +352,8 @@ def page_assets(pages: DataFrame, directions: DataFrame | None = None) -> DataFr
     each. Pages without captions or regions give nothing; doubled pages count twice. A page is one row, judged by
     expressions over its arrays; only directions and indexes need rows of a document together.
     """
-    directions = page_votes(pages) if directions is None else directions
+    regions = store.written(_with_regions(pages), "pages")
+    directions = _votes(regions) if directions is None else directions
     by_doc = directions.groupBy("doc_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("direction"))).alias(f"_{k}_direction") for k in RULES))
 
     def found(kind: str) -> Column:
@@ -356,7 +369,7 @@ def page_assets(pages: DataFrame, directions: DataFrame | None = None) -> DataFr
         return F.aggregate(f"_{kind}_captions", F.struct(F.lit(0).alias("place"), _list("int").alias("used"), _list(_FOUND).alias("found")), one)["found"]
 
     named = lambda kind: F.transform(found(kind), lambda f: F.struct(F.lit(kind).alias("kind"), f["place"].alias("place"), f["label"].alias("label"), f["caption"].alias("caption"), _frame(f, kind).alias("box")))
-    rows = _with_regions(pages).join(by_doc, "doc_id", "left").select("doc_id", "page", F.explode(F.concat(*(named(k) for k in RULES))).alias("a")).select("doc_id", "page", "a.*")
+    rows = regions.join(by_doc, "doc_id", "left").select("doc_id", "page", _each(F.concat(*(named(k) for k in RULES))).alias("a")).where("a IS NOT NULL").select("doc_id", "page", "a.*")
     size = lambda a, b: F.ceil(2 * (F.col(f"box.{b}") - F.col(f"box.{a}"))).cast("int")  # noqa: E731  rendered at twice the size
     order = Window.partitionBy("doc_id", "kind").orderBy("page", "place")  # assets of one document
     out = rows.select("doc_id", "page", "place", "kind", "label", "caption", *(F.col(f"box.{e}").alias(e) for e in BOX), size("x0", "x1").alias("pixel_width"), size("y0", "y1").alias("pixel_height"))

@@ -64,3 +64,9 @@ def test_registered_pages(spark):
     """The query's own pages, judged again one by one."""
     assert len(hold(rules.page_rows(spark, SF))) > 100
     assert rows_of(QUERIES["figures_and_tables"](spark, SF)) == rows_of(layout.page_assets(rules.page_rows(spark, SF)))
+
+
+def test_what_is_found_is_worked_out_once(spark):
+    """No filter on the size of what is found, which would work it out again for each page."""
+    plan = layout.page_assets(rules.page_rows(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and not [x for x in plan.splitlines() if "Filter" in x and "aggregate(" in x]
