@@ -34,7 +34,13 @@ BULLET = r"^(?:[-*•]\s+|\d+[.)]\s+)"
 
 
 def _any(words) -> str:
-    return "(?:" + "|".join(map(re.escape, words)) + ")"
+    """A pattern of any of some words, which tries none where no word can start, and words of one first character together."""
+    rests: dict[str, list[str]] = {}
+    for w in words:
+        rests.setdefault(w[0], []).append(re.escape(w[1:]))
+    plain, other = (sorted(c for c in rests if (ord(c) < 128) == low) for low in (True, False))
+    starts = "".join(map(re.escape, plain)) + (f"{other[0]}-{other[-1]}" if other else "")
+    return f"(?=[{starts}])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(r)})" for c, r in rests.items()) + ")"
 
 
 # ---------------------------------------------------------------- lines
@@ -55,7 +61,7 @@ def is_hint(n: Column) -> Column:
     """A line that says how to go on; n is its hint_text()."""
     on, low, ahead = F.contains(n, F.lit("继续")), F.lower(n), n.rlike("下一章|下一节")
     said = F.contains(low, F.lit("continue"))
-    asked = n.rlike("当你输入|如果你说|请回复|请输入|请继续输入|回复") & on
+    asked = on & n.rlike("当你输入|如果你说|请回复|请输入|请继续输入|回复")
     return n.rlike(f"如需继续|是否继续|翻译下一章|翻译下一节|^{_any(NEXT_START)}") | (ahead & (on | F.contains(low, F.lit("reply")) | said)) | asked | (F.contains(low, F.lit("reply")) & said)
 
 
@@ -81,15 +87,16 @@ def _marked(line: Column, i: Column) -> Column:
 
     def marks(x: Column) -> Column:
         t, n, p = x["t"], x["n"], x["p"]
-        bullet, service = t.rlike(BULLET), is_service(n)
-        offered = bullet & is_service(p)
-        blank = (t == "") | t.rlike(SEPARATOR)
-        lead = is_hint(n) | service | offered
-        kind = F.when(blank, "skip").when(is_marker(n), "done").when(is_hint(n) | service | offered | (bullet & p.rlike(f"^{_any(SERVICE_START)}")), "signal").when(is_heading(t), "heading").otherwise("other")
-        return F.struct((i + 1).alias("i"), blank.alias("blank"), lead.alias("lead"), (lead | is_heading(t)).alias("foot"), kind.alias("kind"), F.when(~blank, optional_section(t)).alias("scope"))
-
-    own = strip(line)
-    return let(F.struct(own.alias("t"), hint_text(own).alias("n"), hint_text(F.regexp_replace(own, BULLET, "")).alias("p")), marks)
+        bullet = t.rlike(BULLET)
+        lead = is_hint(n) | is_service(n) | (bullet & is_service(p))
+        found = F.struct(((t == "") | t.rlike(SEPARATOR)).alias("blank"), lead.alias("lead"), is_heading(t).alias("heading"), (bullet & p.rlike(f"^{_any(SERVICE_START)}")).alias("starts"))
+        return let(found, lambda y: row(t, n, y))
+
+    def row(t: Column, n: Column, y: Column) -> Column:
+        kind = F.when(y["blank"], "skip").when(is_marker(n), "done").when(y["lead"] | y["starts"], "signal").when(y["heading"], "heading").otherwise("other")
+        return F.struct((i + 1).alias("i"), y["blank"].alias("blank"), y["lead"].alias("lead"), (y["lead"] | y["heading"]).alias("foot"), kind.alias("kind"), F.when(~y["blank"], optional_section(t)).alias("scope"))
+
+    return let(strip(line), lambda own: let(F.struct(own.alias("t"), hint_text(own).alias("n"), hint_text(F.regexp_replace(own, BULLET, "")).alias("p")), marks))
 
 
 def _last(rows: Column, test) -> Column:

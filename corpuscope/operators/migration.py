@@ -155,7 +155,8 @@ def _some(spark: SparkSession, root: str, name: str, progress: str, run: str) ->
 def _moved(spark: SparkSession, root: str, name: str, key: str, step, run: str, now: store.Version, own: str, todo: list[tuple[str, int]], progress: str, reported: str) -> dict[str, dict]:
     """One step over some files: the table, its report and the progress after it."""
     schema = now.schema(name)
-    rows = step(store.rows_of(spark, root, now, name, todo))
+    # few files, or such of one row group, would be few tasks; a step costs more than moving its rows
+    rows = step(store.rows_of(spark, root, now, name, todo).repartition(key))
     after = {c.removeprefix(NEXT): c for c in rows.columns if c.startswith(NEXT)}
     changed = F.lit(False)
     for n, c in after.items():

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_streams import folder, run
 
-from corpuscope.functions import payloads, progress
+from corpuscope.functions import legacy, payloads, progress
 from corpuscope.operators import layout, migration, search, store, translation, venues, writes
 from corpuscope.sources import catalogue
 from corpuscope.streaming import stored
@@ -95,6 +95,27 @@ def test_migration_goes_on_where_it_stopped(spark, tmp_path):
     assert store.latest(spark, whole).number == before  # all is done: nothing is left to commit
 
 
+def test_rows_of_one_file_are_spread(spark, tmp_path):
+    root = str(tmp_path)
+    m = spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("content")).coalesce(1)
+    store.commit(spark, root, lambda now, own: {"messages": store.append(m, root, "messages", now, own)})
+    assert len(store.file_list(spark, root, store.latest(spark, root), "messages")) == 1
+    migration.migrate(spark, root, "messages", "id", lambda rows: rows.withColumn("next_part", F.spark_partition_id()), "parts")
+    now = store.read(spark, root, "messages")
+    assert now.select("part").distinct().count() > 1
+    assert now.drop("part").exceptAll(m).count() == 0 and now.count() == 200_000
+
+
+def test_marks_of_lines_are_found_once(spark):
+    words = legacy.SERVICE + legacy.FULL_DONE + legacy.NEXT_START
+    said = [f"{a}{w[:-1]} {w}{z}" for w in words for a, z in (("", ""), ("ab页", "。"))] + [w[1:] for w in words] + [w[:-1] for w in words] + ["", "plain English", "一页"]
+    rows = spark.createDataFrame([(x,) for x in said], "x string")
+    for some in (legacy.SERVICE, legacy.FULL_DONE, legacy.NEXT_START):
+        assert {r.x: r.y for r in rows.select("x", F.col("x").rlike(legacy._any(some)).alias("y")).collect()} == {x: any(w in x for w in some) for x in said}
+    plan = rows.select(legacy.displayed(F.col("x")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(legacy._any(legacy.SERVICE)) == 2  # of a line, and of what follows its bullet
+
+
 def test_migrated_messages(spark, tmp_path):
     root = str(tmp_path)
     old = {r.id: r for r in put_messages(spark, root).collect()}
