@@ -18,6 +18,10 @@ from .common import mix
 SMALL, LIMIT = 40, 1024
 #: Places at which the weights of many customers are worked out, and how many standard deviations these reach.
 PLACES, REACH = 128, 7.5
+#: Chebyshev points from which logs of weights at the places are interpolated, far enough from t = 0 with errors below 1e-6.
+NODES = 17
+#: Weights of tabled customers that are worked out at a time.
+WEIGHTS = 50_000
 #: Stirling numbers that are worked out at a time, in some 3 KB each.
 PART = 8192
 
@@ -131,6 +135,11 @@ class Parent:
         mass = np.where(rising, self.mass, 1.0)
         return np.where(rising[:, None], (self.count[:, None] + i[None]) / (mass[:, None] + i[None]), self.count[:, None])
 
+    def after(self, t: np.ndarray) -> np.ndarray:
+        """What it gives for one customer more, t of the dish having come."""
+        rising = np.isfinite(self.mass)
+        return np.where(rising, (self.count + t) / np.where(rising, self.mass + t, 1.0), self.count)
+
     def log(self, t: np.ndarray) -> np.ndarray:
         """log of what it gives for t customers in a row, up to what does not depend on t."""
         out = t * np.log(self.count)
@@ -170,22 +179,49 @@ def draw_tables(c: np.ndarray, parent: Parent, total: np.ndarray, d: float, thet
             step = np.exp(np.diff(table[k, 1 : k + 1]))[None] * (theta + d * (total[own][:, None] + i[None])) * parent.of(own).next(i)
             weight = _products(step).cumsum(axis=1)
             t[own] = 1 + (weight[:, :-1] < uniforms(seed[own], 0, 1) * weight[:, -1:]).sum(axis=1)
-    own = np.flatnonzero(c > SMALL)
+    own = np.flatnonzero((c > SMALL) & (c <= LIMIT))
+    own, a = own[np.argsort(c[own], kind="stable")], 0
+    while a < len(own):
+        x = own[a : a + max(1, WEIGHTS // int(c[own[a]]))]
+        x = x[c[x] <= 2 * c[x[0]]]  # sorted: no row is much longer than its own customers
+        a += len(x)
+        i = np.arange(1, c[x[-1]], dtype=np.float64)
+        logs = table[c[x], 1 : c[x[-1]] + 1]  # none beyond a row's own customers
+        logs[:, 1:] += np.log((theta + d * (total[x][:, None] + i[None])) * parent.of(x).next(i)).cumsum(axis=1)
+        weight = np.exp(logs - logs.max(axis=1, keepdims=True)).cumsum(axis=1)
+        t[x] = 1 + (weight[:, :-1] < uniforms(seed[x], 0, 1) * weight[:, -1:]).sum(axis=1)
+    own = np.flatnonzero(c > LIMIT)
     for a in range(0, len(own), 500):
         x = own[a : a + 500]
         t[x] = _draw_many(c[x].astype(np.float64), parent.of(x), total[x], d, theta, seed[x])
     return t
 
 
+def _interpolated(f, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """f(rows, t) at places of each row, by the polynomial through its values at NODES points between first and last."""
+    j = np.arange(NODES)
+    points = (first[:, None] + last[:, None]) / 2 - np.cos(np.pi * j / (NODES - 1))[None] * (last - first)[:, None] / 2
+    values = f(np.repeat(np.arange(len(first)), NODES), points.ravel()).reshape(points.shape)
+    share = np.where(j % 2 == 0, 1.0, -1.0) * np.where((j == 0) | (j == NODES - 1), 0.5, 1.0)
+    above, below = np.zeros(at.shape), np.zeros(at.shape)
+    for k in j:
+        away = at - points[:, k : k + 1]
+        part = share[k] / np.where(np.abs(away) < 1e-9, 1e-9, away)
+        above += part * values[:, k : k + 1]
+        below += part
+    return above / below
+
+
 def _draw_many(c: np.ndarray, parent: Parent, total: np.ndarray, d: float, theta: float, seed: np.ndarray) -> np.ndarray:
-    """The weights have one peak. They are worked out at PLACES cells around it: cells of one number of tables where the
-    peak is narrow, of several, taken by their middle, where it is broad."""
+    """Tables of more than LIMIT customers. The weights have one peak. They are worked out at PLACES cells around it: cells
+    of one number of tables where the peak is narrow, of several, taken by their middle, where it is broad."""
     weigh = lambda rows, t: log_weight(c[rows], t, parent.of(rows), total[rows], d, theta)
     every = np.arange(len(c))
     low, high = np.ones(len(c)), c.copy()  # the peak is the first t whose successor weighs less
     while (open_ := np.flatnonzero(low < high)).size:
         middle = np.floor((low[open_] + high[open_]) / 2)
-        rises = weigh(open_, middle + 1) > weigh(open_, middle)
+        more = np.log((theta + d * (total[open_] + middle)) * parent.of(open_).after(middle))
+        rises = log_stirling(c[open_], middle + 1, d) + more > log_stirling(c[open_], middle, d)
         low[open_[rises]] = middle[rises] + 1
         high[open_[~rises]] = middle[~rises]
     peak = low
@@ -199,9 +235,13 @@ def _draw_many(c: np.ndarray, parent: Parent, total: np.ndarray, d: float, theta
     step = np.ceil((last - first + 1) / PLACES)
     at = first[:, None] + step[:, None] * np.arange(PLACES)[None]
     size = np.clip(last[:, None] - at + 1, 0, step[:, None])  # numbers of tables in each cell
-    weight = np.full(at.shape, -np.inf)
-    some = size > 0
-    weight[some] = weigh(np.nonzero(some)[0], (at + np.floor((size - 1) / 2))[some])
+    weight, middle = np.full(at.shape, -np.inf), at + np.floor((size - 1) / 2)
+    smooth = (last - first >= 4 * NODES) & (first >= (last - first) / 4)
+    some = (size > 0) & ~smooth[:, None]
+    weight[some] = weigh(np.nonzero(some)[0], middle[some])
+    own = np.flatnonzero(smooth)
+    if len(own):
+        weight[own] = _interpolated(lambda rows, t: weigh(own[rows], t), first[own], last[own], np.minimum(middle[own], last[own, None]))
     mass = np.where(size > 0, size * np.exp(weight - weight.max(axis=1, keepdims=True)), 0).cumsum(axis=1)
     draws = uniforms(seed, 0, 2)
     cell = np.minimum((mass < draws[:, :1] * mass[:, -1:]).sum(axis=1), PLACES - 1)

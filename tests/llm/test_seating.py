@@ -37,6 +37,25 @@ def test_draws(d, theta, c):
         assert abs(x.mean() - mean) < 0.02 * mean + 4 * spread / np.sqrt(n) and abs(x.std() - spread) < 0.1 * spread + 0.05
 
 
+def test_weights_of_tabled_customers_take_no_gamma_functions(monkeypatch):
+    def refused(x):
+        raise AssertionError("a gamma function is worked out")
+
+    monkeypatch.setattr(seating, "log_gamma", refused)
+    c = np.repeat([2, 40, 41, 300, 1024], 20)
+    for parent in (seating.Parent(np.full(100, 0.3)), seating.Parent(np.full(100, 50.0), 3000.0)):
+        x = seating.draw_tables(c, parent, np.full(100, 500), 0.75, 1.0, mix(np.arange(100).astype(np.uint64)))
+        assert (x >= 1).all() and (x <= c).all()
+
+
+def test_interpolated_weights():
+    c, parent, total, t = np.full(2, 50_000.0), seating.Parent(np.array([900.0, 5000.0]), 1e6), np.full(2, 9000.0), np.arange(500.0, 1500.0, 9)
+    f = lambda rows, t: seating.log_weight(c[rows], t, parent.of(rows), total[rows], 0.75, 1.0)
+    at = np.repeat(t[None], 2, axis=0)
+    made = seating._interpolated(f, at[:, 0], at[:, -1], at)
+    assert np.abs(made - f(np.repeat([0, 1], len(t)), at.ravel()).reshape(at.shape)).max() < 1e-4
+
+
 @pytest.mark.parametrize("d", [0.6, 0.75])
 def test_stirling_numbers_of_many_customers(d):
     """Beyond the table: steps from one number of tables to the next, which are what draws rest on."""
