@@ -14,6 +14,7 @@ Probabilities are the mean of several samples' predictions, so each context's pr
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, Words, list_array, mix, saved, slices, table
+from .common import NOT_SPACE, Words, keep_modules, list_array, mix, saved, slices, table
 from .labelled import fold
 from .seating import Parent, draw_tables
 
@@ -54,7 +55,7 @@ def _key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- lists of numbers as bytes, which Spark copies whole
-_TYPES = {**dict.fromkeys("words u w n once ones uones totals c t sum cs ts of m".split(), np.int64), **dict.fromkeys("tokens k count at srcs size".split(), np.int32), **dict.fromkeys("v p".split(), np.float32)}
+_TYPES = {**dict.fromkeys("words u w n once ones uones totals c t sum cs ts of m".split(), np.int64), **dict.fromkeys("tokens k count at srcs size code".split(), np.int32), **dict.fromkeys("v p".split(), np.float32)}
 
 
 _WHOLE = ("words", "u", "w", "p")  # of the others each list has all first bytes, then all second bytes and so on, which compresses well
@@ -108,10 +109,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
     schema = schema.add("rows", T.ArrayType(docs.schema["row"].dataType))
 
     def run(batches):
+        keep_modules()
         part = TaskContext.get().partitionId()
         for i, batch in enumerate(slices(batches, "text", BLOCK)):
             streams = [token_stream(p.column("text")) for p in slices([batch], "text")]
-            words, inverse, counts = np.unique(np.concatenate([x[0] for x in streams]), return_inverse=True, return_counts=True)
+            inverse, words = pd.factorize(np.concatenate([x[0] for x in streams]))
+            counts = np.bincount(inverse, minlength=len(words))
             order = np.argsort(-counts, kind="stable")
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order))
@@ -161,18 +164,16 @@ class _Pairs:
             self.of_token[by_key] = place[np.cumsum(new) - 1]
 
 
-def _pair_requests(blocks: DataFrame, buckets: int, hot: list[int], seen: bool) -> DataFrame:
+def _pair_requests(blocks: DataFrame, buckets: int, hot: list[int]) -> DataFrame:
     """Each block's pairs by bucket: contexts, the number of words of each, these words, and counts in training texts.
-    Pairs of one context share a bucket, but those of hot contexts are spread. seen: only pairs of training texts."""
+    Pairs of one context share a bucket, but those of hot contexts are spread."""
 
     def run(batches):
+        keep_modules()
         for batch in batches:
             for row in range(batch.num_rows):
                 b = _Pairs(batch, row, buckets, np.array(hot, np.int64))
-                own = b.n > 0 if seen else slice(None)
-                u, w, n, bucket = b.u[own], b.w[own], b.n[own], b.bucket[own]
-                if not len(n):
-                    continue
+                u, w, n, bucket = b.u, b.w, b.n, b.bucket
                 first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (bucket[1:] != bucket[:-1])))
                 ids, sizes = np.unique(bucket, return_counts=True)
                 runs = np.unique(bucket[first], return_counts=True)[1]
@@ -184,16 +185,26 @@ def _pair_requests(blocks: DataFrame, buckets: int, hot: list[int], seen: bool)
     return blocks.select("block", "words", "tokens", "lengths", "train").mapInArrow(run, "bucket int, block long, u binary, k binary, w binary, count binary")
 
 
-def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's requests: u, w and count over all blocks of each pair, sorted by key, these keys, and each request's pair."""
+def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's requests: u, w and count over all blocks of each pair, sorted by key, and each request's pair."""
     u, w, n = np.repeat(_flat(table, "u"), _flat(table, "k")), _flat(table, "w"), _flat(table, "count").astype(np.int64)
-    key = _key(u.view(np.uint64), w.view(np.uint64)).view(np.int64)
+    key = _key(u.view(np.uint64), w.view(np.uint64))
     order = np.argsort(key)
-    new = np.append(True, key[order][1:] != key[order][:-1])
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
     first = np.flatnonzero(new)
     of = np.empty(len(key), np.int64)
     of[order] = np.cumsum(new) - 1
-    return u[order[first]], w[order[first]], np.add.reduceat(n[order], first), key[order[first]], of
+    return u[order[first]], w[order[first]], np.add.reduceat(n[order], first), of
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values, sorted, and the place of each x there."""
+    found, ids = pd.factorize(x)
+    order = np.argsort(ids)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    return ids[order], place[found]
 
 
 #: A bucket's pairs of two customers and more: contexts (u, their tables of one customer, totals of each sample) and of
@@ -222,30 +233,37 @@ def _by(ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _counts(requests: DataFrame, buckets: int, hot: list[int]) -> DataFrame:
-    """(kind, bucket, src, u, once, w, n, ones, at, hot, hot_ones): a bucket's pairs of two customers and more (kind 0), and lists to the
-    buckets of words: customers, pairs of one customer and other pairs of each word (1), pairs of one customer of each context (2), those of hot contexts also as arrays."""
-    schema = "kind int, bucket int, src int, u binary, once binary, w binary, n binary, ones binary, at binary, hot array<long>, hot_ones array<long>"
+    """(kind, bucket, src, block, u, once, w, n, ones, at, code, hot, hot_ones): a bucket's pairs of two customers and more (kind 0), and lists to the
+    buckets of words: customers, pairs of one customer and other pairs of each word (1), pairs of one customer of each context (2), those of hot contexts also as arrays.
+    Of each request (3), in order: 0 for a pair of no customer, 1 for one of one, 2 and its place among those of kind 0 for others."""
+    schema = "kind int, bucket int, src int, block long, u binary, once binary, w binary, n binary, ones binary, at binary, code binary, hot array<long>, hot_ones array<long>"
 
     def run(table: pa.Table) -> pa.Table:
+        keep_modules()
         own = table.column("bucket")[0].as_py()
-        u, w, n, _, _ = _totals(table)
-        two, none = n >= 2, np.zeros(0, np.int64)
-        out = []
-        for kind, x in ((1, w), (2, u)):
-            ids, inverse = np.unique(x, return_inverse=True)
+        u, w, n, of = _totals(table)
+        seen, none = np.flatnonzero(n > 0), np.zeros(0, np.int64)
+        code, single, two = np.minimum(n, 1).astype(np.int32), n[seen] == 1, n[seen] >= 2
+        row = {"bucket": own, "src": own, "block": None, **dict.fromkeys("u once w n ones at code hot hot_ones".split(), none)}
+        out = [_rows(schema, **row | {"kind": 0}).slice(0, 0)]  # all columns, even if no pair is of training texts
+        for kind, x in ((1, w[seen]), (2, u[seen])):
+            ids, inverse = _distinct(x)
+            all_n, ones, more = (y.astype(np.int64) for y in (np.bincount(inverse, n[seen], len(ids)), np.bincount(inverse[single], minlength=len(ids)), np.bincount(inverse[two], minlength=len(ids))))
             order = np.argsort(ids % buckets, kind="stable")
-            ids, all_n, ones, more = (y[order].astype(np.int64) for y in (ids, np.bincount(inverse, n, len(ids)), np.bincount(inverse[~two], minlength=len(ids)), np.bincount(inverse[two], minlength=len(ids))))
-            for to, a, k in zip(*_by(ids, buckets)):
-                part = slice(a, a + k)
-                often = np.flatnonzero(np.isin(ids[part], hot)) if kind == 2 and len(hot) else none
-                out.append(_rows(schema, hot=ids[part][often], hot_ones=ones[part][often], kind=kind, bucket=to, src=own, u=none, once=more[part] if kind == 1 else none, w=ids[part], n=all_n[part], ones=ones[part], at=none))
+            for to, a, k in zip(*_by(ids[order], buckets)):
+                part = order[a : a + k]
+                often = part[np.isin(ids[part], hot)] if kind == 2 and len(hot) else part[:0]
+                out.append(_rows(schema, **row | {"kind": kind, "bucket": to, "w": ids[part], "n": all_n[part], "ones": ones[part], "once": more[part] if kind == 1 else none, "hot": ids[often], "hot_ones": ones[often]}))
             if kind == 2 and two.any():
                 have, at = np.unique(inverse[two], return_inverse=True)
-                names, once = np.unique(x)[have], np.bincount(inverse[~two], minlength=len(ids))[have]
-                words = w[two]
-                order = np.lexsort((words, words % buckets))
-                out.append(_rows(schema, hot=none, hot_ones=none, kind=0, bucket=own, src=own, u=names, once=once, w=words[order], n=n[two][order], ones=none, at=at[order]))
-        return pa.concat_tables(out)
+                own_pairs = seen[two]
+                order = np.lexsort((w[own_pairs], w[own_pairs] % buckets))
+                own_pairs = own_pairs[order]
+                code[own_pairs] = 2 + np.arange(len(order))
+                out.append(_rows(schema, **row | {"kind": 0, "u": ids[have], "once": ones[have], "w": w[own_pairs], "n": n[own_pairs], "at": at[order]}))
+        sizes = _lengths(table, "w")
+        codes = pa.table({"kind": np.full(len(sizes), 3, np.int32), "bucket": table.column("bucket"), "block": table.column("block"), "code": _packed("code", code[of], sizes)})
+        return pa.concat_tables([*out, codes], promote_options="default")
 
     return requests.groupBy("bucket").applyInArrow(run, schema)
 
@@ -255,24 +273,21 @@ def _counts(requests: DataFrame, buckets: int, hot: list[int]) -> DataFrame:
 _ANSWER = "kind int, bucket int, block long, m binary, v binary"
 
 
-def _seats(requests: DataFrame, state: DataFrame) -> DataFrame:
+def _seats(codes: DataFrame, state: DataFrame) -> DataFrame:
     """Answers to pair requests: customers less discounts of each pair, in order. state: the pairs of two customers and more."""
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        keep_modules()
         if not table.num_rows:
             return pa.table([pa.array([], f.type) for f in pa_answer], schema=pa_answer)
-        _, _, n, keys, of = _totals(table)
-        t = np.minimum(n, 1).astype(np.float64)
+        v = np.array([0, 1 - DISCOUNT[1]])
         if known.num_rows:
-            u = _flat(known, "u")[_flat(known, "at")]
-            key = _key(u.view(np.uint64), _flat(known, "w").view(np.uint64)).view(np.int64)
-            t[np.searchsorted(keys, key)] = _flat(known, "sum") / SAMPLES
-        sizes = _lengths(table, "w")
+            v = np.append(v, _flat(known, "c") - DISCOUNT[1] * (_flat(known, "sum") / SAMPLES))
         rows = table.num_rows
-        return pa.table([np.zeros(rows, np.int32), table.column("bucket"), table.column("block"), pa.nulls(rows, pa.binary()), _packed("v", (n - DISCOUNT[1] * t).astype(np.float32)[of], sizes)], schema=pa_answer)
+        return pa.table([np.zeros(rows, np.int32), table.column("bucket"), table.column("block"), pa.nulls(rows, pa.binary()), _packed("v", v.astype(np.float32)[_flat(table, "code")], _lengths(table, "code"))], schema=pa_answer)
 
     pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("m", pa.binary()), ("v", pa.binary())])
-    return requests.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, _ANSWER)
+    return codes.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, _ANSWER)
 
 
 def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
@@ -280,6 +295,7 @@ def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int) -> DataFram
     context in each sample; all 0 of unknown words."""
 
     def ask(batches):
+        keep_modules()
         for batch in batches:
             for row in range(batch.num_rows):
                 words = _list(batch, "words", row)
@@ -288,24 +304,24 @@ def _word_answers(blocks: DataFrame, words: DataFrame, buckets: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), batch.column("block")[row].as_py())), _packed("w", words[order], sizes)], ["bucket", "block", "w"])
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        keep_modules()
         if not table.num_rows:
             return pa.table([pa.array([], f.type) for f in pa_answer], schema=pa_answer)
         have = _flat(known, "w") if known.num_rows else np.zeros(0, np.int64)
         words = _flat(table, "w")
         sizes = _lengths(table, "w")
-        v = np.zeros((1 + 3 * SAMPLES, len(words)), np.int64)
+        every = np.zeros((len(have) + 1, 1 + 3 * SAMPLES), np.int64)  # the last is for unknown words
+        at = np.full(len(words), len(have))
         if len(have):
-            at = np.minimum(np.searchsorted(have, words), len(have) - 1)
-            found = have[at] == words
-            at = at[found]
-            v[0, found] = _flat(known, "n")[at]
+            every[:-1, 0] = _flat(known, "n")
             for i, c in enumerate(("cs", "ts", "of")):
-                x = _flat(known, c).reshape(SAMPLES, -1)[:, at]
-                x[1:] -= x[0]
-                v[1 + i * SAMPLES : 1 + (i + 1) * SAMPLES, found] = x
-        rows, ends = table.num_rows, np.append(0, np.cumsum(sizes))
-        m = np.concatenate([v[:, a:b].ravel() for a, b in zip(ends, ends[1:])])
-        return pa.table([np.ones(rows, np.int32), table.column("bucket"), table.column("block"), _packed("m", m, sizes * len(v)), pa.nulls(rows, pa.binary())], schema=pa_answer)
+                x = _flat(known, c).reshape(SAMPLES, -1)
+                every[:-1, 1 + i * SAMPLES : 1 + (i + 1) * SAMPLES] = np.concatenate([x[:1], x[1:] - x[0]]).T
+            at = np.minimum(np.searchsorted(have, words), len(have) - 1)
+            at[have[at] != words] = len(have)
+        v, width, rows, ends = every[at], every.shape[1], table.num_rows, np.append(0, np.cumsum(sizes))
+        m = np.concatenate([v[a:b].T.ravel() for a, b in zip(ends, ends[1:])])
+        return pa.table([np.ones(rows, np.int32), table.column("bucket"), table.column("block"), _packed("m", m, sizes * width), pa.nulls(rows, pa.binary())], schema=pa_answer)
 
     pa_answer = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("m", pa.binary()), ("v", pa.binary())])
     asked = blocks.select("block", "words").mapInArrow(ask, "bucket int, block long, w binary")
@@ -318,6 +334,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, hot: list[int],
     schema = T.StructType([T.StructField("row", blocks.schema["rows"].dataType.elementType), *(T.StructField(n, t) for n, t in (("m", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())))])
 
     def run(table: pa.Table, answer: pa.Table) -> pa.Table:
+        keep_modules()
         table = table.combine_chunks()
         b = _Pairs(table, 0, buckets, np.array(hot, np.int64), places=True)
         answer = answer.sort_by("bucket")
@@ -368,11 +385,12 @@ def _first_words(counts: DataFrame) -> DataFrame:
     """Buckets of words (_WORDS), each known word at one table of the parent."""
 
     def run(table: pa.Table) -> pa.Table:
+        keep_modules()
         table = table.sort_by("src")
         kind = table.column("kind").to_numpy()
         words, contexts = (table.filter(pa.array(kind == k)) for k in (1, 2))
         ids, more = _flat(words, "w"), _flat(words, "once")
-        w, at = np.unique(ids, return_inverse=True)
+        w, at = _distinct(ids)
         n, ones = (np.bincount(at, _flat(words, x), len(w)).astype(np.int64) for x in ("n", "ones"))
         of = np.searchsorted(w, _flat(contexts, "w"))
         uones = np.bincount(of, _flat(contexts, "ones"), len(w)).astype(np.int64)
@@ -381,13 +399,14 @@ def _first_words(counts: DataFrame) -> DataFrame:
         zero = np.zeros(0, np.int64)
         return _rows(_WORDS, bucket=table.column("bucket")[0].as_py(), w=w, n=n, ones=ones, uones=uones, c=ones, t=np.ones_like(n), cs=zero, ts=zero, of=zero, at=at[more > 0], srcs=names, size=sizes, sum_c=n.sum(), sum_t=(n == 1).sum(), sums=zero)
 
-    return counts.where("kind > 0").groupBy("bucket").applyInArrow(run, _WORDS)
+    return counts.where("kind in (1, 2)").select("kind", "bucket", "src", "once", "w", "n", "ones").groupBy("bucket").applyInArrow(run, _WORDS)
 
 
 def _first_pairs(counts: DataFrame, hot: list[int]) -> DataFrame:
     """Buckets of pairs of two customers and more (_PAIRS), each pair at one table."""
 
     def run(batches):
+        keep_modules()
         for batch in batches:
             for i in range(batch.num_rows):
                 x = {k: _list(batch, k, i) for k in ("u", "once", "w", "n", "at")}
@@ -403,6 +422,7 @@ def _sent(pairs: DataFrame, buckets: int, last: bool) -> DataFrame:
     """_MESSAGE: the tables of each word in each bucket of pairs; in the last round also the samples' tables of contexts."""
 
     def run(batches):
+        keep_modules()
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda k: _list(batch, k, i)
@@ -429,6 +449,7 @@ def _parents(words: DataFrame, messages: DataFrame, sweep: int, all_tables: int,
     From the second round after burn-in on, customers and tables of the round before are kept as a sample."""
 
     def run(table: pa.Table, sent: pa.Table) -> pa.Table:
+        keep_modules()
         x = {k: _flat(table, k) for k in ("w", "n", "ones", "uones", "t", "cs", "ts", "at", "srcs", "size")}
         sent = sent.sort_by("src")
         kind = sent.column("kind").to_numpy()
@@ -458,6 +479,7 @@ def _predictions(words: DataFrame, customers: int, tables: int, known: int) -> D
     """(bucket, src, p): the parent's predictions of the words of each bucket of pairs, in their order there."""
 
     def run(batches):
+        keep_modules()
         for batch in batches:
             for i in range(batch.num_rows):
                 c, t, at, src, size = (_list(batch, k, i) for k in ("c", "t", "at", "srcs", "size"))
@@ -475,6 +497,7 @@ def _seated(pairs: DataFrame, predictions: DataFrame, sweep: int, hot: dict[int,
     tables = np.array([hot[x] for x in sorted(hot)], np.int64)
 
     def run(table: pa.Table, sent: pa.Table) -> pa.Table:
+        keep_modules()
         x = {k: _flat(table, k) for k in ("u", "once", "totals", "w", "c", "t", "sum", "at")}
         w, at, t, size = x["w"], x["at"], x["t"], len(x["u"])
         p = _flat(sent.sort_by("src"), "p").astype(np.float64)[np.cumsum(np.append(False, w[1:] != w[:-1]))]
@@ -499,30 +522,35 @@ def _sampled(counts: DataFrame, hot: list[int], buckets: int) -> tuple[DataFrame
     """Buckets of pairs and of words after all sweeps, the number of known words and that of training tokens. A sweep sends the tables of pairs to the words'
     buckets in lists, draws the parent's tables there, and sends its predictions back. Words that occur once have one
     customer at one table throughout and are only counted."""
-    words, pairs = saved(_first_words(counts), "parents", "zstd"), saved(_first_pairs(counts, np.array(hot, np.int64)), "seats", "zstd")
+    words, pairs = _kept(_first_words(counts), "parents"), _kept(_first_pairs(counts, np.array(hot, np.int64)), "seats")
     known, once, N = (int(x or 0) for x in words.agg(F.sum(F.octet_length("w") / 8), F.sum("sum_t"), F.sum("sum_c")).first())
     alone = counts.select(F.explode(F.arrays_zip("hot", "hot_ones")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_ones").alias("n"))
     singles = {r.hot: int(r.n) for r in alone.collect()} if hot else {}
-    old, all_tables = [counts], known
+    old, all_tables = [], known
     for sweep in range(BURN_IN + SAMPLES + 1):
         last = sweep == BURN_IN + SAMPLES
         old += [words]
-        words = saved(_parents(words, _sent(pairs, buckets, last), sweep, all_tables, known), "parents", "zstd")
+        words = _kept(_parents(words, _sent(pairs, buckets, last), sweep, all_tables, known), "parents")
         old = _dropped(old)
         if not last:
             customers, all_tables = (int(x or 0) + once for x in words.agg(F.sum("sum_c"), F.sum("sum_t")).first())
             old = [pairs]
-            pairs = saved(_seated(pairs, _predictions(words, customers, all_tables, known), sweep, _hot_tables(pairs, singles), customers, all_tables, known), "seats", "zstd")
+            pairs = _kept(_seated(pairs, _predictions(words, customers, all_tables, known), sweep, _hot_tables(pairs, singles), customers, all_tables, known), "seats")
             old = _dropped(old)
     return pairs, words, known, N
 
 
+def _kept(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """A saved table of lists: they are nearly all different, so the values of a file are not looked up among each other."""
+    return saved(df, name, "zstd", by, {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"})
+
+
 def _dropped(tables: list[DataFrame]) -> list[DataFrame]:
     """Delete saved tables that no later plan reads."""
     for df in tables:
         jvm, files = df.sparkSession._jvm, df.inputFiles()
         if files:
-            folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0].split("/round=")[0])
             folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
     return []
 
@@ -539,22 +567,22 @@ def score_texts(docs: DataFrame, train, keep: list[str] | None = None, doc_id: s
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]
     row = F.struct(F.lit(True).alias("any"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
-    blocks = saved(_blocks(docs.select(row.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))), "blocks", "zstd")
+    blocks = _kept(_blocks(docs.select(row.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))), "blocks")
     tokens = int(blocks.select(F.sum("n_tokens").alias("n")).first().n or 0)
     buckets = 1 + tokens // BUCKET
     often = blocks.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("n"))
     hot = sorted(r.often for r in often.where(F.col("n") >= HOT_SHARE / 2 * tokens).collect())
-    counts = saved(_counts(_pair_requests(blocks, buckets, hot, True), buckets, hot), "counts", "zstd")
+    counts = _kept(_counts(_pair_requests(blocks, buckets, hot), buckets, hot), "counts")
     pairs, words, known, N = _sampled(counts, hot, buckets)
     totals = [float(x or 0) for x in words.agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(2 * SAMPLES))).first()]
-    seats = saved(_seats(_pair_requests(blocks, buckets, hot, False), pairs.select("bucket", "u", "w", "at", "sum")), "answers", "zstd")
-    _dropped([pairs])
-    word_answers = saved(_word_answers(blocks, words.select("bucket", "w", "n", "cs", "ts", "of"), buckets), "answers", "zstd")
+    turn = F.pmod(F.xxhash64("block"), F.lit(ROUNDS)).cast("int")
+    seats = _kept(_seats(counts.where("kind = 3").select("bucket", "block", "code"), pairs.select("bucket", "c", "sum")).withColumn("round", turn), "answers", by=("round",))
+    _dropped([counts, pairs])
+    word_answers = _kept(_word_answers(blocks, words.select("bucket", "w", "n", "cs", "ts", "of"), buckets).withColumn("round", turn), "answers", by=("round",))
     _dropped([words])
     answers, out = word_answers.union(seats), None
     for i in range(ROUNDS):  # counts are whole by now; a round has its blocks' answers moved to them
-        own = F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == i
-        part = saved(_scored(blocks.where(own), answers.where(own), buckets, hot, known, N, totals), "scores", "zstd")
+        part = _kept(_scored(blocks.where(turn == i), answers.where(F.col("round") == i).drop("round"), buckets, hot, known, N, totals), "scores")
         out = part if out is None else out.union(part)
     _dropped([blocks, word_answers, seats])
     return out.select(*(F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("m").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("m")).alias("perplexity"))

@@ -20,8 +20,14 @@ SMALL, LIMIT = 40, 1024
 PLACES, REACH = 128, 7.5
 #: Chebyshev points from which logs of weights at the places are interpolated, far enough from t = 0 with errors below 1e-6.
 NODES = 17
+#: Terms of the alternating sum.
+TERMS = 32
 #: Weights of tabled customers that are worked out at a time.
 WEIGHTS = 50_000
+#: How far from where the saddle point has the peak it is looked for first.
+NEXT = 2
+#: Numbers of more customers than are tabled that are drawn at a time.
+MANY = 1000
 #: Stirling numbers that are worked out at a time, in some 3 KB each.
 PART = 8192
 
@@ -64,30 +70,38 @@ def stirling_table(d: float, limit: int = LIMIT) -> np.ndarray:
 
 
 def _by_sum(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """log S_d(c, t) where t is below c^d: sum over j of (-1)^j binomial(t, j) gamma(c - d j) / gamma(-d j) / (t! d^t),
-    whose terms fall off fast there."""
-    j = np.arange(1, 33, dtype=np.float64)
+    """log S_d(c, t) of large c where t is below c^d: sum over j of (-1)^j binomial(t, j) gamma(c - d j) / gamma(-d j) /
+    (t! d^t), whose terms fall off fast there. Gamma functions depend on c alone, so each c has them once."""
+    j = np.arange(1, TERMS + 1, dtype=np.float64)
     # 1 / gamma(-d j) = -gamma(1 + d j) sin(pi d j) / pi
     sign = np.where(j % 2 == 1, 1.0, -1.0) * np.sin(np.pi * d * j) / np.pi
-    lead = log_gamma(c - d)
-    inside = j[None] <= t[:, None]
-    safe = np.where(inside, t[:, None] - j[None], 0)
-    size = log_gamma(t + 1)[:, None] - log_gamma(safe + 1) - log_gamma(j + 1)[None] + log_gamma(c[:, None] - d * j[None]) - lead[:, None] + log_gamma(1 + d * j)[None]
-    total = np.where(inside, np.exp(np.minimum(size, 600)) * sign[None], 0).sum(axis=1)
-    return np.log(np.maximum(total, 1e-300)) + lead - log_gamma(t + 1) - t * np.log(d)
+    own, at = np.unique(c, return_inverse=True)
+    lead, scale = log_gamma(own - d), d * np.log(own)
+    size = sign[:, None] * np.exp(log_gamma(own[None] - d * j[:, None]) - lead[None] + (j[:, None] - 1) * scale[None] + log_gamma(1 + d * j)[:, None])
+    each = np.exp(-scale)[at]  # binomials rise by some c^d a step, and what they are multiplied by falls by that
+    binomial, total = t.copy(), size[0][at] * t
+    for k in range(1, min(TERMS, int(np.ceil(t.max(initial=1))))):
+        binomial *= np.maximum(t - k, 0) / (k + 1) * each
+        total += size[k][at] * binomial
+    return np.log(np.maximum(total, 1e-300)) + lead[at] - log_gamma(t + 1) - t * np.log(d)
 
 
 def _by_saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     """log S_d(c, t) by the saddle point of ((1 - (1 - x)^d) / d)^t / x^c."""
     m = c / t
-    goal, low, high = np.log(m), np.full(len(c), -300.0), np.full(len(c), -1e-10)
+    goal, low, high = np.log(m / d), np.full(len(c), -300.0), np.full(len(c), -1e-10)
     u = np.clip(np.log(d / m) / (1 - d), -290.0, -1e-3)  # u: log of 1 - x
     for _ in range(40):
-        h = np.log(d) + np.log(-np.expm1(u)) + (d - 1) * u - np.log(-np.expm1(d * u))
-        low, high = np.where(h > goal, u, low), np.where(h > goal, high, u)
-        slope = np.exp(u) / np.expm1(u) + (d - 1) - d * np.exp(d * u) / np.expm1(d * u)
-        step = u - (h - goal) / slope
-        u = np.where((step > low) & (step < high), step, (low + high) / 2)
+        x, y = -np.expm1(u), -np.expm1(d * u)
+        h = np.log(x / y) + (d - 1) * u - goal
+        low, high = np.where(h > 0, u, low), np.where(h > 0, high, u)
+        slope = d - 1 + d * (1 - y) / y - (1 - x) / x
+        step = u - h / slope
+        step = np.where((step > low) & (step < high), step, (low + high) / 2)
+        near = np.abs(step - u) <= 1e-13 * np.abs(u)
+        u = step
+        if near.all():
+            break
     x = -np.expm1(u)
     spread = np.maximum(m * (1 + x * (1 - d) / np.exp(u) - m), 1e-12)
     point = log_gamma(c + 1) - log_gamma(t + 1) + t * (np.log(-np.expm1(d * u)) - np.log(d)) - c * np.log(x) - 0.5 * np.log(2 * np.pi * t * spread)
@@ -123,20 +137,28 @@ class Parent:
 
     def __init__(self, count: np.ndarray, mass: float | np.ndarray = np.inf):
         self.count, self.mass = count, np.broadcast_to(np.asarray(mass, np.float64), count.shape)
+        rising = np.isfinite(self.mass)
+        self.rising, self.fixed = bool(rising.all()), not rising.any()  # all of them
 
     def of(self, rows) -> Parent:
         return Parent(self.count[rows], self.mass[rows])
 
     def next(self, i: np.ndarray) -> np.ndarray:
         """What it gives for one customer more, i having come, for each dish and each of some i."""
-        rising = np.isfinite(self.mass)
-        if not rising.any():
+        if self.rising:
+            return (self.count[:, None] + i[None]) / (self.mass[:, None] + i[None])
+        if self.fixed:
             return np.repeat(self.count[:, None], len(i), axis=1)
+        rising = np.isfinite(self.mass)
         mass = np.where(rising, self.mass, 1.0)
         return np.where(rising[:, None], (self.count[:, None] + i[None]) / (mass[:, None] + i[None]), self.count[:, None])
 
     def after(self, t: np.ndarray) -> np.ndarray:
         """What it gives for one customer more, t of the dish having come."""
+        if self.rising:
+            return (self.count + t) / (self.mass + t)
+        if self.fixed:
+            return np.broadcast_to(self.count, np.broadcast(self.count, t).shape)
         rising = np.isfinite(self.mass)
         return np.where(rising, (self.count + t) / np.where(rising, self.mass + t, 1.0), self.count)
 
@@ -156,13 +178,25 @@ def log_weight(c: np.ndarray, t: np.ndarray, parent: Parent, total: np.ndarray,
     return log_stirling(c, t, d) + t * np.log(d) + log_rise(theta / d + total, t) + parent.log(t)
 
 
-def _products(step: np.ndarray) -> np.ndarray:
-    """1 and the products of a row's first steps, or for many steps, whose product may leave the range of numbers, these in
-    proportion to the largest."""
-    if step.shape[1] < 8:
-        return np.concatenate([np.ones((len(step), 1)), step.cumprod(axis=1)], axis=1)
-    logs = np.concatenate([np.zeros((len(step), 1)), np.log(step).cumsum(axis=1)], axis=1)
-    return np.exp(logs - logs.max(axis=1, keepdims=True))
+def _sums(ratio: np.ndarray, parent: Parent, total: np.ndarray, d: float, theta: float) -> np.ndarray:
+    """Of some dishes of as many customers each, the weights of 1, of 1 and 2, of 1 to 3 tables and so on, up to one factor a
+    dish. ratio: how many times as many ways there are to seat them at one table more."""
+    i = np.arange(1, len(ratio) + 1, dtype=np.float64)[:, None]
+    weight = np.ones((len(ratio) + 1, len(total)))
+    step = weight[1:]
+    np.add(theta + d * total, d * i, out=step)
+    step *= ratio[:, None]
+    step *= parent.after(i)
+    if np.log(np.maximum(step.max(axis=1), 1)).sum() > 600:  # the products may leave the range of numbers
+        step[:] = np.log(step).cumsum(axis=0)
+        weight[0] = 0
+        weight = np.exp(weight - weight.max(axis=0))
+    else:
+        for k in range(1, len(step)):
+            step[k] *= step[k - 1]
+    for k in range(1, len(weight)):
+        weight[k] += weight[k - 1]
+    return weight
 
 
 def draw_tables(c: np.ndarray, parent: Parent, total: np.ndarray, d: float, theta: float, seed: np.ndarray) -> np.ndarray:
@@ -175,10 +209,8 @@ def draw_tables(c: np.ndarray, parent: Parent, total: np.ndarray, d: float, thet
     for k in range(2, SMALL + 1):
         own = by_count[ends[k - 2] : ends[k - 1]]
         if len(own):
-            i = np.arange(1, k, dtype=np.float64)  # from i tables to one more
-            step = np.exp(np.diff(table[k, 1 : k + 1]))[None] * (theta + d * (total[own][:, None] + i[None])) * parent.of(own).next(i)
-            weight = _products(step).cumsum(axis=1)
-            t[own] = 1 + (weight[:, :-1] < uniforms(seed[own], 0, 1) * weight[:, -1:]).sum(axis=1)
+            sums = _sums(np.exp(np.diff(table[k, 1 : k + 1])), parent.of(own), total[own], d, theta)
+            t[own] = 1 + (sums[:-1] < uniforms(seed[own], 0, 1)[:, 0] * sums[-1]).sum(axis=0)
     own = np.flatnonzero((c > SMALL) & (c <= LIMIT))
     own, a = own[np.argsort(c[own], kind="stable")], 0
     while a < len(own):
@@ -191,8 +223,8 @@ def draw_tables(c: np.ndarray, parent: Parent, total: np.ndarray, d: float, thet
         weight = np.exp(logs - logs.max(axis=1, keepdims=True)).cumsum(axis=1)
         t[x] = 1 + (weight[:, :-1] < uniforms(seed[x], 0, 1) * weight[:, -1:]).sum(axis=1)
     own = np.flatnonzero(c > LIMIT)
-    for a in range(0, len(own), 500):
-        x = own[a : a + 500]
+    for a in range(0, len(own), MANY):
+        x = own[a : a + MANY]
         t[x] = _draw_many(c[x].astype(np.float64), parent.of(x), total[x], d, theta, seed[x])
     return t
 
@@ -212,19 +244,46 @@ def _interpolated(f, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.
     return above / below
 
 
+def _peak(c: np.ndarray, parent: Parent, total: np.ndarray, d: float, theta: float) -> np.ndarray:
+    """The first number of tables whose successor weighs less. Of the saddle point's u, the number of tables that it is of
+    and the slope of the weights' logs there are plain functions, so halving finds where this is 0, which is next to it;
+    the weights themselves are compared there, and further off only where it is not found."""
+    low, high = np.full(len(c), np.log(1e-10)), np.full(len(c), np.log(300.0))  # of log(-u): many tables, few tables
+    for _ in range(40):
+        middle = (low + high) / 2
+        u = -np.exp(middle)
+        x, y = -np.expm1(u), -np.expm1(d * u)
+        t = np.clip(c * y / (d * x) * np.exp((1 - d) * u), 1e-3, c)
+        falls = y / (t + 0.5) / d * (theta + d * (total + t)) * parent.after(t) < 1
+        low, high = np.where(falls, middle, low), np.where(falls, high, middle)
+    about = np.clip(np.round(t), 1, c)
+
+    def rises(rows, first, n):
+        """Whether first, first + 1, ... tables of each row weigh less than one more."""
+        t = np.minimum(first[:, None] + np.arange(n + 1), c[rows, None])
+        ways = log_stirling(np.repeat(c[rows], n + 1), t.ravel(), d).reshape(t.shape)
+        more = (theta + d * (total[rows, None] + t[:, :-1])) * parent.of(rows).after(t[:, :-1].T).T
+        return (np.diff(ways) + np.log(more) > 0) & (t[:, :-1] < c[rows, None])
+
+    low = np.maximum(about - NEXT, 1)
+    up = rises(np.arange(len(c)), low, 2 * NEXT + 1).sum(axis=1)
+    high = low + up
+    later, sooner = up == 2 * NEXT + 1, (up == 0) & (low > 1)
+    low, high = np.where(sooner, 1, high), np.where(later, c, high)
+    while (open_ := np.flatnonzero(low < high)).size:
+        middle = np.floor((low[open_] + high[open_]) / 2)
+        up = rises(open_, middle, 1)[:, 0]
+        low[open_[up]] = middle[up] + 1
+        high[open_[~up]] = middle[~up]
+    return low
+
+
 def _draw_many(c: np.ndarray, parent: Parent, total: np.ndarray, d: float, theta: float, seed: np.ndarray) -> np.ndarray:
     """Tables of more than LIMIT customers. The weights have one peak. They are worked out at PLACES cells around it: cells
     of one number of tables where the peak is narrow, of several, taken by their middle, where it is broad."""
     weigh = lambda rows, t: log_weight(c[rows], t, parent.of(rows), total[rows], d, theta)
     every = np.arange(len(c))
-    low, high = np.ones(len(c)), c.copy()  # the peak is the first t whose successor weighs less
-    while (open_ := np.flatnonzero(low < high)).size:
-        middle = np.floor((low[open_] + high[open_]) / 2)
-        more = np.log((theta + d * (total[open_] + middle)) * parent.of(open_).after(middle))
-        rises = log_stirling(c[open_], middle + 1, d) + more > log_stirling(c[open_], middle, d)
-        low[open_[rises]] = middle[rises] + 1
-        high[open_[~rises]] = middle[~rises]
-    peak = low
+    peak = _peak(c, parent, total, d, theta)
     # twice the curvature at the peak gives its width
     h = np.maximum(1, np.floor(np.sqrt(peak)))
     left, right = np.maximum(1, peak - h), np.minimum(c, peak + h)

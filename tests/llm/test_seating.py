@@ -56,6 +56,32 @@ def test_interpolated_weights():
     assert np.abs(made - f(np.repeat([0, 1], len(t)), at.ravel()).reshape(at.shape)).max() < 1e-4
 
 
+def test_draws_of_many_customers_take_few_stirling_numbers(monkeypatch):
+    """The peak is found without halving all numbers of tables, and what each draw works out does not grow with its customers."""
+    asked, whole = [], seating.log_stirling
+    monkeypatch.setattr(seating, "log_stirling", lambda c, t, d: (asked.append(len(c)), whole(c, t, d))[1])
+    for size in (10**5, 10**7):
+        n = 200
+        asked.clear()
+        seating.draw_tables(np.full(n, size), seating.Parent(np.full(n, 0.3)), np.full(n, 5000), 0.75, 1.0, mix(np.arange(n).astype(np.uint64)))
+        assert sum(asked) <= 35 * n
+
+
+@pytest.mark.parametrize("d, theta", LEVELS)
+def test_peaks(d, theta):
+    """The most likely number of tables, by all weights."""
+    r, n = np.random.default_rng(5), 60
+    c, total, mass = r.integers(1025, 2001, n), r.integers(1, 10**5, n), 3e5
+    for parent in (seating.Parent(10 ** r.uniform(-2, 4, n), mass), seating.Parent(10 ** r.uniform(-7, 0, n))):
+        got = seating._peak(c.astype(float), parent, total, d, theta)
+        for i in range(n):
+            t = np.arange(1, c[i] + 1)
+            gives = parent.of(np.array([i])).after(t - 1.0)
+            weight = seating.stirling_table(d, 2000)[c[i], t] + np.cumsum(np.log(theta + d * (total[i] + t - 1)) + np.log(gives))
+            # near c^d tables one formula for Stirling numbers gives way to the other
+            assert weight[int(got[i]) - 1] > weight.max() - 0.01
+
+
 @pytest.mark.parametrize("d", [0.6, 0.75])
 def test_stirling_numbers_of_many_customers(d):
     """Beyond the table: steps from one number of tables to the next, which are what draws rest on."""
@@ -193,3 +219,19 @@ def test_against_one_customer_at_a_time(spark, monkeypatch):
     got = scores(spark, train, test)
     assert abs(got.sum() / want.sum() - 1) < 0.01
     assert (np.abs(got - want) < 0.03 * np.abs(want) + 0.05).all()
+
+
+def test_blocks_ask_for_their_pairs_once(spark, monkeypatch):
+    """Pairs are dealt out to their buckets once, for counts and for answers; of what is saved only the scores stay."""
+    import os
+
+    from corpuscope.llm.common import scratch_dir
+
+    asked, whole = [], language._pair_requests
+    monkeypatch.setattr(language, "_pair_requests", lambda *a: (asked.append(1), whole(*a))[1])
+    folder = scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    _, train = small_corpus()
+    scores(spark, train, train[:3])
+    assert len(asked) == 1
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"scores"}
