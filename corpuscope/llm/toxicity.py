@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, map_texts, ranges, table
+from .common import ALNUM, Words, give_back, map_texts, ranges, table
 from .labelled import bounded, fold, sample, with_text
 
 #: Labelled documents that the network is fitted on at most.
@@ -27,21 +27,40 @@ WORD_BUCKETS, CHAR_BUCKETS, LONG_BUCKETS = 1 << 15, 1 << 12, 1 << 15
 #: Training texts that a word needs for a vector of its own, and how often training leaves that out, so that characters tell.
 KNOWN_FROM, DROPPED = 10, 0.4
 ROUNDS, BATCH, PART = 7, 256, 500
+#: Windows that are run at once to rank them between rounds.
+LEVELS = 1024
 
 
-def word_inputs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of a batch: word bucket, buckets of character sequences with the word that each is of; and each word's
-    place among them. A word's ends count as characters."""
-    _, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+def _mod(x: np.ndarray, m: int) -> np.ndarray:
+    """x % m of unsigned integers; numpy divides by one number much faster than it takes remainders."""
+    return x - x // np.uint64(m) * np.uint64(m)
+
+
+def word_inputs(w: Words, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a batch: word bucket, buckets of character sequences (word by word) and how many of them each word
+    has; and each word's place among them. A word's ends count as characters. step: words that are worked on at once."""
+    order = np.argsort(w.hashes)
+    ordered = w.hashes[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
+    first, inverse = order[new], np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
     starts, ends = w.starts[first], w.ends[first]
-    place, owner = ranges(starts, ends - starts)
-    near = np.stack([np.where((place + j >= starts[owner]) & (place + j < ends[owner]), w.raw[np.clip(place + j, 0, max(0, len(w.raw) - 1))], 32) for j in range(-1, 4)]).astype(np.int64)
-    three = (near[0] * 961 + near[1] * 31 + near[2]) * 40503 % 1048573 % CHAR_BUCKETS
-    five = near[0]
-    for x in near[1:]:
-        five = (five * 257 + x) % 2147483647
-    chars = np.stack([three, CHAR_BUCKETS + five * 40503 % 1048573 % LONG_BUCKETS], axis=1).ravel()
-    return (w.hashes[first] >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS, chars, np.repeat(owner, 2), inverse
+    raw, blank = np.append(w.raw, np.full(4, 32, np.uint8)), np.uint8(32)
+    chars = np.empty((int((ends - starts).sum()), 2), np.uint16)
+    done = 0
+    for i in range(0, len(first), step):
+        place, owner = ranges(starts[i : i + step], (ends - starts)[i : i + step])
+        left, rest = place > starts[i : i + step][owner], ends[i : i + step][owner] - place
+        near = [np.where(left, raw[place - 1], blank), raw[place], *(np.where(rest > j, raw[place + j], blank) for j in (1, 2, 3))]
+        near = [x.astype(np.uint64) for x in near]
+        five = near[0]
+        for x in near[1:]:
+            five = five * 257 + x
+        own = chars[done : done + len(place)]
+        own[:, 0] = _mod((near[0] * 961 + near[1] * 31 + near[2]) * 40503, 1048573) % CHAR_BUCKETS
+        own[:, 1] = CHAR_BUCKETS + _mod(_mod(five, 2147483647) * 40503, 1048573) % LONG_BUCKETS
+        done += len(place)
+    return (w.hashes[first] >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS, chars.ravel(), 2 * (ends - starts), inverse
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +73,9 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    out = np.exp(-x)
+    out += 1
+    return np.divide(1, out, out=out)
 
 
 class Network:
@@ -68,19 +89,23 @@ class Network:
             self.p |= {f"w{way}": f(INPUT, 3 * HIDDEN), f"u{way}": f(HIDDEN, 3 * HIDDEN), f"c{way}": np.zeros(3 * HIDDEN, np.float32)}
         self.slope, self.shift, self.known = 1.0, 0.0, np.ones(WORD_BUCKETS, bool)
 
-    def embed(self, bucket: np.ndarray, trigram: np.ndarray, owner: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        """own: which words' vectors count, by default those of known words."""
-        counts = np.bincount(owner, minlength=len(bucket)).astype(np.float32)
-        sums = np.add.reduceat(self.p["chars"][trigram], np.concatenate([[0], np.cumsum(counts[:-1]).astype(np.int64)])) if len(bucket) else np.zeros((0, INPUT), np.float32)
+    def embed(self, bucket: np.ndarray, chars: np.ndarray, counts: np.ndarray, own: np.ndarray | None = None, step: int = 2048) -> np.ndarray:
+        """chars, counts: buckets of character sequences, word by word, and how many each word has. own: which words' vectors
+        count, by default those of known words. step: words that are worked on at once."""
+        out, ends = np.empty((len(bucket), INPUT), np.float32), np.cumsum(counts)
+        starts = ends - counts
+        for i in range(0, len(bucket), step):
+            a, b = starts[i], ends[i : i + step][-1]
+            out[i : i + step] = np.add.reduceat(self.p["chars"][chars[a:b]], starts[i : i + step] - a)
         own = self.known[bucket] if own is None else own
-        return self.p["words"][bucket] * own[:, None] + sums / np.maximum(counts, 1)[:, None]
+        return self.p["words"][bucket] * own[:, None] + out / np.maximum(counts, 1).astype(np.float32)[:, None]
 
     def _run(self, way: str, inputs: np.ndarray, at: np.ndarray, length: np.ndarray, keep: bool):
         """States (steps, windows, HIDDEN). inputs: projected words; at: their places (windows, steps)."""
         u, n, H = self.p[f"u{way}"], len(at), HIDDEN
         h, states, saved = np.zeros((n, H), np.float32), np.zeros((WINDOW, n, H), np.float32), {}
         for t in range(WINDOW) if way == "f" else range(WINDOW - 1, -1, -1):
-            x = inputs[at[:, t]]
+            x = np.take(inputs, at[:, t], axis=0)
             on = (t < length)[:, None]
             gates = _sigmoid(x[:, : 2 * H] + h @ u[:, : 2 * H])
             z, r = gates[:, :H], gates[:, H:]
@@ -133,18 +158,61 @@ class Network:
             dx += dproj @ self.p[f"w{way}"].T
         return g, dx
 
+    def logits(self, x: np.ndarray, inverse: np.ndarray, start: np.ndarray, length: np.ndarray, step: int = 1024) -> np.ndarray:
+        """forward()'s logits of windows over the words inverse, rows of x, up to rounding. Some windows of like length at a
+        time go both ways at once, in arrays that stay in a core's own cache: cores that share memory don't wait for it."""
+        p, H, out = self.p, HIDDEN, np.empty(len(start), np.float32)
+        gates = [[p[f"{kind}{way}"][..., k * H : (k + 1) * H].copy() for way in "fb"] for kind in "wuc" for k in range(3)]
+        for k in (0, 1, 3, 4, 6, 7):  # a sigmoid takes the exponential of what is below zero
+            gates[k] = [-g for g in gates[k]]
+        tables = [np.concatenate([x @ w + c for w, c in zip(gates[k], gates[6 + k])]) for k in range(3)]
+        order = np.argsort(length, kind="stable")
+        for i in range(0, len(start), step):
+            rows = order[i : i + step]
+            n, own, steps = len(rows), length[rows], int(length[rows[-1]])
+            at = inverse[np.minimum(start[rows] + np.arange(steps)[:, None], len(inverse) - 1)]
+            at = np.concatenate([at, at[::-1] + len(x)], axis=1)  # forward from the first word, backward from the last
+            h, c, before = (np.zeros((2 * n, H), np.float32) for _ in range(3))
+            zr, add = np.empty((2, 2, 2 * n, H), np.float32)
+            states = np.empty((2, steps, n, H), np.float32)
+            for t in range(steps):
+                for k, g in enumerate(zr):
+                    np.take(tables[k], at[t], axis=0, out=g, mode="clip")
+                    np.matmul(h[:n], gates[3 + k][0], out=add[k, :n])
+                    np.matmul(h[n:], gates[3 + k][1], out=add[k, n:])
+                zr += add
+                np.exp(zr, out=zr)
+                zr += 1
+                np.divide(1, zr, out=zr)
+                np.multiply(zr[1], h, out=before)
+                np.take(tables[2], at[t], axis=0, out=c, mode="clip")
+                np.matmul(before[:n], gates[5][0], out=add[0, :n])
+                np.matmul(before[n:], gates[5][1], out=add[0, n:])
+                c += add[0]
+                np.tanh(c, out=c)
+                c -= h
+                c *= zr[0]
+                c += h
+                if own[0] < steps:
+                    np.copyto(h, c, where=np.concatenate([t < own, steps - 1 - t < own])[:, None])
+                else:
+                    h, c = c, h
+                states[0, t], states[1, steps - 1 - t] = h[:n], h[n:]
+            a = states[0] @ p["attend"][:H] + states[1] @ p["attend"][H:]
+            a[np.arange(steps)[:, None] >= own] = -1e9
+            a = np.exp(a - a.max(0))
+            a /= a.sum(0)
+            out[rows] = sum(np.einsum("tn,tnh->nh", a, one) @ o for one, o in zip(states, (p["out"][:H], p["out"][H:]))) + p["bias"][0]
+        return out
+
     # ------------------------------------------------------------ texts
-    def document_logits(self, column: pa.Array, step: int = 16384) -> np.ndarray:
+    def document_logits(self, column: pa.Array) -> np.ndarray:
         """The largest window logit of each text; of a text without words, that of an empty state."""
         w = Words(column, ALNUM)
         out = np.full(len(w.counts), -np.inf, np.float32)
-        bucket, trigram, owner, inverse = word_inputs(w)
-        x = self.embed(bucket, trigram, owner)
+        bucket, chars, counts, inverse = word_inputs(w)
         start, length, doc = windows(w.offsets)
-        for i in range(0, len(start), step):
-            s, n = start[i : i + step], length[i : i + step]
-            at = inverse[np.minimum(s[:, None] + np.arange(WINDOW), len(inverse) - 1)]
-            np.maximum.at(out, doc[i : i + step], self.forward(x, at, n))
+        np.maximum.at(out, doc, self.logits(self.embed(bucket, chars, counts), inverse, start, length))
         return np.where(np.isfinite(out), out, self.p["bias"][0] - 20)
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -161,12 +229,14 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
     toxic, total = np.zeros(WORD_BUCKETS), np.zeros(WORD_BUCKETS)
     for i in range(0, len(y), PART):
         w = Words(column.slice(i, PART), ALNUM)
-        bucket, trigram, owner, inverse = word_inputs(w)
+        bucket, chars, counts, inverse = word_inputs(w)
         start, length, doc = windows(w.offsets)
         pair = np.unique(w.doc * WORD_BUCKETS + bucket[inverse])
         toxic += np.bincount(pair % WORD_BUCKETS, y[i + pair // WORD_BUCKETS].astype(float), WORD_BUCKETS)
         total += np.bincount(pair % WORD_BUCKETS, minlength=WORD_BUCKETS)
-        parts.append([bucket, trigram.astype(np.int32), owner.astype(np.int32), inverse.astype(np.int32), start, length, doc + i, None])
+        parts.append([bucket.astype(np.int32), chars, counts.astype(np.int32), inverse.astype(np.int32), start, length, doc + i, None])
+    del column, w, pair
+    give_back()
     # how the labels share out the words, by document
     odds = np.log((toxic + 4 * base) / (total - toxic + 4 * (1 - base))) - np.log(base / (1 - base))
     net.known = total >= min(KNOWN_FROM, max(1.0, len(y) / 50))
@@ -178,25 +248,26 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     tick, weight = 0, np.where(y == 1, min(10.0, (1 - base) / base), 1.0)
     for k in range(ROUNDS):
-        for bucket, trigram, owner, inverse, start, length, doc, level in (parts[j] for j in r.permutation(len(parts)) if len(parts[j][6])):
+        for bucket, chars, counts, inverse, start, length, doc, level in (parts[j] for j in r.permutation(len(parts)) if len(parts[j][6])):
             order = np.lexsort((r.random(len(doc)), level, doc))
             worst = order[np.flatnonzero(np.append(doc[order][1:] != doc[order][:-1], True))]
             other = r.integers(0, len(doc), len(worst))
+            ends = np.cumsum(counts)
             chosen = r.permutation(np.concatenate([worst, other[y[doc[other]] == 0]]))
             for i in range(0, len(chosen), BATCH):
                 own = chosen[i : i + BATCH]
                 words, at = np.unique(inverse[np.minimum(start[own, None] + np.arange(WINDOW), len(inverse) - 1)], return_inverse=True)
-                pick = np.isin(owner, words)
-                renamed, grams = np.searchsorted(words, owner[pick]), trigram[pick]
+                of, renamed = ranges(ends[words] - counts[words], counts[words])
+                grams = chars[of]
                 use = net.known[bucket[words]] & (r.random(len(words)) >= DROPPED)
-                x = net.embed(bucket[words], grams, renamed, use)
+                x = net.embed(bucket[words], grams, counts[words], use)
                 logit, kept = net.forward(x, at.reshape(len(own), WINDOW), length[own], keep=True)
                 d = ((_sigmoid(logit) - y[doc[own]]) * weight[doc[own]] / len(own)).astype(np.float32)
                 g, dx = net.backward(d, kept)
                 g["words"] = np.zeros_like(net.p["words"])
                 np.add.at(g["words"], bucket[words], dx * use[:, None])
                 g["chars"] = np.zeros_like(net.p["chars"])
-                np.add.at(g["chars"], grams, (dx / np.maximum(np.bincount(renamed, minlength=len(words)), 1)[:, None])[renamed])
+                np.add.at(g["chars"], grams, (dx / counts[words].astype(np.int64)[:, None])[renamed])
                 tick += 1
                 rate = 0.01 * (1 - 0.8 * k / ROUNDS)
                 for name, grad in g.items():
@@ -206,10 +277,11 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
                     net.p[name] -= rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.999**tick)) + 1e-6)
         if k >= 1:
             for part in parts:
-                bucket, trigram, owner, inverse, start, length = part[:6]
-                x = net.embed(bucket, trigram, owner)
-                at = lambda i: inverse[np.minimum(start[i : i + 8192, None] + np.arange(WINDOW), len(inverse) - 1)]
-                part[7] = np.concatenate([np.zeros(0, np.float32), *(net.forward(x, at(i), length[i : i + 8192]) for i in range(0, len(start), 8192))])
+                bucket, chars, counts, inverse, start, length = part[:6]
+                x = net.embed(bucket, chars, counts)
+                at = lambda i: inverse[np.minimum(start[i : i + LEVELS, None] + np.arange(WINDOW), len(inverse) - 1)]
+                part[7] = np.concatenate([np.zeros(0, np.float32), *(net.forward(x, at(i), length[i : i + LEVELS]) for i in range(0, len(start), LEVELS))])
+        give_back()
     # one slope and shift from the documents' worst windows to probabilities
     z = np.full(len(y), float(net.p["bias"][0]) - 20)
     for part in parts:
@@ -223,6 +295,12 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
     return net
 
 
+def _columns(rows: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """Texts as Arrow holds them, without a Python string of each, and labels."""
+    both = rows.toArrow()
+    return both["t"].combine_chunks(), both["y"].to_numpy().astype(np.int64)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_fold, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, limit: int = SAMPLE) -> DataFrame:
     """docs with score (0 to 1) and predicted (score at or over threshold).
 
@@ -234,8 +312,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_fold, keep: list[st
     """
     chosen = sample(labels.where(train_fold).where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("y")), doc_id, limit)
     chosen = bounded(docs, chosen, doc_id, text, LEARN_BYTES)
-    rows = with_text(docs, chosen, doc_id, text).select(F.coalesce(text, F.lit("")).alias("t"), "y").toPandas()
-    net = train(pa.array(rows["t"].tolist(), pa.string()), rows["y"].to_numpy(np.int64))
+    net = train(*_columns(with_text(docs, chosen, doc_id, text).select(F.coalesce(text, F.lit("")).alias("t"), "y")))
+    give_back()
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def start():
