@@ -5,10 +5,11 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscope.llm import toxicity
 from corpuscope.llm.common import ALNUM, Words
-from corpuscope.llm.toxicity import CHAR_BUCKETS, LONG_BUCKETS, WINDOW, Network, train, windows, word_inputs
+from corpuscope.llm.toxicity import CHAR_BUCKETS, LONG_BUCKETS, WINDOW, Network, _columns, score_toxicity, train, windows, word_inputs
 
 
 def texts(n: int, words: int, seed: int = 3) -> pa.Array:
@@ -72,3 +73,17 @@ def test_training_holds_little_beside_the_texts(monkeypatch):
     monkeypatch.setattr(toxicity, "ROUNDS", 2)
     column = texts(1000, 200)
     assert peak(lambda: train(column, np.arange(1000) % 2)) < 30 * column.nbytes + (16 << 20)
+
+
+def test_texts_reach_the_driver_without_python_strings(spark, monkeypatch):
+    def refuse(self, *_):
+        raise AssertionError("the driver makes a Python string of each text")
+
+    docs = spark.createDataFrame([(i, None if i == 3 else "vile words" if i % 2 else "kind words") for i in range(40)], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(type(docs), "toPandas", refuse)
+    scored = score_toxicity(docs, labels, F.lit(True))
+    assert scored.count() == 40 and scored.where("score is null").count() == 0
+    texts, y = _columns(docs.select(F.coalesce("text", F.lit("")).alias("t"), (F.col("doc_id") % 2).alias("y")))
+    assert isinstance(texts, pa.StringArray) and all((t == "vile words") == (k == 1) or t == "" for t, k in zip(texts.to_pylist(), y)) and len(y) == 40
+    assert score_toxicity(docs, labels.limit(0), F.lit(True)).where("score = 0.5").count() == 40
